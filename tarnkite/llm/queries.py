@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
+from .chat_windows import OP5_SQL, op5_chat_windows
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 
 QUERIES = {
+    "op5_chat_windows": op5_chat_windows,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op5_chat_windows": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
