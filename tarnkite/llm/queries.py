@@ -2,10 +2,12 @@
 
 from .chat_windows import OP5_SQL, op5_chat_windows
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .mixing import op9_mix_sources
 
 QUERIES = {
     "op5_chat_windows": op5_chat_windows,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_mix_sources": op9_mix_sources,
 }
 
 ORACLE_SQL = {
