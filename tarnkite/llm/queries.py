@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .chat_windows import OP5_SQL, op5_chat_windows
+from .decontaminate import op7_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import op9_mix_sources
 
 QUERIES = {
     "op5_chat_windows": op5_chat_windows,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op9_mix_sources": op9_mix_sources,
 }
 
