@@ -75,3 +75,18 @@ def order_key(column: Column) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def with_first(rows: DataFrame, keys: list[str], place: Column, spread: Column, salts: int = 64) -> DataFrame:
+    """rows with `first`, the least place among the rows of equal keys, and `many`, their number.
+
+    In two levels, on keys and salt and then on keys, up and down again: a key
+    that a third of all rows have meets in no one task. spread is hashed for the
+    salt and should differ between the rows of a key. Keys are never null.
+    """
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    rows = rows.withColumn("salt", salt)
+    near = rows.groupBy(*keys, "salt").agg(F.min(place).alias("near"), F.count("*").alias("some"))
+    far = near.groupBy(*keys).agg(F.min("near").alias("first"), F.sum("some").alias("many"))
+    down = near.select(*keys, "salt").join(far, keys)
+    return rows.join(down, [*keys, "salt"]).drop("salt")

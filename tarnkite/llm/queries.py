@@ -3,6 +3,7 @@
 from .chat_windows import OP5_SQL, op5_chat_windows
 from .decontaminate import op7_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .line_dedup import op10_line_dedup
 from .mixing import op9_mix_sources
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op9_mix_sources": op9_mix_sources,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
