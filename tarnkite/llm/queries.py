@@ -3,10 +3,12 @@
 from .chat_windows import OP5_SQL, op5_chat_windows
 from .decontaminate import op7_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .jaccard_join import op4_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op9_mix_sources
 
 QUERIES = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_windows": op5_chat_windows,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
