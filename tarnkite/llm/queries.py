@@ -6,8 +6,10 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op4_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op9_mix_sources
+from .quality_rules import op3_quality_rules
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_windows": op5_chat_windows,
     "op6_exact_dedup": op6_exact_dedup,
