@@ -77,7 +77,7 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def with_first(rows: DataFrame, keys: list[str], place: Column, spread: Column, salts: int = 64) -> DataFrame:
+def with_first(rows: DataFrame, keys: list[str], place: Column, spread: Column, salts: int = 64, keep_salt: bool = False) -> DataFrame:
     """rows with `first`, the least place among the rows of equal keys, and `many`, their number.
 
     In two levels, on keys and salt and then on keys, up and down again: a key
@@ -89,4 +89,5 @@ def with_first(rows: DataFrame, keys: list[str], place: Column, spread: Column,
     near = rows.groupBy(*keys, "salt").agg(F.min(place).alias("near"), F.count("*").alias("some"))
     far = near.groupBy(*keys).agg(F.min("near").alias("first"), F.sum("some").alias("many"))
     down = near.select(*keys, "salt").join(far, keys)
-    return rows.join(down, [*keys, "salt"]).drop("salt")
+    found = rows.join(down, [*keys, "salt"])
+    return found if keep_salt else found.drop("salt")

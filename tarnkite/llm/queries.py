@@ -7,8 +7,10 @@ from .jaccard_join import op4_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op9_mix_sources
 from .quality_rules import op3_quality_rules
+from .warc import op1_warc_index
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_windows": op5_chat_windows,
