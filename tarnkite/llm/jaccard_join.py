@@ -41,8 +41,9 @@ LIST = 4096
 STAR = 2048
 #: Bits (2 ** SIEVE_BITS) of the filter before a join with the texts.
 SIEVE_BITS = 26
-#: What a shingle in a list costs beside a row that is shuffled.
-SCAN_COST = 1.0
+#: Beside a subset's row, what a list's row costs (it is often shared, and then
+#: joined twice more), and what reading one entry of its list does.
+LIST_COST, SCAN_COST = 3.0, 1 / 16
 
 SIGNATURES = "doc long, id long, n int, d1 long, d2 long, tokens array<long>, parity array<long>, subsets double, reads double"
 ITEMS = "k long, salt int, light boolean, pos int, n int, cls long"
@@ -114,7 +115,7 @@ def signatures(counts, mean: float):
                 take = np.arange(len(found)) - bounds[doc] < p[doc] + (p[doc] > 0)
                 tokens, of = found[take], doc[take]
                 listed = np.arange(len(found)) - bounds[doc] < p[doc]
-                reads = np.bincount(doc[listed], np.maximum(0.0, cells[(found[listed] >> np.uint64(64 - CELL_BITS)).astype(np.int64)] - mean), minlength=high - low)
+                reads = np.bincount(doc[listed], np.maximum(0.0, cells[(found[listed] >> np.uint64(64 - CELL_BITS)).astype(np.int64)] - mean - 4 * mean**0.5), minlength=high - low)
                 parity, parity_bounds = parities(found, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -153,7 +154,7 @@ def light_boundary(sizes: DataFrame) -> int:
     rows = sizes.where("n >= 4").groupBy(step).agg(F.max("n"), F.sum("subsets"), F.sum("reads"), F.sum(F.size("tokens") - 1)).collect()
     best, at, cost = 0.0, 0, 0.0
     for _, n, subsets, reads, listed in sorted(rows, key=lambda r: r[1]):
-        cost += subsets - listed - SCAN_COST * reads
+        cost += subsets - LIST_COST * listed - SCAN_COST * reads
         if cost < best:
             best, at = cost, n
     return at
@@ -302,11 +303,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     counts, mean = spark.sparkContext.broadcast(cells), float(cells.mean())
     made = docs.mapInArrow(signatures(counts, mean), SIGNATURES).withColumn("row", F.monotonically_increasing_id())
     made = c.staged(made, "signatures")
-    boundary = light_boundary(made)
     # Equal sets are one class, named by the row of the least id.
     place = F.struct(c.order_key(F.col("id")).alias("id"), "row", "doc")
-    classes = made.where("n >= 4").groupBy("n", "d1", "d2").agg(F.min(place).alias("rep"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity"))
-    classes = c.staged(classes.select(F.col("rep.row").alias("cls"), "n", F.col("rep.doc").alias("doc"), "tokens", "parity"), "set-classes")
+    classes = made.where("n >= 4").groupBy("n", "d1", "d2").agg(F.min(place).alias("rep"), F.first("tokens").alias("tokens"), F.first("parity").alias("parity"), F.first("subsets").alias("subsets"), F.first("reads").alias("reads"))
+    classes = c.staged(classes.select(F.col("rep.row").alias("cls"), "n", F.col("rep.doc").alias("doc"), "tokens", "parity", "subsets", "reads"), "set-classes")
+    boundary = light_boundary(classes)
     items = classes.select("cls", "n", "tokens").mapInArrow(emitted(counts, boundary), ITEMS)
     items = items.repartition("k", "salt").sortWithinPartitions("k", "salt", "pos", "n", "cls")
     shared = c.staged(items.mapInArrow(shared_keys, SHARED), "shared-keys")
