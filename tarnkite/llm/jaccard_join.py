@@ -296,7 +296,8 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
-    """One row a document: id, n_shingles, component_id (see jaccard_components)."""
+    """One row a document: doc (hash of id and text), id, n_shingles, component_id (see
+    jaccard_components), first (whether it is the one that stands for its component)."""
     spark = docs.sparkSession
     docs = docs.select(doc_key().alias("doc"), F.col("doc_id").alias("id"), "text")
     cells = shingle_counts(docs)
@@ -344,10 +345,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     near = some.groupBy("n", "d1", "d2", "salt").agg(F.min(place).alias("rep"))
     far = near.groupBy("n", "d1", "d2").agg(F.min("rep").alias("rep"))
     far = far.join(joined, F.col("rep.row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep.row"))
-    least = far.groupBy("component").agg(F.min("rep.id").alias("least"))
-    down = near.select("n", "d1", "d2", "salt").join(far.join(least, "component").select("n", "d1", "d2", F.col("least.id").alias("component_id")), ["n", "d1", "d2"])
-    whole = some.join(down, ["n", "d1", "d2", "salt"]).select("doc", "row", "id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return whole.unionByName(own.where("n = 0").select("doc", "row", "id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id")))
+    least = far.groupBy("component").agg(F.min("rep").alias("least"))
+    far = far.join(least, "component").select("n", "d1", "d2", F.col("least.id.id").alias("component_id"), F.col("least.row").alias("head"))
+    down = near.select("n", "d1", "d2", "salt").join(far, ["n", "d1", "d2"])
+    whole = some.join(down, ["n", "d1", "d2", "salt"]).select("doc", "id", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("head") == F.col("row")).alias("first"))
+    return whole.unionByName(own.where("n = 0").select("doc", "id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("first")))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -365,5 +367,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return similar_sets(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with the document of least doc_id of each component; those without words all stay."""
+    key = c.unused(docs.columns, "doc")
+    first = similar_sets(docs).where(F.col("first") & (F.col("n_shingles") > 0)).select(F.col("doc").alias(key)).distinct()
+    worded = F.coalesce(F.col("text").rlike(c.WORDS), F.lit(False))
+    # A row that repeats has one key; the join has put its copies into one partition.
+    kept = docs.where(worded).withColumn(key, doc_key()).join(first, key, "left_semi").dropDuplicates([key]).drop(key)
+    return kept.unionByName(docs.where(~worded))
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(c.table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ from .jaccard_join import op4_jaccard_join
 from .line_dedup import op10_line_dedup
 from .mixing import op9_mix_sources
 from .quality_rules import op3_quality_rules
+from .sanitise import op8_sanitise
 from .warc import op1_warc_index
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_chat_windows": op5_chat_windows,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_sanitise": op8_sanitise,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
