@@ -50,7 +50,7 @@ STAGES = [
     ("mixing sources to target weights", mixture),
 ]
 
-#: No stage but the fourth and fifth could be written in SQL, and the first is trained.
+#: The classifier is trained and the cube method draws, which SQL cannot express.
 ORACLE_SQL = None
 
 

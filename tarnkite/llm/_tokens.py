@@ -58,7 +58,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(texts: pa.Array, limit: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about `limit` bytes, or one longer text."""
     at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     low = 0

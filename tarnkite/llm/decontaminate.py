@@ -138,6 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     match nothing; rows that repeat give rows that repeat; an empty table
     gives none. A benchmark of any size is taken in blocks.
     """
+    c.bounded_batches(docs.sparkSession)
     spark, found = docs.sparkSession, []
     for index in blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(index)
@@ -155,6 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, all columns, without the documents that contain a benchmark item (by contaminated()'s rule)."""
+    c.bounded_batches(docs.sparkSession)
     for index in blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
         place = docs.columns.index("text")

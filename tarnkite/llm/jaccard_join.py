@@ -34,7 +34,7 @@ from .line_dedup import doc_key, lists
 
 WIDTH = 5
 #: Cells of the count sketch (2 ** CELL_BITS), and of them in one row of it.
-CELL_BITS, ROW_BITS = 20, 14
+CELL_BITS, ROW_BITS = 20, 10
 #: A list that may be longer is dealt out over several tasks.
 LIST = 4096
 #: Documents that one task compares with one set.
@@ -72,7 +72,9 @@ def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in t.slices(batch.column(0)):
             cells += np.bincount(doc_sets(batch.column(0).slice(low, high - low))[0] >> np.uint64(64 - CELL_BITS), minlength=len(cells))
     rows = cells.reshape(-1, 1 << ROW_BITS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], ["part", "cells"])
+    some = np.flatnonzero(rows.any(1))
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["part", "cells"])
 
 
 def summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +301,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     """One row a document: doc (hash of id and text), id, n_shingles, component_id (see
     jaccard_components), first (whether it is the one that stands for its component)."""
     spark = docs.sparkSession
+    c.bounded_batches(spark)
     docs = docs.select(doc_key().alias("doc"), F.col("doc_id").alias("id"), "text")
     cells = shingle_counts(docs)
     counts, mean = spark.sparkContext.broadcast(cells), float(cells.mean())

@@ -139,6 +139,7 @@ def extended(run: int):
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
     """doc, runs: for each document (by the hash of id and text) the line ranges that repeat an earlier place."""
+    c.bounded_batches(docs.sparkSession)
     keyed = docs.select(doc_key().alias("doc"), F.col("doc_id").alias("id"), "text")
     prints = c.staged(keyed.mapInArrow(line_prints(gram, run), LINES), "line-prints")
     # Rows that repeat are one document.

@@ -169,6 +169,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     """Rules from at most `sample` labelled rows, those with the least hashes of their ids."""
+    c.bounded_batches(docs.sparkSession)
     wanted = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", text_statistics("text").alias("s"))

@@ -4,6 +4,7 @@ from .chat_windows import OP5_SQL, op5_chat_windows
 from .decontaminate import op7_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op4_jaccard_join
+from .license_scan import op2_license_scan
 from .line_dedup import op10_line_dedup
 from .mixing import op9_mix_sources
 from .quality_rules import op3_quality_rules
@@ -12,6 +13,7 @@ from .warc import op1_warc_index
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_windows": op5_chat_windows,

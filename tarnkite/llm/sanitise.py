@@ -203,6 +203,7 @@ def revealing_terms(base: DataFrame, docs: DataFrame, reveals: float, support: i
 
 def all_spans(docs: DataFrame, reveals: float = REVEALS, support: int = SUPPORT) -> DataFrame:
     """doc (hash of id and text), id, base, spans for each row of docs: see sanitise()."""
+    c.bounded_batches(docs.sparkSession)
     keyed = docs.select(doc_key().alias("doc"), F.col("doc_id").alias("id"), "text")
     base = c.staged(keyed.mapInArrow(find_base, BASE), "base-spans")
     terms = c.staged(revealing_terms(base, keyed, reveals, support), "revealing-terms")

@@ -144,6 +144,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     least `least` bytes the one with the smallest page_id (null last; of
     repeated rows the first by url) is the response, the others revisit it.
     """
+    c.bounded_batches(pages.sparkSession)
     system, root = store(folder)
     system.create_dir(root)
     payload = F.coalesce("html", F.lit("")).cast("binary")
