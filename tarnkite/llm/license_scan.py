@@ -197,7 +197,8 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """
     words = F.filter(F.split(F.lower("line"), TOKEN), lambda w: w != "")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select("doc_id", "paragraph", words.alias("words"))
-    lines = lines.where(F.arrays_overlap("words", F.array([F.lit(w) for w in model.cues] or [F.lit("")])))
+    # Stored, for these are few, and the optimizer would compute the scores again for each use.
+    lines = c.staged(lines.where(F.arrays_overlap("words", F.array([F.lit(w) for w in model.cues] or [F.lit("")]))), "cued-lines")
 
     def runs(n: int) -> Column:
         last = F.size("words") - n
@@ -206,7 +207,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     lines = lines.withColumn("pairs", F.array_distinct(runs(2)))
     known = F.map_from_arrays(F.array([F.lit(g) for g in model.weights]), F.array([F.array([F.lit(float(x)) for x in w]) for w in model.weights.values()]))
     found = F.array_distinct(F.filter(F.concat("words", "pairs", runs(3)), lambda g: F.array_contains(F.array([F.lit(k) for k in model.weights]), g)))
-    lines = lines.withColumn("found", found)
+    lines = c.staged(lines.select("doc_id", "paragraph", "pairs", found.alias("found")).where(F.size("found") > 0), "licence-grams")
     logits = F.aggregate("found", F.array([F.lit(float(x)) for x in model.base]), lambda acc, g: F.zip_with(acc, F.element_at(known, g), lambda a, b: a + b))
     lines = lines.withColumn("logits", F.transform(logits, lambda z: z / F.lit(model.temperature)))
     top = F.array_max("logits")
