@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 from . import _tokens as t
 
-STATISTICS = ("log_words", "word_length", "upper", "digits", "marks", "bangs", "bars", "stops", "commas", "high", "breaks", "short_words", "distinct")
+STATISTICS = ("log_words", "word_length", "upper", "digits", "marks", "bangs", "bars", "stops", "commas", "high", "breaks", "short_words", "repeats", "distinct")
 #: Labelled rows that the rules are fitted on, at most.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LASSO = 30, 3, 24, 0.3, 2e-3
@@ -47,11 +47,13 @@ def statistics(texts: pa.Array) -> np.ndarray:
         found = {"log_words": np.log2(some), "word_length": np.bincount(doc, end - begin, high - low) / some, "upper": within(_UPPER) / np.maximum(1, within(_LETTER)), "short_words": np.bincount(doc, end - begin <= 3, high - low) / some}
         found |= {k: within(kind) / some for k, kind in _CLASSES.items()}
         hashes = t.word_hashes(raw, begin, end)
+        again = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+        found["repeats"] = np.bincount(doc[1:][again], minlength=high - low) / some
         order = np.lexsort((hashes, doc))
-        hashes, of = hashes[order], doc[order]
-        new = np.ones(len(of), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1])
-        found["distinct"] = np.bincount(of, new, high - low) / some
+        hashes, doc = hashes[order], doc[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+        found["distinct"] = np.bincount(doc, new, high - low) / some
         out[low:high] = np.stack([found[k] for k in STATISTICS], 1) * (n > 0)[:, None]
     return out
 
