@@ -15,6 +15,7 @@ from ..operators import frontier as fr
 from ..operators import learn as ln
 from ..operators import monitor as mo
 from ..sources import tables as tb
+from ..streaming import frontier as st
 from . import sql as q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -697,3 +698,18 @@ def k6_weight_rows(spark, sf_dir):
     path = tb.new_path(spark, "weights") + "/weights.csv"
     tb.write_csv(ln.replay_weights(golden(spark)).select(F.explode("weights").alias("key", "weight")), path)
     return spark.read.schema("key string, weight double").csv(path, header=True).withColumn("weight", F.round("weight", 6))
+
+
+# --- streams ---------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id AS seq, host, round(start, 6) AS start FROM ({STARTS})")
+def r2_stream_pull_times(spark, sf_dir):
+    delay = fr.delay(F.col("page_id") % 5 != 0, (F.col("page_id") % 7) / 10.0, fr.fixed_draw(F.col("page_id")))
+    rows = st.source(spark, sf_dir, "pages").select(u.host("url").alias("host"), F.col("page_id").alias("seq"), delay.alias("delay"))
+    return st.drained(st.pull_times(rows), "pull-times").select("seq", "host", F.round("start", 6).alias("start"))
+
+
+@query(f"SELECT DISTINCT {q.normal('url')} AS url FROM pages")
+def r4_stream_unseen(spark, sf_dir):
+    return st.drained(st.unseen(st.source(spark, sf_dir, "pages").select(u.normal_url("url").alias("url"))), "unseen")
