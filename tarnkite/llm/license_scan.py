@@ -175,9 +175,11 @@ def fit(paragraphs: list[str], seed: int = 11) -> LicenceModel:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     """A model whose unknown class has seen at most `sample` paragraphs of docs: one of each of the texts with the least hashes."""
-    rows = docs.select("text", F.xxhash64("text").alias("mark")).where("text is not null").orderBy("mark", "text").limit(sample)
+    marked = docs.select("text", F.xxhash64("text").alias("mark")).where("text is not null")
+    least = marked.select("mark").distinct().orderBy("mark").limit(sample)
     line = F.split("text", "\n")
-    rows = rows.select(F.substring(F.element_at(line, (F.pmod("mark", F.size(line)) + 1).cast("int")), 1, 2000).alias("line"))
+    rows = marked.join(F.broadcast(least), "mark").dropDuplicates(["mark"])
+    rows = rows.select(F.element_at(line, (F.pmod("mark", F.size(line)) + 1).cast("int")).alias("line"))
     # Some of them name a licence; the templates' word pairs tell.
     pairs = [set(zip(w, w[1:], strict=False)) for texts in TEMPLATES.values() for w in map(tokens, texts)]
     found = sorted(r[0] for r in rows.collect())
