@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as c
 from . import _tokens as t
@@ -58,7 +59,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("struct<" + ", ".join(f"{k}: double" for k in STATISTICS) + ">")
+@F.arrow_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in STATISTICS]))
 def text_statistics(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(x) for x in np.ascontiguousarray(statistics(texts).T)], list(STATISTICS))
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as c
 from . import _tokens as t
@@ -242,7 +243,7 @@ def sanitise(docs: DataFrame, reveals: float = REVEALS, support: int = SUPPORT)
     return rows.select("doc_id", replaced(F.col("text"), F.col("spans")).alias("text"), "spans")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def replaced(texts: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
