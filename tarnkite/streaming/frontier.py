@@ -20,12 +20,13 @@ def unseen(urls: DataFrame) -> DataFrame:
     return urls.dropDuplicates(["url"])
 
 
-def pull_times(tasks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+def pull_times(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """host, seq, start for tasks (host, seq, delay): the sum of the delays of the host's earlier tasks.
 
     The state of a host is the time at which it is free again; tasks of one
-    batch go by seq. A host that was idle for idle_ms is dropped and starts
-    anew.
+    batch go by seq. A host that was idle for idle_ms (say IDLE_MS) is dropped
+    and starts anew. Leave it None where a run is to end by itself: with a
+    timeout there is always another batch to run.
     """
 
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,10 +37,11 @@ def pull_times(tasks: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         free = state.get[0] if state.exists else 0.0
         start = free + rows["delay"].cumsum().shift(fill_value=0.0)
         state.update((float(free + rows["delay"].sum()),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"host": key[0], "seq": rows["seq"], "start": start})
 
-    return tasks.groupBy("host").applyInPandasWithState(serve, "host string, seq long, start double", "free double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return tasks.groupBy("host").applyInPandasWithState(serve, "host string, seq long, start double", "free double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def heartbeats(beats: DataFrame) -> DataFrame:
