@@ -7,6 +7,11 @@ words hold the same grams, so both select the same one: each repeated run of
 RUN words or more has a fingerprint in all its places. Fingerprints are joined
 with the first place that has them, both places are extended over equal lines
 in both directions, and of a run that reaches RUN words the later place goes.
+
+A run may go on past its fingerprint's first place, as in a copy of some other
+place. So the documents that share a fingerprint are then compared exactly: of
+each shortest run of RUN words from, or up to, one of their lines only the
+first place stays. Each line of a repeated run is in such a run.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -107,6 +113,27 @@ def line_prints(gram: int, run: int):
     return scan
 
 
+def shortest_runs(run: int):
+    """For mapInArrow over (doc, id, lines, words, rows): hash, first line and line numbers of each shortest run."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lines, words, rows = (batch.column(m)[k].values.to_numpy(zero_copy_only=False) for m in (2, 3, 4))
+                total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+                ends = np.searchsorted(total, total[:-1] + run, "left")
+                begins = np.searchsorted(total, total[1:] - run, "right") - 1
+                on, back = np.flatnonzero(ends < len(total)), np.flatnonzero(begins >= 0)
+                pairs = np.unique(np.concatenate([np.stack([on, ends[on]], 1), np.stack([begins[back], back + 1], 1)]), axis=0)
+                if len(pairs):
+                    start, end = pairs.T
+                    marks = runs_hash(lines.view(np.uint64), start, end)
+                    doc, own = (pa.array([batch.column(m)[k].as_py()] * len(pairs), pa.int64()) for m in (0, 1))
+                    yield pa.RecordBatch.from_arrays([doc, own, pa.array(marks.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (start, rows[start], rows[end - 1]))], ["doc", "id", "mark", "spot", "from", "to"])
+
+    return scan
+
+
 def reach(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int]:
     """How many equal lines there are before a[i] and b[j], and from them on."""
 
@@ -145,12 +172,24 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFram
     # Rows that repeat are one document.
     spots = prints.select("doc", "id", F.explode(F.arrays_zip("marks", "spots")).alias("x")).select("doc", "id", F.col("x.marks").alias("mark"), F.col("x.spots").alias("spot"))
     place = F.struct(c.order_key(F.col("id")).alias("id"), "doc", "spot")
-    later = c.with_first(spots, ["mark"], place, F.col("doc")).where(F.struct("doc", "spot") != F.struct("first.doc", "first.spot"))
-    later = later.select("doc", "spot", F.col("first.doc").alias("doc0"), F.col("first.spot").alias("spot0")).distinct()
-    lines = prints.select("doc", "lines", "words", "rows").dropDuplicates(["doc"])
+    again = F.struct("doc", "spot") != F.struct("first.doc", "first.spot")
+    shared = c.staged(c.with_first(spots, ["mark"], place, F.col("doc")).where(F.col("many") > 1).select("doc", "spot", "first"), "shared-prints")
+    later = shared.where(again).select("doc", "spot", F.col("first.doc").alias("doc0"), F.col("first.spot").alias("spot0")).distinct()
+    lines = prints.select("doc", "id", "lines", "words", "rows").dropDuplicates(["doc"])
     pairs = later.join(lines, "doc").join(lines.select(F.col("doc").alias("doc0"), F.col("lines").alias("lines0")), "doc0")
     runs = pairs.select("doc", "lines", "words", "rows", "spot", "lines0", "spot0").mapInArrow(extended(run), "doc long, `from` int, `to` int")
-    return runs.distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    near = lines.join(shared.select("doc").distinct(), "doc", "left_semi").select("doc", "id", "lines", "words", "rows")
+    short = c.staged(near.mapInArrow(shortest_runs(run), "doc long, id long, mark long, spot int, `from` int, `to` int"), "shortest-runs")
+    whole = c.with_first(short, ["mark"], place, F.col("doc")).where(again).select("doc", "from", "to")
+    return merged(runs.unionByName(whole).distinct()).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """doc, from, to: ranges that overlap as one."""
+    order = W.partitionBy("doc").orderBy("from", "to")
+    before = F.max("to").over(order.rowsBetween(W.unboundedPreceding, -1))
+    apart = runs.withColumn("new", F.when(before.isNull() | (F.col("from") > before), 1).otherwise(0))
+    return apart.withColumn("part", F.sum("new").over(order)).groupBy("doc", "part").agg(F.min("from").alias("from"), F.max("to").alias("to"))
 
 
 def doc_key():
@@ -163,9 +202,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
     docs: doc_id, text. Lines end at newlines and are equal when their words
     are, A-Z as a-z; lines without words neither part nor join runs and go with
     the run around them. Places go by doc_id (null last), then by a hash of the
-    text, then by line. A run of at least `run` words that repeats the first
-    place of its fingerprint, in the same or an earlier document, is deleted;
-    a text may become empty. Null texts stay null with 0 lines, empty ones
+    text, then by line. Each line goes that is in a run of at least `run` words
+    which stands at an earlier place too, in the same or another document; a
+    text may become empty. Null texts stay null with 0 lines, empty ones
     have 1; rows that repeat both id and text are one document and get one
     result. An empty table gives none. docs must not have columns called
     n_lines or n_removed.
