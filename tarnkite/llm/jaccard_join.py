@@ -263,8 +263,8 @@ def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
 
-def sieve(ids: DataFrame):
-    """A filter of fixed size for a long column: false only for values that ids lacks."""
+def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc, text) without most of those whose doc is not in ids, by a filter of fixed size."""
     cell = F.shiftrightunsigned("doc", 64 - SIEVE_BITS)
     words = ids.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(doc, {64 - SIEVE_BITS}) & 63 AS INT))")).alias("bits"))
     table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
@@ -272,12 +272,13 @@ def sieve(ids: DataFrame):
     table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
-    @F.arrow_udf("boolean")
-    def there(doc: pa.Array) -> pa.Array:
-        cell = doc.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
-        return pa.array(((shared.value[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1)).astype(bool))
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+            bits = shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
+            yield batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
 
-    return there
+    return docs.select("doc", "text").mapInArrow(there, "doc long, text string")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -291,7 +292,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     roles = near.join(stars, "a").select(F.col("a").alias("star"), part, F.col("b").alias("cls"))
     roles = roles.union(stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "a"))
     roles = roles.join(sets.select("cls", "doc"), "cls")
-    few = docs.where(sieve(roles.select("doc").distinct())("doc")).dropDuplicates(["doc"])
+    few = sieved(docs, roles.select("doc").distinct()).dropDuplicates(["doc"])
     rows = roles.join(few, "doc").select("star", "part", "cls", "text")
     rows = rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("cls") != F.col("star"))
     return c.staged(rows.select("star", "part", "cls", F.lit(0).alias("n"), "text").mapInArrow(linked_texts, "a long, b long"), "links")
