@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -187,6 +188,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     return fit([p for p in found if plain(p)])
 
 
+def strings(values: Iterable[str]) -> str:
+    return "array(" + ", ".join(f"'{x}'" for x in values) + ")"
+
+
+def numbers(values: Iterable[float]) -> str:
+    return "array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")"
+
+
 def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """The paragraphs (lines) that name a licence.
 
@@ -200,17 +209,19 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     words = F.filter(F.split(F.lower("line"), TOKEN), lambda w: w != "")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select("doc_id", "paragraph", words.alias("words"))
     # Stored, for these are few, and the optimizer would compute the scores again for each use.
-    lines = c.staged(lines.where(F.arrays_overlap("words", F.array([F.lit(w) for w in model.cues] or [F.lit("")]))), "cued-lines")
+    lines = c.staged(lines.where(F.arrays_overlap("words", F.expr(strings(model.cues or [""])))), "cued-lines")
 
     def runs(n: int) -> Column:
         last = F.size("words") - n
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.array_join(F.slice("words", k + 1, n), " "))).otherwise(F.array().cast("array<string>"))
 
     lines = lines.withColumn("pairs", F.array_distinct(runs(2)))
-    known = F.map_from_arrays(F.array([F.lit(g) for g in model.weights]), F.array([F.array([F.lit(float(x)) for x in w]) for w in model.weights.values()]))
-    found = F.array_distinct(F.filter(F.concat("words", "pairs", runs(3)), lambda g: F.array_contains(F.array([F.lit(k) for k in model.weights]), g)))
+    # As text, since thousands of literals are slow to make one by one; grams hold letters and digits only.
+    keys = strings(model.weights)
+    known = F.expr(f"map_from_arrays({keys}, array({', '.join(numbers(w) for w in model.weights.values())}))")
+    found = F.array_distinct(F.filter(F.concat("words", "pairs", runs(3)), lambda g: F.array_contains(F.expr(keys), g)))
     lines = c.staged(lines.select("doc_id", "paragraph", "pairs", found.alias("found")).where(F.size("found") > 0), "licence-grams")
-    logits = F.aggregate("found", F.array([F.lit(float(x)) for x in model.base]), lambda acc, g: F.zip_with(acc, F.element_at(known, g), lambda a, b: a + b))
+    logits = F.aggregate("found", F.expr(numbers(model.base)), lambda acc, g: F.zip_with(acc, F.element_at(known, g), lambda a, b: a + b))
     lines = lines.withColumn("logits", F.transform(logits, lambda z: z / F.lit(model.temperature)))
     top = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.array_max("logits")))
@@ -220,7 +231,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
 
     def overlap(text: str) -> Column:
         own = sorted({" ".join(x) for x in zip(tokens(text), tokens(text)[1:], strict=False)})
-        return F.size(F.array_intersect("pairs", F.array([F.lit(x) for x in own]))) / F.lit(float(len(own)))
+        return F.size(F.array_intersect("pairs", F.expr(strings(own)))) / F.lit(float(len(own)))
 
     share = F.lit(0.0)
     for family, texts in TEMPLATES.items():
