@@ -700,6 +700,20 @@ def k6_weight_rows(spark, sf_dir):
     return spark.read.schema("key string, weight double").csv(path, header=True).withColumn("weight", F.round("weight", 6))
 
 
+@query("SELECT * FROM (VALUES (2, 1.16::DOUBLE)) t(id, score)")
+def f8_confidence_gate(spark, sf_dir):
+    """Rows that are scored beyond the gate, from which nothing is learned."""
+    rows = ln.replay(golden(spark)).where(F.abs("score") > ln.GATE)
+    return rows.select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {q.LINKS}, {STATS}, {q.ranked('titles', 'stats', 'page_id', 'title')} SELECT l.page_id, l.pos::INT AS pos, array_to_string(list_concat(coalesce(t.words, []), l.link_tokens), ' ') AS carried FROM links l LEFT JOIN titles t ON t.page_id = l.page_id")
+def u4_carried_tokens(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    titles = rows.select("page_id", tx.ranked_words(tx.title("html")).alias("title_tokens"))
+    return u.page_links(rows).join(titles, "page_id").select("page_id", "pos", F.array_join(F.concat("title_tokens", "link_tokens"), " ").alias("carried"))
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
