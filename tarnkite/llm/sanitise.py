@@ -6,7 +6,8 @@ corpus, its pointwise mutual information with e reaches REVEALS of e's
 information content: PMI(t; e) >= REVEALS * IC(e), with IC(e) = -log2 p(e) and
 p over documents; at 1 the term implies the entity. Terms are the words within
 REACH words of a base span; the pair must be seen in SUPPORT different contexts,
-so copies of one text are no evidence. Revealing terms are spans as well,
+of which no more than half have the same least term (by hash), so exact and
+near copies of one text are no evidence. Revealing terms are spans as well,
 wherever they occur: a term of one kind of entity is generalised to "about that
 kind", a term that reveals several kinds is removed.
 """
@@ -40,9 +41,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-BASE = "doc long, id long, spans array<struct<kind:int,start:int,end:int>>, seen array<struct<entity:long,kind:int,context:long,terms:array<long>>>"
+BASE = "doc long, id long, spans array<struct<kind:int,start:int,end:int>>, seen array<struct<entity:long,kind:int,context:long,least:long,next:long,terms:array<long>>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-_SEEN = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("context", pa.int64()), ("terms", pa.list_(pa.int64()))]))
+_SEEN = pa.list_(pa.struct([("entity", pa.int64()), ("kind", pa.int32()), ("context", pa.int64()), ("least", pa.int64()), ("next", pa.int64()), ("terms", pa.list_(pa.int64()))]))
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -110,7 +111,9 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         low, high = int(np.searchsorted(end, a, "right")), int(np.searchsorted(begin, b, "left"))
         near = hashes[max(0, low - REACH) : high + REACH]
         mark = t.mixed(np.array([np.sum(near * t._SLOT[np.arange(len(near)) % 32], dtype=np.uint64)])).view(np.int64)[0]
-        out.append({"entity": value_hash(kind, text[start:stop]), "kind": kind, "context": int(mark), "terms": np.unique(near).view(np.int64).tolist()})
+        terms = np.unique(near).view(np.int64).tolist()
+        least, following = [*terms[:2], None, None][:2]
+        out.append({"entity": value_hash(kind, text[start:stop]), "kind": kind, "context": int(mark), "least": least, "next": following, "terms": terms})
     return out
 
 
@@ -188,9 +191,14 @@ def revealing_terms(base: DataFrame, docs: DataFrame, reveals: float, support: i
     """term, kinds (a bit for each kind of entity that it reveals), from counts over all documents."""
     seen = base.select("doc", F.explode("seen").alias("s")).select("doc", "s.*")
     entities = seen.groupBy("entity", "kind", "doc").count().groupBy("entity", "kind").agg(F.count("*").alias("entity_docs"))
-    pairs = seen.select("doc", "entity", "context", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.count_distinct("doc").alias("both"), F.count_distinct("context").alias("contexts"))
-    candidates = c.staged(joint.where(F.col("contexts") >= support), "term-candidates")
+    pairs = seen.select("doc", "entity", "context", "least", "next", F.explode("terms").alias("term"))
+    # Near copies of a context share its least term; the term itself does not count as that.
+    mark = F.when(F.col("term") == F.col("least"), F.coalesce("next", "context")).otherwise(F.col("least"))
+    alike = pairs.groupBy("entity", "term", mark.alias("mark")).agg(F.count_distinct("context").alias("n"))
+    spread = alike.groupBy("entity", "term").agg(F.sum("n").alias("contexts"), F.max("n").alias("alike"))
+    spread = spread.where((F.col("contexts") >= support) & (2 * F.col("alike") <= F.col("contexts"))).select("entity", "term")
+    joint = pairs.groupBy("entity", "term").agg(F.count_distinct("doc").alias("both"))
+    candidates = c.staged(joint.join(spread, ["entity", "term"]), "term-candidates")
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0).alias("kinds"))
     shared = docs.sparkSession.sparkContext.broadcast(sieve(candidates.select("term")))

@@ -57,6 +57,11 @@ def rows_of(prose):
     rows += [(20 + k, prose(40, 400 + k)) for k in range(300)]
     copy = f"{prose(15, 1)} quokka bob@corp.example.com {prose(9, 2)}"
     rows += [(500 + k, copy) for k in range(8)]
+    words = f"{prose(15, 11)} numbat {prose(2, 12)} carol@corp.example.com {prose(15, 13)}".split()
+    for k in range(12):  # near copies: one word changed each
+        near = list(words)
+        near[(k * 7 + 3) % 14] = f"changed{k}"
+        rows.append((700 + k, " ".join(near)))
     return rows + [(600, "we met in Zanzibar"), (601, None), (602, ""), (603, "call +1 (555) 010-9999 or 10.0.0.1"), (603, "call +1 (555) 010-9999 or 10.0.0.1"), (None, "mail é a@b.cd now")]
 
 
@@ -70,7 +75,8 @@ def test_terms_that_reveal_an_entity_are_spans_too(docs, prose):
         assert "[ABOUT EMAIL]" in texts[k]
         assert "[EMAIL]" in texts[k]
     assert texts[600] == "we met in [ABOUT EMAIL]"
-    # Copies of one context are no evidence.
+    # Copies of one context are no evidence, and near copies neither.
+    assert all("numbat" in texts[700 + k] and "[ABOUT" not in texts[700 + k] for k in range(12))
     assert all("quokka [EMAIL]" in texts[500 + k] for k in range(8))
     assert texts[603] == "call [PHONE] or [IP]"
     assert texts[None] == "mail é [EMAIL] now"
