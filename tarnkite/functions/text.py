@@ -20,6 +20,19 @@ STOP_WORDS = (
 # Tags whose text counts, and tags that leave no trace.
 TEXT_TAGS = "div p b i u em strong ul li pre article blockquote body table th tr td tbody thead tfoot h1 h2 h3 h4 h5 h6".split()
 SKIP_TAGS = "br hr img link meta META if endif wbr".split()
+# What is taken out of a page, in this order, to get at its text; and the patterns of its parts.
+TEXT_STEPS = (
+    (r"(?ds)<(a|script|style).*?>.*?</\1>", ""),
+    (r"(?d)<.*?>", ""),
+    (r"&\w{2,4};", ""),
+    (r"\n(\s*\n)+", "\n"),
+)
+NOT_ASCII = r"[^\x00-\x7e]"
+TITLE = r"(?d)<title[^>]*>(.*?)</title>"
+LINK_START = r"(?d)<a\s.*?>"
+BODY_START, BODY_END = r"(?s)^.*?<body[^>]*>", r"(?s)</body>.*$"
+MARKUP, TAG_NAME = r"<[^>]+>|[^><]+", r"^<\W*(\w+)"
+
 #: Shorter words do not count.
 LEAST_LETTERS = 4
 
@@ -32,16 +45,16 @@ def as_column(x: Text) -> Column:
 
 def ascii_clean(html: Text) -> Column:
     """Without DEL and all that is not ASCII."""
-    return F.regexp_replace(as_column(html), r"[^\x00-\x7e]", "")
+    return F.regexp_replace(as_column(html), NOT_ASCII, "")
 
 
 def page_text(html: Text) -> Column:
     """Visible text: anchors, scripts and styles go with their content (an opening like <article
     counts as an anchor's), then tags that end on their line, short entities, and blank lines."""
-    text = F.regexp_replace(as_column(html), r"(?ds)<(a|script|style).*?>.*?</\1>", "")
-    text = F.regexp_replace(text, r"(?d)<.*?>", "")
-    text = F.regexp_replace(text, r"&\w{2,4};", "")
-    return F.regexp_replace(text, r"\n(\s*\n)+", "\n")
+    out = as_column(html)
+    for pattern, instead in TEXT_STEPS:
+        out = F.regexp_replace(out, pattern, instead)
+    return out
 
 
 def word_tokens(text: Text) -> Column:
@@ -76,16 +89,16 @@ def frequent_words(df: DataFrame, key: str, text: Text, n: int) -> DataFrame:
 
 def title(html: Text) -> Column:
     """The first title on one line, or ''."""
-    return F.regexp_extract(as_column(html), r"(?d)<title[^>]*>(.*?)</title>", 1)
+    return F.regexp_extract(as_column(html), TITLE, 1)
 
 
 def link_count(html: Text) -> Column:
-    return F.size(F.regexp_extract_all(as_column(html), F.lit(r"(?d)<a\s.*?>"), 0)).cast("long")
+    return F.size(F.regexp_extract_all(as_column(html), F.lit(LINK_START), 0)).cast("long")
 
 
 def body(html: Text) -> Column:
     """What stands between the body tags."""
-    return F.regexp_replace(F.regexp_replace(as_column(html), r"(?s)^.*?<body[^>]*>", ""), r"(?s)</body>.*$", "")
+    return F.regexp_replace(F.regexp_replace(as_column(html), BODY_START, ""), BODY_END, "")
 
 
 def longest_text(html: Text) -> Column:
@@ -96,11 +109,11 @@ def longest_text(html: Text) -> Column:
     without a name leave the stack alone; a tag outside TEXT_TAGS ends the run.
     A pop or text on an empty stack ends the pass.
     """
-    parts = F.regexp_extract_all(as_column(html), F.lit("<[^>]+>|[^><]+"), 0)
+    parts = F.regexp_extract_all(as_column(html), F.lit(MARKUP), 0)
 
     def step(acc: Column, part: Column) -> Column:
         stack, run, best = acc["stack"], acc["run"], acc["best"]
-        tag = F.regexp_extract(part, r"^<\W*(\w+)", 1)
+        tag = F.regexp_extract(part, TAG_NAME, 1)
         closes, opens = part.startswith("</"), part.startswith("<")
         pushes = (tag != "") & ~tag.isin(SKIP_TAGS)
         counts = F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(False))

@@ -11,6 +11,11 @@ from .text import Text, as_column, ranked_words
 SAFE_PATH = r"(\.((x|p|r|s)?htm?l?|php\d?|aspx?|cfml?|pdf|docx?|rtf|txt)|^/?[^\.]*)/?(;|\?|#|$)"
 DOCUMENT_PATH = r"\.(pdf|docx?|rtf|txt)/?$"
 BLOCKED = r"(law|print|www)\.onecle\.com"
+# How pages write links, and the forms of links that decide what they mean.
+BASE_TAG = r'(?d)<base[^>]+href="(.*?)"'
+ANCHOR = r"(?d)<a(?:\s[^>]+)?>.*?</a>"
+TARGET = r'(?d)<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+DOTTED_HOST, HOST_AND_PATH, NEAR_PAGE = r"^\w+\.\w+\.\w+", r"^\w+\.\w+/", r"^[^\./]+\.[^\./]+(;|\?|#|$)"
 #: Scheme, authority and path of any string (RFC 3986, appendix B); never fails.
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)"
 
@@ -58,7 +63,7 @@ def fetch_address(url: Text, address: Text) -> Column:
 
 def base_href(html: Text) -> Column:
     """Where a page's base tag points, or null."""
-    return F.nullif(F.regexp_extract(as_column(html), r'(?d)<base[^>]+href="(.*?)"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(as_column(html), BASE_TAG, 1), F.lit(""))
 
 
 def resolve(link: Text, ref: Text, base: Text) -> Column:
@@ -77,13 +82,13 @@ def resolve(link: Text, ref: Text, base: Text) -> Column:
     return (
         F.when(~ref.contains("//"), None)
         .when(link.contains("//"), link)
-        .when(link.rlike(r"^\w+\.\w+\.\w+"), F.when(link.rlike(SAFE_PATH), F.concat(near, link)).otherwise(F.concat(F.lit("//"), link)))
-        .when(link.rlike(r"^\w+\.\w+/"), F.concat(F.lit("//"), link))
+        .when(link.rlike(DOTTED_HOST), F.when(link.rlike(SAFE_PATH), F.concat(near, link)).otherwise(F.concat(F.lit("//"), link)))
+        .when(link.rlike(HOST_AND_PATH), F.concat(F.lit("//"), link))
         .when(link.startswith("mailto:"), None)
         .when(link.startswith("/"), F.concat(root, after(1)))
         .when(link.startswith("./"), F.concat(near, after(2)))
         .when(link.startswith("../"), F.concat(above, after(3)))
-        .when(link.rlike(r"^[^\./]+\.[^\./]+(;|\?|#|$)"), F.concat(near, link))
+        .when(link.rlike(NEAR_PAGE), F.concat(near, link))
     )
 
 
@@ -93,12 +98,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     pos is the anchor's number on the page; fragments are dropped; words of tags
     inside the anchor count as its words.
     """
-    anchors = F.regexp_extract_all("html", F.lit(r"(?d)<a(?:\s[^>]+)?>.*?</a>"), 0)
+    anchors = F.regexp_extract_all("html", F.lit(ANCHOR), 0)
     rows = pages.select("page_id", F.col("url").alias("parent_url"), base_href("html").alias("base"), F.posexplode(anchors).alias("pos", "anchor"))
-    target = r'(?d)<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>'
-    rows = rows.withColumn("link", F.regexp_extract("anchor", target, 1)).where("link <> ''")
+    rows = rows.withColumn("link", F.regexp_extract("anchor", TARGET, 1)).where("link <> ''")
     found = resolve("link", "parent_url", "base")
-    rows = rows.select("page_id", "pos", "parent_url", F.regexp_replace(found, "(?d)#.*$", "").alias("url"), ranked_words(F.regexp_extract("anchor", target, 2)).alias("link_tokens"))
+    rows = rows.select("page_id", "pos", "parent_url", F.regexp_replace(found, "(?d)#.*$", "").alias("url"), ranked_words(F.regexp_extract("anchor", TARGET, 2)).alias("link_tokens"))
     return rows.where("url is not null")
 
 
