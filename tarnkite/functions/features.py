@@ -72,9 +72,10 @@ def sparse_vector(numbers: list[Column], tokens: list[Column]) -> Column:
     for k, words in enumerate(tokens, len(numbers)):
         slot = F.lit(f"{k}:")
         parts.append(F.transform(F.array_distinct(words), lambda w: F.struct(F.concat(slot, w).alias("key"), F.lit(1.0).alias("value"))))  # noqa: B023
-    entries = F.concat(*parts)
-    size = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["value"] * e["value"]))
-    return F.when(size > 0, F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], (e["value"] / size).alias("value"))))).otherwise(F.create_map().cast("map<string,double>"))
+    # One-element arrays bind what is used twice, so that it is computed once.
+    sized = F.transform(F.array(F.concat(*parts)), lambda es: F.struct(es.alias("entries"), F.sqrt(F.aggregate(es, F.lit(0.0), lambda acc, e: acc + e["value"] * e["value"])).alias("size")))
+    unit = F.transform(sized, lambda s: F.when(s["size"] > 0, F.map_from_entries(F.transform(s["entries"], lambda e: F.struct(e["key"], (e["value"] / s["size"]).alias("value"))))))
+    return F.coalesce(F.element_at(unit, 1), F.create_map().cast("map<string,double>"))
 
 
 def dot(x: Column, w: Column) -> Column:

@@ -628,15 +628,15 @@ def r8_initialise(spark, sf_dir):
 
 
 VECTORS = f"""
-n AS (SELECT doc_id AS id, length(text) / 1000.0 AS num, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]+')) AS toks FROM documents),
+n AS (SELECT doc_id AS id, length(text) / 1000.0 AS num, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS toks FROM documents),
 raw AS (SELECT id, '0' AS key, num AS value FROM n UNION ALL SELECT id, '1:' || unnest(toks), 1.0 FROM n),
 x AS (SELECT id, key, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value FROM raw)"""
 
 
 def vectors(spark, sf_dir) -> DataFrame:
-    """id, x: a number and the words of each text's beginning, as unit vectors."""
+    """id, x: a number and the words of each text, as unit vectors."""
     rows = tb.read(spark, sf_dir, "documents")
-    return rows.select(F.col("doc_id").alias("id"), ft.sparse_vector([F.length("text") / 1000.0], [tx.word_tokens(F.substring("text", 1, 400))]).alias("x"))
+    return rows.select(F.col("doc_id").alias("id"), ft.sparse_vector([F.length("text") / 1000.0], [tx.word_tokens("text")]).alias("x"))
 
 
 @query(f"WITH {VECTORS} SELECT id, key, round(value, 9) AS value FROM x")
