@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -603,6 +604,20 @@ def r1_expand(spark, sf_dir):
     return fr.expand(edges, edges.where("src LIKE 'o%' AND src <= 'o2'").select(F.col("src").alias("node")), 6)
 
 
+def whole_graph(spark, sf_dir) -> DataFrame:
+    """The edges of graph() and those that it leaves out: of all orders, and from regions to all of their nations."""
+    rows = [("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"), ("nation", "r", "n_regionkey", "n", "n_nationkey")]
+    edges = [tb.read(spark, sf_dir, t).select(F.concat(F.lit(p), src).alias("src"), F.concat(F.lit(q), dst).alias("dst")) for t, p, src, q, dst in rows]
+    return reduce(DataFrame.unionByName, edges)
+
+
+@query()
+def r1_expand_whole(spark, sf_dir):
+    """From all orders over all edges; recursive SQL has no way to drop what was seen, so the tests check it against brute force."""
+    edges = whole_graph(spark, sf_dir)
+    return fr.expand(edges, tb.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node")), 6)
+
+
 @query(f"""
 WITH {q.LINKS}, c AS (
   SELECT {q.normal('url')} AS url, page_id * 100000 + pos AS seq, parent_url FROM links WHERE NOT regexp_matches({q.normal('url')}, '{u.BLOCKED}')),

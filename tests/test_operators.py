@@ -59,6 +59,20 @@ def test_expand_ends_on_cycles(spark):
     assert fr.expand(edges, seeds.limit(0), 3).isEmpty()
 
 
+def test_expansion_of_the_whole_graph(spark):
+    read = lambda t, *c: [tuple(r) for r in tb.read(spark, SF, t).select(*c).collect()]
+    orders, nations = read("orders", "o_orderkey", "o_custkey"), read("nation", "n_nationkey", "n_regionkey")
+    edges = [(f"o{a}", f"c{b}") for a, b in orders] + [(f"c{a}", f"n{b}") for a, b in read("customer", "c_custkey", "c_nationkey")]
+    edges += [(f"n{a}", f"r{b}") for a, b in nations] + [(f"r{b}", f"n{a}") for a, b in nations]
+    want, front = {f"o{a}": 0 for a, _ in orders}, {f"o{a}" for a, _ in orders}
+    for hop in range(1, 7):
+        front = {b for a, b in edges if a in front} - set(want)
+        want |= dict.fromkeys(front, hop)
+    got = qs.r1_expand_whole(spark, SF).collect()
+    assert len(got) == len(want) > len(orders)
+    assert {r.node: r.hop for r in got} == want
+
+
 def test_delays(spark):
     got = spark.range(1).select(fr.delay(F.lit(True), F.lit(2.0), F.lit(0.5)), fr.delay(F.lit(False), F.lit(2.0), F.lit(0.5))).first()
     assert tuple(got) == (50.0, 60.0)
