@@ -1,21 +1,24 @@
 """Licence scan: a trained paragraph classifier over sparse word n-grams.
 
 A softmax regression with a lasso penalty is fitted on the driver, on varied
-copies of the families' templates and on a bounded sample of the corpus as the
-unknown class; a temperature and a threshold are then calibrated on variants
-that were held out. Scoring is DataFrame functions only: the few n-grams with
-weights become literals, and a paragraph without any of them has the unknown
-class's score, so only paragraphs with a cue word are scored at all. A
+copies of the families' templates and on at most SAMPLE paragraphs of the corpus
+as the unknown class; a temperature is then calibrated on variants that were
+held out. Word frequencies are over all paragraphs, and so is the threshold: at
+most FALSE_SHARE of all unknown paragraphs reach it. Scoring is DataFrame
+functions only: the n-grams with weights become literals. A paragraph is scored
+if it has a word of a set that leaves out only words whose n-grams, all
+together, cannot lift a family over the unknown class, so none is lost. A
 prediction is confirmed when the paragraph holds most of the word pairs of one
 of the family's templates.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -103,6 +106,7 @@ class LicenceModel:
     base: list[float]
     weights: dict[str, list[float]]  # n-gram -> weight in each family, the last one being unknown
     cues: list[str]  # words, of which each n-gram with a weight has one
+    sieve: list[str]  # words, without any of which no paragraph can be of a family
     temperature: float
     threshold: float
 
@@ -120,8 +124,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(paragraphs: list[str], seed: int = 11) -> LicenceModel:
-    """Train on templates and the given paragraphs (unknown); calibrate on every fourth example."""
+def licence_grams(spread: dict[str, int], lines: int) -> list[str]:
+    """Runs of two and three words of the templates, without pairs of words that are both in over a hundredth of all lines."""
+    found = {g for texts in TEMPLATES.values() for text in texts for g in grams(tokens(text))}
+    usual = {w for w, n in spread.items() if n > 0.01 * max(100, lines)}
+    return sorted(g for g in found if g.count(" ") == 2 or (g.count(" ") == 1 and not set(g.split()) <= usual))
+
+
+def needed(weights: dict[str, list[float]], base: list[float], spread: dict[str, int]) -> list[str]:
+    """Words, the frequent ones left out as far as their n-grams' weights together stay under what a family lacks."""
+    gains = {g: np.maximum(0, np.array(w[:-1]) - w[-1]) for g, w in weights.items()}
+    lacks, out = base[-1] - np.array(base[:-1]) - 1e-6, set()
+    for word in sorted({x for g in weights for x in g.split()}, key=lambda x: (-spread.get(x, 0), x)):
+        if (sum((v for g, v in gains.items() if set(g.split()) <= out | {word}), np.zeros(len(lacks))) < lacks).all():
+            out.add(word)
+    return sorted({x for g in weights for x in g.split()} - out)
+
+
+def fit(paragraphs: list[str], seed: int = 11, spread: dict[str, int] | None = None) -> LicenceModel:
+    """Train on templates and the given paragraphs (unknown); calibrate on every fourth example. spread: lines that have a word."""
     draw = np.random.default_rng(seed)
     plain = [tokens(p) for p in [*paragraphs, *OTHERS * 8]]
     filler = sorted({w for p in plain for w in p}) or ["word"]
@@ -134,16 +155,14 @@ def fit(paragraphs: list[str], seed: int = 11) -> LicenceModel:
             rows += [words] * (VARIANTS // 4) + [varied(words, filler, draw) for _ in range(VARIANTS)]
             y += [k] * (VARIANTS // 4 + VARIANTS)
     y = np.array(y)
-    spread = Counter(w for p in plain[: len(paragraphs)] for w in set(p))
-    common = {w for w, n in spread.items() if n > 0.01 * max(100, len(paragraphs))}
+    spread = Counter(w for p in plain[: len(paragraphs)] for w in set(p)) if spread is None else spread
     held = np.arange(len(rows)) % 4 == 3
     seen: dict[str, int] = {}
     for row in (r for r, h in zip(rows, held, strict=True) if not h):
         for g in grams(row):
             seen[g] = seen.get(g, 0) + 1
     wanted = {g for text in [*sum(TEMPLATES.values(), []), *OTHERS] for g in grams(tokens(text))}
-    # An n-gram of common words alone is no feature: it would have to be looked for everywhere.
-    features = sorted(g for g in wanted if seen.get(g, 0) >= 8 and not set(g.split()) <= common)
+    features = sorted(g for g in wanted if seen.get(g, 0) >= 8)
     at = {g: k for k, g in enumerate(features)}
     x = np.zeros((len(rows), len(features)))
     for k, row in enumerate(rows):
@@ -170,11 +189,27 @@ def fit(paragraphs: list[str], seed: int = 11) -> LicenceModel:
     wrong = softmax(z / heat)[y[held] == len(TEMPLATES), :-1].max(1, initial=0)
     threshold = max(0.5, float(np.quantile(wrong, 1 - FALSE_SHARE)) if len(wrong) else 0.5)
     kept = [k for k in range(len(features)) if np.any(w[k])]
-    cues = sorted({word for k in kept for word in features[k].split() if word not in common})
-    return LicenceModel(families, b.tolist(), {features[k]: w[k].tolist() for k in kept}, cues, heat, threshold)
+    cues = sorted({word for k in kept for word in features[k].split()})
+    weights = {features[k]: w[k].tolist() for k in kept}
+    return LicenceModel(families, b.tolist(), weights, cues, needed(weights, b.tolist(), spread), heat, threshold)
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
+def split_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph, words: each line of docs."""
+    words = F.filter(F.split(F.lower("line"), TOKEN), lambda w: w != "")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select("doc_id", "paragraph", words.alias("words"))
+
+
+def line_counts(docs: DataFrame) -> tuple[dict[str, int], int]:
+    """Over all lines of docs: how many have each word of the templates and of OTHERS, and how many have words at all."""
+    own = sorted({w for text in [*sum(TEMPLATES.values(), []), *OTHERS] for w in tokens(text)})
+    has = F.array_union(F.array_intersect("words", F.expr(strings(own))), F.array(F.lit("")))
+    found = split_lines(docs).where(F.size("words") > 0).select(F.explode(has).alias("word")).groupBy("word").count().collect()
+    spread = {r["word"]: r["count"] for r in found}
+    return spread, spread.pop("", 0)
+
+
+def learned(docs: DataFrame, spread: dict[str, int], lines: int, sample: int = SAMPLE) -> LicenceModel:
     """A model whose unknown class has seen at most `sample` paragraphs of docs: one of each of the texts with the least hashes."""
     marked = docs.select("text", F.xxhash64("text").alias("mark")).where("text is not null")
     least = marked.select("mark").distinct().orderBy("mark").limit(sample)
@@ -184,8 +219,37 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
     # Some of them name a licence; the templates' word pairs tell.
     pairs = [set(zip(w, w[1:], strict=False)) for texts in TEMPLATES.values() for w in map(tokens, texts)]
     found = sorted(r[0] for r in rows.collect())
-    plain = lambda p: all(len(set(zip(w := tokens(p), w[1:], strict=False)) & s) < 0.5 * len(s) for s in pairs)  # noqa: E731, B023
-    return fit([p for p in found if plain(p)])
+    named = set(licence_grams(spread, lines))
+    plain = lambda p: not grams(tokens(p)) & named and all(len(set(zip(w := tokens(p), w[1:], strict=False)) & s) < 0.5 * len(s) for s in pairs)  # noqa: E731, B023
+    return fit([p for p in found if plain(p)], spread=spread)
+
+
+def calibrated(model: LicenceModel, scored: DataFrame, lines: int) -> LicenceModel:
+    """The model with the threshold that at most FALSE_SHARE of all unknown paragraphs reach.
+
+    scored: what scored_lines() finds in all documents, which have `lines`
+    lines with words. Those without n-grams of a licence are unknown; lines
+    that were not scored are below any threshold.
+    """
+    if not lines:
+        return model
+    # Log odds in hundredths: a table of bounded size, whatever the corpus.
+    odds = F.floor(-100 * F.log(F.greatest(1 / F.col("probability") - 1, F.lit(1e-12)))).cast("int")
+    wrong = ~F.col("named") & (F.col("family") != UNKNOWN) & (F.col("probability") >= 0.5)
+    found = scored.groupBy("named", F.when(wrong, odds).alias("odds")).count().collect()
+    left = math.floor(FALSE_SHARE * (lines - sum(r["count"] for r in found if r["named"])))
+    for r in sorted((r for r in found if r["odds"] is not None), key=lambda r: -r["odds"]):
+        left -= r["count"]
+        if left < 0:
+            return replace(model, threshold=1 / (1 + math.exp(-(r["odds"] + 1) / 100)))
+    return replace(model, threshold=0.5)
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> LicenceModel:
+    """learned() with the counts of all lines of docs, calibrated() on all of them."""
+    spread, lines = line_counts(docs)
+    model = learned(docs, spread, lines, sample)
+    return calibrated(model, scored_lines(docs, model, licence_grams(spread, lines)), lines)
 
 
 def strings(values: Iterable[str]) -> str:
@@ -196,20 +260,10 @@ def numbers(values: Iterable[float]) -> str:
     return "array(" + ", ".join(f"{float(x)!r}D" for x in values) + ")"
 
 
-def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """The paragraphs (lines) that name a licence.
-
-    docs: doc_id, text; further columns are ignored. Returns a row for each
-    paragraph whose best family reaches the calibrated threshold: doc_id,
-    paragraph (its number, from 0), family, probability, overlap (share of the
-    word pairs of the family's nearest template), confirmed (overlap of at
-    least CONFIRMS). Null and empty texts and the unknown class give no rows;
-    rows that repeat give rows that repeat; an empty table gives none.
-    """
-    words = F.filter(F.split(F.lower("line"), TOKEN), lambda w: w != "")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select("doc_id", "paragraph", words.alias("words"))
+def scored_lines(docs: DataFrame, model: LicenceModel, marks: Iterable[str] = ()) -> DataFrame:
+    """doc_id, paragraph, pairs, family (the best one, or unknown), probability, named (has one of marks): all lines that may be of a family."""
     # Stored, for these are few, and the optimizer would compute the scores again for each use.
-    lines = c.staged(lines.where(F.arrays_overlap("words", F.expr(strings(model.cues or [""])))), "cued-lines")
+    lines = c.staged(split_lines(docs).where(F.arrays_overlap("words", F.expr(strings(model.sieve or [""])))), "cued-lines")
 
     def runs(n: int) -> Column:
         last = F.size("words") - n
@@ -219,15 +273,34 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
     # As text, since thousands of literals are slow to make one by one; grams hold letters and digits only.
     keys = strings(model.weights)
     known = F.expr(f"map_from_arrays({keys}, array({', '.join(numbers(w) for w in model.weights.values())}))")
-    found = F.array_distinct(F.filter(F.concat("words", "pairs", runs(3)), lambda g: F.array_contains(F.expr(keys), g)))
-    lines = c.staged(lines.select("doc_id", "paragraph", "pairs", found.alias("found")).where(F.size("found") > 0), "licence-grams")
+    all_grams = F.concat("words", "pairs", runs(3))
+    found, marked = F.array_intersect(all_grams, F.expr(keys)), F.arrays_overlap(all_grams, F.expr(strings([*marks, ""])))
+    lines = c.staged(lines.select("doc_id", "paragraph", "pairs", found.alias("found"), marked.alias("named")).where(F.size("found") > 0), "licence-grams")
     logits = F.aggregate("found", F.expr(numbers(model.base)), lambda acc, g: F.zip_with(acc, F.element_at(known, g), lambda a, b: a + b))
     lines = lines.withColumn("logits", F.transform(logits, lambda z: z / F.lit(model.temperature)))
     top = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.array_max("logits")))
     best = F.array_position("logits", top).cast("int")
-    lines = lines.select("doc_id", "paragraph", "pairs", F.element_at(F.array([F.lit(f) for f in model.families]), best).alias("family"), (1 / total).alias("probability"))
-    lines = lines.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
+    lines = lines.select("doc_id", "paragraph", "pairs", F.element_at(F.array([F.lit(f) for f in model.families]), best).alias("family"), (1 / total).alias("probability"), "named")
+    return c.staged(lines, "scored-lines")
+
+
+def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """The paragraphs (lines) that name a licence.
+
+    docs: doc_id, text; further columns are ignored. Returns a row for each
+    paragraph whose best family reaches the calibrated threshold: doc_id,
+    paragraph (its number, from 0), family, probability, overlap (share of the
+    word pairs of the family's nearest template), confirmed (overlap of at
+    least CONFIRMS). Null and empty texts and the unknown class give no rows;
+    rows that repeat give rows that repeat; an empty table gives none.
+    """
+    return above(scored_lines(docs, model), model)
+
+
+def above(scored: DataFrame, model: LicenceModel) -> DataFrame:
+    """The lines of scored_lines() that reach the threshold, as in scan_licences()."""
+    lines = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
 
     def overlap(text: str) -> Column:
         own = sorted({" ".join(x) for x in zip(tokens(text), tokens(text)[1:], strict=False)})
@@ -242,4 +315,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents")
-    return scan_licences(docs, train(docs))
+    spread, lines = line_counts(docs)
+    model = learned(docs, spread, lines)
+    scored = scored_lines(docs, model, licence_grams(spread, lines))
+    return above(scored, calibrated(model, scored, lines))

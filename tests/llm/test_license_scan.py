@@ -36,3 +36,40 @@ def test_features_have_cues():
 def test_empty_table(docs):
     df = docs([(1, "a")]).limit(0)
     assert ls.scan_licences(df, ls.train(df)).count() == 0
+
+
+def test_a_family_of_frequent_words_is_found(docs, prose):
+    rows = [(k, f"all {prose(4, k)} rights {prose(4, 500 + k)} reserved {prose(4, 900 + k)}\n{prose(20, 300 + k)}") for k in range(120)]
+    df = docs([*rows, (900, "All rights reserved."), (901, "Released under the MIT License.")])
+    got = ls.scan_licences(df, ls.train(df)).collect()
+    assert sorted((r.doc_id, r.family) for r in got) == [(900, "proprietary"), (901, "MIT")]
+
+
+def test_frequencies_and_threshold_are_of_all_documents(spark, docs, prose):
+    df = docs([(k, f"the {prose(3, k)}\nrights of\n\n") for k in range(40)])
+    spread, lines = ls.line_counts(df)
+    assert (spread["the"], spread["rights"], lines) == (40, 40, 80)
+    model = ls.fit(["plain words"])
+    rows = [(k, "MIT", 0.6 + k / 1000, False) for k in range(100)] + [(k, "MIT", 0.99, True) for k in range(50)]
+    scored = spark.createDataFrame(rows, "doc_id long, family string, probability double, named boolean")
+    for lines in (150, 10_050, 40_050, 60_050):
+        mark = ls.calibrated(model, scored, lines).threshold
+        most = int(ls.FALSE_SHARE * (lines - 50))
+        reach = sum(r[2] >= mark for r in rows if not r[3])
+        assert reach <= most
+        assert reach >= min(most, 100) - 5  # odds are in hundredths
+    assert ls.calibrated(model, scored, 60_050).threshold == 0.5
+
+
+def test_the_sieve_loses_no_line(docs, prose):
+    import dataclasses
+
+    texts = [*sum(ls.TEMPLATES.values(), []), *ls.OTHERS]
+    words = sorted({w for x in texts for w in ls.tokens(x)})
+    df = docs([(k, " ".join(words[(k * 7 + j * j * (k + 3)) % len(words)] for j in range(9))) for k in range(400)] + [(1000 + k, x) for k, x in enumerate(texts)])
+    model = ls.train(df)
+    assert set(model.sieve) < set(model.cues)
+    whole = dataclasses.replace(model, sieve=model.cues)
+    found = [sorted((r.doc_id, r.family) for r in ls.scored_lines(df, m).where("family <> 'unknown'").collect()) for m in (model, whole)]
+    assert found[0] == found[1]
+    assert len(found[0]) > 20
