@@ -61,6 +61,18 @@ def pull_times(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("start", F.coalesce(F.sum("delay").over(before), F.lit(0.0)))
 
 
+def queue_order(tasks: DataFrame, *by: str) -> DataFrame:
+    """tasks with rank, from 1, in the order of the columns `by`: sorted in ranges, and only the ranges' sizes are added up in one place."""
+    checkpoint_dir(tasks.sparkSession)
+    # An id is the number of its range, shifted by 33 bits, plus the place in that range.
+    placed = tasks.orderBy(*by).checkpoint().withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    ranked = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    return ranked.select(*tasks.columns, (F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1).alias("rank"))
+
+
 def host_slots(tasks: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
     """tasks (host, seq) with slot, the rank of the host by its first task, and live (slot within slots); others overflow."""
     firsts = tasks.groupBy("host").agg(F.min("seq").alias("at"))

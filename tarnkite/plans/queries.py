@@ -47,6 +47,11 @@ def s1_scan(spark, sf_dir):
     return tb.scan(tb.read(spark, sf_dir, "pages").select("page_id", "url"), "page_id", 100)
 
 
+@query("SELECT page_id, url FROM pages")
+def s1_scan_whole(spark, sf_dir):
+    return tb.scan(tb.read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
+
+
 @query("SELECT page_id, url FROM pages WHERE page_id = 17 UNION ALL SELECT page_id, url FROM pages WHERE page_id = (SELECT min(page_id) FROM pages)")
 def s2_pick(spark, sf_dir):
     rows = tb.read(spark, sf_dir, "pages").select("page_id", "url")
@@ -417,6 +422,13 @@ def o2_next_tasks(spark, sf_dir):
     return fr.pull_times(tasks(spark, sf_dir)).select("page_id", "host", F.round("start", 6).alias("start")).orderBy("start", "host", "page_id").limit(50)
 
 
+@query(f"SELECT page_id, host, start, row_number() OVER (ORDER BY start, host, page_id) AS rank FROM (SELECT page_id, host, round(start, 6) AS start FROM ({STARTS}))")
+def o2_task_queue(spark, sf_dir):
+    """All tasks, with their rank in the queue."""
+    rows = fr.pull_times(tasks(spark, sf_dir)).select("page_id", "host", F.round("start", 6).alias("start"))
+    return fr.queue_order(rows, "start", "host", "page_id")
+
+
 @query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10")
 def o3_limit(spark, sf_dir):
     return tb.scan(tb.read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 10)

@@ -73,6 +73,18 @@ def test_expansion_of_the_whole_graph(spark):
     assert {r.node: r.hop for r in got} == want
 
 
+def test_whole_scan_and_queue(spark):
+    pages = sorted(r.page_id for r in tb.read(spark, SF, "pages").collect())
+    assert sorted(r.page_id for r in qs.s1_scan_whole(spark, SF).collect()) == pages
+    # More rows than the capped queries return, so that a cap shows.
+    many = spark.range(5000, numPartitions=7).select(F.col("id").alias("seq"), F.concat(F.lit("h"), F.col("id") % 11).alias("host"), ((F.col("id") * 37) % 101).cast("double").alias("start"))
+    got = fr.queue_order(many, "start", "host", "seq").collect()
+    want = sorted(got, key=lambda r: (r.start, r.host, r.seq))
+    assert [r["rank"] for r in want] == list(range(1, 5001))
+    assert fr.queue_order(many.limit(0), "start").isEmpty()
+    assert tb.scan(many, "seq").count() == 5000
+
+
 def test_delays(spark):
     got = spark.range(1).select(fr.delay(F.lit(True), F.lit(2.0), F.lit(0.5)), fr.delay(F.lit(False), F.lit(2.0), F.lit(0.5))).first()
     assert tuple(got) == (50.0, 60.0)
