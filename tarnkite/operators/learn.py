@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 CAP, GATE = 1.0, 0.5
 
 
+def learn(weights: dict[str, float], x: dict[str, float], tc: int, cap: float, gate: float) -> tuple[float, float, bool]:
+    """Score, loss and whether weights were moved by a row: one step of a replay."""
+    score = sum(v * weights.get(k, 0.0) for k, v in x.items())
+    loss, size = max(0.0, 1.0 - tc * score), sum(v * v for v in x.values())
+    learns = abs(score) <= gate and size > 0
+    if learns:
+        step = min(cap, loss / size) * tc
+        for k, v in x.items():
+            weights[k] = weights.get(k, 0.0) + step * v
+    return score, loss, learns
+
+
 def replay(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """id, score, tc, loss, updated for rows (id, x map<string,double>, tc) taken in id order.
 
@@ -25,14 +37,7 @@ def replay(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
         for pdf in batches:
             out = []
             for row_id, x, tc in zip(pdf["id"], pdf["x"], pdf["tc"], strict=True):
-                x = dict(x)
-                score = sum(v * weights.get(k, 0.0) for k, v in x.items())
-                loss, size = max(0.0, 1.0 - tc * score), sum(v * v for v in x.values())
-                learns = abs(score) <= gate and size > 0
-                if learns:
-                    step = min(cap, loss / size) * tc
-                    for k, v in x.items():
-                        weights[k] = weights.get(k, 0.0) + step * v
+                score, loss, learns = learn(weights, dict(x), tc, cap, gate)
                 out.append((row_id, score, tc, loss, learns))
             yield pd.DataFrame(out, columns=["id", "score", "tc", "loss", "updated"])
 
@@ -40,6 +45,21 @@ def replay(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     return ordered.mapInPandas(fold, "id long, score double, tc int, loss double, updated boolean")
 
 
+def final_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
+    """key, weight after a replay of all rows (id, x, tc) in id order: replay()'s fold, in one task that keeps the weights only."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights: dict[str, float] = {}
+        for pdf in batches:
+            for x, tc in zip(pdf["x"], pdf["tc"], strict=True):
+                learn(weights, dict(x), tc, cap, gate)
+        if weights:
+            yield pd.DataFrame({"key": list(weights), "weight": list(weights.values())})
+
+    ordered = rows.select("id", "x", "tc").repartition(1).sortWithinPartitions("id")
+    return ordered.mapInPandas(fold, "key string, weight double")
+
+
 def replay_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """One row: weights map<string,double> after a replay of all rows, as an expression fold (short histories)."""
     merged = lambda w, x, step: F.map_zip_with(w, x, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + step * F.coalesce(b, F.lit(0.0)))

@@ -734,6 +734,31 @@ def f8_confidence_gate(spark, sf_dir):
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
+# Over every labelled document; sequential as m5_replay is, and checked against a plain fold in the tests as well.
+
+
+@query()
+def m6_skipped_whole(spark, sf_dir):
+    return ln.replay(labelled(spark, sf_dir)).select("id", (~F.col("updated")).alias("skipped"))
+
+
+@query()
+def m7_readable_weights_whole(spark, sf_dir):
+    return ln.final_weights(labelled(spark, sf_dir)).where("weight > 0")
+
+
+@query()
+def k6_weight_rows_whole(spark, sf_dir):
+    path = tb.new_path(spark, "weights") + "/weights.csv"
+    tb.write_csv(ln.final_weights(labelled(spark, sf_dir)), path)
+    return spark.read.schema("key string, weight double").csv(path, header=True)
+
+
+@query()
+def f8_confidence_gate_whole(spark, sf_dir):
+    return ln.replay(labelled(spark, sf_dir)).where(F.abs("score") > ln.GATE).select("id", "score")
+
+
 @query(f"WITH {q.LINKS}, {STATS}, {q.ranked('titles', 'stats', 'page_id', 'title')} SELECT l.page_id, l.pos::INT AS pos, array_to_string(list_concat(coalesce(t.words, []), l.link_tokens), ' ') AS carried FROM links l LEFT JOIN titles t ON t.page_id = l.page_id")
 def u4_carried_tokens(spark, sf_dir):
     rows = pages(spark, sf_dir)

@@ -29,6 +29,28 @@ def test_replay_equals_a_plain_fold(spark):
         assert g.loss == pytest.approx(loss, abs=1e-9)
 
 
+def test_weights_gate_and_skips_of_all_labelled_documents(spark):
+    weights, skipped, gated = {}, {}, {}
+    for r in sorted(qs.labelled(spark, SF).collect(), key=lambda r: r.id):
+        score = sum(v * weights.get(k, 0.0) for k, v in r.x.items())
+        loss, size = max(0.0, 1 - r.tc * score), sum(v * v for v in r.x.values())
+        skipped[r.id] = abs(score) > 0.5 or size == 0
+        if abs(score) > 0.5:
+            gated[r.id] = score
+        if not skipped[r.id]:
+            for k, v in r.x.items():
+                weights[k] = weights.get(k, 0.0) + min(1.0, loss / size) * r.tc * v
+    found = lambda name: {r[0]: r[1] for r in getattr(qs, name)(spark, SF).collect()}
+    assert len(skipped) > 50
+    assert found("m6_skipped_whole") == skipped
+    assert found("f8_confidence_gate_whole") == pytest.approx(gated, abs=1e-9)
+    assert found("k6_weight_rows_whole") == pytest.approx(weights, abs=1e-9)
+    sure = {k: v for k, v in weights.items() if v > 1e-9}
+    readable = found("m7_readable_weights_whole")
+    assert {k: v for k, v in readable.items() if v > 1e-9} == pytest.approx(sure, abs=1e-9)
+    assert min(readable.values()) > 0
+
+
 def test_skipped_rows_change_nothing(spark):
     rows = qs.golden(spark)
     kept = ln.replay(rows).where("updated").select("id")
