@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +58,6 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -83,17 +79,59 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def with_first(rows: DataFrame, keys: list[str], place: Column, spread: Column, salts: int = 64, keep_salt: bool = False) -> DataFrame:
+def doc_key() -> Column:
+    """128 bits of SHA-256 over a document's doc_id and text: its identity; rows that repeat both share it."""
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    text = F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("text")))
+    return F.substring(F.unhex(F.sha2(F.concat(number, text).cast("binary"), 256)), 1, 16)
+
+
+def salted(spark: SparkSession, spread: Column) -> Column:
+    """Which of the parts of its key a row belongs to; as many parts as a shuffle has, 64 at least."""
+    return F.pmod(F.xxhash64(spread), F.lit(max(64, shuffle_width(spark)))).cast("int")
+
+
+def with_first(rows: DataFrame, keys: list[str], place: Column, spread: Column, keep_salt: bool = False) -> DataFrame:
     """rows with `first`, the least place among the rows of equal keys, and `many`, their number.
 
     In two levels, on keys and salt and then on keys, up and down again: a key
     that a third of all rows have meets in no one task. spread is hashed for the
     salt and should differ between the rows of a key. Keys are never null.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    rows = rows.withColumn("salt", salt)
+    rows = rows.withColumn("salt", salted(rows.sparkSession, spread))
     near = rows.groupBy(*keys, "salt").agg(F.min(place).alias("near"), F.count("*").alias("some"))
     far = near.groupBy(*keys).agg(F.min("near").alias("first"), F.sum("some").alias("many"))
     down = near.select(*keys, "salt").join(far, keys)
     found = rows.join(down, [*keys, "salt"])
     return found if keep_salt else found.drop("salt")
+
+
+def join_one(rows: DataFrame, other: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """rows joined with the one row that `other` has for their keys; a key may be in a third of rows.
+
+    other's row meets one row for each salt of its key, and those copies meet
+    the rows of their salt. Rows whose key other lacks go. Keys are never null.
+    """
+    rows = rows.withColumn("salt", salted(rows.sparkSession, spread))
+    copies = rows.select(*keys, "salt").distinct().join(other, keys)
+    return rows.join(copies, [*keys, "salt"]).drop("salt")
+
+
+def filter_bits(n: int, least: int = 16, most: int = 27) -> int:
+    """Bits of a filter's hashes for n values: sixteen bits a value, up to 16 MB."""
+    return min(most, max(least, n.bit_length() + 4))
+
+
+def hash_filter(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit map of 2 ** bits bits, by the first bits of a 64-bit hash: false only for hashes that the column lacks."""
+    cell = f"shiftrightunsigned({column}, {64 - bits})"
+    words = values.groupBy(F.expr(f"shiftright({cell}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({cell} & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes the filter lets through."""
+    at = hashes >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
+    return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,14 @@ import pyarrow.compute as pc
 PIECE = 1 << 20
 
 _draw = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_BASE = int(_draw.integers(1, 1 << 60)) * 8 + 5
 _SLOT = _draw.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED = _draw.integers(1, 1 << 63, 4, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32  # A-Z count as a-z
+#: Keeps the first k of eight bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes up to which a word is hashed among all others; longer ones are rare.
+LONG = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,20 +29,6 @@ _OTHER = np.ones(256, bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 SEPARATORS = {"space": _SPACE, "other": _OTHER}
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** k and base ** -k modulo 2 ** 64, for k up to n."""
-    if not _powers or len(_powers[0]) < n:
-        _powers.clear()
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            row = np.full(max(n, 1 << 16), base & ((1 << 64) - 1), np.uint64)
-            row[0] = 1
-            _powers.append(np.multiply.accumulate(row))
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -82,22 +73,41 @@ def words(raw: np.ndarray, at: np.ndarray, separator: str = "space") -> tuple[np
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
-def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, A-Z as a-z; piece by piece, so memory stays bounded."""
-    out, k = np.empty(len(begin), np.uint64), 0
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, A-Z as a-z; lanes are independent of each other.
+
+    Eight bytes at a time go through a mix that is no linear function of them, so
+    no two words collide by their structure; words of one length up to eight
+    bytes never do. Long words go through BLAKE2b.
+    """
+    out = np.empty(len(begin), np.uint64)
+    k = 0
     while k < len(begin):
         low = begin[k]
         m = max(k + 1, int(np.searchsorted(end, low + PIECE, "right")))
-        piece = raw[low : end[m - 1]]
-        up, back = powers(len(piece) + 1)
-        sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(_BYTE[piece] * up[: len(piece)], out=sums[1:])
-        b, e = begin[k:m] - low, end[k:m] - low
-        out[k:m] = mixed((sums[e] - sums[b]) * back[b] + (e - b).astype(np.uint64))
+        piece = np.zeros(int(end[m - 1] - low) + 8, np.uint8)
+        piece[:-8] = _LOWER[raw[low : end[m - 1]]]
+        eights = np.ndarray(len(piece) - 7, "<u8", piece, strides=(1,))
+        b, size = begin[k:m] - low, end[k:m] - begin[k:m]
+        part = mixed(size.astype(np.uint64) + _SEED[lane])
+        live, at = np.flatnonzero(size <= LONG), 0
+        while len(live):
+            left = size[live] - at
+            part[live] = mixed(part[live] ^ ((eights[b[live] + at] & _FIRST[np.minimum(left, 8)]) * _SLOT[lane]))
+            live, at = live[left > 8], at + 8
+        for x in np.flatnonzero(size > LONG).tolist():
+            part[x] = int.from_bytes(hashlib.blake2b(piece[b[x] : b[x] + size[x]], digest_size=8, salt=bytes([lane])).digest(), "little")
+        out[k:m] = part
         k = m
     return out
 
 
+def spans_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges start..end, one range after the other."""
+    many = end - start
+    return np.arange(many.sum()) + np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+
+
 def shingles(hashes: np.ndarray, doc: np.ndarray, n_docs: int, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of each run of `width` words; a text with fewer words is one run."""
     count = np.bincount(doc, minlength=n_docs)

@@ -74,3 +74,33 @@ def test_one_line_in_very_many_documents(docs, prose):
 
 def test_empty_table(docs):
     assert ld.dedup_lines(docs([(1, "a")]).limit(0)).count() == 0
+
+
+def test_runs_that_outlast_their_first_place(docs, prose):
+    draw = random.Random(11)
+    base = [prose(draw.randint(4, 14), 7000 + k) for k in range(40)]
+    rows = []
+    for k in range(50):
+        low = draw.randrange(30)
+        part = base[low : low + draw.randint(4, 12)]
+        for _ in range(draw.choice([0, 1, 1, 2])):
+            part[draw.randrange(len(part))] = prose(draw.randint(4, 14), 8000 + draw.randrange(6))
+        rows.append((k, "\n".join([prose(9, 100 + k), *part, prose(9, 200 + k), *part[: draw.randint(0, 5)]])))
+    # 0 shares 30 words around the print with the others, 1 and 2 share 90.
+    a, b, e = prose(30, 1), prose(30, 2), prose(30, 3)
+    rows += [(100, f"{a}\n{prose(40, 4)}"), (101, f"{b}\n{a}\n{e}"), (102, f"{prose(9, 5)}\n{b}\n{a}\n{e}"), (103, f"{b}\n{a}\n{prose(40, 6)}")]
+    got = check(docs, rows)
+    assert {r.doc_id: r.n_removed for r in got.collect() if r.doc_id in (101, 102, 103)} == {101: 0, 102: 3, 103: 2}
+
+
+def test_nothing_but_the_rounds_deletes(docs, prose, monkeypatch):
+    rows = [(k, prose(60, 1) + "\n" + prose(60, 50 + k)) for k in range(5)]
+    monkeypatch.setattr(ld, "extended", lambda batches: (b for b in batches if False))
+    assert {r.n_removed for r in ld.dedup_lines(docs(rows)).collect()} == {0}
+
+
+def test_names_that_clash(spark, prose):
+    df = spark.createDataFrame([(1, prose(60, 1), 5, 6), (2, prose(60, 1), 5, 6)], "doc_id long, text string, n_lines int, n_removed int")
+    got = ld.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "_n_lines", "_n_removed"]
+    assert sorted((r.doc_id, r.n_lines, r._n_removed) for r in got.collect()) == [(1, 5, 0), (2, 5, 1)]
