@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Documents that one task moves together.
-BLOCK = 4096
+#: Documents that one task moves together, at most; hashes fill a block to FULL on average.
+BLOCK, FULL = 4096, 0.75
+#: Rows that repeat and that one task numbers.
+RUN = 4096
 #: Documents of each source that the landing phase settles, besides the flight's last two.
 LANDING = 10
 CLOSE = 1e-9
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, rank, source_size, target: weighted shares of the whole, none above most times its source.
+    """source, rank, source_size, target: weighted shares of the whole, none above most times its source. sizes: source, size, rows.
 
     Sources go by code point, null last, and weigh `weights`, repeating. The
     excess of a capped source goes to the others by weight until none is above:
@@ -39,7 +41,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     share. Sorted by most * size / weight, the capped sources are a prefix, and
     prefix sums give the level.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     ranked = per.withColumn("rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array([F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -88,7 +90,7 @@ def landed(sizes: list[float], p: list[float], at: list[int]) -> list[float]:
 
 def fly(group: pd.DataFrame) -> pd.DataFrame:
     """One block: large documents first, so that what stays open is small."""
-    group = group.sort_values(["size", "mark", "doc_id", "p"], ascending=[False, True, True, True], ignore_index=True)
+    group = group.sort_values(["size", "mark", "doc_id", "turn", "p"], ascending=[False, True, True, True, True], ignore_index=True)
     last = group["blocks"].iloc[0] == 1
     kept = np.unique(np.linspace(0, len(group) - 1, LANDING).astype(int)) if last else np.zeros(0, int)
     order = np.concatenate([np.setdiff1d(np.arange(len(group)), kept), kept])
@@ -99,6 +101,17 @@ def fly(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(p=landed(sizes, p, [k for k, x in enumerate(p) if 0 < x < 1]) if last else p)
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """doc_id, source, size, turn for each row that sizes (doc_id, source, size, rows) stands for; turn numbers those that repeat.
+
+    Rows that repeat many times are made again by several tasks, RUN by each.
+    """
+    few = sizes.where(F.col("rows") <= RUN).withColumn("run", F.lit(0).cast("long"))
+    many = sizes.where(F.col("rows") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN)))).repartition("doc_id", "source", "size", "run")
+    first = F.col("run") * RUN
+    return few.unionByName(many).select("doc_id", "source", "size", F.explode(F.sequence(first, F.least(first + RUN, F.col("rows")) - 1)).alias("turn"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
     """How often the mix takes each document.
 
@@ -106,30 +119,33 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     is its number of words (null or empty text: 0); null is a source of its own.
     Returns a row for each row of docs: doc_id, source, size, source_size,
     target, taken (size times its copies; at most ceil(most) copies). Sources
-    without words have target 0. Rows that repeat are documents of their own.
-    The draw depends on ids and sizes only, so reruns agree. An empty table
-    gives none.
+    without words have target 0. Rows that repeat are documents of their own:
+    they are counted, and numbered when they are made again, so they lie in
+    different blocks. The draw depends on ids, sizes and these numbers only, so
+    reruns agree. An empty table gives none.
     """
-    sizes = c.staged(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(c.WORDS)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    words = F.coalesce(F.regexp_count("text", F.lit(c.WORDS)), F.lit(0)).cast("long")
+    sizes = c.staged(docs.select("doc_id", "source", words.alias("size")).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-sizes")
     targets = c.staged(source_targets(sizes, weights, share, most), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    units = numbered(sizes).join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     whole = F.floor(ratio + F.lit(CLOSE)).cast("int")
     units = units.select(
-        "doc_id", "source", "size", "source_size", "target", "rank", whole.alias("copies"), F.greatest(F.lit(0.0), ratio - whole).alias("p"), F.xxhash64(F.lit("mix"), "doc_id", "size").alias("mark")
+        "doc_id", "source", "size", "turn", "source_size", "target", "rank", whole.alias("copies"), F.greatest(F.lit(0.0), ratio - whole).alias("p"), F.xxhash64(F.lit("mix"), "doc_id", "size", "turn").alias("mark")
     )
     open_, done = (F.col("p") > CLOSE) & (F.col("p") < 1 - CLOSE), []
     while True:
         units = c.staged(units, "mix-units")
         done.append(units.where(~open_))
         left = units.where(open_)
-        counts = left.groupBy("rank").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+        counts = left.groupBy("rank").agg(F.ceil(F.count("*") / F.lit(block * FULL)).cast("int").alias("blocks"))
         if counts.isEmpty():
             break
-        placed = left.join(counts, "rank").withColumn("block", F.pmod(F.xxhash64("mark", "doc_id"), F.col("blocks")).cast("int"))
+        placed = left.join(counts, "rank").withColumn("block", F.pmod(F.xxhash64("mark", "blocks"), F.col("blocks")).cast("int"))
         units = placed.groupBy("rank", "block").applyInPandas(fly, placed.schema).select(*left.columns)
     return c.union(done).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.round("p"))).cast("long").alias("taken"))
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """mix() of all documents; it says what holds for nulls, empty texts and repeated rows."""
     return mix(c.table(spark, sf_dir, "documents")).drop("source")

@@ -69,3 +69,22 @@ def test_inclusion_probabilities_hold_on_average():
         for k, x in enumerate(mixing.moved(sizes, [0.3, 0.6, 0.5, 0.4, 0.7, 0.5], seed)):
             mean[k] += x / 4000
     assert mean == pytest.approx([0.3, 0.6, 0.5, 0.4, 0.7, 0.5], abs=0.03)
+
+
+def test_rows_that_repeat_lie_in_many_blocks(spark, monkeypatch):
+    """50,000 equal rows, and null ids of one size: no block is above BLOCK."""
+    rows = spark.range(50_000).selectExpr("7L AS doc_id", "'a' AS source", "'x y z' AS text")
+    rows = rows.unionByName(spark.range(9_000).selectExpr("CAST(NULL AS LONG)", "'a'", "'x y'").toDF("doc_id", "source", "text"))
+    rows = rows.unionByName(spark.range(30_000).selectExpr("id", "'b'", "'one'").toDF("doc_id", "source", "text"))
+    told, plain = [], mixing.fly
+
+    def watched(group):
+        if len(group) > mixing.BLOCK:
+            raise ValueError(f"{len(group)} documents in a block")
+        return plain(group)
+
+    monkeypatch.setattr(mixing, "fly", watched)
+    got = mixing.mix(rows).groupBy("source").agg({"taken": "sum", "target": "max", "*": "count"}).collect()
+    told = {r.source: (r["sum(taken)"], r["max(target)"], r["count(1)"]) for r in got}
+    assert {s: x[2] for s, x in told.items()} == {"a": 59_000, "b": 30_000}
+    assert all(taken == pytest.approx(target, abs=30) for taken, target, _ in told.values())
