@@ -30,22 +30,20 @@ from pyspark.sql import functions as F
 from . import _common as c
 from . import _tokens as t
 from .components import components
-from .line_dedup import doc_key, lists
+from .line_dedup import lists
 
 WIDTH = 5
-#: Cells of the count sketch (2 ** CELL_BITS), and of them in one row of it.
-CELL_BITS, ROW_BITS = 20, 10
+#: Cells of the count sketch (2 ** bits) for a small corpus and at most, and of them in one row of it.
+CELL_BITS, MOST_BITS, ROW_BITS = 20, 24, 10
 #: A list that may be longer is dealt out over several tasks.
 LIST = 4096
 #: Documents that one task compares with one set.
-STAR = 2048
-#: Bits (2 ** SIEVE_BITS) of the filter before a join with the texts.
-SIEVE_BITS = 26
+STAR = 256
 #: Beside a subset's row, what a list's row costs (it is often shared, and then
 #: joined twice more), and what reading one entry of its list does.
 LIST_COST, SCAN_COST = 3.0, 1 / 16
 
-SIGNATURES = "doc long, id long, n int, d1 long, d2 long, tokens array<long>, parity array<long>, subsets double, reads double"
+SIGNATURES = "doc binary, id long, n int, d1 long, d2 long, tokens array<long>, parity array<long>, subsets double, reads double"
 ITEMS = "k long, salt int, light boolean, pos int, n int, cls long"
 SHARED = "k long, dealt boolean, light boolean, pos int, n int, cls long, pos0 int, n0 int, cls0 long"
 
@@ -66,15 +64,21 @@ def doc_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return t.shingles(t.word_hashes(raw, begin, end), doc, len(texts), WIDTH)
 
 
-def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    for batch in batches:
-        for low, high in t.slices(batch.column(0)):
-            cells += np.bincount(doc_sets(batch.column(0).slice(low, high - low))[0] >> np.uint64(64 - CELL_BITS), minlength=len(cells))
-    rows = cells.reshape(-1, 1 << ROW_BITS)
-    some = np.flatnonzero(rows.any(1))
-    if len(some):
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["part", "cells"])
+def sketch_rows(bits: int):
+    """For mapInArrow over (text): the rows of the count sketch that a task's shingles are in."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for low, high in t.slices(batch.column(0)):
+                cells += np.bincount(doc_sets(batch.column(0).slice(low, high - low))[0] >> np.uint64(64 - bits), minlength=len(cells))
+        rows = cells.reshape(-1, 1 << ROW_BITS)
+        some = np.flatnonzero(rows.any(1))
+        for low in range(0, len(some), 1024):
+            part = some[low : low + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([rows[k].tobytes() for k in part], pa.binary())], ["part", "cells"])
+
+    return count
 
 
 def summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +90,22 @@ def summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "cells"])
 
 
+def cell_bits(size: int) -> int:
+    """Bits of the sketch's cells for a corpus of so many bytes: one more for each sixteenfold from 256 MB on."""
+    return min(MOST_BITS, CELL_BITS + max(0, size.bit_length() - 28) // 4)
+
+
+def cells_of(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The cell of each shingle."""
+    return (hashes >> np.uint64(65 - len(cells).bit_length())).astype(np.int64)
+
+
 def shingle_counts(docs: DataFrame) -> np.ndarray:
-    """How often the shingles of each cell occur in all documents: a sketch of fixed size (8 MB)."""
-    parts = docs.select("text").mapInArrow(sketch_rows, "part int, cells binary")
-    cells = np.zeros((1 << (CELL_BITS - ROW_BITS), 1 << ROW_BITS), np.int64)
-    for row in parts.repartition("part").mapInArrow(summed_rows, "part int, cells binary").collect():
+    """How often the shingles of each cell occur in all documents: a sketch of 8 MB to 128 MB, by the size of the corpus."""
+    bits = cell_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = docs.select("text").mapInArrow(sketch_rows(bits), "part int, cells binary")
+    cells = np.zeros((1 << (bits - ROW_BITS), 1 << ROW_BITS), np.int64)
+    for row in parts.repartition("part").mapInArrow(summed_rows, "part int, cells binary").toLocalIterator():
         cells[row["part"]] += np.frombuffer(row["cells"], np.int64)
     return cells.ravel()
 
@@ -104,7 +119,7 @@ def signatures(counts, mean: float):
         for batch in batches:
             for low, high in t.slices(batch.column(2)):
                 found, doc = doc_sets(batch.column(2).slice(low, high - low))
-                cell = (found >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                cell = cells_of(found, cells)
                 order = np.lexsort(((level[cell] << np.uint64(58)) | (found >> np.uint64(6)), doc))
                 found, doc = found[order], doc[order]
                 new = np.ones(len(found), bool)
@@ -117,14 +132,14 @@ def signatures(counts, mean: float):
                 take = np.arange(len(found)) - bounds[doc] < p[doc] + (p[doc] > 0)
                 tokens, of = found[take], doc[take]
                 listed = np.arange(len(found)) - bounds[doc] < p[doc]
-                reads = np.bincount(doc[listed], np.maximum(0.0, cells[(found[listed] >> np.uint64(64 - CELL_BITS)).astype(np.int64)] - mean - 4 * mean**0.5), minlength=high - low)
+                reads = np.bincount(doc[listed], np.maximum(0.0, cells[cells_of(found[listed], cells)] - mean - 4 * mean**0.5), minlength=high - low)
                 parity, parity_bounds = parities(found, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(n, pa.int32()),
                         *(pa.array(d.view(np.int64)) for d in digests),
                         lists(tokens, np.searchsorted(of, np.arange(high - low + 1)), pa.int64()), lists(parity, parity_bounds, pa.int64()),
-                        pa.array((p + 1) * p / 2.0), pa.array(reads),
+                        pa.array((p + 1) * p / 2.0), pa.array(reads.astype(float)),  # no shingles at all give whole numbers
                     ],
                     ["doc", "id", "n", "d1", "d2", "tokens", "parity", "subsets", "reads"],
                 )
@@ -179,13 +194,13 @@ def emitted(counts, boundary: int):
                     of = np.flatnonzero((n <= boundary) & (first == p))
                     own = tokens[bounds[of][:, None] + np.arange(p + 1)]
                     i, j = np.triu_indices(p + 1, 1)
-                    rare = np.minimum(own[:, i], own[:, j]), cells[np.stack([own[:, i], own[:, j]]) >> np.uint64(64 - CELL_BITS)].min(0)
+                    rare = np.minimum(own[:, i], own[:, j]), cells[cells_of(np.stack([own[:, i], own[:, j]]), cells)].min(0)
                     rows.append((t.mixed(own[:, i] * t._SLOT[0] + own[:, j] * t._SLOT[1]).ravel(), rare[1].ravel(), np.tile(j, len(of)), np.repeat(of, len(i)), True))
                 of = np.flatnonzero((5 * n > 4 * boundary) & (first > 0))
                 many = first[of]
                 place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 own = tokens[np.repeat(bounds[of], many) + place]
-                rows.append((own, cells[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)], place, np.repeat(of, many), False))
+                rows.append((own, cells[cells_of(own, cells)], place, np.repeat(of, many), False))
                 for key, most, pos, of, light in rows:
                     if len(key):
                         salt = t.mixed(cls[of].view(np.uint64)) % (1 + most // LIST).astype(np.uint64)
@@ -264,46 +279,41 @@ def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc, text) without most of those whose doc is not in ids, by a filter of fixed size."""
-    cell = F.shiftrightunsigned("doc", 64 - SIEVE_BITS)
-    words = ids.groupBy(F.shiftright(cell, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(doc, {64 - SIEVE_BITS}) & 63 AS INT))")).alias("bits"))
-    table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    got = words.toArrow()
-    table[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    """docs (doc, text) without most of those whose doc is not in ids, by a filter of bounded size."""
+    marks = ids.select(F.xxhash64("doc").alias("mark"))
+    shared = ids.sparkSession.sparkContext.broadcast(c.hash_filter(marks, "mark", c.filter_bits(ids.count())))
 
     def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
-            bits = shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
-            yield batch.filter(pa.array((bits & np.uint64(1)).astype(bool)))
+            yield batch.select([0, 1]).filter(pa.array(c.passes(shared.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    return docs.select("doc", "text").mapInArrow(there, "doc long, text string")
+    return docs.select("doc", "text", F.xxhash64("doc").alias("mark")).mapInArrow(there, "doc binary, text string")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that link. sets: cls, n, doc, parity, one row a set; docs: doc, text."""
     one = sets.select("cls", "n", "parity")
-    near = pairs.join(one.toDF("a", "na", "pa"), "a").join(one.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+    near = c.join_one(pairs, one.toDF("a", "na", "pa"), ["a"], F.col("b"))
+    near = c.join_one(near, one.toDF("b", "nb", "pb"), ["b"], F.col("a")).select("a", "b", "na", "nb", "pa", "pb")
     near = c.staged(near.mapInArrow(near_parities, "a long, b long"), "near-pairs")
     # a is the star of its pairs; one with many is dealt out over parts, each with its own copy.
     stars = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
-    roles = near.join(stars, "a").select(F.col("a").alias("star"), part, F.col("b").alias("cls"))
+    roles = c.join_one(near, stars, ["a"], F.col("b")).select(F.col("a").alias("star"), part, F.col("b").alias("cls"))
     roles = roles.union(stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "a"))
-    roles = roles.join(sets.select("cls", "doc"), "cls")
+    roles = c.staged(roles.join(sets.select("cls", "doc"), "cls"), "star-roles")
     few = sieved(docs, roles.select("doc").distinct()).dropDuplicates(["doc"])
-    rows = roles.join(few, "doc").select("star", "part", "cls", "text")
+    rows = c.join_one(roles, few, ["doc"], F.col("part")).select("star", "part", "cls", "text")
     rows = rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("cls") != F.col("star"))
     return c.staged(rows.select("star", "part", "cls", F.lit(0).alias("n"), "text").mapInArrow(linked_texts, "a long, b long"), "links")
 
 
 def similar_sets(docs: DataFrame) -> DataFrame:
-    """One row a document: doc (hash of id and text), id, n_shingles, component_id (see
+    """One row a document: doc (c.doc_key()), id, n_shingles, component_id (see
     jaccard_components), first (whether it is the one that stands for its component)."""
     spark = docs.sparkSession
     c.bounded_batches(spark)
-    docs = docs.select(doc_key().alias("doc"), F.col("doc_id").alias("id"), "text")
+    docs = docs.select(c.doc_key().alias("doc"), F.col("doc_id").alias("id"), "text")
     cells = shingle_counts(docs)
     counts, mean = spark.sparkContext.broadcast(cells), float(cells.mean())
     made = docs.mapInArrow(signatures(counts, mean), SIGNATURES).withColumn("row", F.monotonically_increasing_id())
@@ -332,10 +342,12 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     member = shared.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     member = c.staged(member.select("k", "dealt", "light", "pos", "n", "cls", "component"), "list-members")
     split = member.groupBy("k").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("many"), F.max("dealt").alias("dealt"))
-    split = split.where("least <> most and (many > 2 or dealt)").select("k")
-    left = member.join(split, "k").drop("dealt")
-    right = left.select("k", *(F.col(x).alias(f"{x}0") for x in ("pos", "n", "cls", "component")))
-    across = left.join(right, (left["k"] == right["k"]) & (F.col("cls0") < F.col("cls")) & (F.col("component0") != F.col("component")) & may_link(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0"), F.col("light"), boundary))
+    split = split.where("least <> most and (many > 2 or dealt)").select("k", F.ceil(F.col("many") / F.lit(LIST)).cast("int").alias("parts"))
+    # One side of a long list is dealt out, the other meets each part.
+    left = c.join_one(member.drop("dealt"), split, ["k"], F.col("cls"))
+    right = left.select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(x).alias(f"{x}0") for x in ("pos", "n", "cls", "component")))
+    left = left.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    across = left.join(right, ["k", "part"]).where((F.col("cls0") < F.col("cls")) & (F.col("component0") != F.col("component")) & may_link(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0"), F.col("light"), boundary))
     pairs = across.select(F.col("cls0").alias("a"), F.col("cls").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = c.staged(pairs.join(known, ["a", "b"], "left_anti"), "cross-pairs")
@@ -349,8 +361,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     near = some.groupBy("n", "d1", "d2", "salt").agg(F.min(place).alias("rep"))
     far = near.groupBy("n", "d1", "d2").agg(F.min("rep").alias("rep"))
     far = far.join(joined, F.col("rep.row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep.row"))
-    least = far.groupBy("component").agg(F.min("rep").alias("least"))
-    far = far.join(least, "component").select("n", "d1", "d2", F.col("least.id.id").alias("component_id"), F.col("least.row").alias("head"))
+    far = c.with_first(far, ["component"], F.col("rep"), F.col("rep.row")).select("n", "d1", "d2", F.col("first.id.id").alias("component_id"), F.col("first.row").alias("head"))
     down = near.select("n", "d1", "d2", "salt").join(far, ["n", "d1", "d2"])
     whole = some.join(down, ["n", "d1", "d2", "salt"]).select("doc", "id", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("head") == F.col("row")).alias("first"))
     return whole.unionByName(own.where("n = 0").select("doc", "id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("first")))
@@ -366,7 +377,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     >= 80 * |x | y|. Returns a row for each row of docs: doc_id, n_shingles,
     component_id (the least doc_id reachable by links, nulls last; its own for
     an empty set). Rows that repeat are documents that link. An empty table
-    gives none. Shingles are compared by 64-bit hashes.
+    gives none. Shingles are compared by 64-bit hashes of hashes that no two
+    words share by their structure; equal sets are told by 128 bits.
     """
     return similar_sets(docs).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
@@ -377,9 +389,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = similar_sets(docs).where(F.col("first") & (F.col("n_shingles") > 0)).select(F.col("doc").alias(key)).distinct()
     worded = F.coalesce(F.col("text").rlike(c.WORDS), F.lit(False))
     # A row that repeats has one key; the join has put its copies into one partition.
-    kept = docs.where(worded).withColumn(key, doc_key()).join(first, key, "left_semi").dropDuplicates([key]).drop(key)
+    kept = docs.where(worded).withColumn(key, c.doc_key()).join(first, key, "left_semi").dropDuplicates([key]).drop(key)
     return kept.unionByName(docs.where(~worded))
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """jaccard_components() of all documents; it says what holds for nulls, empty and short texts and repeated rows."""
     return jaccard_components(c.table(spark, sf_dir, "documents"))

@@ -101,3 +101,28 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | dict.fromkeys((100, 101, 102), 100)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_words_of_opposite_letters_do_not_link(docs):
+    """A Thue-Morse word and its complement have equal hashes under polynomials modulo 2 ** 64."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    a, b = ("".join(x[k] for k in bits) for x in ("ab", "ba"))
+    rows = [(1, f"one two three four {a}"), (2, f"one two three four {b}"), (3, f"one two  three four {a}")]
+    assert found(j.jaccard_components(docs(rows))) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_a_star_of_very_many_members(spark, monkeypatch):
+    """100,000 near copies of one text, without adaptive execution: no task meets them all."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        base = " ".join(f"w{k}" for k in range(30))
+        rows = spark.range(100_000).selectExpr("id AS doc_id", f"concat('{base} v', id) AS text")
+        got = j.jaccard_components(rows.unionByName(spark.createDataFrame([(200_000, "nobody else has a text like this")], "doc_id long, text string")))
+        told = {(r.component_id, r.n_shingles): r["count"] for r in got.groupBy("component_id", "n_shingles").count().collect()}
+        assert told == {(0, 27): 100_000, (200_000, 3): 1}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_the_sketch_grows_with_the_corpus():
+    assert [j.cell_bits(x) for x in (0, 10**8, 10**9, 10**11, 10**13, 10**14, 10**18)] == [20, 20, 20, 22, 24, 24, 24]
