@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,3 +137,15 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes the filter lets through."""
     at = hashes >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
     return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc, text) without most of those whose doc is not in ids, by a filter of bounded size."""
+    marks = ids.select(F.xxhash64("doc").alias("mark"))
+    shared = ids.sparkSession.sparkContext.broadcast(hash_filter(marks, "mark", filter_bits(ids.count())))
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([0, 1]).filter(pa.array(passes(shared.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return docs.select("doc", "text", F.xxhash64("doc").alias("mark")).mapInArrow(there, "doc binary, text string")

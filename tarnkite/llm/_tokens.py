@@ -27,7 +27,11 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Splits at every ASCII byte that is no letter or digit.
 _OTHER = np.ones(256, bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-SEPARATORS = {"space": _SPACE, "other": _OTHER}
+SEPARATORS = {"space": _SPACE, "other": _OTHER, "characters": _OTHER}
+#: Bytes of the characters that begin so and that "characters" takes as words of their own: U+3000 to U+9FFF, U+F000 to U+FFFF and all above, scripts that set no spaces.
+_ALONE = np.zeros(256, np.int64)
+_ALONE[[*range(0xE3, 0xEA), 0xEF]] = 3
+_ALONE[0xF0:0xF5] = 4
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits."""
@@ -60,7 +64,7 @@ def slices(texts: pa.Array, limit: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def words(raw: np.ndarray, at: np.ndarray, separator: str = "space") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each word in raw, and the number of its text."""
+    """Begin and end of each word in raw, and the number of its text. raw is valid UTF-8."""
     inside = ~SEPARATORS[separator][raw]
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -69,6 +73,13 @@ def words(raw: np.ndarray, at: np.ndarray, separator: str = "space") -> tuple[np
     begin, end = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1] | edge[1:-1]
     end[:-1] &= ~inside[1:] | edge[1:-1]
+    if separator == "characters":
+        first = np.flatnonzero(_ALONE[raw])
+        after = first + _ALONE[raw[first]]
+        begin[first] = end[after - 1] = True
+        end[first[first > 0] - 1] |= inside[first[first > 0] - 1]
+        after = after[after < len(raw)]
+        begin[after] |= inside[after]
     begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
