@@ -24,10 +24,10 @@ import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -42,6 +42,8 @@ GAP, READ = 1 << 14, 1 << 20
 CACHED = 64
 
 CAPTURE = "key string, archive string, offset long, length long"
+#: What a writer gets: html of responses, sha1 and size of revisits.
+TO_WRITE = ("page_id", "url", "html", "sha1", "size", "revisit", "refers_to")
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 #: Separates the fields of an index line; url_key() leaves none in a key.
 SEP = "\t"
@@ -49,7 +51,18 @@ DATE = "1970-01-01T00:00:00Z"
 
 
 def store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder)
+    """The file system of a folder, and its path there.
+
+    file://, s3://, s3a://, s3n://, gs://, abfs(s)://, hdfs:// (with libhdfs on
+    every machine) and dbfs:/ (through its mount) are supported; any other is
+    an error before anything is written.
+    """
+    known = re.sub(r"\As3[an]://", "s3://", folder)
+    known = re.sub(r"\Adbfs:/+", "file:///dbfs/", known)
+    try:
+        return fs.FileSystem.from_uri(known)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as error:
+        raise ValueError(f"archives can't be kept in {folder}: the folder must be at file://, s3a://, gs://, abfs://, dbfs:/ or hdfs:// with libhdfs") from error
 
 
 def url_key(url: str | None) -> str:
@@ -70,17 +83,17 @@ def sha1_name(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: tuple | None) -> bytes:
-    """One record as a gzip member. refers_to: (page_id,) of the response that a revisit repeats."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, refers_to: tuple | None, digest: str, size: int) -> bytes:
+    """One record as a gzip member. refers_to: (page_id,) of the response that a revisit, which has no payload, repeats."""
     name = lambda n: "urn:page:" + ("none" if n is None else str(n))
     lines = ["WARC/1.1", "WARC-Type: " + ("revisit" if refers_to else "response"), f"WARC-Record-ID: <{name(page_id)}>", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{name(refers_to[0])}>"]
-    lines += [f"WARC-Payload-Digest: sha1:{sha1_name(payload)}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if refers_to else len(payload)}"]
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload or b'')}"]
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + (b"" if refers_to else payload) + b"\r\n\r\n") + pack.flush()
+    return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + (payload or b"") + b"\r\n\r\n") + pack.flush()
 
 
 def parsed(member: bytes) -> dict:
@@ -102,20 +115,24 @@ def parsed(member: bytes) -> dict:
 
 
 def archive_writer(folder: str):
-    """For mapInArrow over (page_id, url, html, revisit, refers_to): a capture for each record written."""
+    """For mapInArrow over TO_WRITE: a capture for each record written."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = store(folder)
         out, name, offset = None, "", 0
         for batch in batches:
             rows = []
-            for page_id, url, html, revisit, refers_to in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for page_id, url, html, sha1, size, revisit, refers_to in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if out is None or offset > ARCHIVE_BYTES:
                     if out is not None:
                         out.close()
                     name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
-                member = record_bytes(page_id, url, (html or "").encode(), (refers_to,) if revisit else None)
+                if revisit:
+                    member = record_bytes(page_id, url, None, (refers_to,), base64.b32encode(bytes.fromhex(sha1)).decode(), size)
+                else:
+                    payload = (html or "").encode()
+                    member = record_bytes(page_id, url, payload, None, sha1_name(payload), len(payload))
                 out.write(member)
                 rows.append((capture_key(url, page_id), name, offset, len(member)))
                 offset += len(member)
@@ -136,26 +153,57 @@ def as_batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
+def marked_as(shared, repeated: bool):
+    """For mapInArrow over rows whose last column is their payload's mark: those whose mark passes the filter, or the others."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = c.passes(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit == repeated))
+
+    return some
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """A WARC record for each row of pages, in archives in folder; returns the captures, stored.
 
     pages: page_id, url, html; further columns are ignored; null html is an
-    empty payload. Of records with equal payloads (SHA-1 and length) of at
+    empty payload. Of records with equal payloads (SHA-256 and length) of at
     least `least` bytes the one with the smallest page_id (null last; of
     repeated rows the first by url) is the response, the others revisit it.
+
+    What is a revisit is decided on ids and digests alone. Payloads that do not
+    repeat, as a filter of bounded size tells, are written where they are read;
+    of each that does one copy is shuffled, and revisits carry none.
     """
-    c.bounded_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    c.bounded_batches(spark)
     system, root = store(folder)
     system.create_dir(root)
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
-    rows = rows.withColumn("sha", F.when(F.col("size") >= least, F.col("sha")).otherwise(F.concat(F.lit("alone "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
-    place = F.struct(c.order_key(F.col("page_id")).alias("id"))
-    rows = c.with_first(rows, ["sha", "size"], place, F.col("page_id"), keep_salt=True)
-    # Rows with one page_id and payload have one salt and so lie together.
-    turn = F.row_number().over(W.partitionBy("sha", "size", "salt", "page_id").orderBy("url"))
-    later = ~F.col("page_id").eqNullSafe(F.col("first.id.id")) | (turn > 1)
-    rows = rows.select("page_id", "url", "html", (later & (F.col("size") >= least)).alias("revisit"), F.col("first.id.id").alias("refers_to"))
+    mark = F.xxhash64(payload).alias("mark")
+    narrow = pages.select("page_id", "url", F.unhex(F.sha2(payload, 256)).alias("sha"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"), mark)
+    narrow = c.staged(narrow.withColumn("row", F.monotonically_increasing_id()), "page-digests")
+    place = F.struct(c.order_key(F.col("page_id")).alias("id"), F.col("url"), F.col("row"))
+    led = c.with_first(narrow.where(F.col("size") >= least), ["sha"], place, F.col("row")).where(F.col("many") > 1)
+    again = c.staged(led.select("page_id", "url", "sha", "sha1", "size", "mark", (F.col("row") != F.col("first.row")).alias("revisit"), F.col("first.id.id").alias("refers_to")), "repeated-pages")
+    marks = again.where("not revisit").select("mark")
+    shared = spark.sparkContext.broadcast(c.hash_filter(marks, "mark", c.filter_bits(marks.count())))
+    text = {"page_id": "long", "url": "string", "html": "string", "sha1": "string", "size": "long", "revisit": "boolean", "refers_to": "long"}
+    none = lambda x: F.lit(None).cast(text[x]).alias(x)
+
+    # Payloads that stand alone go straight to the archives; others that pass the filter by chance are told by their digests.
+    alone = pages.select("page_id", "url", "html", mark).mapInArrow(marked_as(shared, False), "page_id long, url string, html string, mark long")
+    hits = pages.select("page_id", "url", "html", mark).mapInArrow(marked_as(shared, True), "page_id long, url string, html string, mark long")
+    hits = hits.withColumn("sha", F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)))
+    short = hits.where(F.coalesce(F.octet_length("html"), F.lit(0)) < least) if least else None
+    copies = hits.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least) if least else hits
+    heads = again.where("not revisit").select("sha", F.struct("page_id", "url").alias("head"))
+    one = copies.groupBy("sha").agg(F.first("html").alias("html"), F.first(F.struct("page_id", "url")).alias("own")).join(heads, "sha", "left")
+    one = one.withColumn("head", F.coalesce("head", "own")).select("head.page_id", "head.url", "html")
+    responses = [x.select("page_id", "url", "html", none("sha1"), none("size"), F.lit(False).alias("revisit"), none("refers_to")) for x in (alone, one, short) if x is not None]
+    revisits = again.where("revisit").select("page_id", "url", none("html"), "sha1", "size", "revisit", "refers_to")
+    rows = c.union([*responses, revisits]).select(*TO_WRITE)
     return c.staged(rows.mapInArrow(archive_writer(folder), CAPTURE), "captures")
 
 
@@ -333,7 +381,21 @@ def read_pages(pages: DataFrame, folder: str, payloads: bool = True) -> DataFram
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive_pages() of all pages, read back by read_pages(); write_archives() says what holds for nulls, ties and repeated rows."""
     pages = c.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = c.new_folder(spark, "warc")
     archive_pages(pages, folder)
     return read_pages(pages, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base 32 of a hex digest: five bits at a time, out of two neighbouring hex digits.
+_DIGIT = "(strpos('0123456789abcdef', substr(sha, {k} + (5 * i) // 4, 1)) - 1)"
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS sha FROM pages),
+led AS (SELECT *, min(page_id) OVER w AS head, row_number() OVER (w ORDER BY page_id) AS turn FROM p WINDOW w AS (PARTITION BY payload))
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((({_DIGIT.format(k=1)} * 16 + {_DIGIT.format(k=2)}) >> (3 - (5 * i) % 4)::INT)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN turn = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN turn > 1 THEN head END AS refers_to
+FROM led
+"""
