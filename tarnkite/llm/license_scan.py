@@ -10,6 +10,12 @@ if it has a word of a set that leaves out only words whose n-grams, all
 together, cannot lift a family over the unknown class, so none is lost. A
 prediction is confirmed when the paragraph holds most of the word pairs of one
 of the family's templates.
+
+A paragraph is a line. A licence may be wrapped over several, none of which says
+enough: so neighbouring lines that each have a word of that set are scored
+together as well, from each on up to WRAPPED words, and such a paragraph counts
+if it is confirmed, none of its lines is so alone, and no paragraph that overlaps
+it has more of a template. It takes the place of its lines.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _common as c
@@ -88,6 +95,8 @@ SAMPLE, VARIANTS = 1500, 40
 #: Share of unknown paragraphs that may pass as a family, in calibration; share of a template's word pairs that confirms.
 FALSE_SHARE, CONFIRMS = 0.002, 0.6
 LASSO, STEPS = 5e-4, 300
+#: Words of a paragraph of several lines, at most: twice the longest template; and so lines.
+WRAPPED = 2 * max(len(text.split()) for texts in TEMPLATES.values() for text in texts)
 TOKEN = "[^A-Za-z0-9\\x{80}-\\x{10FFFF}]+"
 _SPLIT = re.compile("[^A-Za-z0-9\u0080-\U0010ffff]+")
 
@@ -195,9 +204,23 @@ def fit(paragraphs: list[str], seed: int = 11, spread: dict[str, int] | None = N
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph, words: each line of docs."""
+    """row, doc_id, paragraph, words: each line of docs; row is the number of its document."""
     words = F.filter(F.split(F.lower("line"), TOKEN), lambda w: w != "")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select("doc_id", "paragraph", words.alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).select("row", "doc_id", "paragraph", words.alias("words"))
+
+
+def wrapped(lines: DataFrame) -> DataFrame:
+    """lines (row, doc_id, paragraph, words) with n_lines 1, and from each line that a neighbour follows as many together as have WRAPPED words."""
+    order = W.partitionBy("row").orderBy("paragraph")
+    runs = lines.withColumn("run", F.col("paragraph") - F.row_number().over(order))
+    after = W.partitionBy("row", "run").orderBy("paragraph").rowsBetween(0, WRAPPED - 1)
+    runs = runs.withColumn("next", F.collect_list("words").over(after)).where(F.size("next") > 1)
+    start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(0).alias("n"), F.lit(True).alias("fits"))
+    step = lambda acc, w: F.when(acc["fits"] & (F.size(acc["words"]) + F.size(w) <= WRAPPED), F.struct(F.concat(acc["words"], w).alias("words"), (acc["n"] + 1).alias("n"), F.lit(True).alias("fits"))).otherwise(F.struct(acc["words"].alias("words"), acc["n"].alias("n"), F.lit(False).alias("fits")))
+    runs = runs.withColumn("whole", F.aggregate("next", start, step))
+    several = runs.where("whole.n > 1").select("row", "doc_id", "paragraph", F.col("whole.words").alias("words"), F.col("whole.n").alias("n_lines"))
+    return lines.select("row", "doc_id", "paragraph", "words", F.lit(1).alias("n_lines")).unionByName(several)
 
 
 def line_counts(docs: DataFrame) -> tuple[dict[str, int], int]:
@@ -235,6 +258,7 @@ def calibrated(model: LicenceModel, scored: DataFrame, lines: int) -> LicenceMod
         return model
     # Log odds in hundredths: a table of bounded size, whatever the corpus.
     odds = F.floor(-100 * F.log(F.greatest(1 / F.col("probability") - 1, F.lit(1e-12)))).cast("int")
+    scored = scored.where("n_lines = 1")
     wrong = ~F.col("named") & (F.col("family") != UNKNOWN) & (F.col("probability") >= 0.5)
     found = scored.groupBy("named", F.when(wrong, odds).alias("odds")).count().collect()
     left = math.floor(FALSE_SHARE * (lines - sum(r["count"] for r in found if r["named"])))
@@ -261,9 +285,10 @@ def numbers(values: Iterable[float]) -> str:
 
 
 def scored_lines(docs: DataFrame, model: LicenceModel, marks: Iterable[str] = ()) -> DataFrame:
-    """doc_id, paragraph, pairs, family (the best one, or unknown), probability, named (has one of marks): all lines that may be of a family."""
+    """row, doc_id, paragraph, n_lines, pairs, family (the best one, or unknown), probability, named (has one of marks): all lines, and lines together, that may be of a family."""
     # Stored, for these are few, and the optimizer would compute the scores again for each use.
     lines = c.staged(split_lines(docs).where(F.arrays_overlap("words", F.expr(strings(model.sieve or [""])))), "cued-lines")
+    lines = wrapped(lines)
 
     def runs(n: int) -> Column:
         last = F.size("words") - n
@@ -275,24 +300,25 @@ def scored_lines(docs: DataFrame, model: LicenceModel, marks: Iterable[str] = ()
     known = F.expr(f"map_from_arrays({keys}, array({', '.join(numbers(w) for w in model.weights.values())}))")
     all_grams = F.concat("words", "pairs", runs(3))
     found, marked = F.array_intersect(all_grams, F.expr(keys)), F.arrays_overlap(all_grams, F.expr(strings([*marks, ""])))
-    lines = c.staged(lines.select("doc_id", "paragraph", "pairs", found.alias("found"), marked.alias("named")).where(F.size("found") > 0), "licence-grams")
+    lines = c.staged(lines.select("row", "doc_id", "paragraph", "n_lines", "pairs", found.alias("found"), marked.alias("named")).where(F.size("found") > 0), "licence-grams")
     logits = F.aggregate("found", F.expr(numbers(model.base)), lambda acc, g: F.zip_with(acc, F.element_at(known, g), lambda a, b: a + b))
     lines = lines.withColumn("logits", F.transform(logits, lambda z: z / F.lit(model.temperature)))
     top = F.array_max("logits")
     total = F.aggregate("logits", F.lit(0.0), lambda acc, z: acc + F.exp(z - F.array_max("logits")))
     best = F.array_position("logits", top).cast("int")
-    lines = lines.select("doc_id", "paragraph", "pairs", F.element_at(F.array([F.lit(f) for f in model.families]), best).alias("family"), (1 / total).alias("probability"), "named")
+    lines = lines.select("row", "doc_id", "paragraph", "n_lines", "pairs", F.element_at(F.array([F.lit(f) for f in model.families]), best).alias("family"), (1 / total).alias("probability"), "named")
     return c.staged(lines, "scored-lines")
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """The paragraphs (lines) that name a licence.
+    """The paragraphs that name a licence: lines, and lines together where it is wrapped.
 
     docs: doc_id, text; further columns are ignored. Returns a row for each
     paragraph whose best family reaches the calibrated threshold: doc_id,
-    paragraph (its number, from 0), family, probability, overlap (share of the
-    word pairs of the family's nearest template), confirmed (overlap of at
-    least CONFIRMS). Null and empty texts and the unknown class give no rows;
+    paragraph (the number of its first line, from 0), n_lines, family,
+    probability, overlap (share of the word pairs of the family's nearest
+    template), confirmed (overlap of at least CONFIRMS; always so for several
+    lines). Null and empty texts and the unknown class give no rows;
     rows that repeat give rows that repeat; an empty table gives none.
     """
     return above(scored_lines(docs, model), model)
@@ -309,11 +335,19 @@ def above(scored: DataFrame, model: LicenceModel) -> DataFrame:
     share = F.lit(0.0)
     for family, texts in TEMPLATES.items():
         share = F.when(F.col("family") == family, F.greatest(*map(overlap, texts))).otherwise(share)
-    lines = lines.withColumn("overlap", share)
-    return lines.select("doc_id", "paragraph", "family", "probability", "overlap", (F.col("overlap") >= CONFIRMS).alias("confirmed"))
+    lines = lines.withColumn("overlap", share).withColumn("confirmed", F.col("overlap") >= CONFIRMS)
+    # What else there is of this family within reach: bounded lists.
+    near = W.partitionBy("row", "family").orderBy("paragraph").rangeBetween(-WRAPPED, WRAPPED)
+    mark = F.struct((F.col("confirmed") & (F.col("n_lines") == 1)).alias("alone"), "confirmed", "overlap", (-F.col("n_lines")).alias("short"), (-F.col("paragraph")).alias("early"))
+    lines = lines.where("n_lines = 1 OR confirmed").withColumn("mark", mark)
+    lines = lines.withColumn("others", F.collect_list(F.struct("mark", "paragraph", "n_lines")).over(near))
+    met = lambda x: (x["paragraph"] < F.col("paragraph") + F.col("n_lines")) & (F.col("paragraph") < x["paragraph"] + x["n_lines"])
+    lines = lines.where(F.col("mark.alone") | ~F.exists("others", lambda x: met(x) & (x["mark"] > F.col("mark"))))
+    return lines.select("doc_id", "paragraph", "n_lines", "family", "probability", "overlap", "confirmed")
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
+    """train() and scan_licences() on all documents, scored once; the latter says what holds for nulls, empty texts and repeated rows."""
     docs = c.table(spark, sf_dir, "documents")
     spread, lines = line_counts(docs)
     model = learned(docs, spread, lines)
