@@ -26,7 +26,6 @@ kinds is removed.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,27 +144,40 @@ def find_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(spans, _SPANS), pa.array(entities, _ENTITIES), *(pa.array(x, pa.list_(pa.int64())) for x in (terms, copies))], ["doc", "id", "spans", "entities", "terms", "marks"])
 
 
+def tally(terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each term once, with the sum of its counts."""
+    order = np.argsort(terms, kind="stable")
+    terms = terms[order]
+    first = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else order
+    return terms[first], np.add.reduceat(counts[order], first) if len(terms) else counts
+
+
 def document_counts(shared):
     """For mapInArrow over (text): in how many texts each term that passes the filter occurs, in parts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        terms, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
 
         def report() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["term", "docs"])
-            total.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(counts)], ["term", "docs"])
 
         for batch in batches:
             for low, high in t.slices(batch.column(0)):
                 hashes, _, _, doc = terms_of(*t.text_bytes(batch.column(0).slice(low, high - low)))
                 hit = c.passes(shared.value, hashes)
-                pairs = np.unique(np.stack([hashes[hit], doc[hit].astype(np.uint64)], 1), axis=0)
-                found, many = np.unique(pairs[:, 0], return_counts=True)
-                total.update(dict(zip(found.view(np.int64).tolist(), many.tolist(), strict=True)))
-                if len(total) > COUNTED:
-                    yield report()
-        if total:
+                hashes, doc = hashes[hit], doc[hit]
+                order = np.lexsort((hashes, doc))
+                hashes, doc = hashes[order], doc[order]
+                held.append(hashes[np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))[: len(hashes)]])
+                if sum(map(len, held)) > COUNTED:
+                    terms, counts = tally(np.concatenate([terms, *held]), np.concatenate([counts, np.ones(sum(map(len, held)), np.int64)]))
+                    held.clear()
+                    if len(terms) > COUNTED:
+                        yield report()
+                        terms, counts = terms[:0], counts[:0]
+        terms, counts = tally(np.concatenate([terms, *held]), np.concatenate([counts, np.ones(sum(map(len, held)), np.int64)]))
+        if len(terms):
             yield report()
 
     return scan
