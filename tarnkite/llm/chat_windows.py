@@ -154,6 +154,7 @@ def with_control_strings(conversations: DataFrame) -> DataFrame:
 
 
 def op5_chat_windows(spark, sf_dir: str) -> DataFrame:
+    """What format_windows() makes of all conversations, and of one that looks like the template, read back; it says what holds for nulls, ties and repeated rows."""
     windows = c.staged(format_windows(with_control_strings(c.table(spark, sf_dir, "conversations"))), "chat-windows")
     read = read_windows(windows).select(
         "conv_id",

@@ -278,18 +278,6 @@ def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
 
-def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc, text) without most of those whose doc is not in ids, by a filter of bounded size."""
-    marks = ids.select(F.xxhash64("doc").alias("mark"))
-    shared = ids.sparkSession.sparkContext.broadcast(c.hash_filter(marks, "mark", c.filter_bits(ids.count())))
-
-    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(c.passes(shared.value, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
-
-    return docs.select("doc", "text", F.xxhash64("doc").alias("mark")).mapInArrow(there, "doc binary, text string")
-
-
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that link. sets: cls, n, doc, parity, one row a set; docs: doc, text."""
     one = sets.select("cls", "n", "parity")
@@ -302,7 +290,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     roles = c.join_one(near, stars, ["a"], F.col("b")).select(F.col("a").alias("star"), part, F.col("b").alias("cls"))
     roles = roles.union(stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "a"))
     roles = c.staged(roles.join(sets.select("cls", "doc"), "cls"), "star-roles")
-    few = sieved(docs, roles.select("doc").distinct()).dropDuplicates(["doc"])
+    few = c.sieved(docs, roles.select("doc").distinct()).dropDuplicates(["doc"])
     rows = c.join_one(roles, few, ["doc"], F.col("part")).select("star", "part", "cls", "text")
     rows = rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("cls") != F.col("star"))
     return c.staged(rows.select("star", "part", "cls", F.lit(0).alias("n"), "text").mapInArrow(linked_texts, "a long, b long"), "links")
@@ -396,3 +384,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """jaccard_components() of all documents; it says what holds for nulls, empty and short texts and repeated rows."""
     return jaccard_components(c.table(spark, sf_dir, "documents"))
+
+
+#: By all shared shingles, for tables without null or repeated ids.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END)) AS gram FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+same AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM same JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT DISTINCT a AS doc, a AS other FROM links UNION SELECT r.doc, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(d.doc_id, low), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc, min(other) AS low FROM reach GROUP BY 1) ON doc = d.doc_id
+"""

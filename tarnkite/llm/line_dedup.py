@@ -290,3 +290,27 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, run: int = RUN) -> DataFrame:
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     """dedup_lines() over all documents; it says what holds for nulls, ties, repeated rows and clashing names."""
     return dedup_lines(c.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: By the whole text of every window, for tables without null or repeated ids.
+OP10_SQL = r"""
+WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, pos, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM texts)),
+worded AS (
+  SELECT doc_id, pos, array_to_string(w, ' ') AS line, row_number() OVER d AS k, (sum(len(w)) OVER d)::BIGINT AS upto, (sum(len(w)) OVER d - len(w))::BIGINT AS before
+  FROM lines WHERE len(w) > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+windows AS (
+  SELECT a.doc_id, a.k AS low, b.k AS high FROM worded a ASOF JOIN (SELECT doc_id, k, upto FROM worded) b ON a.doc_id = b.doc_id AND a.before + 50 <= b.upto
+  UNION SELECT b.doc_id, a.k, b.k FROM worded b ASOF JOIN (SELECT doc_id, k, before FROM worded) a ON a.doc_id = b.doc_id AND b.upto - 50 >= a.before),
+runs AS (
+  SELECT w.doc_id, low, high, string_agg(line, chr(10) ORDER BY l.k) AS run FROM windows w JOIN worded l ON l.doc_id = w.doc_id AND l.k BETWEEN low AND high GROUP BY ALL),
+later AS (SELECT doc_id, low, high FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, low) AS turn FROM runs) WHERE turn > 1),
+spans AS (SELECT r.doc_id, a.pos AS low, b.pos AS high FROM later r JOIN worded a ON a.doc_id = r.doc_id AND a.k = r.low JOIN worded b ON b.doc_id = r.doc_id AND b.k = r.high),
+gone AS (SELECT DISTINCT l.doc_id, l.pos FROM lines l JOIN spans s ON s.doc_id = l.doc_id AND l.pos BETWEEN s.low AND s.high),
+lost AS (SELECT doc_id, list(pos) AS gone FROM gone GROUP BY 1)
+SELECT t.doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(parts, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text,
+       coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed
+FROM texts t LEFT JOIN lost USING (doc_id)
+"""

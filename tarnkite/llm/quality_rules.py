@@ -206,4 +206,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """classify() of all documents by the labels; it says what holds for nulls, empty texts, ties and repeated rows."""
     return classify(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "labels"))

@@ -3,13 +3,13 @@
 from .chat_windows import OP5_SQL, op5_chat_windows
 from .decontaminate import op7_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
-from .jaccard_join import op4_jaccard_join
+from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .license_scan import op2_license_scan
-from .line_dedup import op10_line_dedup
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op9_mix_sources
 from .quality_rules import op3_quality_rules
 from .sanitise import op8_sanitise
-from .warc import op1_warc_index
+from .warc import OP1_SQL, op1_warc_index
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
@@ -25,6 +25,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_warc_index": OP1_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op5_chat_windows": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
