@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -25,32 +26,50 @@ def relative(own: Column, parent: Column) -> Column:
     return F.when(ratio.isNull(), 0.0).otherwise(tx.squashed(ratio))
 
 
-def page_metrics(pages: DataFrame, parent_text: str, parent_links: str) -> DataFrame:
-    """url, ptl, rptl, rptl_norm, nl, rnl, rnl_norm, lts, lts_norm of each page (url, html, the two parent columns)."""
-    base = pages.select("url", parent_text, parent_links, F.length(tx.page_text("html")).cast("double").alias("ptl"), tx.link_count("html").cast("double").alias("nl"), tx.longest_text("html").alias("lts"))
-    ratio = lambda own, parent: F.coalesce(F.try_divide(F.col(own), F.col(parent)), F.lit(0.0))
-    return base.select(
-        "url", "ptl", ratio("ptl", parent_text).alias("rptl"), relative(F.col("ptl"), F.col(parent_text)).alias("rptl_norm"),
-        "nl", ratio("nl", parent_links).alias("rnl"), relative(F.col("nl"), F.col(parent_links)).alias("rnl_norm"),
+def with_parents(measures: DataFrame, order: str, *carried: str) -> DataFrame:
+    """measures (host, ...) with `parent`: a struct of the carried columns of the page before it on its host; null for the first.
+
+    Measures are narrow, so only a few numbers and words of each page are shuffled.
+    """
+    return measures.withColumn("parent", F.lag(F.struct(*carried)).over(W.partitionBy("host").orderBy(order)))
+
+
+def page_metrics(pages: DataFrame) -> DataFrame:
+    """url, ptl, rptl, rptl_norm, nl, rnl, rnl_norm, lts, lts_norm of each page (url, ptl, nl, lts and parent: ptl, nl or null)."""
+    ratio = lambda own: F.coalesce(F.try_divide(F.col(own), F.col(f"parent.{own}")), F.lit(0.0))
+    return pages.select(
+        "url", "ptl", ratio("ptl").alias("rptl"), relative(F.col("ptl"), F.col("parent.ptl")).alias("rptl_norm"),
+        "nl", ratio("nl").alias("rnl"), relative(F.col("nl"), F.col("parent.nl")).alias("rnl_norm"),
         "lts", tx.squashed(F.col("lts") / USUAL_RUN).alias("lts_norm"),
     )
 
 
+def page_measures(html: Column) -> list[Column]:
+    """All that a page's own features need, in one pass over html: text_length, links, title_tokens, top_words, run."""
+    body = tx.page_text(html)
+    both = tx.bound(body, lambda t: F.struct(F.length(t).cast("double").alias("text_length"), tx.top_words(t, TOP).alias("top_words")))
+    return [both.alias("text"), tx.link_count(html).cast("double").alias("links"), tx.ranked_words(tx.title(html)).alias("title_tokens"), tx.longest_text(html).alias("run")]
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """page_id and the slots NUMBERS and TOKENS of each page (page_id, html, parent: STATS or null)."""
-    base = pages.select("page_id", "parent", tx.page_text("html").alias("text"), tx.link_count("html").cast("double").alias("links"), tx.ranked_words(tx.title("html")).alias("title_words"), tx.longest_text("html").alias("run"))
-    words = tx.frequent_words(base, "page_id", "text", TOP)
+    return relative_features(pages.select("page_id", "parent", *page_measures(F.col("html"))))
+
+
+def relative_features(measures: DataFrame) -> DataFrame:
+    """The slots NUMBERS and TOKENS of each page (page_measures() and parent: STATS or null), with all other columns but these."""
     none = F.array().cast("array<string>")
-    numbers = base.select(
-        "page_id",
-        relative(F.length("text").cast("double"), F.col("parent.text_length")).alias("rel_text"),
+    rest = [x for x in measures.columns if x not in ("text", "links", "title_tokens", "run", "parent")]
+    return measures.select(
+        *rest,
+        relative(F.col("text.text_length"), F.col("parent.text_length")).alias("rel_text"),
         relative(F.col("links"), F.col("parent.links")).alias("rel_links"),
         tx.squashed(F.col("run") / USUAL_RUN).alias("longest"),
-        "title_words",
+        F.col("text.top_words").alias("top_words"),
+        F.col("title_tokens").alias("title_words"),
         F.coalesce("parent.link_tokens", none).alias("parent_link_words"),
         F.coalesce("parent.title_tokens", none).alias("parent_title_words"),
     )
-    return numbers.join(words.withColumnRenamed("words", "top_words"), "page_id").select("page_id", *NUMBERS, *TOKENS)
 
 
 def stats_to_text(stats: Column) -> Column:

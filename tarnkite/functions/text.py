@@ -6,20 +6,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Words that never count as topical.
 STOP_WORDS = (
-    "this that shall under with other within from such which means each have including upon after these been include "
-    "otherwise against least through than unless does either whether without only between described percent their then "
-    "those when except into during iii where would they itself last there also below here includes more neither being "
-    "both cannot about above were first second third fourth fifth sixth seventh eigth ninth tenth three four five seven "
-    "eight nine"
-).split()
+    "this", "that", "shall", "under", "with", "other", "within", "from", "such", "which", "means", "each", "have", "including", "upon", "after", "these", "been", "include",
+    "otherwise", "against", "least", "through", "than", "unless", "does", "either", "whether", "without", "only", "between", "described", "percent", "their", "then",
+    "those", "when", "except", "into", "during", "iii", "where", "would", "they", "itself", "last", "there", "also", "below", "here", "includes", "more", "neither", "being",
+    "both", "cannot", "about", "above", "were", "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eigth", "ninth", "tenth", "three", "four", "five", "seven",
+    "eight", "nine",
+)
 # Tags whose text counts, and tags that leave no trace.
-TEXT_TAGS = "div p b i u em strong ul li pre article blockquote body table th tr td tbody thead tfoot h1 h2 h3 h4 h5 h6".split()
-SKIP_TAGS = "br hr img link meta META if endif wbr".split()
+TEXT_TAGS = ("div", "p", "b", "i", "u", "em", "strong", "ul", "li", "pre", "article", "blockquote", "body", "table", "th", "tr", "td", "tbody", "thead", "tfoot", "h1", "h2", "h3", "h4", "h5", "h6")
+SKIP_TAGS = ("br", "hr", "img", "link", "meta", "META", "if", "endif", "wbr")
 # What is taken out of a page, in this order, to get at its text; and the patterns of its parts.
 TEXT_STEPS = (
     (r"(?ds)<(a|script|style).*?>.*?</\1>", ""),
@@ -63,14 +62,34 @@ def word_tokens(text: Text) -> Column:
 
 
 def topical(token: Column) -> Column:
-    return (F.length(token) >= LEAST_LETTERS) & ~token.isin(STOP_WORDS)
+    return (F.length(token) >= LEAST_LETTERS) & ~token.isin(*STOP_WORDS)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once: the one element of an array binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def counted(words: Column) -> Column:
+    """array<struct<n, w>> of the distinct words, n being minus their number: frequent first, then by name. Linear but for sorting."""
+
+    def runs(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda k: ~F.get(ordered, k).eqNullSafe(F.get(ordered, k - 1)))
+        return bound(starts, lambda s: F.transform(s, lambda k, j: F.struct((k - F.coalesce(F.get(s, j + 1), F.size(ordered))).alias("n"), F.get(ordered, k).alias("w"))))
+
+    return F.array_sort(bound(F.array_sort(words), runs))
+
+
+def top_words(text: Text, n: int | None = None) -> Column:
+    """The topical words of a text, frequent first, then by name: all, or the first n."""
+    found = F.transform(counted(F.filter(word_tokens(text), topical)), lambda p: p["w"])
+    return found if n is None else F.slice(found, 1, n)
 
 
 def ranked_words(text: Text) -> Column:
-    """All topical words of a short text, frequent first, then by name."""
-    words = F.filter(word_tokens(text), topical)
-    pairs = F.transform(F.array_distinct(words), lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("w")))
-    return F.transform(F.array_sort(pairs), lambda p: p["w"])
+    """All topical words of a text, frequent first, then by name."""
+    return top_words(text)
 
 
 def word_counts(df: DataFrame, key: str, text: Text) -> DataFrame:
@@ -80,11 +99,8 @@ def word_counts(df: DataFrame, key: str, text: Text) -> DataFrame:
 
 
 def frequent_words(df: DataFrame, key: str, text: Text, n: int) -> DataFrame:
-    """key, words: the n most frequent topical words, ties by name; keys without any have an empty list."""
-    order = W.partitionBy(key).orderBy(F.desc("n"), "token")
-    ranked = word_counts(df, key, text).withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
-    lists = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("r", "token"))).alias("top"))
-    return df.select(key).join(lists, key, "left").select(key, F.coalesce(F.transform("top", lambda x: x["token"]), F.array().cast("array<string>")).alias("words"))
+    """key, words: the n most frequent topical words, ties by name; texts without any have an empty list. No shuffle: each row is on its own."""
+    return df.select(key, top_words(text, n).alias("words"))
 
 
 def title(html: Text) -> Column:
@@ -115,7 +131,7 @@ def longest_text(html: Text) -> Column:
         stack, run, best = acc["stack"], acc["run"], acc["best"]
         tag = F.regexp_extract(part, TAG_NAME, 1)
         closes, opens = part.startswith("</"), part.startswith("<")
-        pushes = (tag != "") & ~tag.isin(SKIP_TAGS)
+        pushes = (tag != "") & ~tag.isin(*SKIP_TAGS)
         counts = F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(False))
         longer = run + F.length(F.regexp_replace(part, r"\s", ""))
         empty = F.size(stack) == 0
@@ -124,7 +140,7 @@ def longest_text(html: Text) -> Column:
         return (
             F.when(acc["over"] | (empty & (closes | ~opens)), state(stack, run, best, yes))
             .when(closes, state(F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0))), run, best, no))
-            .when(opens & pushes, state(F.concat(stack, F.array(tag.isin(TEXT_TAGS))), F.when(tag.isin(TEXT_TAGS), run).otherwise(0), best, no))
+            .when(opens & pushes, state(F.concat(stack, F.array(tag.isin(*TEXT_TAGS))), F.when(tag.isin(*TEXT_TAGS), run).otherwise(0), best, no))
             .when(~opens & counts, state(stack, longer, F.greatest(best, longer), no))
             .otherwise(acc)
         )

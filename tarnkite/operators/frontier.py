@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
-from ..sources.tables import checkpoint_dir
+from ..functions.text import Text, as_column
+from ..sources.tables import stored
 
 #: Seconds of base delay, hosts that are served at once, seconds that an address stays valid.
 BASE_DELAY, LIVE_HOSTS, ADDRESS_AGE = 60.0, 6, 21_600
+#: Numbers of seq that one task sums up at once; a host with more is summed in parts.
+PART = 1 << 16
 
 
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
@@ -25,6 +32,11 @@ def addresses(rows: DataFrame, known: DataFrame, now: Column, age: int = ADDRESS
     return found.withColumn("stale", F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("checked_at") > age, F.lit(True))).drop("checked_at")
 
 
+def resolvable(rows: DataFrame) -> DataFrame:
+    """rows of addresses() whose host has one."""
+    return rows.where(F.col("addr").isNotNull())
+
+
 def child_distance(host: Column, parent_host: Column, distance: Column) -> Column:
     """Links inside a host keep its distance from the seeds; others are one further."""
     return F.when(host == parent_host, distance).otherwise(distance + 1)
@@ -55,22 +67,36 @@ def fixed_draw(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def running(tasks: DataFrame, value: Column, newest: bool = False) -> DataFrame:
+    """tasks (host, seq) with `before`: the sum of value over the host's tasks before each, or after it if newest.
+
+    In two levels, inside ranges of PART numbers of seq and over the ranges, so
+    that a host with a third of all tasks is in no one task.
+    """
+    order = F.desc if newest else F.asc
+    rows = tasks.withColumn("_value", value).withColumn("_part", F.floor(F.col("seq") / PART))
+    over = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("host", "_part").agg(F.sum("_value").alias("_sum"))
+    sums = sums.select("host", "_part", F.sum("_sum").over(over("host").orderBy(order("_part"))).alias("_far"))
+    rows = rows.withColumn("_near", F.sum("_value").over(over("host", "_part").orderBy(order("seq"))))
+    rows = rows.join(sums, ["host", "_part"])
+    return rows.select(*tasks.columns, (F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))).alias("before"))
+
+
 def pull_times(tasks: DataFrame) -> DataFrame:
-    """tasks (host, seq, delay) with start: the sum of the delays before it on its host, one at a time."""
-    before = W.partitionBy("host").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    return tasks.withColumn("start", F.coalesce(F.sum("delay").over(before), F.lit(0.0)))
+    """tasks (host, seq, delay) with start: the sum of the delays before it on its host, one at a time. Null hosts have no queue and go."""
+    return running(tasks, F.col("delay").cast("double")).withColumn("start", F.col("before").cast("double")).drop("before")
 
 
 def queue_order(tasks: DataFrame, *by: str) -> DataFrame:
     """tasks with rank, from 1, in the order of the columns `by`: sorted in ranges, and only the ranges' sizes are added up in one place."""
-    checkpoint_dir(tasks.sparkSession)
-    # An id is the number of its range, shifted by 33 bits, plus the place in that range.
-    placed = tasks.orderBy(*by).checkpoint().withColumn("at", F.monotonically_increasing_id())
-    part = F.shiftright("at", 33)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    ranked = placed.withColumn("part", part).join(F.broadcast(before), "part")
-    return ranked.select(*tasks.columns, (F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1).alias("rank"))
+    # Numbered by file and place in it: an id is the number of its range, shifted by 33 bits, plus the place in that range.
+    placed = stored(tasks.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()), "queue")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return ranked.select(*tasks.columns, (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).alias("rank"))
 
 
 def host_slots(tasks: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
@@ -84,22 +110,87 @@ def host_slots(tasks: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
 
 def newest_first(tasks: DataFrame) -> DataFrame:
     """tasks (host, seq) with turn: 1 for the latest of each host."""
-    return tasks.withColumn("turn", F.row_number().over(W.partitionBy("host").orderBy(F.desc("seq"))).cast("long"))
+    return running(tasks, F.lit(1), newest=True).withColumn("turn", (F.col("before") + 1).cast("long")).drop("before")
+
+
+def host_turns(tasks: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
+    """tasks (host, seq, delay) with slot, opens and start, when at most `slots` hosts have a queue at once.
+
+    A host holds its slot until its last delay is over; then the queue is
+    dropped, and the slot goes to the first host that waits in overflow, all of
+    whose tasks come into the new queue. Hosts wait in the order of their first
+    tasks (then by name). Only the hosts' totals go through one task, in that
+    order; it keeps the `slots` times at which slots are free.
+    """
+    totals = tasks.groupBy("host").agg(F.min("seq").alias("at"), F.sum("delay").alias("busy"))
+
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free = [(0.0, k) for k in range(1, slots + 1)]
+        for batch in batches:
+            out = []
+            for host, busy in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                opens, slot = heapq.heappop(free)
+                heapq.heappush(free, (opens + (busy or 0.0), slot))
+                out.append((host, slot, opens))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.float64()), strict=True)], ["host", "slot", "opens"])
+
+    given = totals.repartition(1).sortWithinPartitions("at", "host").mapInArrow(serve, "host string, slot long, opens double")
+    return pull_times(tasks).join(given, "host").withColumn("start", F.col("start") + F.col("opens"))
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """node, hop: all nodes (column node of seeds) that edges (src, dst) reach, with the least number of hops.
 
-    Hop by hop; each hop's new nodes and all seen ones are checkpointed, so the
-    plan does not grow, and the loop ends when nothing new is found.
+    Hop by hop; each hop's new nodes are stored, so the plan does not grow but
+    by one file list a hop, and the loop ends when nothing new is found.
     """
-    checkpoint_dir(edges.sparkSession)
-    seen = seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")).checkpoint()
-    front = seen
+    seen = front = stored(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "hop")
     for hop in range(1, hops + 1):
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        front = found.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")).checkpoint()
+        front = stored(found.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")), "hop")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)
     return seen
+
+
+def page_key(url: Text) -> Column:
+    """What a URL is looked up by: no fragment, no trailing slash."""
+    return u.normal_url(F.regexp_replace(as_column(url), "(?d)#.*$", ""))
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, most: int = 0, hops: int = 1000, blocked: str = u.BLOCKED) -> DataFrame:
+    """The whole loop: fetch, extract, filter, dedup, enqueue, until nothing is in flight (or for `hops` rounds).
+
+    pages: page_id, url, html, which stand for the web (a URL without a page is
+    a failed fetch); seeds: url. Each hop looks the frontier's URLs up, takes
+    the links of the pages found, and admits them by admitted(), with the links
+    of the pages fetched first, and of one page the first ones, first. Seeds are
+    never tested for having been seen, but for being blocked or unsafe. Returns
+    a row for each URL that was queued: url, hop, distance, parent_url, page_id
+    (null: not fetched). Documents by type are queued, not read for links. Each
+    hop's URLs are stored; of the seen ones only the URLs are kept.
+    """
+    web = pages.select("page_id", "url", "html", page_key("url").alias("key"))
+    first = seeds.select(u.normal_url("url").alias("url")).where(~u.is_blocked("url", blocked) & u.is_safe("url"))
+    front = stored(first.select("url", F.monotonically_increasing_id().alias("seq"), F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("distance")), "frontier")
+    seen = seeds.select(u.normal_url("url").alias("url")).distinct()
+    done = []
+    for hop in range(hops):
+        fetched = stored(front.withColumn("key", page_key("url")).join(web.select("page_id", "key", "html"), "key", "left"), "fetched")
+        done.append(fetched.select("url", F.lit(hop).alias("hop"), "distance", "parent_url", "page_id"))
+        # A link's number: that of the page among those fetched, then its place there.
+        read = fetched.where(F.col("page_id").isNotNull() & ~u.is_document("url")).select(F.col("page_id").alias("of"), "url", "html", "distance", F.col("seq").alias("turn"))
+        links = u.page_links(read.select(F.struct("of", "turn", "distance").alias("page_id"), "url", "html"))
+        links = links.select("url", F.struct("page_id.turn", "page_id.of", "pos").alias("seq"), "parent_url", F.col("page_id.distance").alias("distance"))
+        found = stored(admitted(links, seen, most, blocked), "found")
+        front = found.where("admitted").select("url", "seq", "parent_url", "distance")
+        if front.isEmpty():
+            break
+        front = stored(queue_order(front, "seq", "url").select("url", F.col("rank").alias("seq"), "parent_url", "distance"), "frontier")
+        seen = seen.unionByName(found.select("url"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -4,74 +4,119 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frontier import queue_order
+
 CAP, GATE = 1.0, 0.5
+STEP = "id long, score double, tc int, loss double, updated boolean"
 
 
-def learn(weights: dict[str, float], x: dict[str, float], tc: int, cap: float, gate: float) -> tuple[float, float, bool]:
-    """Score, loss and whether weights were moved by a row: one step of a replay."""
-    score = sum(v * weights.get(k, 0.0) for k, v in x.items())
-    loss, size = max(0.0, 1.0 - tc * score), sum(v * v for v in x.values())
+def learn(weights: dict[str, float], keys: list[str], values: list[float], tc: int | None, cap: float, gate: float) -> tuple[float, float | None, bool]:
+    """Score, loss and whether weights were moved by a row: one step of a replay. Without a label there is no loss, and nothing is learned."""
+    score = sum(v * weights.get(k, 0.0) for k, v in zip(keys, values, strict=True))
+    if tc is None:
+        return score, None, False
+    loss, size = max(0.0, 1.0 - tc * score), sum(v * v for v in values)
     learns = abs(score) <= gate and size > 0
     if learns:
         step = min(cap, loss / size) * tc
-        for k, v in x.items():
+        for k, v in zip(keys, values, strict=True):
             weights[k] = weights.get(k, 0.0) + step * v
     return score, loss, learns
 
 
+def vectors_of(column: pa.MapArray) -> Iterator[tuple[list[str], list[float]]]:
+    """Keys and values of each row of a map column; null is an empty vector."""
+    ends, keys, items = column.offsets.to_pylist(), column.keys.to_pylist(), column.items.to_pylist()
+    for k in range(len(column)):
+        low, high = (ends[k], ends[k + 1]) if column[k].is_valid else (0, 0)
+        yield keys[low:high], [v or 0.0 for v in items[low:high]]
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """All rows in one task by id, by label and a hash of the vector where ids repeat; only what a replay needs."""
+    return rows.select("id", "x", F.col("tc").cast("int").alias("tc")).repartition(1).sortWithinPartitions("id", "tc", F.xxhash64(F.map_entries("x")))
+
+
 def replay(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """id, score, tc, loss, updated for rows (id, x map<string,double>, tc) taken in id order.
 
     Each row is scored with the weights so far; unless |score| > gate they move
-    by min(cap, loss / |x|^2) * tc * x. Loss is that before the update. The fold
-    is sequential by nature: rows come sorted to one task and stream through it,
+    by min(cap, loss / |x|^2) * tc * x. Loss is that before the update. A null
+    vector is empty; a row without a label is scored only. The fold is
+    sequential by nature: rows come sorted to one task and stream through it,
     which keeps the weights only.
     """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: dict[str, float] = {}
-        for pdf in batches:
-            out = []
-            for row_id, x, tc in zip(pdf["id"], pdf["x"], pdf["tc"], strict=True):
-                score, loss, learns = learn(weights, dict(x), tc, cap, gate)
-                out.append((row_id, score, tc, loss, learns))
-            yield pd.DataFrame(out, columns=["id", "score", "tc", "loss", "updated"])
+        for batch in batches:
+            labels = batch.column(2).to_pylist()
+            found = [learn(weights, *x, tc, cap, gate) for x, tc in zip(vectors_of(batch.column(1)), labels, strict=True)]
+            score, loss, updated = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), batch.column(2), pa.array(loss, pa.float64()), pa.array(updated, pa.bool_())], ["id", "score", "tc", "loss", "updated"])
 
-    ordered = rows.select("id", "x", "tc").repartition(1).sortWithinPartitions("id")
-    return ordered.mapInPandas(fold, "id long, score double, tc int, loss double, updated boolean")
+    return ordered(rows.withColumn("id", F.col("id").cast("long"))).mapInArrow(fold, STEP)
 
 
 def final_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """key, weight after a replay of all rows (id, x, tc) in id order: replay()'s fold, in one task that keeps the weights only."""
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: dict[str, float] = {}
-        for pdf in batches:
-            for x, tc in zip(pdf["x"], pdf["tc"], strict=True):
-                learn(weights, dict(x), tc, cap, gate)
+        for batch in batches:
+            for x, tc in zip(vectors_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                learn(weights, *x, tc, cap, gate)
         if weights:
-            yield pd.DataFrame({"key": list(weights), "weight": list(weights.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(weights), pa.string()), pa.array(list(weights.values()), pa.float64())], ["key", "weight"])
 
-    ordered = rows.select("id", "x", "tc").repartition(1).sortWithinPartitions("id")
-    return ordered.mapInPandas(fold, "key string, weight double")
+    return ordered(rows).mapInArrow(fold, "key string, weight double")
 
 
 def replay_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
-    """One row: weights map<string,double> after a replay of all rows, as an expression fold (short histories)."""
-    merged = lambda w, x, step: F.map_zip_with(w, x, lambda _, a, b: F.coalesce(a, F.lit(0.0)) + step * F.coalesce(b, F.lit(0.0)))
+    """One row: weights map<string,double>, final_weights() as a map."""
+    found = final_weights(rows, cap, gate).agg(F.collect_list(F.struct("key", "weight")).alias("w"))
+    return found.select(F.map_from_entries("w").alias("weights"))
+
+
+def explained(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """id, key, x, weight: each entry of each vector (id, x) beside the weight (key, weight) that it meets; 0 for a key without one."""
+    entries = rows.select("id", F.explode("x").alias("key", "x"))
+    return entries.join(weights, "key", "left").select("id", "key", "x", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
-    def step(w, r):
-        score = F.aggregate(F.map_entries(r["x"]), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(w, e["key"]), F.lit(0.0)))
-        size = F.aggregate(F.map_values(r["x"]), F.lit(0.0), lambda acc, v: acc + v * v)
-        tau = F.least(F.lit(cap), F.try_divide(F.greatest(F.lit(0.0), 1.0 - r["tc"] * score), size))
-        return F.when((F.abs(score) <= gate) & (size > 0), merged(w, r["x"], tau * r["tc"])).otherwise(w)
 
-    by_id = F.array_sort(F.collect_list(F.struct("id", "x", "tc")), lambda a, b: (a["id"] - b["id"]).cast("int"))
-    return rows.agg(by_id.alias("rows")).select(F.aggregate("rows", F.create_map().cast("map<string,double>"), step).alias("weights"))
+def slot_index(rows: DataFrame) -> DataFrame:
+    """key, col: the columns of a wide table of weights. Slots rise; inside a slot tokens stand in the order in which rows first had them.
+
+    rows: id, slots: the slots of each row, each an array of its keys (a number's slot has its own key only).
+    """
+    seen = rows.select("id", F.posexplode("slots").alias("slot", "keys")).select("id", "slot", F.posexplode("keys").alias("pos", "key"))
+    first = seen.groupBy("key").agg(F.min(F.struct("slot", "id", "pos")).alias("at")).select("key", "at.slot", "at.id", "at.pos")
+    return queue_order(first, "slot", "id", "pos", "key").select("key", (F.col("rank") - 1).cast("int").alias("col"))
+
+
+def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
+    """id, line: for each row (id, url, x, tc) a CSV line of id, url, score, tc, loss and all weights after it, in the order of
+    index (key, col); weights of tokens that no row had yet are 0. One task, as replay(); it holds one line and the weights."""
+    names = [r["key"] for r in index.orderBy("col").toLocalIterator()]
+    keys = rows.sparkSession.sparkContext.broadcast(names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights: dict[str, float] = {}
+        for batch in batches:
+            ids, urls, labels = (batch.column(k).to_pylist() for k in (0, 1, 3))
+            for k, (x, tc) in enumerate(zip(vectors_of(batch.column(2)), labels, strict=True)):
+                score, loss, _ = learn(weights, *x, tc, cap, gate)
+                quoted = '"' + (urls[k] or "").replace('"', '""') + '"'
+                head = [str(ids[k]), quoted, repr(score), "" if tc is None else str(tc), "" if loss is None else repr(loss)]
+                line = ",".join([*head, *(repr(weights.get(name, 0.0)) for name in keys.value)])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]], pa.int64()), pa.array([line], pa.string())], ["id", "line"])
+
+    wanted = rows.select("id", "url", "x", F.col("tc").cast("int").alias("tc")).repartition(1).sortWithinPartitions("id", "url")
+    return wanted.mapInArrow(fold, "id long, line string")
 
 
 def scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
@@ -82,11 +127,5 @@ def scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
 
 def feature_index(rows: DataFrame) -> DataFrame:
     """token, idx: tokens (id, pos, token) numbered from 0 in the order in which they first appear."""
-    from pyspark.sql import Window as W
-
-    first = rows.groupBy("token").agg(F.min(F.struct("id", "pos")).alias("at"))
-    # Parts by id keep the numbering parallel: a running count over parts, then a rank inside each.
-    part = F.floor(F.col("at.id") / 1024)
-    inside = first.withColumn("part", part).withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("at")))
-    before = inside.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(before, "part").select("token", (F.col("before") + F.col("k") - 1).cast("long").alias("idx"))
+    first = rows.groupBy("token").agg(F.min(F.struct("id", "pos")).alias("at")).select("token", "at.id", "at.pos")
+    return queue_order(first, "id", "pos", "token").select("token", (F.col("rank") - 1).alias("idx"))

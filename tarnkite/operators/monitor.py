@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 COUNTERS = ("init", "active_count", "rcount", "scount", "failure", "stop_order")
 
 
+def summed(value: Column, name: str) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name)
+
+
 def totals(beats: DataFrame) -> DataFrame:
-    return beats.agg(*(F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in COUNTERS))
+    return beats.agg(*(summed(F.col(k), k) for k in COUNTERS))
+
+
+def completion(table: DataFrame, nodes: int, own: int) -> DataFrame:
+    """One row: totals of a table of heartbeats (id and COUNTERS), own_failure (that of worker `own`) and the verdict."""
+    found = table.agg(*(summed(F.col(k), k) for k in COUNTERS), summed(F.when(F.col("id") == own, F.col("failure")), "own_failure"))
+    return found.withColumn("verdict", verdict(nodes, F.col("own_failure")))
 
 
 def verdict(nodes: int, own_failure: Column) -> Column:
@@ -26,3 +36,8 @@ def upserted(log: DataFrame, key: str, order: str) -> DataFrame:
 
 def queue_depths(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("host").agg(F.count("*").alias("depth"))
+
+
+def latest(beats: DataFrame) -> DataFrame:
+    """id, last, state, beats of each worker: its last beat (id, event_id, event_type), and how many there were."""
+    return beats.groupBy("id").agg(F.max("event_id").alias("last"), F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("beats"))

@@ -35,20 +35,15 @@ def query(sql: str | None = None):
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, cleaned html."""
-    return tb.read(spark, sf_dir, "pages").select("page_id", "url", tx.ascii_clean("html").alias("html"))
+    """page_id, url, cleaned html; dealt out, for what follows is heavy on each page."""
+    return tb.dealt(tb.read(spark, sf_dir, "pages")).select("page_id", "url", tx.ascii_clean("html").alias("html"))
 
 
 # --- tables, queues, files -------------------------------------------------
 
 
-@query("SELECT page_id, url FROM pages ORDER BY page_id LIMIT 100")
-def s1_scan(spark, sf_dir):
-    return tb.scan(tb.read(spark, sf_dir, "pages").select("page_id", "url"), "page_id", 100)
-
-
 @query("SELECT page_id, url FROM pages")
-def s1_scan_whole(spark, sf_dir):
+def s1_scan(spark, sf_dir):
     return tb.scan(tb.read(spark, sf_dir, "pages").select("page_id", "url"), "page_id")
 
 
@@ -141,19 +136,23 @@ SELECT url, ptl, round(coalesce(ptl / nullif(p_ptl, 0), 0), 9) AS rptl, round(CA
 FROM rel"""
 
 
-def with_parent(spark, sf_dir) -> DataFrame:
-    """pages with parent_text and parent_links: as parent serves the page before it on its host (the sample has no parents)."""
-    order = W.partitionBy(u.host("url")).orderBy("page_id")
-    rows = pages(spark, sf_dir).withColumn("own_text", F.length(tx.page_text("html")).cast("double")).withColumn("own_links", tx.link_count("html").cast("double"))
-    return rows.withColumn("parent_text", F.lag("own_text").over(order)).withColumn("parent_links", F.lag("own_links").over(order))
-
-
 @query(METRICS)
 def k7_page_metrics(spark, sf_dir):
-    found = ft.page_metrics(with_parent(spark, sf_dir), "parent_text", "parent_links")
+    """The parent of a page is the page before it on its host, an invention of ours: the sample has no parents."""
+    html = F.col("html")
+    base = pages(spark, sf_dir).select("page_id", "url", u.host("url").alias("host"), F.length(tx.page_text(html)).cast("double").alias("ptl"), tx.link_count(html).cast("double").alias("nl"), tx.longest_text(html).alias("lts"))
+    found = ft.page_metrics(ft.with_parents(base, "page_id", "ptl", "nl"))
     return found.select("url", "ptl", *(F.round(x, 9).alias(x) for x in ("rptl", "rptl_norm")), "nl", *(F.round(x, 9).alias(x) for x in ("rnl", "rnl_norm")), "lts", F.round("lts_norm", 9).alias("lts_norm"))
 
 
+@query(METRICS)
+def k7_metrics_csv(spark, sf_dir):
+    """The same nine columns, written as CSV with a header and read back."""
+    found, path = k7_page_metrics(spark, sf_dir), tb.new_path(spark, "metrics") + "/html_metrics.csv"
+    tb.write_csv(found, path)
+    return spark.read.schema(found.schema).csv(path, header=True)
+
+
 @query("SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id < 10")
 def k8_restart_dump(spark, sf_dir):
     rows, path = tb.read(spark, sf_dir, "pages").select("page_id", "url"), tb.new_path(spark, "dump")
@@ -182,15 +181,19 @@ def f3_safe(spark, sf_dir):
 DOCS = "('http://h.com/a.pdf'), ('http://h.com/a.docx/'), ('http://h.com/b.rtf?x=1'), ('http://h.com/c.txt'), ('http://h.com/d.html'), ('http://h.com/e.doc#p')"
 
 
-@query(rf"SELECT url, CASE WHEN regexp_matches({q.path('url')}, '{u.DOCUMENT_PATH}') THEN '[' || regexp_extract({q.path('url')}, '{u.DOCUMENT_PATH}', 1) || ']' END AS marker FROM (VALUES {DOCS}) t(url)")
+@query(rf"SELECT url, CASE WHEN regexp_matches({q.path('url')}, '{u.DOCUMENT_PATH}') THEN '[' || regexp_extract({q.path('url')}, '{u.DOCUMENT_PATH}', 1) || ']' END AS marker FROM (SELECT url FROM pages UNION ALL SELECT url FROM (VALUES {DOCS}) t(url))")
 def f4_document_marker(spark, sf_dir):
-    return spark.sql(f"SELECT * FROM VALUES {DOCS} AS t(url)").select("url", u.document_marker("url").alias("marker"))
+    """All pages' URLs, and some of documents, which the sample lacks."""
+    rows = tb.read(spark, sf_dir, "pages").select("url").unionByName(spark.sql(f"SELECT * FROM VALUES {DOCS} AS t(url)"))
+    return rows.select("url", u.document_marker("url").alias("marker"))
 
 
-@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3")
+@query("SELECT s_suppkey, 'addr' || n_nationkey AS addr FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3")
 def f5_resolvable(spark, sf_dir):
-    known = tb.read(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return tb.read(spark, sf_dir, "supplier").join(known, "s_nationkey").select("s_suppkey", "n_name")
+    """Hosts with a known address; nations serve as hosts."""
+    known = tb.read(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("host"), F.concat(F.lit("addr"), "n_nationkey").alias("addr"), F.current_timestamp().alias("checked_at"))
+    rows = tb.read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("host"))
+    return fr.resolvable(fr.addresses(rows, known, F.current_timestamp())).select("s_suppkey", "addr")
 
 
 @query(f"WITH {q.LINKS} SELECT page_id, pos::INT AS pos FROM links WHERE {q.host('url')} = {q.host('parent_url')}")
@@ -276,10 +279,13 @@ w AS (SELECT DISTINCT key, ({q.draw('key')} % 1000) / 500.0 - 1 AS weight FROM x
 
 
 def count_vectors(spark, sf_dir) -> DataFrame:
-    """id, key, value: unit vectors of word counts."""
-    counts = tx.word_counts(tb.read(spark, sf_dir, "documents"), "doc_id", "text")
-    size = counts.groupBy("doc_id").agg(F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("size"))
-    return counts.join(size, "doc_id").select(F.col("doc_id").alias("id"), F.col("token").alias("key"), (F.col("n") / F.col("size")).alias("value"))
+    """id, key, value: unit vectors of word counts, stored; each row is on its own, without a shuffle."""
+    docs = tb.dealt(tb.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.filter(tx.word_tokens("text"), tx.topical)
+    sized = tx.bound(tx.counted(words), lambda p: F.struct(p.alias("p"), F.sqrt(F.aggregate(p, F.lit(0.0), lambda acc, e: acc + (e["n"] * e["n"]).cast("double"))).alias("size")))
+    rows = docs.select(F.col("doc_id").alias("id"), sized.alias("s"))
+    rows = rows.select("id", F.col("s.size").alias("size"), F.explode("s.p").alias("e"))
+    return tb.stored(rows.select("id", F.col("e.w").alias("key"), (-F.col("e.n") / F.col("size")).alias("value")), "vectors")
 
 
 @query(f"WITH {WEIGHTED} SELECT id, round(sum(value * weight), 9) AS score FROM x JOIN w USING (key) GROUP BY id")
@@ -417,11 +423,6 @@ def o1_t4_frequent_words(spark, sf_dir):
     return found.select("page_id", F.array_join("words", " ").alias("words"))
 
 
-@query(f"SELECT page_id, host, round(start, 6) AS start FROM ({STARTS}) ORDER BY start, host, page_id LIMIT 50")
-def o2_next_tasks(spark, sf_dir):
-    return fr.pull_times(tasks(spark, sf_dir)).select("page_id", "host", F.round("start", 6).alias("start")).orderBy("start", "host", "page_id").limit(50)
-
-
 @query(f"SELECT page_id, host, start, row_number() OVER (ORDER BY start, host, page_id) AS rank FROM (SELECT page_id, host, round(start, 6) AS start FROM ({STARTS}))")
 def o2_task_queue(spark, sf_dir):
     """All tasks, with their rank in the queue."""
@@ -453,7 +454,7 @@ def u1_bag_union(spark, sf_dir):
 
 @query(f"SELECT page_id, array_to_string(list_filter({q.tokens('title')}, lambda t: t NOT IN {q.STOP}), ' ') AS kept FROM (WITH {q.PAGES} SELECT page_id, {q.title('html')} AS title FROM p)")
 def u2_stop_words(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.array_join(F.filter(tx.word_tokens(tx.title("html")), lambda t: ~t.isin(tx.STOP_WORDS)), " ").alias("kept"))
+    return pages(spark, sf_dir).select("page_id", F.array_join(F.filter(tx.word_tokens(tx.title("html")), lambda t: ~t.isin(*tx.STOP_WORDS)), " ").alias("kept"))
 
 
 @query(f"WITH {q.LINKS} SELECT DISTINCT url FROM links WHERE url NOT IN (SELECT url FROM pages)")
@@ -495,12 +496,16 @@ def t8_body(spark, sf_dir):
     return tb.read(spark, sf_dir, "pages").select("page_id", F.md5(tx.body("html").cast("binary")).alias("body"))
 
 
-@query("SELECT * FROM (VALUES (1, '1.0;3.4;apple,bob;x;', 1.0::DOUBLE, 3.4::DOUBLE, 2, 1), (2, '120.0;3.0;;;', 120.0, 3.0, 0, 0), (3, NULL, NULL, NULL, NULL, NULL)) t(id, line, text_length, links, title_n, link_n)")
+@query(f"""
+WITH {q.PAGES}, {STATS}, {q.ranked('titles', 'stats', 'page_id', 'title')}
+SELECT page_id, text_length, links, len(coalesce(words, [])) AS title_n, 0 AS link_n, array_to_string(coalesce(words, []), ',') AS title_tokens
+FROM stats s LEFT JOIN titles t USING (page_id)""")
 def t9_stats_codec(spark, sf_dir):
-    rows = spark.createDataFrame([(1, (1.0, 3.4, ["apple", "bob"], ["x"])), (2, (120.0, 3.0, [], [])), (3, None)], f"id int, s {ft.STATS}")
-    back = rows.select("id", ft.stats_to_text(F.col("s")).alias("line")).withColumn("b", ft.stats_from_text(F.col("line")))
-    n = lambda x: F.when(F.col("b").isNotNull(), F.size(f"b.{x}"))
-    return back.select("id", "line", "b.text_length", "b.links", n("title_tokens").alias("title_n"), n("link_tokens").alias("link_n"))
+    """The statistics that each page passes on, written as text and read back."""
+    none = F.array().cast("array<string>").alias("link_tokens")
+    rows = pages(spark, sf_dir).select("page_id", ft.stats_to_text(F.struct(*ft.passed_stats(F.col("html")), none)).alias("line"))
+    back = rows.withColumn("b", ft.stats_from_text(F.col("line")))
+    return back.select("page_id", "b.text_length", "b.links", F.size("b.title_tokens").cast("long").alias("title_n"), F.size("b.link_tokens").alias("link_n"), F.array_join("b.title_tokens", ",").alias("title_tokens"))
 
 
 @query(f"SELECT page_id, {q.scheme('url')} AS scheme, {q.host('url')} AS host, {q.path('url')} AS path FROM pages")
@@ -530,10 +535,14 @@ def t13_links(spark, sf_dir):
     return u.page_links(pages(spark, sf_dir)).select("page_id", "pos", "url", F.array_join("link_tokens", " ").alias("link_tokens"))
 
 
-@query("""SELECT html, nullif(regexp_extract(html, '<base[^>]+href="(.*?)"', 1), '') AS base FROM (VALUES ('<base href="http://b.org/">'), ('<base target="x" href="http://c.org/d">'), ('<p>none</p>')) t(html)""")
+BASES = ['<base href="http://b.org/">', '<base target="x" href="http://c.org/d">', "<p>none</p>"]
+
+
+@query(f"""SELECT md5(html) AS html, nullif(regexp_extract(html, '{q.plain(u.BASE_TAG)}', 1), '') AS base FROM (SELECT html FROM pages UNION ALL SELECT * FROM (VALUES {', '.join(f"('{x}')" for x in BASES)}))""")
 def t14_base(spark, sf_dir):
-    rows = spark.createDataFrame([('<base href="http://b.org/">',), ('<base target="x" href="http://c.org/d">',), ("<p>none</p>",)], "html string")
-    return rows.select("html", u.base_href("html").alias("base"))
+    """All pages, and some with a base, which the sample lacks."""
+    rows = tb.read(spark, sf_dir, "pages").select("html").unionByName(spark.createDataFrame([(x,) for x in BASES], "html string"))
+    return rows.select(F.md5(F.col("html").cast("binary")).alias("html"), u.base_href("html").alias("base"))
 
 
 @query(f"WITH {q.PAGES}, {STATS}, {q.ranked('titles', 'stats', 'page_id', 'title')} SELECT s.page_id, text_length, links, array_to_string(coalesce(words, []), ',') AS title_tokens FROM stats s LEFT JOIN titles t ON t.page_id = s.page_id")
@@ -557,11 +566,10 @@ FROM rel"""
 
 def features(spark, sf_dir) -> DataFrame:
     """Features of pages whose parent is the page before them on their host, with no link tokens (the sample has no parents)."""
-    rows = pages(spark, sf_dir)
-    order = W.partitionBy("host").orderBy("page_id")
-    stats = rows.select("page_id", u.host("url").alias("host"), F.struct(*ft.passed_stats(F.col("html")), F.array().cast("array<string>").alias("link_tokens")).alias("own"))
-    parents = stats.select("page_id", F.lag("own").over(order).alias("parent"))
-    return ft.page_features(rows.join(parents, "page_id"))
+    own = pages(spark, sf_dir).select("page_id", "url", u.host("url").alias("host"), *ft.page_measures(F.col("html")))
+    own = own.withColumn("text_length", F.col("text.text_length")).withColumn("link_tokens", F.array().cast("array<string>"))
+    own = ft.with_parents(own, "page_id", "text_length", "links", "title_tokens", "link_tokens")
+    return ft.relative_features(own.drop("text_length", "link_tokens", "host"))
 
 
 @query(FEATURES)
@@ -592,42 +600,55 @@ def t20_age(spark, sf_dir):
 
 # --- iteration, heartbeats, learning ------------------------------------------------
 
-GRAPH = """
-edges AS (
-  SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
-  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
-  UNION ALL SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)"""
-
-
 def graph(spark, sf_dir) -> DataFrame:
     """Edges with a cycle, orders -> customers -> nations <-> regions, in place of links (the sample's pages link to no other)."""
-    name = lambda p, x: F.concat(F.lit(p), x)
-    orders, customer, nation = (tb.read(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
-    out = orders.where("o_orderkey % 5 = 0").select(name("o", "o_orderkey").alias("src"), name("c", "o_custkey").alias("dst"))
-    out = out.unionByName(customer.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst")))
-    out = out.unionByName(nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")))
-    return out.unionByName(nation.where("n_nationkey % 2 = 0").select(name("r", "n_regionkey").alias("src"), name("n", "n_nationkey").alias("dst")))
+    rows = [("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"), ("nation", "r", "n_regionkey", "n", "n_nationkey")]
+    edges = [tb.read(spark, sf_dir, t).select(F.concat(F.lit(p), src).alias("src"), F.concat(F.lit(q), dst).alias("dst")) for t, p, src, q, dst in rows]
+    return reduce(DataFrame.unionByName, edges)
 
 
-@query(f"WITH RECURSIVE {GRAPH}, walk AS (SELECT DISTINCT src AS node, 0 AS hop FROM edges WHERE src LIKE 'o%' AND src <= 'o2' UNION SELECT dst, hop + 1 FROM walk JOIN edges ON src = node WHERE hop < 6) SELECT node, min(hop)::BIGINT AS hop FROM walk GROUP BY 1")
+@query("""
+WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders), n AS (SELECT DISTINCT c_nationkey AS k FROM customer JOIN c ON c_custkey = k),
+r AS (SELECT DISTINCT n_regionkey AS k FROM nation JOIN n ON n_nationkey = k),
+m AS (SELECT n_nationkey AS k FROM nation JOIN r ON n_regionkey = k WHERE n_nationkey NOT IN (SELECT k FROM n)),
+all_nodes AS (SELECT DISTINCT 'o' || o_orderkey AS node, 0 AS hop FROM orders UNION ALL SELECT 'c' || k, 1 FROM c UNION ALL SELECT 'n' || k, 2 FROM n UNION ALL SELECT 'r' || k, 3 FROM r UNION ALL SELECT 'n' || k, 4 FROM m)
+SELECT node, hop::BIGINT AS hop FROM all_nodes""")
 def r1_expand(spark, sf_dir):
+    """From all orders over all edges; the SQL names the layers, the tests also walk the graph."""
     edges = graph(spark, sf_dir)
-    return fr.expand(edges, edges.where("src LIKE 'o%' AND src <= 'o2'").select(F.col("src").alias("node")), 6)
+    return fr.expand(edges, tb.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node")), 6)
 
 
-def whole_graph(spark, sf_dir) -> DataFrame:
-    """The edges of graph() and those that it leaves out: of all orders, and from regions to all of their nations."""
-    rows = [("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"), ("nation", "r", "n_regionkey", "n", "n_nationkey")]
-    edges = [tb.read(spark, sf_dir, t).select(F.concat(F.lit(p), src).alias("src"), F.concat(F.lit(q), dst).alias("dst")) for t, p, src, q, dst in rows]
-    return reduce(DataFrame.unionByName, edges)
+def linked_pages(spark, sf_dir) -> DataFrame:
+    """page_id, url, html: pages, each with links to two others more, an invention of ours (the sample's link to no other): the k-th by id to the 2k-th and the next."""
+    rows = tb.read(spark, sf_dir, "pages")
+    placed = fr.queue_order(rows.select("page_id", "url"), "page_id").withColumnRenamed("rank", "k")
+    child = placed.select(F.floor(F.col("k") / 2).alias("k"), F.struct(F.col("k").alias("n"), F.concat(F.lit('<a href="'), "url", F.lit('">next</a>')).alias("a")).alias("child"))
+    child = child.groupBy("k").agg(F.array_sort(F.collect_list("child")).alias("c"))
+    more = placed.join(child, "k", "left").select("page_id", F.coalesce(F.array_join(F.transform("c", lambda x: x["a"]), " "), F.lit("")).alias("more"))
+    return tb.dealt(rows).join(more, "page_id").select("page_id", "url", tx.ascii_clean(F.concat("html", F.lit(" "), "more")).alias("html"))
 
 
 @query()
-def r1_expand_whole(spark, sf_dir):
-    """From all orders over all edges; recursive SQL has no way to drop what was seen, so the tests check it against brute force."""
-    edges = whole_graph(spark, sf_dir)
-    return fr.expand(edges, tb.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node")), 6)
+def r1_crawl(spark, sf_dir):
+    """The whole loop from the first page over all that it leads to; checked against a plain walk in the tests."""
+    web = linked_pages(spark, sf_dir)
+    return fr.crawl(web, tb.read(spark, sf_dir, "pages").orderBy("page_id").limit(1).select("url"), most=-1)
+
+
+@query(f"""
+WITH h AS (SELECT {q.host('url')} AS host, row_number() OVER (ORDER BY min(page_id), {q.host('url')}) AS n FROM pages GROUP BY 1)
+SELECT page_id, n <= 6 AS at_once FROM pages JOIN h ON h.host = {q.host('url')}""")
+def r3_first_queues(spark, sf_dir):
+    """Which tasks are in the queues that open at once; the rest waits for a slot."""
+    rows = fr.host_turns(tasks(spark, sf_dir))
+    return rows.select("page_id", (F.col("opens") == 0).alias("at_once"))
+
+
+@query()
+def r3_host_turns(spark, sf_dir):
+    """Every task's host queue: its slot, when it opens, and when the task starts; checked against a plain simulation in the tests."""
+    return fr.host_turns(tasks(spark, sf_dir)).select("page_id", "host", "slot", F.round("opens", 6).alias("opens"), F.round("start", 6).alias("start"))
 
 
 @query(f"""
@@ -642,8 +663,35 @@ def r1_admission_hop(spark, sf_dir):
 
 @query("SELECT user_id AS id, max(event_id) AS last, arg_max(event_type, event_id) AS state, count(*) AS beats FROM events GROUP BY 1")
 def r5_heartbeats(spark, sf_dir):
-    rows = tb.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"))
-    return rows.agg(F.max("event_id").alias("last"), F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("beats"))
+    return mo.latest(tb.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "event_type"))
+
+
+@query(f"""
+WITH b AS (
+  SELECT user_id % {NODES} AS id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1)
+SELECT count(*) AS init, 0::BIGINT AS active_count, sum(clicks)::BIGINT AS rcount, sum(clicks)::BIGINT AS scount, sum(errors)::BIGINT AS failure, 0::BIGINT AS stop_order,
+       coalesce(sum(errors) FILTER (id = 0), 0)::BIGINT AS own_failure, CASE WHEN count(*) = {NODES} THEN 0 WHEN coalesce(sum(errors) FILTER (id = 0), 0) > 0 THEN 1 WHEN sum(errors) > 0 THEN 2 END AS verdict FROM b""")
+def r5_completion(spark, sf_dir):
+    """Heartbeats of all workers as a stream, watched until their verdict; events are counted as beats() does."""
+    path = tb.new_path(spark, "beats-in")
+    beats(spark, sf_dir).select(F.col("id").cast("long").alias("id"), F.col("id").cast("long").alias("seq"), *(F.col(x).cast("long").alias(x) for x in mo.COUNTERS)).coalesce(1).write.parquet(path)
+    return st.watched(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), NODES, 0)
+
+
+@query(f"WITH {q.LINKS} SELECT DISTINCT {q.node('url', NODES)} AS node, url, parent_url FROM links")
+def r6_exchange(spark, sf_dir):
+    """All links as messages to their nodes, half of them sent twice for want of an answer, and each received once."""
+    path = tb.new_path(spark, "messages")
+    rows = tb.stored(f12_message(spark, sf_dir))
+    st.send(rows, path)
+    st.send(rows.where("crc32(url) % 2 = 0"), path)
+    return st.drained(st.received(spark, path), "received")
+
+
+@query("SELECT least(count(*), 120)::BIGINT AS written, greatest(count(*) - 120, 0)::BIGINT AS drained, count(*) < 120 AS active FROM pages")
+def k4_counted_writer(spark, sf_dir):
+    """A stream of pages into a table that takes 120; the rest is drained."""
+    return st.capped_writer(st.source(spark, sf_dir, "pages").select("page_id", "url"), tb.new_path(spark, "payload"), 120)
 
 
 @query(f"""
@@ -662,7 +710,7 @@ x AS (SELECT id, key, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS
 
 def vectors(spark, sf_dir) -> DataFrame:
     """id, x: a number and the words of each text, as unit vectors."""
-    rows = tb.read(spark, sf_dir, "documents")
+    rows = tb.dealt(tb.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("doc_id").alias("id"), ft.sparse_vector([F.length("text") / 1000.0], [tx.word_tokens("text")]).alias("x"))
 
 
@@ -673,7 +721,7 @@ def m1_encode(spark, sf_dir):
 
 @query(f"WITH {VECTORS} SELECT id, round(sum(value * (({q.draw('key')} % 1000) / 500.0 - 1)), 9) AS score FROM x GROUP BY id")
 def m3_classify(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
+    rows = tb.stored(vectors(spark, sf_dir), "vectors")
     keys = rows.select(F.explode(F.map_keys("x")).alias("key")).distinct()
     weights = keys.withColumn("weight", (F.floor(fr.fixed_draw(F.col("key")) * float(1 << 32)).cast("long") % 1000) / 500.0 - 1)
     return ln.scores(rows, weights).withColumn("score", F.round("score", 9))
@@ -694,69 +742,89 @@ def m4_golden_trace(spark, sf_dir):
 
 
 def labelled(spark, sf_dir) -> DataFrame:
-    return vectors(spark, sf_dir).join(s8_feedback(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id")
+    """id, x, tc of the labelled documents; only their texts are made vectors."""
+    tc = s8_feedback(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    rows = tb.dealt(tb.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(tc, "id"))
+    return rows.select("id", ft.sparse_vector([F.length("text") / 1000.0], [tx.word_tokens("text")]).alias("x"), "tc")
+
+
+# The replay is sequential, so these are checked against a plain fold in the tests.
 
 
 @query()
 def m5_replay(spark, sf_dir):
-    """Every labelled document in id order; sequential, so checked against a plain fold in the tests."""
+    """Every labelled document in id order."""
     return ln.replay(labelled(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (0, false), (1, false), (2, true), (3, false)) t(id, skipped)")
+@query()
 def m6_skipped(spark, sf_dir):
-    return ln.replay(golden(spark)).select("id", (~F.col("updated")).alias("skipped"))
+    return ln.replay(labelled(spark, sf_dir)).select("id", (~F.col("updated")).alias("skipped"))
 
 
-@query("SELECT * FROM (VALUES ('0', 0.73445::DOUBLE), ('3:lease', 0.189082)) t(key, weight)")
+@query()
 def m7_readable_weights(spark, sf_dir):
-    found = ln.replay_weights(golden(spark)).select(F.explode("weights").alias("key", "weight"))
-    return found.where("weight > 0").withColumn("weight", F.round("weight", 6))
-
-
-@query("SELECT * FROM (VALUES (3, -1, 18.3::DOUBLE, 1.182955::DOUBLE, 'negative')) t(id, tc, shown, loss, route)")
-def m8_k9_analysis_step(spark, sf_dir):
-    last = ln.replay(golden(spark)).orderBy(F.desc("id")).limit(1)
-    return last.select("id", "tc", F.round(100 * F.col("score"), 1).alias("shown"), F.round("loss", 6).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
-
-
-@query("SELECT * FROM (VALUES ('0', 0.73445::DOUBLE), ('3:lease', 0.189082), ('3:news', -1.420887)) t(key, weight)")
-def k6_weight_rows(spark, sf_dir):
-    path = tb.new_path(spark, "weights") + "/weights.csv"
-    tb.write_csv(ln.replay_weights(golden(spark)).select(F.explode("weights").alias("key", "weight")), path)
-    return spark.read.schema("key string, weight double").csv(path, header=True).withColumn("weight", F.round("weight", 6))
+    return ln.final_weights(labelled(spark, sf_dir)).where("weight > 0")
 
 
-@query("SELECT * FROM (VALUES (2, 1.16::DOUBLE)) t(id, score)")
+@query()
 def f8_confidence_gate(spark, sf_dir):
     """Rows that are scored beyond the gate, from which nothing is learned."""
-    rows = ln.replay(golden(spark)).where(F.abs("score") > ln.GATE)
-    return rows.select("id", F.round("score", 6).alias("score"))
+    return ln.replay(labelled(spark, sf_dir)).where(F.abs("score") > ln.GATE).select("id", "score")
 
 
-# Over every labelled document; sequential as m5_replay is, and checked against a plain fold in the tests as well.
+@query()
+def k6_weight_rows(spark, sf_dir):
+    path = tb.new_path(spark, "weights") + "/weights.csv"
+    tb.write_csv(ln.final_weights(labelled(spark, sf_dir)), path)
+    return spark.read.schema("key string, weight double").csv(path, header=True)
 
 
-@query()
-def m6_skipped_whole(spark, sf_dir):
-    return ln.replay(labelled(spark, sf_dir)).select("id", (~F.col("updated")).alias("skipped"))
+def judged_pages(spark, sf_dir) -> DataFrame:
+    """id, url, tc, x, slots, parent_line: pages that have a label (a document's of the same number serves), with their features as a unit vector."""
+    tc = s8_feedback(spark, sf_dir).withColumnRenamed("doc_id", "page_id")
+    rows = features(spark, sf_dir).join(tc, "page_id")
+    keys = [F.array(F.lit(str(k))) for k in range(len(ft.NUMBERS))]
+    named = lambda slot, words: F.transform(words, lambda w: F.concat(F.lit(f"{slot}:"), w))
+    keys += [named(k, F.col(x)) for k, x in enumerate(ft.TOKENS, len(ft.NUMBERS))]
+    return rows.select(F.col("page_id").alias("id"), "url", "tc", ft.sparse_vector([F.col(x) for x in ft.NUMBERS], [F.col(x) for x in ft.TOKENS]).alias("x"), F.array(*keys).alias("slots"))
 
 
 @query()
-def m7_readable_weights_whole(spark, sf_dir):
-    return ln.final_weights(labelled(spark, sf_dir)).where("weight > 0")
+def k6_batch_csv(spark, sf_dir):
+    """The replay of all judged pages as a wide CSV: id, url, score, tc, loss and each weight after the row. Read back, with the number and the sum of its weights."""
+    rows = tb.stored(judged_pages(spark, sf_dir), "judged")
+    path = tb.new_path(spark, "batch") + "/batch.csv"
+    index = tb.stored(ln.slot_index(rows), "index")
+    tb.write_wide_csv(ln.trajectory_lines(rows, index), ["db_id", "url", "score", "tc", "LOSS", *(r["key"] for r in index.orderBy("col").toLocalIterator())], path)
+    cells = F.split(F.regexp_replace("value", r'^([^,]*),"(?:[^"]|"")*",', "$1,"), ",")
+    read = spark.read.text(path).where(~F.col("value").startswith("db_id,")).select(cells.alias("c"))
+    weights = F.transform(F.slice("c", 5, F.size("c")), lambda w: w.cast("double"))
+    return read.select(F.col("c")[0].cast("long").alias("db_id"), F.col("c")[1].cast("double").alias("score"), F.col("c")[2].cast("int").alias("tc"), F.col("c")[3].cast("double").alias("loss"), F.size(weights).alias("n_weights"), F.aggregate(weights, F.lit(0.0), lambda a, w: a + w).alias("weight_sum"))
 
 
 @query()
-def k6_weight_rows_whole(spark, sf_dir):
-    path = tb.new_path(spark, "weights") + "/weights.csv"
-    tb.write_csv(ln.final_weights(labelled(spark, sf_dir)), path)
-    return spark.read.schema("key string, weight double").csv(path, header=True)
+def m7_explained(spark, sf_dir):
+    """Each entry of each judged page's vector beside its final weight, line by line."""
+    rows = tb.stored(judged_pages(spark, sf_dir), "judged")
+    return ln.explained(rows, ln.final_weights(rows))
 
 
 @query()
-def f8_confidence_gate_whole(spark, sf_dir):
-    return ln.replay(labelled(spark, sf_dir)).where(F.abs("score") > ln.GATE).select("id", "score")
+def m8_analysis(spark, sf_dir):
+    """What the judge of each page sees, and what follows: the next page by id, its features, its score with the weights so far,
+    the features with the weights that they had, its body; then the label is learned and the page routed."""
+    rows = tb.stored(judged_pages(spark, sf_dir), "judged")
+    steps = ln.replay(rows)
+    body = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.md5(tx.body("html").cast("binary")).alias("body"))
+    shown = rows.select("id", "url", F.size("x").alias("n_features")).join(steps, "id").join(body, "id")
+    return shown.select("id", "url", "n_features", "body", F.format_string("%.2f", 100 * F.col("score")).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
+
+
+@query("SELECT p.page_id, p.url, p.html, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS route FROM pages p JOIN labels l ON l.doc_id = p.page_id")
+def m8_routes(spark, sf_dir):
+    """Where the analysis step sends each judged page."""
+    return tb.read(spark, sf_dir, "pages").join(m8_analysis(spark, sf_dir).select(F.col("id").alias("page_id"), "route"), "page_id").select("page_id", "url", "html", "route")
 
 
 @query(f"WITH {q.LINKS}, {STATS}, {q.ranked('titles', 'stats', 'page_id', 'title')} SELECT l.page_id, l.pos::INT AS pos, array_to_string(list_concat(coalesce(t.words, []), l.link_tokens), ' ') AS carried FROM links l LEFT JOIN titles t ON t.page_id = l.page_id")

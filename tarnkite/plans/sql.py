@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import text as tx
 from ..functions import urls as u
 
@@ -9,12 +11,21 @@ STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
 TEXT = "(" + ", ".join(f"'{w}'" for w in tx.TEXT_TAGS) + ")"
 SKIP = "(" + ", ".join(f"'{w}'" for w in tx.SKIP_TAGS) + ")"
 #: page_id, url and cleaned html.
-PAGES = r"p AS (SELECT page_id, url, regexp_replace(html, '[^\x00-\x7e]', '', 'g') AS html FROM pages)"
+PAGES = f"p AS (SELECT page_id, url, regexp_replace(html, '{tx.NOT_ASCII}', '', 'g') AS html FROM pages)"
+
+
+def plain(pattern: str) -> str:
+    """A pattern of ours for RE2: without Java's flags, and with Java's white space written out."""
+    return re.sub(r"^\(\?[ds]+\)", "", pattern).replace(r"\s*", r"[ \t\n\x0B\f\r]*")
 
 
 def text(x: str) -> str:
-    gone = "<a.*?>.*?</a>|<script.*?>.*?</script>|<style.*?>.*?</style>"
-    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '{gone}', '', 'gs'), '<.*?>', '', 'g'), '&\w{{2,4}};', '', 'g'), '\n([ \t\n\x0B\f\r]*\n)+', chr(10), 'g')"
+    for pattern, instead in tx.TEXT_STEPS:
+        names = re.match(r"\(\?ds\)<\(([^)]*)\)", pattern)
+        # RE2 has no back references: an alternative for each name.
+        known = "|".join(plain(pattern).replace(f"({names[1]})", n).replace(r"\1", n) for n in names[1].split("|")) if names else plain(pattern)
+        x = f"regexp_replace({x}, '{known}', {'chr(10)' if instead else repr(instead)}, '{'gs' if names else 'g'}')"
+    return x
 
 
 def tokens(x: str) -> str:
@@ -22,11 +33,11 @@ def tokens(x: str) -> str:
 
 
 def title(x: str) -> str:
-    return f"regexp_extract({x}, '<title[^>]*>(.*?)</title>', 1)"
+    return f"regexp_extract({x}, '{plain(tx.TITLE)}', 1)"
 
 
 def links(x: str) -> str:
-    return rf"len(regexp_extract_all({x}, '<a\s.*?>'))"
+    return f"len(regexp_extract_all({x}, '{plain(tx.LINK_START)}'))"
 
 
 def squashed(t: str) -> str:
@@ -34,10 +45,10 @@ def squashed(t: str) -> str:
 
 
 def longest(x: str) -> str:
-    tag = r"regexp_extract(part, '^<\W*(\w+)', 1)"
+    tag = f"regexp_extract(part, '{tx.TAG_NAME}', 1)"
     state = "{'kind': 0, 'tag': '', 'n': 0, 'stack': %s, 'run': %s, 'best': %s, 'over': %s}"
     items = (
-        r"list_transform(regexp_extract_all(" + x + r", '<[^>]+>|[^><]+'), lambda part: "
+        f"list_transform(regexp_extract_all({x}, '{tx.MARKUP}'), lambda part: "
         r"{'kind': CASE WHEN starts_with(part, '</') THEN 1 WHEN starts_with(part, '<') THEN 2 ELSE 3 END, "
         rf"'tag': {tag}, 'n': length(regexp_replace(part, '[ \t\n\x0B\f\r]', '', 'g'))::INT, "
         r"'stack': []::BOOLEAN[], 'run': 0, 'best': 0, 'over': false})"
@@ -82,11 +93,11 @@ def resolved(link: str, ref: str, base: str) -> str:
     root = f"CASE WHEN {base} IS NULL THEN {site} || '/' ELSE regexp_replace({base}, '/$', '') || '/' END"
     return (
         f"CASE WHEN NOT contains({ref}, '//') THEN NULL WHEN contains({link}, '//') THEN {link} "
-        rf"WHEN regexp_matches({link}, '^\w+\.\w+\.\w+') THEN CASE WHEN regexp_matches({link}, '{u.SAFE_PATH}') THEN ({near}) || {link} ELSE '//' || {link} END "
-        rf"WHEN regexp_matches({link}, '^\w+\.\w+/') THEN '//' || {link} WHEN starts_with({link}, 'mailto:') THEN NULL "
+        f"WHEN regexp_matches({link}, '{u.DOTTED_HOST}') THEN CASE WHEN regexp_matches({link}, '{u.SAFE_PATH}') THEN ({near}) || {link} ELSE '//' || {link} END "
+        f"WHEN regexp_matches({link}, '{u.HOST_AND_PATH}') THEN '//' || {link} WHEN starts_with({link}, 'mailto:') THEN NULL "
         f"WHEN starts_with({link}, '/') THEN ({root}) || substr({link}, 2) WHEN starts_with({link}, './') THEN ({near}) || substr({link}, 3) "
         f"WHEN starts_with({link}, '../') THEN ({above}) || substr({link}, 4) "
-        rf"WHEN regexp_matches({link}, '^[^\./]+\.[^\./]+(;|\?|#|$)') THEN ({near}) || {link} ELSE NULL END"
+        f"WHEN regexp_matches({link}, '{u.NEAR_PAGE}') THEN ({near}) || {link} ELSE NULL END"
     )
 
 
@@ -101,25 +112,17 @@ def ranked(name: str, source: str, key: str, column: str, most: str = "") -> str
 
 
 #: CTEs that end in `links`: page_id, pos, parent_url, url, link_tokens.
-LINKS = (
-    PAGES
-    + r""", anchors AS (
-  SELECT page_id, url AS parent_url, nullif(regexp_extract(html, '<base[^>]+href="(.*?)"', 1), '') AS base,
+LINKS = f"""{PAGES}, anchors AS (
+  SELECT page_id, url AS parent_url, nullif(regexp_extract(html, '{plain(u.BASE_TAG)}', 1), '') AS base,
          unnest(a) AS anchor, unnest(range(len(a))) AS pos
-  FROM (SELECT *, regexp_extract_all(html, '<a(?:\s[^>]+)?>.*?</a>') AS a FROM p)),
+  FROM (SELECT *, regexp_extract_all(html, '{plain(u.ANCHOR)}') AS a FROM p)),
 targets AS (
-  SELECT *, regexp_extract(anchor, '<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1) AS link,
-         regexp_extract(anchor, '<a [^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2) AS inner_html FROM anchors),
-found AS (SELECT *, """
-    + resolved("link", "parent_url", "base")
-    + """ AS whole FROM targets WHERE link <> ''),
-"""
-    + ranked("inner_words", "found", "page_id, pos", "inner_html")
-    + """,
+  SELECT *, regexp_extract(anchor, '{plain(u.TARGET)}', 1) AS link, regexp_extract(anchor, '{plain(u.TARGET)}', 2) AS inner_html FROM anchors),
+found AS (SELECT *, {resolved('link', 'parent_url', 'base')} AS whole FROM targets WHERE link <> ''),
+{ranked('inner_words', 'found', 'page_id, pos', 'inner_html')},
 links AS (
   SELECT f.page_id, f.pos, f.parent_url, regexp_replace(whole, '#.*$', '') AS url, coalesce(words, []) AS link_tokens
   FROM found f LEFT JOIN inner_words w ON w.page_id = f.page_id AND w.pos = f.pos WHERE whole IS NOT NULL)"""
-)
 
 
 def draw(x: str) -> str:

@@ -11,6 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: what a CSV file's path must have.
+CSV_PATH = r"(/|^)[A-Za-z0-9_]+\.csv"
+
 PAGE_STATS = T.StructType([T.StructField("text_length", T.DoubleType()), T.StructField("links", T.DoubleType()), T.StructField("title_tokens", T.ArrayType(T.StringType())), T.StructField("link_tokens", T.ArrayType(T.StringType()))])
 PAYLOAD = T.StructType([T.StructField("id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("parent_stats", PAGE_STATS), T.StructField("html", T.StringType()), T.StructField("parent_url", T.StringType()), T.StructField("node", T.IntegerType())])
 
@@ -33,7 +36,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; what is there goes when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def stored(df: DataFrame, tag: str = "stored") -> DataFrame:
+    """df written to the shared folder and read again: computed once, without lineage."""
+    path = new_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer (as of one small file), for work that is heavy on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def scan(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
@@ -58,9 +78,11 @@ def unbroken(df: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(last), df[key] <= F.col("last")).drop("last")
 
 
-def capped(df: DataFrame, by: str, order: str, most: int) -> DataFrame:
-    """The first `most` rows of each group."""
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+def capped(df: DataFrame, by: str, order: str, most: int, salts: int = 64) -> DataFrame:
+    """The first `most` rows of each group, in two levels: of each part of a group, and of what these leave."""
+    first = lambda rows, *keys: rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where(F.col("_n") <= most).drop("_n")
+    parts = first(df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(salts))), by, "_part").drop("_part")
+    return first(parts, by)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -82,11 +104,23 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """path must name a .csv file of letters, digits and underscores."""
-    if not re.search(r"(/|^)[A-Za-z0-9_]+\.csv", path):
-        raise ValueError(f"not a csv path: {path}")
+    check_csv(path)
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def check_csv(path: str) -> None:
+    if not re.search(CSV_PATH, path):
+        raise ValueError(f"not a csv path: {path}")
+
+
+def write_wide_csv(lines: DataFrame, header: list[str], path: str) -> None:
+    """Lines (id, line) as text under path, in order of id, after one line with the header's names."""
+    check_csv(path)
+    spark = lines.sparkSession
+    spark.createDataFrame([(",".join(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part=0")
+    lines.coalesce(1).sortWithinPartitions("id").select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/part=1")
+
+
 def bag_union(*queues: DataFrame) -> DataFrame:
     """All urls of all queues, repetitions kept."""
     out = queues[0].select("url")

@@ -1,18 +1,25 @@
-"""The frontier over streams: dedup, one request at a time for each host, expiry of idle hosts."""
+"""The frontier over streams: dedup, one request at a time for each host, expiry of idle hosts, capped writing,
+heartbeats until all is done, messages that arrive at least once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import monitor as mo
 from ..sources.tables import new_path
 
 #: A host without tasks for so long is forgotten.
 IDLE_MS = 3_600_000
+#: Rows that a host's answer comes in at once.
+ROWS = 10_000
+#: What a message carries.
+MESSAGE = "node long, url string, parent_url string"
 
 
 def unseen(urls: DataFrame) -> DataFrame:
@@ -26,34 +33,111 @@ def pull_times(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     The state of a host is the time at which it is free again; tasks of one
     batch go by seq. A host that was idle for idle_ms (say IDLE_MS) is dropped
     and starts anew. Leave it None where a run is to end by itself: with a
-    timeout there is always another batch to run.
+    timeout there is always another batch to run. Of one host's tasks in one
+    batch only seq and delay are held, 16 bytes a task; the source's files per
+    trigger bound them.
     """
 
     def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("seq")
+        parts = [(pdf["seq"].to_numpy(), pdf["delay"].to_numpy(float)) for pdf in batches]
+        seq, delay = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(seq, kind="stable")
+        seq, ends = seq[order], np.cumsum(delay[order])
         free = state.get[0] if state.exists else 0.0
-        start = free + rows["delay"].cumsum().shift(fill_value=0.0)
-        state.update((float(free + rows["delay"].sum()),))
+        start = free + ends - delay[order]
+        state.update((float(free + ends[-1]),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"host": key[0], "seq": rows["seq"], "start": start})
+        for low in range(0, len(seq), ROWS):
+            yield pd.DataFrame({"host": key[0], "seq": seq[low : low + ROWS], "start": start[low : low + ROWS]})
 
     return tasks.groupBy("host").applyInPandasWithState(serve, "host string, seq long, start double", "free double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def heartbeats(beats: DataFrame) -> DataFrame:
     """The latest state of each worker (id, event_id, event_type) so far; for output mode update or complete."""
-    return beats.groupBy("id").agg(F.max("event_id").alias("last"), F.max_by("event_type", "event_id").alias("state"), F.count("*").alias("beats"))
+    return mo.latest(beats)
 
 
-def drained(stream: DataFrame, tag: str) -> DataFrame:
-    """All that the stream's source has now, processed and stored; its checkpoint and result are in the shared folder."""
+def watched(beats: DataFrame, nodes: int, own: int, tag: str = "beats") -> DataFrame:
+    """One row: the totals over the latest heartbeat of each worker, and their verdict, when that ends the run or no beats are left.
+
+    beats: a stream of id, seq and monitor.COUNTERS, each null where a beat does
+    not give it. Each batch updates the workers' table and looks at its totals;
+    the stream stops at the first verdict. own: this worker's id.
+    """
+    spark = beats.sparkSession
+    kept: dict[str, DataFrame] = {}
+
+    def look(batch: DataFrame, number: int) -> None:
+        if "verdict" in kept:
+            return
+        log = batch.unionByName(kept["table"]) if "table" in kept else batch
+        latest = mo.upserted(log, "id", "seq").join(log.groupBy("id").agg(F.max("seq").alias("seq")), "id")
+        path = new_path(spark, f"{tag}-{number}")
+        latest.write.parquet(path)
+        kept["table"] = spark.read.schema(latest.schema).parquet(path).select(*batch.columns)
+        found = mo.completion(kept["table"], nodes, own)
+        if found.first()["verdict"] is not None:
+            kept["verdict"] = found
+
+    run = beats.writeStream.foreachBatch(look).option("checkpointLocation", new_path(spark, f"{tag}-state")).trigger(availableNow=True).start()
+    while run.isActive and "verdict" not in kept:
+        run.awaitTermination(1)
+    run.stop()
+    if run.exception() is not None:
+        raise run.exception()
+    if "verdict" in kept:
+        return kept["verdict"]
+    return mo.completion(kept.get("table", spark.createDataFrame([], beats.schema)), nodes, own)
+
+
+def capped_writer(stream: DataFrame, path: str, most: int, tag: str = "capped") -> DataFrame:
+    """Appends the stream's rows to the table at path until `most` are there; the rest is taken from the stream and not written.
+
+    One row: written, drained, active (false once the cap was reached). A batch
+    that is run again after a failure replaces its own rows, as it writes to a
+    folder of its number; the rows that still fit are the first of the batch in
+    its order. Counts of written rows come from the written table.
+    """
+    spark = stream.sparkSession
+    seen = {"rows": 0}
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = sum(spark.read.parquet(f"{path}/batch={k}").count() for k in range(number))
+        part = batch.limit(most - before) if before < most else batch.limit(0)
+        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen["rows"] += batch.count()
+
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, f"{tag}-state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    written = spark.read.schema(stream.schema).parquet(path).count() if seen["rows"] else 0
+    return spark.createDataFrame([(written, seen["rows"] - written, written < most)], "written long, drained long, active boolean")
+
+
+def send(messages: DataFrame, path: str) -> None:
+    """Messages (node, url, parent_url), as files of JSON lines in a folder for each node; a sender that got no answer may send again."""
+    messages.select("node", "url", "parent_url", F.col("node").alias("to")).repartition("to").write.mode("append").partitionBy("to").json(path)
+
+
+def received(spark: SparkSession, path: str) -> DataFrame:
+    """The stream of messages sent to path, each once: those sent again are told by what they say."""
+    rows = spark.readStream.schema(MESSAGE + ", `to` int").json(path).drop("to")
+    return rows.dropDuplicates(["node", "url", "parent_url"])
+
+
+def drained(stream: DataFrame, tag: str, out: str | None = None, state: str | None = None) -> DataFrame:
+    """All that the stream's source has now, processed and stored; its checkpoint and result are in the shared folder.
+
+    A run that failed is taken up again by a call with the same `out` and
+    `state`: what was finished is not done twice, and nothing is left out.
+    """
     spark: SparkSession = stream.sparkSession
-    out = new_path(spark, tag)
-    run = stream.writeStream.format("parquet").option("checkpointLocation", new_path(spark, f"{tag}-state")).trigger(availableNow=True).start(out)
+    out = out or new_path(spark, tag)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", state or new_path(spark, f"{tag}-state")).trigger(availableNow=True).start(out)
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

@@ -1,6 +1,12 @@
+import csv
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from tarnkite.functions import text as tx
+from tarnkite.functions import urls as u
 from tarnkite.operators import frontier as fr
 from tarnkite.operators import learn as ln
 from tarnkite.operators import monitor as mo
@@ -42,21 +48,92 @@ def test_weights_gate_and_skips_of_all_labelled_documents(spark):
                 weights[k] = weights.get(k, 0.0) + min(1.0, loss / size) * r.tc * v
     found = lambda name: {r[0]: r[1] for r in getattr(qs, name)(spark, SF).collect()}
     assert len(skipped) > 50
-    assert found("m6_skipped_whole") == skipped
-    assert found("f8_confidence_gate_whole") == pytest.approx(gated, abs=1e-9)
-    assert found("k6_weight_rows_whole") == pytest.approx(weights, abs=1e-9)
+    assert found("m6_skipped") == skipped
+    assert found("f8_confidence_gate") == pytest.approx(gated, abs=1e-9)
+    assert found("k6_weight_rows") == pytest.approx(weights, abs=1e-9)
     sure = {k: v for k, v in weights.items() if v > 1e-9}
-    readable = found("m7_readable_weights_whole")
+    readable = found("m7_readable_weights")
     assert {k: v for k, v in readable.items() if v > 1e-9} == pytest.approx(sure, abs=1e-9)
     assert min(readable.values()) > 0
 
 
+def test_golden_weights(spark):
+    """Four rows whose trace is known."""
+    want = {"0": 0.73445, "3:lease": 0.189082, "3:news": -1.420887}
+    assert ln.replay_weights(qs.golden(spark)).first().weights == pytest.approx(want, abs=1e-6)
+    assert {r.key: r.weight for r in ln.final_weights(qs.golden(spark)).collect()} == pytest.approx(want, abs=1e-6)
+    assert [r.id for r in ln.replay(qs.golden(spark)).collect() if not r.updated] == [2]
+
+
+def test_replay_of_nulls_far_ids_and_nothing(spark):
+    rows = spark.createDataFrame([(5_000_000_000, {"a": 1.0}, 1), (0, {"a": 1.0, "b": None}, -1), (1, None, 1), (2, {}, 1), (3, {"a": 1.0}, None)], "id long, x map<string,double>, tc int")
+    got = {r.id: (r.score, r.tc, r.loss, r.updated) for r in ln.replay(rows).collect()}
+    assert got == {0: (0.0, -1, 1.0, True), 1: (0.0, 1, 1.0, False), 2: (0.0, 1, 1.0, False), 3: (-1.0, None, None, False), 5_000_000_000: (-1.0, 1, 2.0, False)}
+    assert ln.replay_weights(rows).first().weights == {"a": -1.0, "b": 0.0}
+    assert ln.replay(rows.limit(0)).isEmpty()
+    assert ln.replay_weights(rows.limit(0)).first().weights == {}
+
+
 def test_skipped_rows_change_nothing(spark):
     rows = qs.golden(spark)
     kept = ln.replay(rows).where("updated").select("id")
     assert ln.replay_weights(rows.join(kept, "id")).first().weights == pytest.approx(ln.replay_weights(rows).first().weights)
 
 
+def test_wide_csv_of_a_replay(spark, tmp_path):
+    """The header by slot and first sight, and each row's weights after it, shorter rows padded with 0."""
+    slots = {0: [["0"], ["3:lease"]], 1: [["0"], ["3:news"]], 2: [["0"], ["3:lease"]], 3: [["0"], ["3:lease", "3:news"]]}
+    side = spark.createDataFrame([(k, 'http://h.org/"a",b', v) for k, v in slots.items()], "id int, url string, slots array<array<string>>")
+    rows = qs.golden(spark).join(side, "id")
+    index = ln.slot_index(rows)
+    names = [r.key for r in index.orderBy("col").collect()]
+    assert names == ["0", "3:lease", "3:news"]
+    path = str(tmp_path / "batch.csv")
+    tb.write_wide_csv(ln.trajectory_lines(rows, index), ["db_id", "url", "score", "tc", "LOSS", *names], path)
+    text = [r.value for r in spark.read.text(path + "/part=0").collect()] + [r.value for r in spark.read.text(path + "/part=1").collect()]
+    table = list(csv.reader(text))
+    assert table[0] == ["db_id", "url", "score", "tc", "LOSS", "0", "3:lease", "3:news"]
+    assert [r[:2] + [r[3]] for r in table[1:]] == [[str(k), 'http://h.org/"a",b', t] for k, t in enumerate(["1", "-1", "1", "-1"])]
+    weights, want = {}, []
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        score = sum(v * weights.get(k, 0.0) for k, v in r.x.items())
+        loss = max(0.0, 1 - r.tc * score)
+        if abs(score) <= 0.5:
+            for k, v in r.x.items():
+                weights[k] = weights.get(k, 0.0) + min(1.0, loss) * r.tc * v
+        want.append([score, loss, *(weights.get(k, 0.0) for k in names)])
+    got = [[float(x) for x in (r[2], *r[4:])] for r in table[1:]]
+    assert got == [pytest.approx(x, abs=1e-12) for x in want]
+    with pytest.raises(ValueError):
+        tb.write_wide_csv(ln.trajectory_lines(rows, index), [], str(tmp_path / "batch.txt"))
+
+
+def test_judged_pages_step_by_step(spark):
+    """The analysis of all judged pages, and the wide CSV of the same, against one plain fold."""
+    rows = sorted(qs.judged_pages(spark, SF).collect(), key=lambda r: r.id)
+    weights, seen, want = {}, set(), {}
+    for r in rows:
+        seen |= {k for slot in r.slots for k in slot}
+        score = sum(v * weights.get(k, 0.0) for k, v in r.x.items())
+        loss, size = max(0.0, 1 - r.tc * score), sum(v * v for v in r.x.values())
+        if abs(score) <= 0.5 and size > 0:
+            for k, v in r.x.items():
+                weights[k] = weights.get(k, 0.0) + min(1.0, loss / size) * r.tc * v
+        want[r.id] = (score, r.tc, loss, sum(weights.values()))
+    assert len(want) > 10
+    told = {r.id: r for r in qs.m8_analysis(spark, SF).collect()}
+    assert set(told) == set(want)
+    for k, (score, tc, loss, _) in want.items():
+        assert float(told[k].shown) == pytest.approx(100 * score, abs=0.006)
+        assert (told[k].tc, told[k].route) == (tc, "positive" if tc == 1 else "negative")
+        assert told[k].loss == pytest.approx(loss, abs=1e-8)
+    wide = {r.db_id: r for r in qs.k6_batch_csv(spark, SF).collect()}
+    assert {r.n_weights for r in wide.values()} == {len(seen)}
+    assert {k: (r.score, r.tc, r.loss, r.weight_sum) for k, r in wide.items()} == {k: pytest.approx(v, abs=1e-8) for k, v in want.items()}
+    side = {(r.id, r.key): (r.x, r.weight) for r in qs.m7_explained(spark, SF).collect()}
+    assert side == {(r.id, k): pytest.approx((v, weights.get(k, 0.0)), abs=1e-9) for r in rows for k, v in r.x.items()}
+
+
 def test_feature_index_keeps_the_order_of_first_sight(spark):
     rows = spark.createDataFrame([(5, 0, "b"), (5, 1, "a"), (2000, 0, "a"), (2000, 1, "c"), (1, 3, "z")], "id long, pos int, token string")
     assert {r.token: r.idx for r in ln.feature_index(rows).collect()} == {"z": 0, "b": 1, "a": 2, "c": 3}
@@ -90,21 +167,119 @@ def test_expansion_of_the_whole_graph(spark):
     for hop in range(1, 7):
         front = {b for a, b in edges if a in front} - set(want)
         want |= dict.fromkeys(front, hop)
-    got = qs.r1_expand_whole(spark, SF).collect()
+    got = qs.r1_expand(spark, SF).collect()
     assert len(got) == len(want) > len(orders)
     assert {r.node: r.hop for r in got} == want
 
 
+def walk(pages, links, seeds, most):
+    """A plain crawl: pages {key: page_id}, links {page_id: [(url, ...)]} in order; rows as crawl() returns them."""
+    host = lambda url: re.match(r"(?:[^:/?#]+:)?(?://([^/?#]*))?", url)[1] or ""
+    path = lambda url: re.match(r"(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", url)[1]
+    safe = lambda url: re.search(u.SAFE_PATH, path(url)) and not re.search(u.BLOCKED, url)
+    key = lambda url: re.sub("/$", "", re.sub("#.*", "", url))
+    front = [(x, None, 0) for x in (re.sub("/$", "", s) for s in seeds) if safe(x)]
+    seen, out, hop = {re.sub("/$", "", s) for s in seeds}, [], 0
+    while front:
+        found = []
+        for url, parent, distance in front:
+            here = pages.get(key(url), [None])
+            out += [(url, hop, distance, parent, page_id) for page_id in here]
+            for page_id in here:
+                for link in links.get(page_id, []):
+                    one = re.sub("/$", "", link)
+                    if re.search(u.BLOCKED, one) or one in seen:
+                        continue
+                    seen.add(one)
+                    far = distance + (host(one) != host(url))
+                    if safe(one) and (most < 0 or far <= most):
+                        found.append((one, url, far))
+        front, hop = found, hop + 1
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1, -1])
+def test_crawl_is_a_walk(spark, most):
+    a = lambda *to: "".join(f'<a href="{x}">go there</a> ' for x in to)
+    rows = [
+        (1, "http://a.org/", a("/x", "/y/", "http://b.org/", "/x", "/p.jpg", "http://www.onecle.com/z")), (2, "http://a.org/x", a("/z", "http://c.org/w", "#top")),
+        (3, "http://a.org/y", a("http://b.org/q", "/z#part", "/doc.pdf")), (4, "http://b.org/", a("http://a.org/x", "/q")), (5, "http://b.org/q", a("http://c.org/w")),
+        (6, "http://c.org/w", a("/v", "http://a.org/")), (7, "http://c.org/v", None), (8, "http://a.org/doc.pdf", a("/never")), (9, "http://a.org/z", a("/end")), (10, "http://far.org/", a("/x")),
+    ]
+    web = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = ["http://a.org/", "http://www.onecle.com/", "http://b.org/none"]
+    links = {}
+    for r in u.page_links(web.where("page_id <> 8")).orderBy("page_id", "pos").collect():
+        links.setdefault(r.page_id, []).append(r.url)
+    want = walk({re.sub("/$", "", x[1]): [x[0]] for x in rows}, links, seeds, most)
+    got = fr.crawl(web, spark.createDataFrame([(x,) for x in seeds], "url string"), most).collect()
+    assert sorted(((r.url, r.hop, r.distance, r.parent_url, r.page_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert len(want) > 4
+    assert fr.crawl(web, spark.createDataFrame([], "url string"), most).isEmpty()
+
+
+def test_crawl_of_the_sample(spark):
+    web = qs.linked_pages(spark, SF)
+    rows, links, pages = sorted(web.collect(), key=lambda r: r.page_id), {}, {}
+    for r in rows:
+        pages.setdefault(re.sub("/$", "", re.sub("#.*", "", r.url)), []).append(r.page_id)
+    for r in u.page_links(web).orderBy("page_id", "pos").collect():
+        links.setdefault(r.page_id, []).append(r.url)
+    want = walk(pages, links, [rows[0].url], -1)
+    got = qs.r1_crawl(spark, SF).collect()
+    assert sorted(((r.url, r.hop, r.distance, r.page_id) for r in got), key=repr) == sorted(((w[0], w[1], w[2], w[4]) for w in want), key=repr)
+    assert len({w[4] for w in want} - {None}) == len(rows)
+    assert max(w[1] for w in want) >= 5
+
+
+def simulated(rows, slots):
+    """When each host's queue opens, and each task starts."""
+    first, free, out = {}, [0.0] * slots, {}
+    for host, seq, _ in sorted(rows, key=lambda r: r[1]):
+        first.setdefault(host, seq)
+    for host in sorted(first, key=lambda h: (first[h], h)):
+        k = min(range(slots), key=lambda i: (free[i], i))
+        at = opens = free[k]
+        for _, seq, delay in sorted((r for r in rows if r[0] == host), key=lambda r: r[1]):
+            out[seq] = (opens, at)
+            at += delay
+        free[k] = at
+    return out
+
+
+def test_hosts_take_turns(spark):
+    rows = [(f"h{k * k % 13}", k, float(1 + k * 7 % 11)) for k in range(80)]
+    for slots in (1, 3, 20):
+        got = fr.host_turns(spark.createDataFrame(rows, "host string, seq long, delay double"), slots).collect()
+        assert {r.seq: (r.opens, r.start) for r in got} == {k: pytest.approx(v) for k, v in simulated(rows, slots).items()}
+        assert {r.slot for r in got} <= set(range(1, slots + 1))
+    tasks = [(r.host, r.seq, r.delay) for r in qs.tasks(spark, SF).collect()]
+    got = {r.page_id: (r.opens, r.start) for r in qs.r3_host_turns(spark, SF).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-5) for k, v in simulated(tasks, 6).items()}
+
+
+def test_sums_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(fr, "PART", 4)
+    rows = [(["a", "b"][k % 3 == 0], k, float(k % 5)) for k in range(50)]
+    df = spark.createDataFrame(rows, "host string, seq long, delay double")
+    want = {k: sum(d for h2, k2, d in rows if h2 == h and k2 < k) for h, k, _ in rows}
+    assert {r.seq: r.start for r in fr.pull_times(df).collect()} == want
+    turns = {k: 1 + sum(1 for h2, k2, _ in rows if h2 == h and k2 > k) for h, k, _ in rows}
+    assert {r.seq: r.turn for r in fr.newest_first(df).collect()} == turns
+    assert sorted(r.seq for r in tb.capped(df, "host", "seq", 3).collect()) == [0, 1, 2, 3, 4, 6]
+
+
 def test_whole_scan_and_queue(spark):
     pages = sorted(r.page_id for r in tb.read(spark, SF, "pages").collect())
-    assert sorted(r.page_id for r in qs.s1_scan_whole(spark, SF).collect()) == pages
-    # More rows than the capped queries return, so that a cap shows.
+    assert sorted(r.page_id for r in qs.s1_scan(spark, SF).collect()) == pages
+    # More rows than a report would show, so that a cap shows.
     many = spark.range(5000, numPartitions=7).select(F.col("id").alias("seq"), F.concat(F.lit("h"), F.col("id") % 11).alias("host"), ((F.col("id") * 37) % 101).cast("double").alias("start"))
     got = fr.queue_order(many, "start", "host", "seq").collect()
     want = sorted(got, key=lambda r: (r.start, r.host, r.seq))
     assert [r["rank"] for r in want] == list(range(1, 5001))
     assert fr.queue_order(many.limit(0), "start").isEmpty()
     assert tb.scan(many, "seq").count() == 5000
+    assert [r.seq for r in tb.scan(many, "seq", 2).collect()] == [0, 1]
 
 
 def test_delays(spark):
@@ -157,3 +332,115 @@ def test_hosts_are_remembered_between_batches(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     got = {(r.seq, r.start) for r in spark.read.parquet(out).collect()}
     assert got == {(1, 0.0), (2, 0.0), (3, 5.0), (4, 7.0)}
+
+
+def test_an_idle_host_starts_anew(spark, tmp_path):
+    """With a timeout the state of a host goes, while one that is asked again in time keeps its own."""
+    source, out, state = (str(tmp_path / k) for k in ("in", "out", "state"))
+    schema = "host string, seq long, delay double"
+    put = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    put(("h", 1, 5.0))
+    stream = st.pull_times(spark.readStream.schema(schema).parquet(source), idle_ms=4000)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(processingTime="200 milliseconds").start(out)
+
+    def wait(n):
+        end = time.time() + 60
+        while time.time() < end:
+            try:
+                found = spark.read.schema(stream.schema).parquet(out).collect()
+            except Exception:  # noqa: BLE001 - nothing is there yet
+                found = []
+            if len(found) >= n:
+                return {(r.seq, r.start) for r in found}
+            time.sleep(0.2)
+        raise AssertionError("nothing came")
+
+    try:
+        assert wait(1) == {(1, 0.0)}
+        put(("h", 2, 1.0))
+        assert wait(2) == {(1, 0.0), (2, 5.0)}
+        time.sleep(10)  # the host is idle, and a batch without rows drops it
+        put(("h", 3, 1.0))
+        assert wait(3) == {(1, 0.0), (2, 5.0), (3, 0.0)}
+    finally:
+        run.stop()
+
+
+def test_a_stream_that_failed_goes_on_where_it_was(spark, tmp_path):
+    """A batch fails; the same call again does it, and what was finished before is neither lost nor done twice."""
+    source, out, state, bad = (str(tmp_path / k) for k in ("in", "out", "state", "bad"))
+    for k in range(4):
+        spark.createDataFrame([(f"http://h.org/{k}",), (f"http://h.org/{k // 2}",)], "url string").coalesce(1).write.mode("append").parquet(source)
+
+    def broken(batches):
+        import os
+
+        for pdf in batches:
+            if os.path.exists(bad) and pdf["url"].str.endswith("/2").any():
+                raise RuntimeError("the fetch died")
+            yield pdf
+
+    def once():
+        rows = spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(source)
+        return st.drained(st.unseen(rows.mapInPandas(broken, "url string")), "restart", out, state)
+
+    open(bad, "w").close()
+    with pytest.raises(Exception, match="the fetch died"):
+        once()
+    before = spark.read.parquet(out).count()
+    assert before < 4
+    (tmp_path / "bad").unlink()
+    assert sorted(r.url for r in once().collect()) == [f"http://h.org/{k}" for k in range(4)]
+
+
+def beat(k, seq, **given):
+    return (k, seq, *(given.get(x) for x in mo.COUNTERS))
+
+
+def test_the_run_ends_at_the_first_verdict(spark, tmp_path):
+    source = str(tmp_path / "beats")
+    schema = "id long, seq long, " + ", ".join(f"{x} long" for x in mo.COUNTERS)
+    start = dict(init=1, active_count=2, rcount=3, scount=3, failure=0, stop_order=0)
+    batches = [[beat(k, 1, **start) for k in range(2)], [beat(0, 2, active_count=0)], [beat(1, 3, active_count=0, rcount=4)], [beat(0, 4, scount=4)], [beat(1, 5, failure=1)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.05)
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    got = st.watched(read(), 2, 0).first()
+    # Done at the fourth batch: the failure that the fifth reports is never seen.
+    assert (got.active_count, got.rcount, got.scount, got.failure, got.verdict) == (0, 7, 7, 0, 0)
+    assert st.watched(read(), 3, 0).first().verdict == 2
+    assert st.watched(read(), 3, 1).first().verdict == 1
+    none = str(tmp_path / "none")
+    spark.createDataFrame([], schema).coalesce(1).write.parquet(none)
+    assert st.watched(spark.readStream.schema(schema).parquet(none), 3, 1).first().verdict is None
+
+
+def test_heartbeats_of_a_stream_and_of_a_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, "view"), (1, 9, "error"), (2, 1, "click")], "id long, event_id long, event_type string")
+    path = str(tmp_path / "in")
+    rows.coalesce(1).write.parquet(path)
+    kept = {}
+    run = st.heartbeats(spark.readStream.schema(rows.schema).parquet(path)).writeStream.outputMode("complete").foreachBatch(lambda df, _: kept.update({r.id: tuple(r) for r in df.collect()})).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert kept == {r.id: tuple(r) for r in mo.latest(rows).collect()} == {1: (1, 9, "error", 2), 2: (2, 1, "click", 1)}
+
+
+def test_the_writer_stops_at_its_cap(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(source)
+    for most, want in ((15, (15, 15, False)), (30, (30, 0, False)), (99, (30, 0, True))):
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(source)
+        assert tuple(st.capped_writer(stream, str(tmp_path / f"out{most}"), most).first()) == want
+
+
+def test_word_counts_in_a_row_are_those_of_a_table(spark):
+    texts = ["", None, "lease lease apple this the aaaa", "zulu yankee zulu xray yankee zulu", "word " * 5000 + "other"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = {}
+    for r in tx.word_counts(df, "k", "t").collect():
+        want.setdefault(r.k, []).append((-r.n, r.token))
+    got = df.select("k", tx.counted(F.filter(tx.word_tokens("t"), tx.topical)).alias("c")).collect()
+    assert {r.k: [(x.n, x.w) for x in r.c] for r in got} == {k: sorted(want.get(k, [])) for k in range(len(texts))}
+    assert {r.k: r.words for r in tx.frequent_words(df, "k", "t", 2).collect()} == {k: [w for _, w in sorted(want.get(k, []))][:2] for k in range(len(texts))}
