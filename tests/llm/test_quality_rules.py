@@ -1,6 +1,9 @@
+import math
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tarnkite.llm import quality_rules as q
@@ -61,3 +64,49 @@ def test_no_labels_one_class_no_documents(spark, docs, prose):
     ones = spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int")
     assert {r.predicted for r in q.classify(docs(rows[:20]), ones).collect()} == {1}
     assert q.classify(docs(rows[:5]).limit(0), ones).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text, by its bytes and words."""
+    raw = (text or "").encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw.lower() if raw.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in raw)) if w]
+    n = len(words)
+    if not n:
+        return [0.0] * len(q.STATISTICS)
+    share = lambda chars: sum(b in chars for b in raw) / n
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in raw)
+    found = {
+        "log_words": math.log2(n), "word_length": sum(map(len, words)) / n, "upper": sum(65 <= b <= 90 for b in raw) / max(1, letters), "digits": share(b"0123456789"),
+        "marks": share(b"#$%&*@^~=<>{}[]\\_"), "bangs": share(b"!?"), "bars": share(b"|"), "stops": share(b"."), "commas": share(b",;:"), "high": sum(b >= 128 for b in raw) / n, "breaks": share(b"\n"),
+        "short_words": sum(len(w) <= 3 for w in words) / n, "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "distinct": len(set(words)) / n,
+    }
+    return [found[k] for k in q.STATISTICS]
+
+
+def test_statistics_against_plain_counts(prose):
+    texts = [None, "", " \n\t", "One one ONE two!", "é É ß|x", prose(300, 3), "#$% 12 a,b;c\nLast.", prose(2000, 4).upper(), "x" * 3000, "a " * 500]
+    got = q.statistics(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        assert row.tolist() == pytest.approx(plain_statistics(text), abs=1e-12)
+
+
+def test_the_weights_are_the_least_of_the_lasso_loss():
+    """No weight of the fitted rules can be moved to a penalised loss that is lower by more than the steps leave open."""
+    draw = np.random.default_rng(5)
+    x = draw.random((600, len(q.STATISTICS)))
+    y = ((x[:, 0] > 0.6) & (x[:, 3] < 0.5) | (draw.random(600) < 0.05)).astype(float)
+    model = q.fit_rules(x, y)
+    a = np.stack([q.holds(rule, x) for rule, _ in model.rules], 1).astype(float)
+    w = np.array([v for _, v in model.rules])
+
+    def loss(w, b):
+        z = a @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + q.LASSO * np.abs(w).sum()
+
+    best = loss(w, model.base)
+    for k in range(len(w)):
+        for step in (-0.05, 0.05):
+            moved = w.copy()
+            moved[k] += step
+            assert loss(moved, model.base) > best - 1e-4
+    assert min(loss(w, model.base + s) for s in (-0.05, 0.05)) > best - 1e-4
