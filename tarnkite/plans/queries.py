@@ -562,6 +562,21 @@ SELECT page_id, round(CASE WHEN coalesce(p_n, 0) = 0 THEN 0 ELSE {q.squashed('n
   round(CASE WHEN coalesce(p_links, 0) = 0 THEN 0 ELSE {q.squashed('links / p_links')} END, 9) AS rel_links, round({q.squashed('run / 1000.0')}, 9) AS longest,
   array_to_string(top_words, ' ') AS top_words, array_to_string(title_words, ' ') AS title_words, '' AS parent_link_words, array_to_string(coalesce(p_title, []), ' ') AS parent_title_words
 FROM rel"""
+# The same, as a replay of the pages that have a label.
+JUDGED = (
+    "WITH RECURSIVE "
+    + FEATURES[FEATURES.index("p AS") : FEATURES.index("SELECT page_id, round(CASE")].rstrip()
+    + f""",
+tc AS (SELECT page_id AS id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS tc FROM pages JOIN labels ON doc_id = page_id),
+raw AS (
+  SELECT page_id AS id, '0' AS key, CASE WHEN coalesce(p_n, 0) = 0 THEN 0 ELSE {q.squashed('n / p_n')} END AS value FROM rel
+  UNION ALL SELECT page_id, '1', CASE WHEN coalesce(p_links, 0) = 0 THEN 0 ELSE {q.squashed('links / p_links')} END FROM rel
+  UNION ALL SELECT page_id, '2', {q.squashed('run / 1000.0')} FROM rel
+  UNION ALL SELECT page_id, '3:' || unnest(top_words), 1.0 FROM rel UNION ALL SELECT page_id, '4:' || unnest(title_words), 1.0 FROM rel
+  UNION ALL SELECT page_id, '6:' || unnest(p_title), 1.0 FROM rel),
+x AS (SELECT id, key, value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value FROM raw),
+{q.replay('x', 'tc')}"""
+)
 
 
 def features(spark, sf_dir) -> DataFrame:
@@ -629,11 +644,32 @@ def linked_pages(spark, sf_dir) -> DataFrame:
     return tb.dealt(rows).join(more, "page_id").select("page_id", "url", tx.ascii_clean(F.concat("html", F.lit(" "), "more")).alias("html"))
 
 
-@query()
+WALKED = (
+    """WITH RECURSIVE ranked AS (SELECT page_id, url, html, row_number() OVER (ORDER BY page_id) AS k FROM pages),
+web AS (
+  SELECT w.page_id, w.url, w.html || ' ' || coalesce(string_agg('<a href="' || c.url || '">next</a>', ' ' ORDER BY c.k), '') AS html
+  FROM ranked w LEFT JOIN ranked c ON c.k // 2 = w.k GROUP BY w.page_id, w.url, w.html),
+"""
+    + q.LINKS.replace("FROM pages)", "FROM web)")
+    + f""",
+taken AS MATERIALIZED (
+  SELECT DISTINCT page_id, {q.normal('url')} AS url FROM links WHERE NOT regexp_matches({q.normal('url')}, '{u.BLOCKED}') AND {q.safe(q.normal('url'))}),
+keyed AS MATERIALIZED (SELECT page_id, {q.normal("regexp_replace(url, '#.*$', '')")} AS key FROM pages),
+walk AS (
+  SELECT {q.normal('url')} AS url, 0 AS hop FROM ranked WHERE k = 1
+  UNION
+  SELECT f.url, hop + 1 FROM walk w JOIN keyed ON key = {q.normal("regexp_replace(w.url, '#.*$', '')")} JOIN taken f ON f.page_id = keyed.page_id WHERE NOT regexp_matches({q.path('w.url')}, '{u.DOCUMENT_PATH}')),
+first AS (SELECT url, min(hop) AS hop FROM walk GROUP BY 1)
+SELECT first.url, hop, page_id FROM first LEFT JOIN keyed ON key = {q.normal("regexp_replace(first.url, '#.*$', '')")}"""
+)
+
+
+@query(WALKED)
 def r1_crawl(spark, sf_dir):
-    """The whole loop from the first page over all that it leads to; checked against a plain walk in the tests."""
+    """The whole loop from the first page over all that it leads to, with no limit of distance."""
     web = linked_pages(spark, sf_dir)
-    return fr.crawl(web, tb.read(spark, sf_dir, "pages").orderBy("page_id").limit(1).select("url"), most=-1)
+    found = fr.crawl(web, tb.read(spark, sf_dir, "pages").orderBy("page_id").limit(1).select("url"), most=-1)
+    return found.select("url", "hop", "page_id")
 
 
 @query(f"""
@@ -645,9 +681,17 @@ def r3_first_queues(spark, sf_dir):
     return rows.select("page_id", (F.col("opens") == 0).alias("at_once"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE h AS MATERIALIZED (
+  SELECT {q.host('url')} AS host, row_number() OVER (ORDER BY min(page_id), {q.host('url')}) AS n, sum({DELAY}) AS busy FROM pages GROUP BY 1),
+fold AS (
+  SELECT 0::BIGINT AS n, [0, 0, 0, 0, 0, 0]::DOUBLE[] AS free, NULL::VARCHAR AS host, 0::BIGINT AS slot, 0.0::DOUBLE AS opens
+  UNION ALL
+  SELECT h.n, list_transform(f.free, lambda v, i: CASE WHEN i = list_position(f.free, list_min(f.free)) THEN v + busy ELSE v END), h.host, list_position(f.free, list_min(f.free))::BIGINT, list_min(f.free)
+  FROM fold f JOIN h ON h.n = f.n + 1)
+SELECT page_id, s.host, slot, round(opens, 6) AS opens, round(opens + start, 6) AS start FROM ({STARTS}) s JOIN fold ON fold.host = s.host""")
 def r3_host_turns(spark, sf_dir):
-    """Every task's host queue: its slot, when it opens, and when the task starts; checked against a plain simulation in the tests."""
+    """Every task's host queue: its slot, when it opens, and when the task starts."""
     return fr.host_turns(tasks(spark, sf_dir)).select("page_id", "host", "slot", F.round("opens", 6).alias("opens"), F.round("start", 6).alias("start"))
 
 
@@ -748,36 +792,38 @@ def labelled(spark, sf_dir) -> DataFrame:
     return rows.select("id", ft.sparse_vector([F.length("text") / 1000.0], [tx.word_tokens("text")]).alias("x"), "tc")
 
 
-# The replay is sequential, so these are checked against a plain fold in the tests.
+# The replay is sequential; its SQL goes by dot products, and the tests also fold plainly.
+LEARNED = f"WITH RECURSIVE {VECTORS}, tc AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS tc FROM labels JOIN documents USING (doc_id)), {q.replay('x', 'tc')}"
 
 
-@query()
+@query(f"{LEARNED} SELECT id, round(score, 9) AS score, tc, round(loss, 9) AS loss, updated FROM steps")
 def m5_replay(spark, sf_dir):
     """Every labelled document in id order."""
-    return ln.replay(labelled(spark, sf_dir))
+    return ln.replay(labelled(spark, sf_dir)).withColumns({"score": F.round("score", 9), "loss": F.round("loss", 9)})
 
 
-@query()
+@query(f"{LEARNED} SELECT id, NOT updated AS skipped FROM steps")
 def m6_skipped(spark, sf_dir):
     return ln.replay(labelled(spark, sf_dir)).select("id", (~F.col("updated")).alias("skipped"))
 
 
-@query()
+@query(f"{LEARNED} SELECT key, round(weight, 9) AS weight FROM weights WHERE round(weight, 9) > 0")
 def m7_readable_weights(spark, sf_dir):
-    return ln.final_weights(labelled(spark, sf_dir)).where("weight > 0")
+    return ln.final_weights(labelled(spark, sf_dir)).withColumn("weight", F.round("weight", 9)).where("weight > 0")
 
 
-@query()
+@query(f"{LEARNED} SELECT id, round(score, 9) AS score FROM steps WHERE abs(score) > 0.5")
 def f8_confidence_gate(spark, sf_dir):
     """Rows that are scored beyond the gate, from which nothing is learned."""
-    return ln.replay(labelled(spark, sf_dir)).where(F.abs("score") > ln.GATE).select("id", "score")
+    return ln.replay(labelled(spark, sf_dir)).where(F.abs("score") > ln.GATE).select("id", F.round("score", 9).alias("score"))
 
 
-@query()
+# Weights of rows that were all skipped stand in no map.
+@query(f"{LEARNED} SELECT key, round(sum(step * value), 9) AS weight FROM entries JOIN steps USING (t) WHERE updated GROUP BY 1")
 def k6_weight_rows(spark, sf_dir):
     path = tb.new_path(spark, "weights") + "/weights.csv"
     tb.write_csv(ln.final_weights(labelled(spark, sf_dir)), path)
-    return spark.read.schema("key string, weight double").csv(path, header=True)
+    return spark.read.schema("key string, weight double").csv(path, header=True).withColumn("weight", F.round("weight", 9))
 
 
 def judged_pages(spark, sf_dir) -> DataFrame:
@@ -790,7 +836,8 @@ def judged_pages(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("page_id").alias("id"), "url", "tc", ft.sparse_vector([F.col(x) for x in ft.NUMBERS], [F.col(x) for x in ft.TOKENS]).alias("x"), F.array(*keys).alias("slots"))
 
 
-@query()
+@query(f"""{JUDGED} SELECT s.id AS db_id, round(score, 9) AS score, tc, round(loss, 9) AS loss, (SELECT count(DISTINCT key) FROM entries)::INT AS n_weights,
+  round(sum(step * total) OVER (ORDER BY s.t), 9) AS weight_sum FROM steps s JOIN (SELECT t, sum(value) AS total FROM entries GROUP BY 1) e ON e.t = s.t""")
 def k6_batch_csv(spark, sf_dir):
     """The replay of all judged pages as a wide CSV: id, url, score, tc, loss and each weight after the row. Read back, with the number and the sum of its weights."""
     rows = tb.stored(judged_pages(spark, sf_dir), "judged")
@@ -800,17 +847,20 @@ def k6_batch_csv(spark, sf_dir):
     cells = F.split(F.regexp_replace("value", r'^([^,]*),"(?:[^"]|"")*",', "$1,"), ",")
     read = spark.read.text(path).where(~F.col("value").startswith("db_id,")).select(cells.alias("c"))
     weights = F.transform(F.slice("c", 5, F.size("c")), lambda w: w.cast("double"))
-    return read.select(F.col("c")[0].cast("long").alias("db_id"), F.col("c")[1].cast("double").alias("score"), F.col("c")[2].cast("int").alias("tc"), F.col("c")[3].cast("double").alias("loss"), F.size(weights).alias("n_weights"), F.aggregate(weights, F.lit(0.0), lambda a, w: a + w).alias("weight_sum"))
+    number = lambda k: F.round(F.col("c")[k].cast("double"), 9)
+    return read.select(F.col("c")[0].cast("long").alias("db_id"), number(1).alias("score"), F.col("c")[2].cast("int").alias("tc"), number(3).alias("loss"), F.size(weights).alias("n_weights"), F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 9).alias("weight_sum"))
 
 
-@query()
+@query(f"{JUDGED} SELECT id, e.key, round(value, 9) AS x, round(coalesce(weight, 0), 9) AS weight FROM entries e JOIN turns USING (t) LEFT JOIN weights w ON w.key = e.key")
 def m7_explained(spark, sf_dir):
     """Each entry of each judged page's vector beside its final weight, line by line."""
     rows = tb.stored(judged_pages(spark, sf_dir), "judged")
-    return ln.explained(rows, ln.final_weights(rows))
+    return ln.explained(rows, ln.final_weights(rows)).withColumns({"x": F.round("x", 9), "weight": F.round("weight", 9)})
 
 
-@query()
+@query(f"""{JUDGED} SELECT s.id, p.url, n_features::INT AS n_features, md5(regexp_replace(regexp_replace(p.html, '^.*?<body[^>]*>', '', 's'), '</body>.*$', '', 's')) AS body,
+  printf('%.2f', 100 * round(score, 9)) AS shown, tc, round(loss, 9) AS loss, CASE WHEN tc = 1 THEN 'positive' ELSE 'negative' END AS route
+FROM steps s JOIN pages p ON p.page_id = s.id JOIN (SELECT t, count(*) AS n_features FROM entries GROUP BY 1) e ON e.t = s.t""")
 def m8_analysis(spark, sf_dir):
     """What the judge of each page sees, and what follows: the next page by id, its features, its score with the weights so far,
     the features with the weights that they had, its body; then the label is learned and the page routed."""
@@ -818,7 +868,7 @@ def m8_analysis(spark, sf_dir):
     steps = ln.replay(rows)
     body = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.md5(tx.body("html").cast("binary")).alias("body"))
     shown = rows.select("id", "url", F.size("x").alias("n_features")).join(steps, "id").join(body, "id")
-    return shown.select("id", "url", "n_features", "body", F.format_string("%.2f", 100 * F.col("score")).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
+    return shown.select("id", "url", "n_features", "body", F.format_string("%.2f", 100 * F.round("score", 9)).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
 
 
 @query("SELECT p.page_id, p.url, p.html, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS route FROM pages p JOIN labels l ON l.doc_id = p.page_id")

@@ -131,3 +131,22 @@ def draw(x: str) -> str:
 
 def node(x: str, nodes: int) -> str:
     return f"{draw(x)} % {nodes}"
+
+
+def replay(vectors: str, labels: str, cap: float = 1.0, gate: float = 0.5) -> str:
+    """CTEs that end in `steps` (id, t, tc, score, loss, updated, step) and `weights` (key, weight): a replay of vectors
+    (id, key, value) and labels (id, tc) in order of id. Weights are sums of steps times vectors, so scores are sums of steps
+    times dot products of vectors."""
+    return f"""turns AS MATERIALIZED (SELECT id, tc, row_number() OVER (ORDER BY id) AS t FROM {labels}),
+entries AS MATERIALIZED (SELECT t, key, value FROM {vectors} JOIN turns USING (id)),
+products AS (SELECT a.t AS t, b.t AS i, sum(a.value * b.value) AS dot FROM entries a JOIN entries b ON a.key = b.key AND b.t <= a.t GROUP BY ALL),
+dots AS MATERIALIZED (SELECT x.t, list(coalesce(dot, 0.0) ORDER BY y.t) AS dots FROM turns x JOIN turns y ON y.t <= x.t LEFT JOIN products p ON p.t = x.t AND p.i = y.t GROUP BY 1),
+fold AS (
+  SELECT 0::BIGINT AS t, []::DOUBLE[] AS steps, 0.0::DOUBLE AS score, 0.0::DOUBLE AS loss, false AS updated
+  UNION ALL
+  SELECT t, list_append(steps, CASE WHEN abs(score) <= {gate} AND size > 0 THEN least({cap}, greatest(0.0, 1.0 - tc * score) / size) * tc ELSE 0.0 END), score,
+         greatest(0.0, 1.0 - tc * score), abs(score) <= {gate} AND size > 0
+  FROM (SELECT r.t, f.steps, r.tc, d.dots[r.t] AS size, CASE WHEN f.t = 0 THEN 0.0 ELSE list_dot_product(f.steps, d.dots[1:f.t]) END AS score
+        FROM fold f JOIN turns r ON r.t = f.t + 1 JOIN dots d ON d.t = r.t)),
+steps AS MATERIALIZED (SELECT id, t, tc, score, loss, updated, steps[t] AS step FROM fold JOIN turns USING (t)),
+weights AS (SELECT key, sum(step * value) AS weight FROM entries JOIN steps USING (t) GROUP BY 1)"""

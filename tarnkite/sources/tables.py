@@ -9,14 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed value: what a CSV file's path must have.
 CSV_PATH = r"(/|^)[A-Za-z0-9_]+\.csv"
 
-PAGE_STATS = T.StructType([T.StructField("text_length", T.DoubleType()), T.StructField("links", T.DoubleType()), T.StructField("title_tokens", T.ArrayType(T.StringType())), T.StructField("link_tokens", T.ArrayType(T.StringType()))])
-PAYLOAD = T.StructType([T.StructField("id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("parent_stats", PAGE_STATS), T.StructField("html", T.StringType()), T.StructField("parent_url", T.StringType()), T.StructField("node", T.IntegerType())])
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

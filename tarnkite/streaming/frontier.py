@@ -14,8 +14,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import monitor as mo
 from ..sources.tables import new_path
 
-#: A host without tasks for so long is forgotten.
-IDLE_MS = 3_600_000
 #: Rows that a host's answer comes in at once.
 ROWS = 10_000
 #: What a message carries.
@@ -31,7 +29,7 @@ def pull_times(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """host, seq, start for tasks (host, seq, delay): the sum of the delays of the host's earlier tasks.
 
     The state of a host is the time at which it is free again; tasks of one
-    batch go by seq. A host that was idle for idle_ms (say IDLE_MS) is dropped
+    batch go by seq. A host that was idle for idle_ms (say an hour) is dropped
     and starts anew. Leave it None where a run is to end by itself: with a
     timeout there is always another batch to run. Of one host's tasks in one
     batch only seq and delay are held, 16 bytes a task; the source's files per

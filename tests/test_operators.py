@@ -226,7 +226,7 @@ def test_crawl_of_the_sample(spark):
     for r in u.page_links(web).orderBy("page_id", "pos").collect():
         links.setdefault(r.page_id, []).append(r.url)
     want = walk(pages, links, [rows[0].url], -1)
-    got = qs.r1_crawl(spark, SF).collect()
+    got = fr.crawl(web, spark.createDataFrame([(rows[0].url,)], "url string"), -1).collect()
     assert sorted(((r.url, r.hop, r.distance, r.page_id) for r in got), key=repr) == sorted(((w[0], w[1], w[2], w[4]) for w in want), key=repr)
     assert len({w[4] for w in want} - {None}) == len(rows)
     assert max(w[1] for w in want) >= 5
