@@ -10,17 +10,16 @@ from . import _common as c
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is linked with the least of the node and its neighbours."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return c.join_one(both.where("b > a"), least, ["a"], F.col("b")).select(F.col("least").alias("a"), "b").where("a <> b").distinct()
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    led = c.with_first(both, ["a"], F.col("b"), F.col("b")).where("b > a")
+    return led.select(F.least("first", "a").alias("a"), "b").where("a <> b").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Each smaller neighbour of a node, and the node, are linked with the least of them."""
     down = edges.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    least = down.groupBy("b").agg(F.min("a").alias("least"))
-    moved = c.join_one(down, least, ["b"], F.col("a")).select(F.col("least").alias("a"), F.col("a").alias("b"))
-    return moved.union(least.select(F.col("least").alias("a"), "b")).where("a <> b").distinct()
+    led = c.with_first(down, ["b"], F.col("a"), F.col("a"))
+    return led.select(F.col("first").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -33,5 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = c.staged(small_star(large_star(edges)), "edges")
+        # Stored in between, as each star uses its edges several times, and plans would multiply.
+        edges = c.staged(small_star(c.staged(large_star(edges), "edges")), "edges")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())

@@ -285,10 +285,11 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     near = c.join_one(near, one.toDF("b", "nb", "pb"), ["b"], F.col("a")).select("a", "b", "na", "nb", "pa", "pb")
     near = c.staged(near.mapInArrow(near_parities, "a long, b long"), "near-pairs")
     # a is the star of its pairs; one with many is dealt out over parts, each with its own copy.
-    stars = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
-    roles = c.join_one(near, stars, ["a"], F.col("b")).select(F.col("a").alias("star"), part, F.col("b").alias("cls"))
-    roles = roles.union(stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "a"))
+    parts = F.ceil(F.col("many") / F.lit(STAR)).cast("int")
+    dealt = c.with_first(near, ["a"], F.lit(0), F.col("b")).select("a", "b", parts.alias("parts"))
+    dealt = dealt.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", "parts")
+    # Each part has its star's row too, from whichever of its pairs comes first.
+    roles = dealt.select(F.col("a").alias("star"), "part", F.explode(F.array("a", "b")).alias("cls")).distinct()
     roles = c.staged(roles.join(sets.select("cls", "doc"), "cls"), "star-roles")
     few = c.sieved(docs, roles.select("doc").distinct()).dropDuplicates(["doc"])
     rows = c.join_one(roles, few, ["doc"], F.col("part")).select("star", "part", "cls", "text")
@@ -346,11 +347,11 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     # Each document gets the least id of its component, by way of its class.
     own = made.select("id", "n", "d1", "d2", "row", "doc", F.pmod(F.xxhash64("row"), F.lit(64)).alias("salt"))
     some = own.where("n > 0")
-    near = some.groupBy("n", "d1", "d2", "salt").agg(F.min(place).alias("rep"))
+    near = c.staged(some.groupBy("n", "d1", "d2", "salt").agg(F.min(place).alias("rep")), "near-sets")
     far = near.groupBy("n", "d1", "d2").agg(F.min("rep").alias("rep"))
-    far = far.join(joined, F.col("rep.row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep.row"))
+    far = c.staged(far.join(joined, F.col("rep.row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep.row")), "sets")
     far = c.with_first(far, ["component"], F.col("rep"), F.col("rep.row")).select("n", "d1", "d2", F.col("first.id.id").alias("component_id"), F.col("first.row").alias("head"))
-    down = near.select("n", "d1", "d2", "salt").join(far, ["n", "d1", "d2"])
+    down = c.staged(near.select("n", "d1", "d2", "salt").join(far, ["n", "d1", "d2"]), "set-components")
     whole = some.join(down, ["n", "d1", "d2", "salt"]).select("doc", "id", F.col("n").cast("long").alias("n_shingles"), "component_id", (F.col("head") == F.col("row")).alias("first"))
     return whole.unionByName(own.where("n = 0").select("doc", "id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("first")))
 
