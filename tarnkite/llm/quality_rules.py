@@ -148,9 +148,10 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
             if leaf:
                 z = z + RATE * step * holds(rule, x)
     rules = list(found)
-    a = np.stack([holds(r, x) for r in rules], 1).astype(float) if rules else np.zeros((len(y), 0))
-    used, kept = np.unique(a, axis=1, return_index=True) if rules else (a, np.zeros(0, int))
-    a, rules = a[:, np.sort(kept)], [rules[k] for k in np.sort(kept)]
+    # Rules that hold for the same rows are one; bits are compared, for the driver's memory.
+    a = np.stack([holds(r, x) for r in rules], 1) if rules else np.zeros((len(y), 0), bool)
+    kept = np.sort(np.unique(np.packbits(a, axis=0), axis=1, return_index=True)[1]) if rules else np.zeros(0, int)
+    a, rules = a[:, kept].astype(float), [rules[k] for k in kept]
     w = v = np.zeros(a.shape[1])
     b = u = base
     scale, t0 = 0.25 * (1 + np.linalg.norm(a, 2) ** 2 / len(y)) if rules else 1.0, 1.0
