@@ -1,5 +1,6 @@
 """Each query that has SQL against it, on the smallest tables."""
 
+import os
 from pathlib import Path
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 from tarnkite.llm.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
