@@ -64,3 +64,26 @@ def test_empty_table(spark, prose):
     warc.archive_pages(none, folder)
     assert warc.read_pages(none, folder).count() == 0
     assert warc.read_pages(table(spark, rows_of(prose)[:2]), folder).count() == 0
+
+
+@pytest.mark.parametrize("least", [0, 50])
+def test_payloads_that_pass_the_filter_by_chance(spark, prose, monkeypatch, least):
+    """A filter of 64 bits lets most payloads through; they are told by their digests."""
+    monkeypatch.setattr(c, "filter_bits", lambda n, **_: 6)
+    rows, folder = rows_of(prose), c.new_folder(spark, "warc-filter")
+    warc.archive_pages(table(spark, rows).repartition(3), folder, least)
+    got = warc.read_pages(table(spark, rows), folder).collect()
+    assert sorted(((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute(rows, least)
+    text = {r[0]: (r[2] or "").encode() for r in rows}
+    assert all(bytes(r.payload) == text[r.page_id] for r in got if r.record_type == "response")
+
+
+def test_folders_by_scheme(monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc.fs, "FileSystem", type("Fake", (), {"from_uri": staticmethod(lambda uri: asked.append(uri) or (None, uri))}))
+    for folder in ("file:///a", "s3a://b/c", "s3n://b/c", "dbfs:/d/e", "hdfs://n/f"):
+        warc.store(folder)
+    assert asked == ["file:///a", "s3://b/c", "s3://b/c", "file:///dbfs/d/e", "hdfs://n/f"]
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="viewfs"):
+        warc.store("viewfs://store/a")
