@@ -296,3 +296,22 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """contaminated() of all documents and the whole benchmark; it says what holds for nulls, short items and repeated rows."""
     return contaminated(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+
+
+_TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{3000}-\x{9fff}\x{f000}-\x{ffff}\x{10000}-\x{10ffff}]|[a-z0-9\x{80}-\x{2fff}\x{a000}-\x{efff}]+')"
+#: By all equal tokens of all documents and items, for tables without null or repeated ids; a stretch is best where a token enters it or at the item's start.
+OP7_SQL = """
+WITH own AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, TOKENS AS w FROM documents)),
+items AS (SELECT item_id, w, len(w) AS n, least(len(w), 20) AS width FROM (SELECT item_id, TOKENS AS w FROM benchmark)),
+item_tokens AS (SELECT item_id, unnest(w) AS token, unnest(range(n)) AS place FROM items),
+same AS (SELECT doc_id, item_id, pos - place AS start, place FROM own JOIN item_tokens USING (token)),
+counted AS (
+  SELECT doc_id, item_id, n, width, start, place, count(*) OVER (PARTITION BY doc_id, item_id, start ORDER BY place RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS upto,
+         count(*) FILTER (place < width) OVER (PARTITION BY doc_id, item_id, start) AS early
+  FROM same JOIN items USING (item_id)),
+stretches AS (
+  SELECT doc_id, item_id, n, width, start AS spot, early AS matched FROM counted
+  UNION ALL SELECT doc_id, item_id, n, width, start + place - width + 1, upto FROM counted WHERE place >= width)
+SELECT doc_id, item_id, any_value(n)::INT AS n_tokens, max(matched)::INT AS matched, any_value(width)::INT AS "window", arg_min(spot, -matched * 1000000000 + spot)::BIGINT AS "at"
+FROM stretches WHERE matched >= CASE WHEN n < 8 THEN n ELSE ceil(width * 0.8) END GROUP BY doc_id, item_id
+""".replace("TOKENS", _TOKENS)

@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
 from .chat_windows import OP5_SQL, op5_chat_windows
-from .decontaminate import op7_decontaminate
+from .decontaminate import OP7_SQL, op7_decontaminate
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .license_scan import op2_license_scan
@@ -29,5 +29,6 @@ ORACLE_SQL = {
     "op4_jaccard_join": OP4_SQL,
     "op5_chat_windows": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_decontaminate": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
