@@ -278,11 +278,16 @@ def linked_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link. sets: cls, n, doc, parity, one row a set; docs: doc, text."""
+def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, stars: bool) -> DataFrame:
+    """The pairs (a, b) of sets that link. sets: cls, n, doc, parity, one row a set; docs: doc, text.
+
+    stars: whether each b comes from lists that it is in, each with one star a;
+    then it is in no more pairs than it has keys, and only a can be in very many.
+    """
     one = sets.select("cls", "n", "parity")
     near = c.join_one(pairs, one.toDF("a", "na", "pa"), ["a"], F.col("b"))
-    near = c.join_one(near, one.toDF("b", "nb", "pb"), ["b"], F.col("a")).select("a", "b", "na", "nb", "pa", "pb")
+    other = one.toDF("b", "nb", "pb")
+    near = (near.join(other, "b") if stars else c.join_one(near, other, ["b"], F.col("a"))).select("a", "b", "na", "nb", "pa", "pb")
     near = c.staged(near.mapInArrow(near_parities, "a long, b long"), "near-pairs")
     # a is the star of its pairs; one with many is dealt out over parts, each with its own copy.
     parts = F.ceil(F.col("many") / F.lit(STAR)).cast("int")
@@ -324,7 +329,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     stars = c.union([shared.select(*heads.columns), heads]).where("cls <> cls0")
     stars = stars.where(may_link(F.col("n"), F.col("pos"), F.col("n0"), F.col("pos0"), F.col("light"), boundary))
     tried = c.staged(stars.select(F.col("cls0").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
-    links = linked(tried, sets, docs)
+    links = linked(tried, sets, docs, True)
 
     # Lists whose members are not in one component yet: their pairs across components.
     joined = components(links)
@@ -341,7 +346,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = c.staged(pairs.join(known, ["a", "b"], "left_anti"), "cross-pairs")
     if not pairs.isEmpty():
-        joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(linked(pairs, sets, docs)))
+        joined = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).union(linked(pairs, sets, docs, False)))
     joined = c.staged(joined, "components")
 
     # Each document gets the least id of its component, by way of its class.
