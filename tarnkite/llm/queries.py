@@ -8,6 +8,7 @@ from .license_scan import op2_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op9_mix_sources
 from .quality_rules import op3_quality_rules
+from .rolling_median import OP11_SQL, op11_rolling_median
 from .sanitise import op8_sanitise
 from .warc import OP1_SQL, op1_warc_index
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_sanitise": op8_sanitise,
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
+    "op11_rolling_median": op11_rolling_median,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op7_decontaminate": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_rolling_median": OP11_SQL,
 }
