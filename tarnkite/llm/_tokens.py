@@ -84,8 +84,8 @@ def words(raw: np.ndarray, at: np.ndarray, separator: str = "space") -> tuple[np
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
-def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, A-Z as a-z; lanes are independent of each other.
+def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, A-Z as a-z (if fold); lanes are independent of each other.
 
     Eight bytes at a time go through a mix that is no linear function of them, so
     no two words collide by their structure; words of one length up to eight
@@ -97,7 +97,7 @@ def word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int =
         low = begin[k]
         m = max(k + 1, int(np.searchsorted(end, low + PIECE, "right")))
         piece = np.zeros(int(end[m - 1] - low) + 8, np.uint8)
-        piece[:-8] = _LOWER[raw[low : end[m - 1]]]
+        piece[:-8] = _LOWER[raw[low : end[m - 1]]] if fold else raw[low : end[m - 1]]
         eights = np.ndarray(len(piece) - 7, "<u8", piece, strides=(1,))
         b, size = begin[k:m] - low, end[k:m] - begin[k:m]
         part = mixed(size.astype(np.uint64) + _SEED[lane])

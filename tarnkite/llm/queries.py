@@ -7,9 +7,11 @@ from .jaccard_join import OP4_SQL, op4_jaccard_join
 from .license_scan import op2_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op9_mix_sources
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .quality_rules import op3_quality_rules
 from .rolling_median import OP11_SQL, op11_rolling_median
 from .sanitise import op8_sanitise
+from .substring_dedup import OP12_SQL, op12_substring_dedup
 from .warc import OP1_SQL, op1_warc_index
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_line_dedup": op10_line_dedup,
     "op11_rolling_median": op11_rolling_median,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -34,4 +38,6 @@ ORACLE_SQL = {
     "op7_decontaminate": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
     "op11_rolling_median": OP11_SQL,
+    "op12_substring_dedup": OP12_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
