@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import skew as sk
+from ..sources.tables import stored
 from . import text as tx
 
 #: Letters of a page that the longest run of text is measured against, and topical words kept.
 USUAL_RUN, TOP = 1000.0, 20
+#: Numbers of an order that one task looks at.
+PART = 1 << 16
 STATS = "struct<text_length: double, links: double, title_tokens: array<string>, link_tokens: array<string>>"
 #: Numeric and token slots of a feature vector, in order.
 NUMBERS, TOKENS = ("rel_text", "rel_links", "longest"), ("top_words", "title_words", "parent_link_words", "parent_title_words")
@@ -27,11 +30,14 @@ def relative(own: Column, parent: Column) -> Column:
 
 
 def with_parents(measures: DataFrame, order: str, *carried: str) -> DataFrame:
-    """measures (host, ...) with `parent`: a struct of the carried columns of the page before it on its host; null for the first.
+    """measures (host, ...) with `parent`: a struct of the carried columns of the page before it on its host, by a number; null for the first.
 
-    Measures are narrow, so only a few numbers and words of each page are shuffled.
+    Measures are stored once, as they are narrow and heavy to compute. A host
+    is looked at in ranges of PART numbers, so one with a third of all pages is
+    in no one task; the first page of a range takes the last of the ranges before.
     """
-    return measures.withColumn("parent", F.lag(F.struct(*carried)).over(W.partitionBy("host").orderBy(order)))
+    rows = stored(measures, "measures").withColumn("_at", F.col(order)).withColumn("_part", F.floor(F.col(order) / PART))
+    return sk.carried(rows, "host", F.struct(*carried), "parent", itself=False).drop("_at", "_part")
 
 
 def page_metrics(pages: DataFrame) -> DataFrame:

@@ -109,3 +109,8 @@ def page_links(pages: DataFrame) -> DataFrame:
 def node_of(key: Text, nodes: int) -> Column:
     """Which of `nodes` workers a key belongs to: the first 32 bits of its MD5."""
     return (F.conv(F.substring(F.md5(as_column(key).cast("binary")), 1, 8), 16, 10).cast("long") % nodes).cast("long")
+
+
+def routed(rows: DataFrame, nodes: int) -> DataFrame:
+    """rows, those with node n in partition n and in no other: hashes of nodes would put two into one partition."""
+    return rows.repartitionById(nodes, F.col("node").cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as u
 from ..functions.text import Text, as_column
-from ..sources.tables import stored
+from ..sources.tables import new_path, stored
+from . import skew as sk
+from .seen import SeenFilter
 
 #: Seconds of base delay, hosts that are served at once, seconds that an address stays valid.
 BASE_DELAY, LIVE_HOSTS, ADDRESS_AGE = 60.0, 6, 21_600
@@ -20,16 +23,53 @@ BASE_DELAY, LIVE_HOSTS, ADDRESS_AGE = 60.0, 6, 21_600
 PART = 1 << 16
 
 
-def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
-    """Candidates (url, seq, ...) whose url is new: the first of each by seq, none of seen (url)."""
+def unseen(candidates: DataFrame, seen: DataFrame, sieve: SeenFilter | None = None) -> DataFrame:
+    """Candidates (url, seq, ...) whose url is new: the first of each by seq, none of seen (url).
+
+    With a sieve that all of seen is in, only the few candidates that it lets
+    through are looked up in seen; the result is the same.
+    """
     first = candidates.groupBy("url").agg(F.min_by(F.struct(*candidates.columns), "seq").alias("c")).select("c.*")
-    return first.join(seen.select("url").distinct(), "url", "left_anti")
+    if sieve is None:
+        return first.join(seen.select("url").distinct(), "url", "left_anti")
+    asked = stored(sieve.maybe(first), "asked")
+    doubtful = asked.where("maybe").drop("maybe")
+    # The doubtful ones are the small side of this join, and the large side is read once.
+    known = seen.select("url").join(doubtful.select("url"), "url", "left_semi").distinct()
+    return asked.where("not maybe").drop("maybe").unionByName(doubtful.join(known, "url", "left_anti"))
+
+
+def is_stale(now: Column, checked: Column, age: int = ADDRESS_AGE) -> Column:
+    """Whether an address is too old, or there is none."""
+    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(checked) > age, F.lit(True))
 
 
 def addresses(rows: DataFrame, known: DataFrame, now: Column, age: int = ADDRESS_AGE) -> DataFrame:
-    """rows (host, ...) with addr and stale: the known address (host, addr, checked_at), and whether it is too old."""
-    found = rows.join(known, "host", "left")
-    return found.withColumn("stale", F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("checked_at") > age, F.lit(True))).drop("checked_at")
+    """rows (host, ...) with addr and stale: the known address (host, addr, checked_at), and whether it is too old. A host may have a third of all rows."""
+    found = sk.dealt_join(rows, known, ["host"], F.struct(*rows.columns), "left")
+    return found.withColumn("stale", is_stale(now, F.col("checked_at"), age)).drop("checked_at")
+
+
+def addresses_then(requests: DataFrame, lookups: DataFrame, age: int = ADDRESS_AGE) -> DataFrame:
+    """requests (host, at, ...) with addr, checked_at and stale, as they were at the time of each: by the last lookup of its host up to then.
+
+    lookups: host, at, seq, addr; a null addr is a lookup that failed, after
+    which the host has no address. Of lookups of one time the last by seq counts,
+    and a request of that time knows it. Both are sorted together by host and
+    time, in ranges, and the last lookup is carried on from range to range.
+    """
+    asked = requests.select("host", "at", F.lit(1).alias("side"), F.lit(None).cast("long").alias("seq"), F.struct(*requests.columns).alias("r"), F.lit(None).alias("known"))
+    told = lookups.select("host", "at", F.lit(0).alias("side"), F.col("seq").cast("long").alias("seq"), F.lit(None).alias("r"), F.struct("addr", F.col("at").alias("checked_at")).alias("known"))
+    both = sk.in_ranges(asked.unionByName(told.where("host is not null")), "host", "at", "side", "seq")
+    found = sk.carried(both, "host", F.col("known"), "last", itself=True).where("side = 1")
+    stale = is_stale(F.col("r.at"), F.col("last.checked_at"), age) | F.col("last.addr").isNull()
+    return found.select("r.*", F.col("last.addr").alias("addr"), F.col("last.checked_at").alias("checked_at"), stale.alias("stale"))
+
+
+def to_refresh(requests: DataFrame) -> DataFrame:
+    """host, at of addresses_then() whose latest request found no address, or one that was too old."""
+    last = requests.groupBy("host").agg(F.max(F.struct("at", "stale")).alias("last"))
+    return last.where("host is not null and last.stale").select("host", "last.at")
 
 
 def resolvable(rows: DataFrame) -> DataFrame:
@@ -42,7 +82,7 @@ def child_distance(host: Column, parent_host: Column, distance: Column) -> Colum
     return F.when(host == parent_host, distance).otherwise(distance + 1)
 
 
-def admitted(candidates: DataFrame, seen: DataFrame, most: int = 0, blocked: str = u.BLOCKED) -> DataFrame:
+def admitted(candidates: DataFrame, seen: DataFrame, most: int = 0, blocked: str = u.BLOCKED, sieve: SeenFilter | None = None) -> DataFrame:
     """One pass of admission over candidates (url, seq, parent_url, distance).
 
     In this order: drop one trailing slash, drop blocked URLs, take those never
@@ -51,7 +91,7 @@ def admitted(candidates: DataFrame, seen: DataFrame, most: int = 0, blocked: str
     parent_url, host, distance, admitted; rows that are not admitted are seen.
     """
     rows = candidates.select(u.normal_url("url").alias("url"), "seq", "parent_url", "distance").where(~u.is_blocked("url", blocked))
-    rows = unseen(rows, seen)
+    rows = unseen(rows, seen, sieve)
     rows = rows.withColumn("host", u.host("url")).withColumn("distance", child_distance(F.col("host"), u.host("parent_url"), F.col("distance")))
     fits = u.is_safe("url") & (F.lit(most < 0) | (F.col("distance") <= most))
     return rows.select("url", "seq", "parent_url", "host", "distance", fits.alias("admitted"))
@@ -108,6 +148,34 @@ def host_slots(tasks: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
     return ranked.withColumn("live", F.col("slot").isNotNull())
 
 
+def initialised(seeds: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
+    """Which host queue each seed (host, seq) comes into when a frontier begins, and its turn there: host, seq, slot, turn.
+
+    Seeds are taken from the end until `slots` hosts have a queue; then the rest
+    follow from the front, into the queues of their hosts or, where a host has
+    none (slot null), into overflow, whose turns are in the order in which they
+    came. A queue's first seed is its host's first task (turn 1), and the others
+    are pulled in the reverse of the order in which they came. Slots that no
+    host takes are empty queues: a row without host and seq.
+    """
+    tops = seeds.groupBy("host").agg(F.max("seq").alias("top")).where("host is not null")
+    # Only the first hosts from the end matter, and those are found without sorting all in one task.
+    live = tops.orderBy(F.desc("top"), "host").limit(slots).withColumn("slot", F.row_number().over(W.orderBy(F.desc("top"), "host")).cast("long"))
+    live = stored(live, "live")
+    taken, cut = live.agg(F.count("*"), F.min("top")).first()
+    low = seeds.agg(F.coalesce(F.min("seq"), F.lit(0))).first()[0]
+    # With a slot left, all seeds are taken from the end; else those down to the first one of the last host.
+    from_end = F.lit(True) if taken < slots else F.col("seq") >= cut
+    came = F.when(from_end, -F.col("seq")).otherwise(F.col("seq") - low - (cut or 0) + 1)
+    rows = seeds.where("host is not null").join(F.broadcast(live), "host", "left")
+    rows = rows.select("host", F.col("seq").alias("number"), "slot", (F.col("seq") == F.col("top")).alias("first"), came.alias("seq"))
+    queued = running(rows.where("slot is not null"), F.lit(1), newest=True)
+    queued = queued.select("host", F.col("number").alias("seq"), "slot", F.when(F.col("first"), 1).otherwise(F.col("before") + 2).cast("long").alias("turn"))
+    rest = queue_order(rows.where("slot is null"), "seq").select("host", F.col("number").alias("seq"), "slot", F.col("rank").cast("long").alias("turn"))
+    empty = seeds.sparkSession.range(taken + 1, slots + 1).select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("long").alias("seq"), F.col("id").alias("slot"), F.lit(None).cast("long").alias("turn"))
+    return queued.unionByName(rest).unionByName(empty)
+
+
 def newest_first(tasks: DataFrame) -> DataFrame:
     """tasks (host, seq) with turn: 1 for the latest of each host."""
     return running(tasks, F.lit(1), newest=True).withColumn("turn", (F.col("before") + 1).cast("long")).drop("before")
@@ -139,14 +207,16 @@ def host_turns(tasks: DataFrame, slots: int = LIVE_HOSTS) -> DataFrame:
     return pull_times(tasks).join(given, "host").withColumn("start", F.col("start") + F.col("opens"))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """node, hop: all nodes (column node of seeds) that edges (src, dst) reach, with the least number of hops.
+def expand(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
+    """node, hop: all nodes (column node of seeds) that edges (src, dst) reach, with the least number of hops; those within `hops`, if given.
 
     Hop by hop; each hop's new nodes are stored, so the plan does not grow but
     by one file list a hop, and the loop ends when nothing new is found.
     """
     seen = front = stored(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "hop")
-    for hop in range(1, hops + 1):
+    hop = 0
+    while hops is None or hop < hops:
+        hop += 1
         found = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = stored(found.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop).cast("long")), "hop")
         if front.isEmpty():
@@ -160,8 +230,15 @@ def page_key(url: Text) -> Column:
     return u.normal_url(F.regexp_replace(as_column(url), "(?d)#.*$", ""))
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, most: int = 0, hops: int = 1000, blocked: str = u.BLOCKED) -> DataFrame:
-    """The whole loop: fetch, extract, filter, dedup, enqueue, until nothing is in flight (or for `hops` rounds).
+def edge_table(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a crawl needs of the web: key, page_id of what a URL finds (the least page_id of a key), and page_id, pos, to of all links. html is read once."""
+    keys = stored(pages.select(page_key("url").alias("key"), "page_id").groupBy("key").agg(F.min("page_id").alias("page_id")), "keys")
+    links = u.page_links(pages.select("page_id", page_key("url").alias("url"), "html"))
+    return keys, stored(links.select("page_id", "pos", F.col("url").alias("to")), "edges")
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, most: int = 0, blocked: str = u.BLOCKED, sieve: SeenFilter | None = None) -> DataFrame:
+    """The whole loop: fetch, extract, filter, dedup, enqueue, until nothing is in flight.
 
     pages: page_id, url, html, which stand for the web (a URL without a page is
     a failed fetch); seeds: url. Each hop looks the frontier's URLs up, takes
@@ -169,28 +246,32 @@ def crawl(pages: DataFrame, seeds: DataFrame, most: int = 0, hops: int = 1000, b
     of the pages fetched first, and of one page the first ones, first. Seeds are
     never tested for having been seen, but for being blocked or unsafe. Returns
     a row for each URL that was queued: url, hop, distance, parent_url, page_id
-    (null: not fetched). Documents by type are queued, not read for links. Each
-    hop's URLs are stored; of the seen ones only the URLs are kept.
+    (null: not fetched). Documents by type are queued, not read for links. Links
+    are extracted once, and hops join narrow rows only; each hop's URLs are
+    stored, and added to the sieve (one of this crawl, if none is given) that
+    spares the next hop from looking all candidates up.
     """
-    web = pages.select("page_id", "url", "html", page_key("url").alias("key"))
-    first = seeds.select(u.normal_url("url").alias("url")).where(~u.is_blocked("url", blocked) & u.is_safe("url"))
-    front = stored(first.select("url", F.monotonically_increasing_id().alias("seq"), F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("distance")), "frontier")
-    seen = seeds.select(u.normal_url("url").alias("url")).distinct()
-    done = []
-    for hop in range(hops):
-        fetched = stored(front.withColumn("key", page_key("url")).join(web.select("page_id", "key", "html"), "key", "left"), "fetched")
-        done.append(fetched.select("url", F.lit(hop).alias("hop"), "distance", "parent_url", "page_id"))
-        # A link's number: that of the page among those fetched, then its place there.
-        read = fetched.where(F.col("page_id").isNotNull() & ~u.is_document("url")).select(F.col("page_id").alias("of"), "url", "html", "distance", F.col("seq").alias("turn"))
-        links = u.page_links(read.select(F.struct("of", "turn", "distance").alias("page_id"), "url", "html"))
-        links = links.select("url", F.struct("page_id.turn", "page_id.of", "pos").alias("seq"), "parent_url", F.col("page_id.distance").alias("distance"))
-        found = stored(admitted(links, seen, most, blocked), "found")
-        front = found.where("admitted").select("url", "seq", "parent_url", "distance")
-        if front.isEmpty():
-            break
-        front = stored(queue_order(front, "seq", "url").select("url", F.col("rank").alias("seq"), "parent_url", "distance"), "frontier")
-        seen = seen.unionByName(found.select("url"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    keys, edges = edge_table(pages)
+    sieve = sieve or SeenFilter(pages.sparkSession, new_path(pages.sparkSession, "seen"), max(1000, edges.count()))
+
+    def queued(rows: DataFrame, *by: str) -> DataFrame:
+        # Sorted in ranges; a row's number is that of its range, shifted, plus its place there.
+        found = rows.withColumn("key", page_key("url")).join(keys, "key", "left").drop("key")
+        return stored(found.orderBy(*by).withColumn("seq", F.monotonically_increasing_id()), "frontier")
+
+    first = seeds.select(u.normal_url("url").alias("url"), F.monotonically_increasing_id().alias("seq"))
+    seen = stored(first.groupBy("url").agg(F.min("seq").alias("seq")), "seeds")
+    sieve.add(seen)
+    begin = seen.where(~u.is_blocked("url", blocked) & u.is_safe("url"))
+    front = queued(begin.select("url", "seq", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("distance")), "seq", "url")
+    done, hop = [], 0
+    while hop == 0 or not front.isEmpty():
+        done.append(front.select("url", F.lit(hop).alias("hop"), "distance", "parent_url", "page_id"))
+        read = front.where(F.col("page_id").isNotNull() & ~u.is_document("url")).select("page_id", F.col("url").alias("parent_url"), "seq", "distance")
+        links = read.join(edges, "page_id").select(F.col("to").alias("url"), F.struct("seq", "page_id", "pos").alias("seq"), "parent_url", "distance")
+        found = stored(admitted(links, seen, most, blocked, sieve), "found")
+        sieve.add(found)
+        seen = seen.select("url").unionByName(found.select("url"))
+        front = queued(found.where("admitted").select("url", "seq", "parent_url", "distance"), "seq", "url")
+        hop += 1
+    return reduce(DataFrame.unionByName, done)

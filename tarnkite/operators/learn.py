@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frontier import queue_order
+from .skew import dealt_join
 
 CAP, GATE = 1.0, 0.5
 STEP = "id long, score double, tc int, loss double, updated boolean"
@@ -85,7 +86,7 @@ def replay_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> Dat
 def explained(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """id, key, x, weight: each entry of each vector (id, x) beside the weight (key, weight) that it meets; 0 for a key without one."""
     entries = rows.select("id", F.explode("x").alias("key", "x"))
-    return entries.join(weights, "key", "left").select("id", "key", "x", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    return dealt_join(entries, weights, ["key"], F.col("id"), "left").select("id", "key", "x", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
 def slot_index(rows: DataFrame) -> DataFrame:
@@ -120,9 +121,9 @@ def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate:
 
 
 def scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """id, score: vectors (id, x) against a weight table (key, weight), as a join."""
+    """id, score: vectors (id, x) against a weight table (key, weight), as a join; a word that is in most rows is dealt out."""
     entries = rows.select("id", F.explode_outer("x").alias("key", "value"))
-    return entries.join(weights, "key", "left").groupBy("id").agg(F.coalesce(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))), F.lit(0.0)).alias("score"))
+    return dealt_join(entries, weights, ["key"], F.col("id"), "left").groupBy("id").agg(F.coalesce(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))), F.lit(0.0)).alias("score"))
 
 
 def feature_index(rows: DataFrame) -> DataFrame:

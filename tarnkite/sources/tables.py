@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,10 +82,23 @@ def capped(df: DataFrame, by: str, order: str, most: int, salts: int = 64) -> Da
     return first(parts, by)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def counted_append(df: DataFrame, path: str, **sums: Column) -> dict[str, float]:
+    """append(), and what the write itself saw: rows, the sums asked for, and the seconds that it took; there is no second pass."""
+    seen = Observation()
+    began = time.perf_counter()
+    df.observe(seen, F.count("*").alias("rows"), *(F.sum(x).alias(k) for k, x in sums.items())).write.mode("append").parquet(path)
+    return {**seen.get, "seconds": time.perf_counter() - began}
+
+
 def clear(df: DataFrame, path: str) -> None:
     """Leaves an empty table with df's schema."""
     df.limit(0).write.mode("overwrite").parquet(path)
