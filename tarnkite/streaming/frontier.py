@@ -1,23 +1,30 @@
-"""The frontier over streams: dedup, one request at a time for each host, expiry of idle hosts, capped writing,
-heartbeats until all is done, messages that arrive at least once."""
+"""The frontier over streams: dedup, one request at a time for each host, host queues with timers, expiry of idle hosts,
+taking from a queue, capped writing, heartbeats until all is done, failures on record, messages that arrive at least once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import math
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..operators import monitor as mo
-from ..sources.tables import new_path
+from ..sources.tables import bag_union, exists, new_path
 
 #: Rows that a host's answer comes in at once.
 ROWS = 10_000
 #: What a message carries.
 MESSAGE = "node long, url string, parent_url string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def unseen(urls: DataFrame) -> DataFrame:
@@ -55,6 +62,110 @@ def pull_times(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return tasks.groupBy("host").applyInPandasWithState(serve, "host string, seq long, start double", "free double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class HostQueues(StatefulProcessor):
+    """A host's queue: newest task first, one pull at a time, the next one when the delay of the last is over.
+
+    Tasks are a heap by seq in a map state, so that a push or a pull touches a
+    few of them, in whatever order a batch brings them, and neither a batch nor a
+    queue is ever held whole (a list state can only be read whole). A timer
+    stands at the next pull time, while there are tasks, or else at the end of
+    the last delay, when the host goes. With ttl_ms, which needs the clock of the
+    machine, a queue that nothing has touched for so long goes too.
+    """
+
+    def __init__(self, event_time: bool, ttl_ms: int | None):
+        self.event_time, self.ttl_ms = event_time, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.heap = handle.getMapState("heap", "place long", "seq long, delay double", self.ttl_ms)
+        self.queue = handle.getValueState("queue", "size long, turn long, free double, waits boolean", self.ttl_ms)
+
+    def now(self, timerValues: TimerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+
+    def push(self, at: int, task: tuple) -> None:
+        while at:
+            above = self.heap.getValue(((at - 1) // 2,))
+            if above[0] >= task[0]:
+                break
+            self.heap.updateValue((at,), tuple(above))
+            at = (at - 1) // 2
+        self.heap.updateValue((at,), task)
+
+    def pull(self, size: int) -> tuple:
+        top, last = self.heap.getValue((0,)), self.heap.getValue((size - 1,))
+        self.heap.removeKey((size - 1,))
+        at, size = 0, size - 1
+        while size:
+            below = [(self.heap.getValue((k,)), k) for k in (2 * at + 1, 2 * at + 2) if k < size]
+            if not below or (most := max(below, key=lambda x: x[0][0]))[0][0] <= last[0]:
+                self.heap.updateValue((at,), tuple(last))
+                break
+            self.heap.updateValue((at,), tuple(most[0]))
+            at = most[1]
+        return tuple(top)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        size, turn, free, waits = self.queue.get() or (0, 0, 0.0, False)
+        idle, first = not size, None
+        for row in rows:
+            self.push(size, (row.seq, row.delay or 0.0))
+            size += 1
+            first = row.at_ms if first is None else min(first, row.at_ms)
+        if idle and first is not None:
+            free = max(free, float(first))
+        if not waits:
+            self.handle.registerTimer(max(int(free), self.now(timerValues) + 1))
+        self.queue.update((size, turn, free, True))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        state = self.queue.get()
+        if state is None:
+            return
+        size, turn, free, _ = state
+        now = self.now(timerValues)
+        while size and free <= now:
+            seq, delay = self.pull(size)
+            size, turn = size - 1, turn + 1
+            yield Row(host=key[0], seq=seq, turn=turn, pulled_ms=free)
+            free += 1000.0 * delay
+        if not size and free <= now:
+            self.queue.clear()
+            return
+        self.handle.registerTimer(max(math.ceil(free), now + 1))
+        self.queue.update((size, turn, free, True))
+
+
+def host_queues(tasks: DataFrame, event_time: bool = True, ttl_ms: int | None = None) -> DataFrame:
+    """host, seq, turn, pulled_ms for a stream of tasks (host, seq, delay in seconds, at_ms: when it came, in milliseconds).
+
+    With event_time the clock is the tasks' watermark, so that a stream is
+    answered alike however often it runs: a pull comes out once the watermark
+    has passed its time. Else it is the machine's. Needs the RocksDB state store.
+    """
+    tasks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = tasks.where("host is not null").select("host", "seq", "delay", "at_ms", *([F.timestamp_millis("at_ms").alias("at")] if event_time else []))
+    rows = rows.withWatermark("at", "0 seconds") if event_time else rows
+    return rows.groupBy("host").transformWithState(
+        statefulProcessor=HostQueues(event_time, ttl_ms), outputStructType="host string, seq long, turn long, pulled_ms double", outputMode="Append", timeMode="EventTime" if event_time else "ProcessingTime"
+    )
+
+
+def taken(spark: SparkSession, queue: str, schema: str, out: str, state: str, files: int | None = None, delete: bool = True) -> DataFrame:
+    """Takes what is in a queue (a folder of Parquet files) into the table at out, and returns all that was taken so far.
+
+    A row is taken once, also when a run failed and another one goes on with the
+    same state: offsets are committed there, and a batch that was not is taken
+    again into the same files. With delete, files that were taken go. files: so
+    many at most in a batch.
+    """
+    rows = spark.readStream.schema(schema).option("cleanSource", "delete" if delete else "off")
+    rows = (rows.option("maxFilesPerTrigger", files) if files else rows).parquet(queue)
+    return drained(rows, "taken", out, state)
+
+
 def heartbeats(beats: DataFrame) -> DataFrame:
     """The latest state of each worker (id, event_id, event_type) so far; for output mode update or complete."""
     return mo.latest(beats)
@@ -93,27 +204,92 @@ def watched(beats: DataFrame, nodes: int, own: int, tag: str = "beats") -> DataF
     return mo.completion(kept.get("table", spark.createDataFrame([], beats.schema)), nodes, own)
 
 
-def capped_writer(stream: DataFrame, path: str, most: int, tag: str = "capped") -> DataFrame:
+def capped_writer(stream: DataFrame, path: str, most: int, state: str | None = None) -> DataFrame:
     """Appends the stream's rows to the table at path until `most` are there; the rest is taken from the stream and not written.
 
-    One row: written, drained, active (false once the cap was reached). A batch
-    that is run again after a failure replaces its own rows, as it writes to a
-    folder of its number; the rows that still fit are the first of the batch in
-    its order. Counts of written rows come from the written table.
+    One row: written, drained, active (false once the cap was reached), over all
+    runs. state: the folder of the stream's checkpoint, beside the table if not
+    given, so that a run again goes on where the one before ended. A batch that
+    is run again after a failure replaces its own rows, as it writes to a folder
+    of its number, and each folder's counts stand in a file of their own; the
+    rows that still fit are the first of the batch in its order.
     """
     spark = stream.sparkSession
-    seen = {"rows": 0}
+    counts = f"{path}-counts"
+
+    def before(number: int | None = None) -> tuple[int, int]:
+        """Rows written and drained so far, or by the batches before one."""
+        if not exists(spark, counts):
+            return 0, 0
+        rows = spark.read.schema("written long, drained long, batch int").parquet(counts)
+        rows = rows if number is None else rows.where(F.col("batch") < number)
+        return rows.agg(F.coalesce(F.sum("written"), F.lit(0)), F.coalesce(F.sum("drained"), F.lit(0))).first()
 
     def write(batch: DataFrame, number: int) -> None:
-        before = sum(spark.read.parquet(f"{path}/batch={k}").count() for k in range(number))
-        part = batch.limit(most - before) if before < most else batch.limit(0)
-        part.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        seen["rows"] += batch.count()
+        room, came = max(0, most - before(number)[0]), batch.count()
+        written = min(room, came)
+        batch.limit(written).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark.createDataFrame([(written, came - written)], "written long, drained long").coalesce(1).write.mode("overwrite").parquet(f"{counts}/batch={number}")
 
-    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", new_path(spark, f"{tag}-state")).trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", state or f"{path}-state").trigger(availableNow=True).start()
     run.awaitTermination()
-    written = spark.read.schema(stream.schema).parquet(path).count() if seen["rows"] else 0
-    return spark.createDataFrame([(written, seen["rows"] - written, written < most)], "written long, drained long, active boolean")
+    written, left = before()
+    return spark.createDataFrame([(written, left, written < most)], "written long, drained long, active boolean")
+
+
+class FailureLog(StreamingQueryListener):
+    """Notes how streams end: a failed one leaves its error, for recorded() to write."""
+
+    def __init__(self) -> None:
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.pop(str(event.id), None)
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
+
+
+def recorded(start: Callable[[], StreamingQuery], path: str, *queues: DataFrame) -> bool:
+    """Starts a stream and waits for its end; true if it ended well.
+
+    If it failed, the error goes to path/failures (id, error, and a failure flag
+    as workers report it), and the URLs of all queues to path/dump, for the next
+    start to read by restarted(). A later failure replaces the dump and is added
+    to the failures.
+    """
+    spark, log = SparkSession.active(), FailureLog()
+    spark.streams.addListener(log)
+    try:
+        run = start()
+        with contextlib.suppress(StreamingQueryException):
+            run.awaitTermination()
+        end = time.monotonic() + 30
+        while str(run.id) not in log.ended and time.monotonic() < end:  # the listener hears of it a little later
+            time.sleep(0.05)
+        error = log.ended.get(str(run.id)) or (str(run.exception()) if run.exception() is not None else None)
+    finally:
+        spark.streams.removeListener(log)
+    if error is None:
+        return True
+    spark.createDataFrame([(str(run.id), error, 1)], "id string, error string, failure int").coalesce(1).write.mode("append").parquet(f"{path}/failures")
+    held = bag_union(*queues) if queues else spark.createDataFrame([], "url string")
+    held.write.mode("overwrite").text(f"{path}/dump")
+    return False
+
+
+def restarted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What recorded() left at path: the failures, and the dumped URLs; both empty where nothing failed."""
+    failures = "id string, error string, failure int"
+    if not exists(spark, f"{path}/failures"):
+        return spark.createDataFrame([], failures), spark.createDataFrame([], "url string")
+    return spark.read.schema(failures).parquet(f"{path}/failures"), spark.read.text(f"{path}/dump").withColumnRenamed("value", "url")
 
 
 def send(messages: DataFrame, path: str) -> None:
