@@ -15,7 +15,10 @@ from ..functions import urls as u
 from ..operators import frontier as fr
 from ..operators import learn as ln
 from ..operators import monitor as mo
+from ..operators import seen as sn
+from ..sources import bucketed as bk
 from ..sources import tables as tb
+from ..sources import web as wb
 from ..streaming import frontier as st
 from . import sql as q
 
@@ -53,6 +56,17 @@ def s2_pick(spark, sf_dir):
     return tb.pick(rows, "page_id", 17).unionByName(tb.pick(rows, "page_id"))
 
 
+@query("SELECT page_id, url FROM pages")
+def s2_consume(spark, sf_dir):
+    """All pages through a queue: each is taken once, though the queue is asked twice and grows in between."""
+    rows, path = tb.read(spark, sf_dir, "pages").select("page_id", "url"), tb.new_path(spark, "consume")
+    found = None
+    for part in (0, 1):
+        tb.append(rows.where(F.col("page_id") % 2 == part), f"{path}/queue")
+        found = st.taken(spark, f"{path}/queue", "page_id long, url string", f"{path}/out", f"{path}/state")
+    return found
+
+
 UNBROKEN = """
 WITH k AS (SELECT DISTINCT {key} AS k FROM {table}),
 last AS (SELECT min(k) AS k FROM k WHERE k + 1 NOT IN (SELECT k FROM k))
@@ -68,6 +82,49 @@ def s3_unbroken(spark, sf_dir):
 SEEDS = ("http://h.com/a/b/c.html", "https://news.example.org/", "http://h.com/a/b/c.html")
 
 
+def fetchable(spark, sf_dir) -> DataFrame:
+    """Pages as a fetch finds them (web.FETCHED); status and redirects are ours: three of ten lead on to the page after them, and one of ten is not found."""
+    rows = tb.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    tenth, on = F.col("page_id") % 10, rows.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
+    rows = rows.join(on, "page_id", "left")
+    moved = tenth.between(4, 6) | (F.col("page_id") % 100).between(40, 48)
+    status = F.when(moved, 301).when(tenth == 8, 404).otherwise(200)
+    return rows.select(u.host("url").alias("host"), "url", status.alias("status"), F.when(moved, F.coalesce("next", F.lit("http://nowhere.example/"))).alias("location"), F.when(status == 200, F.col("html")).alias("html"))
+
+
+MOVED = "({x} % 10 BETWEEN 4 AND 6 OR {x} % 100 BETWEEN 40 AND 48)"
+
+
+@query(f"""
+WITH RECURSIVE f AS (
+  SELECT page_id AS req, page_id AS spot, 0 AS redirects FROM pages
+  UNION ALL SELECT req, spot + 1, redirects + 1 FROM f WHERE {MOVED.format(x='spot')} AND redirects < 5 AND spot IN (SELECT page_id FROM pages)),
+last AS (SELECT req, max(spot) AS spot, max(redirects) AS redirects FROM f GROUP BY 1)
+SELECT q.url, coalesce(p.url, 'http://nowhere.example/') AS final, redirects, CASE WHEN p.url IS NULL THEN NULL WHEN {MOVED.format(x='spot')} THEN 301 WHEN spot % 10 = 8 THEN 404 ELSE 200 END AS status,
+       p.url IS NOT NULL AND NOT {MOVED.format(x='spot')} AND spot % 10 <> 8 AS ok,
+       CASE WHEN p.url IS NOT NULL AND NOT {MOVED.format(x='spot')} AND spot % 10 <> 8 THEN md5(p.html) END AS body
+FROM last JOIN pages q ON q.page_id = req LEFT JOIN pages p ON p.page_id = spot""")
+def s4_fetch(spark, sf_dir):
+    """Every page's URL is fetched from an archive of all pages, over up to five redirects."""
+    path = tb.new_path(spark, "archive")
+    wb.write_archive(fetchable(spark, sf_dir), path)
+    found = wb.fetched(tb.read(spark, sf_dir, "pages").select("url"), wb.archive(spark, path))
+    return found.select("url", "final", "redirects", "status", "ok", F.md5(F.col("html").cast("binary")).alias("body"))
+
+
+@query(f"""
+WITH top AS (SELECT {q.host('url')} AS host FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT url, CASE WHEN {MOVED.format(x='page_id')} THEN 301 WHEN page_id % 10 = 8 THEN 404 ELSE 200 END AS status FROM pages JOIN top ON top.host = {q.host('url')}
+WHERE CASE WHEN {MOVED.format(x='page_id')} THEN 301 WHEN page_id % 10 = 8 THEN 404 ELSE 200 END < 400""")
+def f7_archived_status(spark, sf_dir):
+    """The answers below 400 of the host with the most pages, from an archive that is read for that host only."""
+    path = tb.new_path(spark, "archive")
+    wb.write_archive(fetchable(spark, sf_dir), path)
+    top = tb.read(spark, sf_dir, "pages").groupBy(u.host("url").alias("host")).count().orderBy(F.desc("count"), "host").first()
+    rows = wb.archive(spark, path).where(F.col("host") == (top["host"] if top else ""))
+    return rows.where(F.col("status") < wb.FAILED).select("url", "status")
+
+
 @query("SELECT * FROM (VALUES (0, 'http://h.com/a/b/c.html'), (1, 'https://news.example.org/'), (2, 'http://h.com/a/b/c.html')) t(seq, url)")
 def s5_seeds(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(SEEDS)), "seq int, url string")
@@ -93,6 +150,14 @@ def k1_append(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("SELECT page_id % 2 AS part, count(*)::BIGINT AS rows, sum(length(url))::BIGINT AS letters, true AS timed FROM pages GROUP BY 1")
+def a9_observed_write(spark, sf_dir):
+    """What two writes saw of themselves: rows, letters of URLs, and that time went by."""
+    rows, path = tb.read(spark, sf_dir, "pages").select("page_id", "url"), tb.new_path(spark, "payload")
+    seen = [(part, tb.counted_append(rows.where(F.col("page_id") % 2 == part), path, letters=F.length("url"))) for part in (0, 1)]
+    return spark.createDataFrame([(part, x["rows"], x["letters"], x["seconds"] > 0) for part, x in seen], "part long, rows long, letters long, timed boolean")
+
+
 @query("""
 SELECT user_id AS id, arg_max(value, event_id) FILTER (event_type IN ('click', 'view')) AS value,
        arg_max(event_type, event_id) FILTER (event_type NOT IN ('click', 'view')) AS other
@@ -103,6 +168,20 @@ def k2_upsert(spark, sf_dir):
     return mo.upserted(log, "id", "event_id")
 
 
+@query("""
+SELECT user_id AS id, arg_max(value, event_id) FILTER (event_type IN ('click', 'view') AND value IS NOT NULL) AS value,
+       arg_max(event_type, event_id) FILTER (event_type NOT IN ('click', 'view')) AS other
+FROM events GROUP BY 1""")
+def k2_stored_upsert(spark, sf_dir):
+    """The log of k2_upsert in three batches into a stored table, of which the second is done twice."""
+    seen = F.col("event_type").isin("click", "view")
+    log = tb.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.when(seen, F.col("value")).alias("value"), F.when(~seen, F.col("event_type")).alias("other"))
+    table = bk.BucketedTable(spark, tb.new_path(spark, "table"), "id long, event_id long, value double, other string", "id", "event_id")
+    for batch in (0, 1, 1, 2):
+        table.upsert(log.where(F.col("event_id") % 3 == batch), batch)
+    return table.table()
+
+
 @query("SELECT page_id, url FROM pages WHERE false")
 def k3_clear(spark, sf_dir):
     rows, path = tb.read(spark, sf_dir, "pages").select("page_id", "url"), tb.new_path(spark, "cleared")
@@ -117,10 +196,10 @@ def k4_capped_writer(spark, sf_dir):
     return tb.capped(rows, "node", "page_id", 20)
 
 
-@query("SELECT event_id || ' ' || event_type AS value FROM events WHERE event_type = 'error'")
+@query("SELECT event_id || ' ' || event_type AS value FROM events")
 def k5_log_lines(spark, sf_dir):
     path = tb.new_path(spark, "log")
-    lines = tb.read(spark, sf_dir, "events").where("event_type = 'error'").select(F.concat_ws(" ", "event_id", "event_type").alias("line"))
+    lines = tb.read(spark, sf_dir, "events").select(F.concat_ws(" ", "event_id", "event_type").alias("line"))
     tb.write_lines(lines, "line", path)
     return tb.read_lines(spark, path)
 
@@ -224,10 +303,16 @@ def f11_populate(spark, sf_dir):
     return tb.unbroken(tb.read(spark, sf_dir, "pages").select("page_id", "url"), "page_id").withColumn("tc", F.lit(-1))
 
 
+@query(f"WITH {q.LINKS} SELECT {q.node('url', NODES)} AS node, {q.node('url', NODES)}::INT AS part, url, parent_url FROM links")
+def t17_routed(spark, sf_dir):
+    """All links, those of node n in partition n and in no other; part is the partition in which each arrived."""
+    return u.routed(u.page_links(pages(spark, sf_dir)).withColumn("node", u.node_of("url", NODES)), NODES).select("node", F.spark_partition_id().alias("part"), "url", "parent_url")
+
+
 @query(f"WITH {q.LINKS} SELECT {q.node('url', NODES)} AS node, url, parent_url FROM links")
 def f12_message(spark, sf_dir):
     rows = u.page_links(pages(spark, sf_dir)).withColumn("node", u.node_of("url", NODES))
-    return rows.repartition("node").select("node", "url", "parent_url")
+    return u.routed(rows, NODES).select("node", "url", "parent_url")
 
 
 # --- joins -------------------------------------------------------------------
@@ -241,6 +326,19 @@ def j1_unseen(spark, sf_dir):
     return fr.unseen(rows, tb.read(spark, sf_dir, "pages").select(u.normal_url("url").alias("url")))
 
 
+@query(f"""
+WITH {q.LINKS}, c AS (SELECT {q.normal('url')} AS url, page_id * 100000 + pos AS seq FROM links UNION ALL SELECT {q.normal('url')}, 10000000000 + page_id FROM pages)
+SELECT url, min(seq)::BIGINT AS seq FROM c WHERE url NOT IN (SELECT {q.normal('url')} FROM pages) GROUP BY url""")
+def j1_seen_filter(spark, sf_dir):
+    """Links and the pages' own URLs against all URLs seen, by a filter that one run made of half of the pages and the next one opened and added the others to."""
+    seen, path = tb.read(spark, sf_dir, "pages").select("page_id", u.normal_url("url").alias("url")), tb.new_path(spark, "seen")
+    sn.SeenFilter(spark, path, max(1000, seen.count())).add(seen.where("page_id % 2 = 0"))
+    opened = sn.SeenFilter(spark, path)
+    opened.add(seen.where("page_id % 2 = 1"))
+    links = u.page_links(pages(spark, sf_dir)).select(u.normal_url("url").alias("url"), (F.col("page_id") * 100000 + F.col("pos")).alias("seq"))
+    return fr.unseen(links.unionByName(seen.select("url", (F.col("page_id") + 10_000_000_000).alias("seq"))), seen, opened)
+
+
 @query("""
 SELECT s_suppkey, 'addr' || n_nationkey AS addr, coalesce(n_regionkey >= 3, true) AS stale
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 4""")
@@ -252,6 +350,34 @@ def j2_addresses(spark, sf_dir):
     return fr.addresses(rows, known, now).select("s_suppkey", "addr", "stale")
 
 
+LOOKED_UP = """
+looked AS (SELECT user_id AS host, ts, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2),
+asked AS (
+  SELECT e.event_id, e.user_id AS host, e.ts, CASE WHEN l.event_type = 'purchase' THEN 'addr' || l.event_id END AS addr,
+         CASE WHEN l.event_type = 'purchase' THEN floor(epoch(e.ts)) - floor(epoch(l.ts)) > 21600 ELSE true END AS stale
+  FROM (SELECT * FROM events WHERE event_type NOT IN ('purchase', 'error')) e ASOF LEFT JOIN looked l ON e.user_id = l.host AND e.ts >= l.ts)"""
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """Events as requests to hosts (users), at which purchases and errors are lookups of the host's address that went well or failed."""
+    rows = tb.read(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.col("ts").alias("at"), "event_id", "event_type")
+    lookup = F.col("event_type").isin("purchase", "error")
+    found = F.when(F.col("event_type") == "purchase", F.concat(F.lit("addr"), "event_id")).alias("addr")
+    return fr.addresses_then(rows.where(~lookup), rows.where(lookup).select("host", "at", F.col("event_id").alias("seq"), found))
+
+
+@query(f"WITH {LOOKED_UP} SELECT event_id, addr, stale FROM asked")
+def j2_addresses_then(spark, sf_dir):
+    """Each request with the address that its host had at that time."""
+    return asked(spark, sf_dir).select("event_id", "addr", "stale")
+
+
+@query(f"WITH {LOOKED_UP} SELECT host, max(ts) AS at FROM asked GROUP BY 1 HAVING arg_max(stale, (ts, stale))")
+def j2_refresh(spark, sf_dir):
+    """Hosts whose address has to be looked up again after their last request."""
+    return fr.to_refresh(asked(spark, sf_dir))
+
+
 STATS = f"stats AS (SELECT page_id, url, length({q.text('html')})::DOUBLE AS text_length, {q.links('html')}::DOUBLE AS links, {q.title('html')} AS title FROM p)"
 
 
@@ -631,7 +757,7 @@ SELECT node, hop::BIGINT AS hop FROM all_nodes""")
 def r1_expand(spark, sf_dir):
     """From all orders over all edges; the SQL names the layers, the tests also walk the graph."""
     edges = graph(spark, sf_dir)
-    return fr.expand(edges, tb.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node")), 6)
+    return fr.expand(edges, tb.read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node")))
 
 
 def linked_pages(spark, sf_dir) -> DataFrame:
@@ -654,7 +780,7 @@ web AS (
     + f""",
 taken AS MATERIALIZED (
   SELECT DISTINCT page_id, {q.normal('url')} AS url FROM links WHERE NOT regexp_matches({q.normal('url')}, '{u.BLOCKED}') AND {q.safe(q.normal('url'))}),
-keyed AS MATERIALIZED (SELECT page_id, {q.normal("regexp_replace(url, '#.*$', '')")} AS key FROM pages),
+keyed AS MATERIALIZED (SELECT min(page_id) AS page_id, {q.normal("regexp_replace(url, '#.*$', '')")} AS key FROM pages GROUP BY 2),
 walk AS (
   SELECT {q.normal('url')} AS url, 0 AS hop FROM ranked WHERE k = 1
   UNION
@@ -735,15 +861,27 @@ def r6_exchange(spark, sf_dir):
 @query("SELECT least(count(*), 120)::BIGINT AS written, greatest(count(*) - 120, 0)::BIGINT AS drained, count(*) < 120 AS active FROM pages")
 def k4_counted_writer(spark, sf_dir):
     """A stream of pages into a table that takes 120; the rest is drained."""
-    return st.capped_writer(st.source(spark, sf_dir, "pages").select("page_id", "url"), tb.new_path(spark, "payload"), 120)
+    path = tb.new_path(spark, "payload")
+    return st.capped_writer(st.source(spark, sf_dir, "pages").select("page_id", "url"), path + "/table", 120, path + "/state")
 
 
+# Recursive: a seed at a time from the end until six hosts are there; then the others from the front.
 @query(f"""
-WITH h AS (SELECT {q.host('url')} AS host, min(page_id) AS place, count(*) AS n FROM pages WHERE NOT regexp_matches(url, '{u.BLOCKED}') AND {q.safe('url')} GROUP BY 1)
-SELECT host, n, row_number() OVER (ORDER BY place, host) <= 6 AS live FROM h""")
+WITH RECURSIVE s AS MATERIALIZED (SELECT {q.host('url')} AS host, page_id AS seq, row_number() OVER (ORDER BY page_id DESC) AS n FROM pages WHERE NOT regexp_matches(url, '{u.BLOCKED}') AND {q.safe('url')}),
+pops AS (
+  SELECT 0::BIGINT AS n, []::VARCHAR[] AS hosts
+  UNION ALL
+  SELECT s.n, CASE WHEN list_contains(hosts, s.host) THEN hosts ELSE list_append(hosts, s.host) END FROM pops p JOIN s ON s.n = p.n + 1 WHERE len(hosts) < 6),
+ended AS (SELECT n, hosts FROM pops ORDER BY n DESC LIMIT 1),
+came AS (SELECT s.host, seq, CASE WHEN s.n <= e.n THEN -seq ELSE seq + 1 END AS came, nullif(list_position(e.hosts, s.host), 0)::BIGINT AS slot FROM s, ended e),
+turns AS (
+  SELECT host, seq, slot, CASE WHEN slot IS NULL THEN row_number() OVER (PARTITION BY slot ORDER BY came)
+    WHEN came = min(came) OVER (PARTITION BY host) THEN 1 ELSE 1 + row_number() OVER (PARTITION BY host ORDER BY came DESC) END AS turn FROM came)
+SELECT * FROM turns UNION ALL SELECT NULL, NULL, k, NULL FROM range(1, 7) r(k), ended WHERE k > len(hosts)""")
 def r8_initialise(spark, sf_dir):
+    """Which queue each seed comes into, and when it is pulled there; the pages' URLs are the seeds."""
     seeds = tb.read(spark, sf_dir, "pages").where(~u.is_blocked("url") & u.is_safe("url")).select(u.host("url").alias("host"), F.col("page_id").alias("seq"))
-    return fr.host_slots(seeds).groupBy("host").agg(F.count("*").alias("n"), F.max("live").alias("live"))
+    return fr.initialised(seeds)
 
 
 VECTORS = f"""
@@ -894,6 +1032,38 @@ def r2_stream_pull_times(spark, sf_dir):
     return st.drained(st.pull_times(rows), "pull-times").select("seq", "host", F.round("start", 6).alias("start"))
 
 
+@query(f"""
+WITH d AS (SELECT page_id, {q.host('url')} AS host, {DELAY} AS delay FROM pages)
+SELECT page_id AS seq, host, row_number() OVER newest AS turn, round(coalesce(sum(delay) OVER (newest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS start FROM d WINDOW newest AS (PARTITION BY host ORDER BY page_id DESC)""")
+def r3_stream_queues(spark, sf_dir):
+    """All pages come into their hosts' queues at once; each is pulled newest first when the delay of the pull before is over (start, in seconds)."""
+    path, day = tb.new_path(spark, "queues"), 86_400_000
+    rows = tasks(spark, sf_dir).where("host is not null").select("host", "seq", "delay", F.lit(day).cast("long").alias("at_ms"))
+    # First all tasks; then a task of another host lets time go by, in a run that goes on with the state of the first.
+    tick = spark.createDataFrame([("", -1, 0.0, 400 * day)], "host string, seq long, delay double, at_ms long")
+    for come in (rows, tick):
+        tb.append(come, f"{path}/in")
+        stream = st.host_queues(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        found = st.drained(stream, "pulls", f"{path}/out", f"{path}/state")
+    return found.where("seq >= 0").select("seq", "host", "turn", F.round((F.col("pulled_ms") - day) / 1000, 6).alias("start"))
+
+
+@query("SELECT url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0")
+def r7_failure_dump(spark, sf_dir):
+    """A run that fails at its first batch, over all pages: the URLs that its queues held, as the next start reads them."""
+    path, rows = tb.new_path(spark, "failed"), tb.read(spark, sf_dir, "pages").select("page_id", "url")
+
+    def fail(batch: DataFrame, number: int) -> None:
+        raise RuntimeError(f"batch {number} of {batch.count()} rows was lost")
+
+    stream = st.source(spark, sf_dir, "pages").select("url")
+    well = st.recorded(lambda: stream.writeStream.foreachBatch(fail).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(), path, rows.where("page_id % 2 = 0"), rows.where("page_id % 3 = 0"))
+    failures, urls = st.restarted(spark, path)
+    if well or failures.where("failure = 1 and contains(error, 'was lost')").isEmpty():
+        raise RuntimeError("the failure is not on record")
+    return urls
+
+
 @query(f"SELECT DISTINCT {q.normal('url')} AS url FROM pages")
 def r4_stream_unseen(spark, sf_dir):
     return st.drained(st.unseen(st.source(spark, sf_dir, "pages").select(u.normal_url("url").alias("url"))), "unseen")

@@ -1,4 +1,5 @@
 import csv
+import random
 import re
 import time
 
@@ -10,6 +11,7 @@ from tarnkite.functions import urls as u
 from tarnkite.operators import frontier as fr
 from tarnkite.operators import learn as ln
 from tarnkite.operators import monitor as mo
+from tarnkite.operators import seen as sn
 from tarnkite.plans import queries as qs
 from tarnkite.sources import tables as tb
 from tarnkite.streaming import frontier as st
@@ -222,16 +224,92 @@ def test_crawl_of_the_sample(spark):
     web = qs.linked_pages(spark, SF)
     rows, links, pages = sorted(web.collect(), key=lambda r: r.page_id), {}, {}
     for r in rows:
-        pages.setdefault(re.sub("/$", "", re.sub("#.*", "", r.url)), []).append(r.page_id)
+        pages.setdefault(re.sub("/$", "", re.sub("#.*", "", r.url)), [r.page_id])  # a URL finds one page, the least
     for r in u.page_links(web).orderBy("page_id", "pos").collect():
         links.setdefault(r.page_id, []).append(r.url)
     want = walk(pages, links, [rows[0].url], -1)
     got = fr.crawl(web, spark.createDataFrame([(rows[0].url,)], "url string"), -1).collect()
     assert sorted(((r.url, r.hop, r.distance, r.page_id) for r in got), key=repr) == sorted(((w[0], w[1], w[2], w[4]) for w in want), key=repr)
-    assert len({w[4] for w in want} - {None}) == len(rows)
+    assert len({w[4] for w in want} - {None}) == len(pages) > 40
+    assert len({r.url for r in got}) == len(got)
     assert max(w[1] for w in want) >= 5
 
 
+def test_crawl_reads_one_page_for_each_url(spark):
+    """Pages of one key: the least one is fetched; a URL that is a seed twice is queued once."""
+    rows = [(5, "http://a.org/x", '<a href="/five">it goes</a>'), (3, "http://a.org/x/", '<a href="/three">it goes</a>'), (4, "http://a.org/x#part", None)]
+    web = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("http://a.org/x",), ("http://a.org/x/",)], "url string")
+    got = sorted((r.url, r.hop, r.page_id) for r in fr.crawl(web, seeds).collect())
+    assert got == [("http://a.org/three", 1, None), ("http://a.org/x", 0, 3)]
+
+
+def test_a_crawl_goes_on_with_the_filter_of_another(spark, tmp_path):
+    """What a first run saw is in its filter; a lookup in the exact table decides, so nothing new is lost."""
+    web = qs.linked_pages(spark, SF)
+    seeds = spark.createDataFrame([(web.orderBy("page_id").first().url,)], "url string")
+    path = str(tmp_path / "seen")
+    sieve = sn.SeenFilter(spark, path, 10_000)
+    first = {(r.url, r.hop) for r in fr.crawl(web, seeds, -1, sieve=sieve).collect()}
+    again = sn.SeenFilter(spark, path)
+    assert again.blocks == sieve.blocks
+    assert again.maybe(spark.createDataFrame([(x,) for x, _ in first], "url string")).where("not maybe").isEmpty()
+    assert {(r.url, r.hop) for r in fr.crawl(web, seeds, -1, sieve=again).collect()} == first
+
+
+def test_rate_of_false_positives(spark, tmp_path):
+    sieve = sn.SeenFilter(spark, str(tmp_path / "seen"), 20_000, 0.001)
+    urls = lambda a, b: spark.range(a, b).select(F.concat(F.lit("http://h.org/"), "id").alias("url"))
+    sieve.add(urls(0, 10_000))
+    sieve.add(urls(10_000, 20_000))
+    sieve.add(urls(10_000, 20_000), batch=1)  # again, as after a failure
+    assert sieve.batches() == [0, 1]
+    assert sieve.maybe(urls(0, 20_000)).where("not maybe").isEmpty()
+    false = sieve.maybe(urls(20_000, 220_000)).where("maybe").count() / 200_000
+    assert 0 < false < 0.002
+    sieve.compact()
+    assert sieve.batches() == [2]
+    assert sieve.maybe(urls(0, 20_000)).where("not maybe").isEmpty()
+    none = spark.createDataFrame([(None,)], "url string")
+    sieve.add(none)
+    assert sieve.maybe(none).first().maybe is False
+
+
+def initialised(seeds, slots):
+    """The reference's loop: {host: [task, then its queue as pulled]}, overflow in order, empty queues."""
+    left, queues, rest, empty = sorted(seeds, key=lambda s: s[1]), {}, [], 0
+
+    def add(host, seq):
+        if host in queues:
+            queues[host].append(seq)
+        elif len(queues) + empty < slots:
+            queues[host] = [seq]
+        else:
+            rest.append((host, seq))
+
+    while len(queues) + empty < slots:
+        if left:
+            add(*left.pop())
+        else:
+            empty += 1
+    for s in left:
+        add(*s)
+    out = [(h, s, k, 1 if n == 0 else 1 + len(q) - n) for k, (h, q) in enumerate(queues.items(), 1) for n, s in enumerate(q)]
+    out += [(h, s, None, k) for k, (h, s) in enumerate(rest, 1)]
+    return out + [(None, None, len(queues) + k, None) for k in range(1, empty + 1)]
+
+
+@pytest.mark.parametrize(("hosts", "slots", "part"), [(9, 6, 1 << 16), (3, 6, 1 << 16), (40, 6, 4), (1, 2, 3)])
+def test_the_frontier_begins_as_the_loop_does(spark, monkeypatch, hosts, slots, part):
+    monkeypatch.setattr(fr, "PART", part)
+    draw = random.Random(hosts)
+    seeds = [(f"h{int(hosts * draw.random() ** 2)}", k * 3) for k in range(60)]
+    got = fr.initialised(spark.createDataFrame([(*s, "more") for s in seeds], "host string, seq long, slot string").drop("slot"), slots).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(initialised(seeds, slots), key=repr)
+    none = fr.initialised(spark.createDataFrame([], "host string, seq long"), slots).collect()
+    assert sorted(r.slot for r in none) == list(range(1, slots + 1))
+
+
 def simulated(rows, slots):
     """When each host's queue opens, and each task starts."""
     first, free, out = {}, [0.0] * slots, {}
