@@ -215,7 +215,8 @@ def wrapped(lines: DataFrame) -> DataFrame:
     order = W.partitionBy("row").orderBy("paragraph")
     runs = lines.withColumn("run", F.col("paragraph") - F.row_number().over(order))
     after = W.partitionBy("row", "run").orderBy("paragraph").rowsBetween(0, WRAPPED - 1)
-    runs = runs.withColumn("next", F.collect_list("words").over(after)).where(F.size("next") > 1)
+    # A line that is longer does not fit, however long it is, so no more of it is held.
+    runs = runs.withColumn("next", F.collect_list(F.slice("words", 1, WRAPPED + 1)).over(after)).where(F.size("next") > 1)
     start = F.struct(F.array().cast("array<string>").alias("words"), F.lit(0).alias("n"), F.lit(True).alias("fits"))
     step = lambda acc, w: F.when(acc["fits"] & (F.size(acc["words"]) + F.size(w) <= WRAPPED), F.struct(F.concat(acc["words"], w).alias("words"), (acc["n"] + 1).alias("n"), F.lit(True).alias("fits"))).otherwise(F.struct(acc["words"].alias("words"), acc["n"].alias("n"), F.lit(False).alias("fits")))
     runs = runs.withColumn("whole", F.aggregate("next", start, step))
