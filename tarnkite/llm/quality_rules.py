@@ -172,11 +172,17 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
-    """Rules from at most `sample` labelled rows, those with the least hashes of their ids."""
+    """Rules from at most `sample` labelled rows.
+
+    Labels are bounded before the join, by hashes of their ids, and rows after
+    it, by hashes of id and text; of rows that repeat an id, a text and a label
+    one counts.
+    """
     c.bounded_batches(docs.sparkSession)
     wanted = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", text_statistics("text").alias("s"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", F.xxhash64("doc_id", "text").alias("mark"), text_statistics("text").alias("s"))
+    rows = rows.dropDuplicates(["doc_id", "quality", "mark"]).orderBy("mark", "doc_id", "quality").limit(sample)
     got = sorted(rows.select("doc_id", "quality", "s.*").collect())
     x = np.array([r[2:] for r in got], float).reshape(len(got), len(STATISTICS))
     return fit_rules(x, np.array([r[1] for r in got], float))
