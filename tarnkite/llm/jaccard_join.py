@@ -43,6 +43,9 @@ STAR = 256
 #: joined twice more), and what reading one entry of its list does.
 LIST_COST, SCAN_COST = 3.0, 1 / 16
 
+#: Sketches for each core of the cluster.
+SKETCHES = 4
+
 SIGNATURES = "doc binary, id long, n int, d1 long, d2 long, tokens array<long>, parity array<long>, subsets double, reads double"
 ITEMS = "k long, salt int, light boolean, pos int, n int, cls long"
 SHARED = "k long, dealt boolean, light boolean, pos int, n int, cls long, pos0 int, n0 int, cls0 long"
@@ -65,14 +68,14 @@ def doc_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_rows(bits: int):
-    """For mapInArrow over (text): the rows of the count sketch that a task's shingles are in."""
+    """For mapInArrow over (text): the rows of the count sketch that a task's shingles are in, with as few bytes a cell as hold the task's counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for low, high in t.slices(batch.column(0)):
                 cells += np.bincount(doc_sets(batch.column(0).slice(low, high - low))[0] >> np.uint64(64 - bits), minlength=len(cells))
-        rows = cells.reshape(-1, 1 << ROW_BITS)
+        rows = cells.astype(np.min_scalar_type(int(cells.max()))).reshape(-1, 1 << ROW_BITS)
         some = np.flatnonzero(rows.any(1))
         for low in range(0, len(some), 1024):
             part = some[low : low + 1024]
@@ -85,7 +88,8 @@ def summed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            total[part] = total.get(part, 0) + np.frombuffer(cells.as_buffer(), np.int64)
+            counts = np.frombuffer(cells.as_buffer(), f"u{len(cells.as_buffer()) >> ROW_BITS}")
+            total[part] = total.get(part, 0) + counts.astype(np.int64)
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "cells"])
 
@@ -103,7 +107,9 @@ def cells_of(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """How often the shingles of each cell occur in all documents: a sketch of 8 MB to 128 MB, by the size of the corpus."""
     bits = cell_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    parts = docs.select("text").mapInArrow(sketch_rows(bits), "part int, cells binary")
+    # A task's sketch is as large however little it reads, so there are few tasks, a few for each core.
+    few = SKETCHES * docs.sparkSession.sparkContext.defaultParallelism
+    parts = docs.select("text").coalesce(few).mapInArrow(sketch_rows(bits), "part int, cells binary")
     cells = np.zeros((1 << (bits - ROW_BITS), 1 << ROW_BITS), np.int64)
     for row in parts.repartition("part").mapInArrow(summed_rows, "part int, cells binary").toLocalIterator():
         cells[row["part"]] += np.frombuffer(row["cells"], np.int64)

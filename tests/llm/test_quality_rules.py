@@ -118,9 +118,9 @@ def test_the_sample_is_a_bound_also_where_ids_repeat(spark, monkeypatch):
     """One labelled id in 50,000 rows of different texts, and one in as many equal rows."""
     seen = []
     monkeypatch.setattr(q, "fit_rules", lambda x, y: seen.append(len(y)) or q.RuleModel(0.0, []))
-    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(1, 1), (7, 0)], "doc_id long, quality int")
     assert labels.where(q.held_out()).isEmpty()
     many = spark.range(50_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("some words "), "id").alias("text"))
     q.train(many, labels, sample=100)
-    q.train(many.withColumn("text", F.lit("one text")).unionByName(many.limit(1).withColumn("doc_id", F.lit(3).cast("long"))), labels, sample=100)
+    q.train(many.withColumn("text", F.lit("one text")).unionByName(many.limit(1).withColumn("doc_id", F.lit(7).cast("long"))), labels, sample=100)
     assert seen == [100, 2]
