@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frontier import queue_order
+from ..sources.tables import new_path, stored
+from .frontier import queue_order, running
 from .skew import dealt_join
 
 CAP, GATE = 1.0, 0.5
-STEP = "id long, score double, tc int, loss double, updated boolean"
+#: Rows of a block, parts that its keys are dealt out to (each sends a block's dot products to the driver), keys that one product takes, changes of weights that are merged at once.
+BLOCK, PARTS, KEYS_AT_ONCE, DELTAS = 1024, 8, 512, 8
 
 
 def learn(weights: dict[str, float], keys: list[str], values: list[float], tc: int | None, cap: float, gate: float) -> tuple[float, float | None, bool]:
@@ -37,44 +41,124 @@ def vectors_of(column: pa.MapArray) -> Iterator[tuple[list[str], list[float]]]:
         yield keys[low:high], [v or 0.0 for v in items[low:high]]
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """All rows in one task by id, by label and a hash of the vector where ids repeat; only what a replay needs."""
-    return rows.select("id", "x", F.col("tc").cast("int").alias("tc")).repartition(1).sortWithinPartitions("id", "tc", F.xxhash64(F.map_entries("x")))
+def products(size: int):
+    """For mapInArrow over (spot, key, value, weight), all rows of a key together: a row with the sums of value * weight by spot, and the dot products of all pairs of spots, as far as these keys go."""
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # a part of a block's entries
+        if not sum(b.num_rows for b in held):
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        spot, value, weight = (rows.column(k).to_numpy() for k in (0, 2, 3))
+        code = rows.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
+        scores, dots = np.bincount(spot, value * weight, size), np.zeros((size, size))
+        often = np.bincount(code)
+        alone = often[code] == 1
+        dots[np.diag_indices(size)] = np.bincount(spot[alone], value[alone] ** 2, size)
+        # Keys of several rows, some hundreds at once, as a matrix of keys by rows.
+        place = np.cumsum(often > 1) - 1
+        for low in range(0, int((often > 1).sum()), KEYS_AT_ONCE):
+            now = ~alone & (place[code] >= low) & (place[code] < low + KEYS_AT_ONCE)
+            part = np.zeros((KEYS_AT_ONCE, size))
+            part[place[code[now]] - low, spot[now]] = value[now]
+            dots += part.T @ part
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (scores, dots)], ["scores", "dots"])
+
+    return sum_up
+
+
+class Replay:
+    """A replay of rows (id, x map<string,double>, tc) in id order (by label and a hash of the vector where ids repeat), block by block.
+
+    Weights are a table. For each block its entries are joined with the weights
+    so far, and scores and dot products are summed up by key in parallel; what
+    is sequential is the recursion over the block's numbers alone: a row's score
+    is its sum plus, for each earlier row of the block that learned, that row's
+    step times their dot product. Then the block's steps times its entries are
+    added to the weights. The driver holds one block's labels, scores and dot
+    products. Results:
+
+    labels: t (from 1, the order), id, tc; entries: t, key, value; steps: t,
+    score, loss, updated, step; weights: key, weight, of all keys of rows that learned.
+    """
+
+    def __init__(self, rows: DataFrame, cap: float = CAP, gate: float = GATE, block: int = BLOCK):
+        spark = rows.sparkSession
+        rows = rows.select(F.col("id").cast("long").alias("id"), "x", F.col("tc").cast("int").alias("tc"), F.xxhash64(F.map_entries("x")).alias("mark"))
+        placed = queue_order(rows, "id", "tc", "mark").withColumnRenamed("rank", "t")
+        self.labels = stored(placed.select("t", "id", "tc"), "labels")
+        # In order of t by files, so that a block is read from few of them.
+        self.entries = stored(placed.select("t", F.explode("x").alias("key", "value")).withColumn("value", F.coalesce("value", F.lit(0.0))), "entries")
+        self.steps = spark.createDataFrame([], "t long, score double, loss double, updated boolean, step double")
+        deltas: list[DataFrame] = []
+        path, n = new_path(spark, "steps"), self.labels.count()
+        for low in range(1, n + 1, block):
+            inside = F.col("t").between(low, low + block - 1)
+            labels = dict(self.labels.where(inside).select("t", "tc").collect())
+            entries, known = self.entries.where(inside), summed(deltas)
+            met = entries.withColumn("weight", F.lit(0.0)) if known is None else entries.join(known, "key", "left")
+            met = met.select((F.col("t") - low).cast("int").alias("spot"), "key", "value", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+            parts = met.repartition(PARTS, "key").mapInArrow(products(len(labels)), "scores binary, dots binary").collect()
+            scores = sum((np.frombuffer(r["scores"]) for r in parts), np.zeros(len(labels)))
+            dots = sum((np.frombuffer(r["dots"]).reshape(len(labels), -1) for r in parts), np.zeros((len(labels), len(labels))))
+            found = recursion(low, scores, dots, [labels[low + k] for k in range(len(labels))], cap, gate)
+            spark.createDataFrame(found, self.steps.schema).coalesce(1).write.mode("append").parquet(path)
+            moved = spark.createDataFrame([(r[0], r[4]) for r in found if r[3]], "t long, step double")
+            deltas.append(stored(entries.join(F.broadcast(moved), "t").groupBy("key").agg(F.sum(F.col("step") * F.col("value")).alias("weight")), "delta"))
+            if len(deltas) > DELTAS:
+                deltas = [stored(summed(deltas), "weights")]
+        if n:
+            self.steps = spark.read.schema(self.steps.schema).parquet(path)
+        found = summed(deltas)
+        self.weights = spark.createDataFrame([], "key string, weight double") if found is None else found
+
+    def scored(self) -> DataFrame:
+        """id, score, tc, loss, updated of each row."""
+        return self.labels.join(self.steps, "t").select("id", "score", "tc", "loss", "updated")
+
+    def explained(self) -> DataFrame:
+        """id, key, x, weight: each entry of each row beside the weight that its key had before the row; 0 before any.
+
+        Sums over earlier rows by key, in ranges of t, so a word of all rows is in no one task.
+        """
+        moves = self.entries.join(self.steps.where("updated").select("t", "step"), "t", "left")
+        moves = moves.select(F.col("key").alias("host"), F.col("t").alias("seq"), "value", (F.coalesce("step", F.lit(0.0)) * F.col("value")).alias("moved"))
+        before = running(moves, F.col("moved")).select(F.col("seq").alias("t"), F.col("host").alias("key"), F.col("value").alias("x"), F.col("before").cast("double").alias("weight"))
+        return before.join(self.labels.select("t", "id"), "t").select("id", "key", "x", "weight")
+
+
+def summed(deltas: list[DataFrame]) -> DataFrame | None:
+    """key, weight: the sum of changes of weights."""
+    if not deltas:
+        return None
+    return reduce(DataFrame.unionByName, deltas).groupBy("key").agg(F.sum("weight").alias("weight"))
+
+
+def recursion(low: int, scores: np.ndarray, dots: np.ndarray, labels: list[int | None], cap: float, gate: float) -> list[tuple]:
+    """t, score, loss, updated, step of a block's rows, one after the other."""
+    steps, out = np.zeros(len(scores)), []
+    for k, tc in enumerate(labels):
+        score, size = float(scores[k] + steps[:k] @ dots[k, :k]), float(dots[k, k])
+        loss = None if tc is None else max(0.0, 1.0 - tc * score)
+        learns = tc is not None and abs(score) <= gate and size > 0
+        steps[k] = min(cap, loss / size) * tc if learns else 0.0
+        out.append((low + k, score, loss, learns, float(steps[k])))
+    return out
 
 
 def replay(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
-    """id, score, tc, loss, updated for rows (id, x map<string,double>, tc) taken in id order.
+    """id, score, tc, loss, updated for rows (id, x map<string,double>, tc) taken in id order: a Replay's.
 
     Each row is scored with the weights so far; unless |score| > gate they move
     by min(cap, loss / |x|^2) * tc * x. Loss is that before the update. A null
-    vector is empty; a row without a label is scored only. The fold is
-    sequential by nature: rows come sorted to one task and stream through it,
-    which keeps the weights only.
+    vector is empty; a row without a label is scored only.
     """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights: dict[str, float] = {}
-        for batch in batches:
-            labels = batch.column(2).to_pylist()
-            found = [learn(weights, *x, tc, cap, gate) for x, tc in zip(vectors_of(batch.column(1)), labels, strict=True)]
-            score, loss, updated = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), batch.column(2), pa.array(loss, pa.float64()), pa.array(updated, pa.bool_())], ["id", "score", "tc", "loss", "updated"])
-
-    return ordered(rows.withColumn("id", F.col("id").cast("long"))).mapInArrow(fold, STEP)
+    return Replay(rows, cap, gate).scored()
 
 
 def final_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
-    """key, weight after a replay of all rows (id, x, tc) in id order: replay()'s fold, in one task that keeps the weights only."""
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights: dict[str, float] = {}
-        for batch in batches:
-            for x, tc in zip(vectors_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                learn(weights, *x, tc, cap, gate)
-        if weights:
-            yield pa.RecordBatch.from_arrays([pa.array(list(weights), pa.string()), pa.array(list(weights.values()), pa.float64())], ["key", "weight"])
-
-    return ordered(rows).mapInArrow(fold, "key string, weight double")
+    """key, weight after a replay of all rows (id, x, tc) in id order."""
+    return Replay(rows, cap, gate).weights
 
 
 def replay_weights(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:

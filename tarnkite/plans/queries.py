@@ -286,6 +286,13 @@ def f7_status(spark, sf_dir):
     return tb.read(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "error", 500).otherwise(200)).where("status < 400").select("event_id", "event_type")
 
 
+@query(rf"SELECT page_id, regexp_matches({q.path('url')} || CASE WHEN page_id % 2 = 0 THEN '/page_' || page_id || '.csv' ELSE '' END, '{tb.CSV_PATH}') AS csv FROM pages")
+def f13_csv_paths(spark, sf_dir):
+    """Which pages' paths, every other one with a file's name after it, a CSV file may be written to."""
+    name = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/page_"), "page_id", F.lit(".csv"))).otherwise("")
+    return tb.read(spark, sf_dir, "pages").select("page_id", tb.is_csv(F.concat(u.path("url"), name)).alias("csv"))
+
+
 @query("SELECT p.page_id, p.url, p.html FROM pages p JOIN labels l ON l.doc_id = p.page_id WHERE l.quality = 1")
 def f9_positives(spark, sf_dir):
     labels = s8_feedback(spark, sf_dir).where("tc = 1").select(F.col("doc_id").alias("page_id"))
@@ -965,7 +972,7 @@ def k6_weight_rows(spark, sf_dir):
 
 
 def judged_pages(spark, sf_dir) -> DataFrame:
-    """id, url, tc, x, slots, parent_line: pages that have a label (a document's of the same number serves), with their features as a unit vector."""
+    """id, url, tc, x, slots: pages that have a label (a document's of the same number serves), with their features as a unit vector."""
     tc = s8_feedback(spark, sf_dir).withColumnRenamed("doc_id", "page_id")
     rows = features(spark, sf_dir).join(tc, "page_id")
     keys = [F.array(F.lit(str(k))) for k in range(len(ft.NUMBERS))]
@@ -1000,8 +1007,8 @@ def m7_explained(spark, sf_dir):
   printf('%.2f', 100 * round(score, 9)) AS shown, tc, round(loss, 9) AS loss, CASE WHEN tc = 1 THEN 'positive' ELSE 'negative' END AS route
 FROM steps s JOIN pages p ON p.page_id = s.id JOIN (SELECT t, count(*) AS n_features FROM entries GROUP BY 1) e ON e.t = s.t""")
 def m8_analysis(spark, sf_dir):
-    """What the judge of each page sees, and what follows: the next page by id, its features, its score with the weights so far,
-    the features with the weights that they had, its body; then the label is learned and the page routed."""
+    """What the judge of each page sees, and what follows: the next page by id, how many features it has (k9_analysis lists them),
+    its score with the weights so far, its body; then the label is learned and the page routed."""
     rows = tb.stored(judged_pages(spark, sf_dir), "judged")
     steps = ln.replay(rows)
     body = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.md5(tx.body("html").cast("binary")).alias("body"))
@@ -1009,6 +1016,28 @@ def m8_analysis(spark, sf_dir):
     return shown.select("id", "url", "n_features", "body", F.format_string("%.2f", 100 * F.round("score", 9)).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
 
 
+@query(f"""{JUDGED}, moved AS (
+  SELECT id, e.key, value, coalesce(sum(CASE WHEN updated THEN step * value ELSE 0 END) OVER (PARTITION BY e.key ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight FROM entries e JOIN steps USING (t))
+SELECT id, key, round(value, 9) AS x, round(weight, 9) AS w, printf('%.2f', 100 * round(score, 9)) AS shown FROM moved JOIN (SELECT id, score FROM steps) USING (id)""")
+def k9_analysis(spark, sf_dir):
+    """What the result page of each judged page shows, line by line: each of its features with its value and the weight that it had then, and the page's score."""
+    done = ln.Replay(judged_pages(spark, sf_dir))
+    shown = done.scored().select("id", F.format_string("%.2f", 100 * F.round("score", 9)).alias("shown"))
+    return done.explained().join(shown, "id").select("id", "key", F.round("x", 9).alias("x"), F.round("weight", 9).alias("w"), "shown")
+
+
+@query(f"""WITH {q.PAGES}, {STATS}, {q.ranked('titles', 'stats', 'page_id', 'title')}, own AS (
+  SELECT s.page_id, {q.host('s.url')} AS host, text_length, links, coalesce(words, []) AS words FROM stats s LEFT JOIN titles USING (page_id)),
+before AS (
+  SELECT page_id, lag(page_id) OVER w AS parent, lag(text_length) OVER w AS text_length, lag(links) OVER w AS links, lag(words) OVER w AS words FROM own WINDOW w AS (PARTITION BY host ORDER BY page_id))
+SELECT b.page_id AS id, CASE WHEN parent IS NOT NULL THEN printf('%.1f;%.1f;', text_length, links) || array_to_string(words, ',') || ';;' END AS parent_line FROM before b JOIN labels l ON l.doc_id = b.page_id""")
+def k9_parent_stats(spark, sf_dir):
+    """The line of parent statistics that the result page of each judged page shows; null for a host's first page. The parent is the page before it on its host, as everywhere here."""
+    own = pages(spark, sf_dir).select("page_id", u.host("url").alias("host"), *ft.passed_stats(F.col("html")), F.array().cast("array<string>").alias("link_tokens"))
+    rows = ft.with_parents(own, "page_id", "text_length", "links", "title_tokens", "link_tokens").join(s8_feedback(spark, sf_dir).select(F.col("doc_id").alias("page_id")), "page_id")
+    return rows.select(F.col("page_id").alias("id"), ft.stats_to_text(F.col("parent")).alias("parent_line"))
+
+
 @query("SELECT p.page_id, p.url, p.html, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS route FROM pages p JOIN labels l ON l.doc_id = p.page_id")
 def m8_routes(spark, sf_dir):
     """Where the analysis step sends each judged page."""
@@ -1067,3 +1096,14 @@ def r7_failure_dump(spark, sf_dir):
 @query(f"SELECT DISTINCT {q.normal('url')} AS url FROM pages")
 def r4_stream_unseen(spark, sf_dir):
     return st.drained(st.unseen(st.source(spark, sf_dir, "pages").select(u.normal_url("url").alias("url"))), "unseen")
+
+
+@query(f"SELECT DISTINCT {q.normal('url')} AS url FROM pages")
+def r4_kept_unseen(spark, sf_dir):
+    """The same in two runs, each over pages that came since the one before and some that it had; what was seen is a table and its filter."""
+    rows, path = tb.read(spark, sf_dir, "pages").select("page_id", u.normal_url("url").alias("url")), tb.new_path(spark, "unseen")
+    found = None
+    for part in (F.col("page_id") % 3 < 2, F.col("page_id") % 3 > 0):
+        tb.append(rows.where(part).select("url"), f"{path}/in")
+        found = st.unseen_kept(spark.readStream.schema("url string").parquet(f"{path}/in"), f"{path}/seen")
+    return found

@@ -118,6 +118,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def is_csv(path: Column) -> Column:
+    """Whether a path names a .csv file of letters, digits and underscores."""
+    return path.rlike(CSV_PATH)
+
+
 def check_csv(path: str) -> None:
     if not re.search(CSV_PATH, path):
         raise ValueError(f"not a csv path: {path}")

@@ -17,7 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..operators import frontier as fr
 from ..operators import monitor as mo
+from ..operators.seen import SeenFilter
 from ..sources.tables import bag_union, exists, new_path
 
 #: Rows that a host's answer comes in at once.
@@ -32,6 +34,28 @@ def unseen(urls: DataFrame) -> DataFrame:
     return urls.dropDuplicates(["url"])
 
 
+def unseen_kept(urls: DataFrame, path: str) -> DataFrame:
+    """Each url of a stream once, over all runs with the same path, as far as the stream's source goes now.
+
+    What was seen is a table at the path, with a filter of it beside it, and no
+    state of the stream, so it may grow without end: a batch's URLs are asked of
+    the filter, and those that it lets through are looked up. A batch that is run
+    again after a failure replaces its own rows and knows only those of earlier ones.
+    """
+    spark, seen = urls.sparkSession, "url string, batch int"
+
+    def add(batch: DataFrame, number: int) -> None:
+        known = spark.read.schema(seen).parquet(f"{path}/urls").where(F.col("batch") < number) if exists(spark, f"{path}/urls") else spark.createDataFrame([], seen)
+        sieve = SeenFilter(spark, f"{path}/filter")
+        fresh = fr.unseen(batch.where("url is not null").select("url", F.lit(0).alias("seq")), known, sieve).select("url")
+        fresh.write.mode("overwrite").parquet(f"{path}/urls/batch={number}")
+        sieve.add(spark.read.schema("url string").parquet(f"{path}/urls/batch={number}"), batch=number)
+
+    run = urls.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(seen).parquet(f"{path}/urls").select("url")
+
+
 def pull_times(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """host, seq, start for tasks (host, seq, delay): the sum of the delays of the host's earlier tasks.
 

@@ -2,6 +2,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__ as entry
 
 REPO = Path(__file__).resolve().parent.parent
@@ -17,9 +19,11 @@ def test_sql_keys():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_the_library_stands_without_the_subpackage(tmp_path):
-    for name in ("__spark_entry__.py", "tarnkite"):
-        (tmp_path / name).symlink_to(REPO / name) if name.endswith(".py") else None
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_the_library_stands_without_the_subpackage(tmp_path, pipeline):
+    """The subpackage is gone; the pipeline that imports it may be there or gone too."""
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])):
+        (tmp_path / name).symlink_to(REPO / name)
     package = tmp_path / "tarnkite"
     package.mkdir()
     for p in (REPO / "tarnkite").iterdir():
@@ -32,3 +36,8 @@ def test_the_library_stands_without_the_subpackage(tmp_path):
     many, sql = map(int, said.stdout.split())
     assert many > 70
     assert sql > 70
+    (tmp_path / "tests").mkdir()
+    for p in ("conftest.py", "test_functions.py"):
+        (tmp_path / "tests" / p).write_text((REPO / "tests" / p).read_text())
+    said = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert said.returncode == 0, said.stdout

@@ -37,6 +37,27 @@ def test_replay_equals_a_plain_fold(spark):
         assert g.loss == pytest.approx(loss, abs=1e-9)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_a_replay_in_blocks_is_the_fold(spark, block, monkeypatch):
+    """Blocks of any size, keys of one row and of all rows, weights merged often; and what each weight was before each row."""
+    monkeypatch.setattr(ln, "DELTAS", 2)
+    monkeypatch.setattr(ln, "KEYS_AT_ONCE", 3)
+    monkeypatch.setattr(fr, "PART", 5)
+    draw = random.Random(block)
+    rows = [(3 * k, {"all": 0.5, f"own{k}": 1.0, **{f"w{draw.randrange(9)}": draw.gauss(0, 1) for _ in range(4)}}, draw.choice((1, -1, None))) for k in range(15 if block == 1 else 40)]
+    weights, want, then = {}, [], {}
+    for k, x, tc in rows:
+        then |= {(k, key): (v, weights.get(key, 0.0)) for key, v in x.items()}
+        want.append((k, *ln.learn(weights, list(x), list(x.values()), tc, 1.0, 0.5)))
+    done = ln.Replay(spark.createDataFrame(rows, "id long, x map<string,double>, tc int").repartition(3), block=block)
+    got = sorted((r.id, r.score, r.loss, r.updated) for r in done.scored().collect())
+    assert [(g[0], g[3]) for g in got] == [(w[0], w[3]) for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-9)
+    assert {r.key: r.weight for r in done.weights.collect()} == pytest.approx(weights, abs=1e-9)
+    told = {(r.id, r.key): (r.x, r.weight) for r in done.explained().collect()}
+    assert told == {k: pytest.approx(v, abs=1e-9) for k, v in then.items()}
+
+
 def test_weights_gate_and_skips_of_all_labelled_documents(spark):
     weights, skipped, gated = {}, {}, {}
     for r in sorted(qs.labelled(spark, SF).collect(), key=lambda r: r.id):

@@ -289,3 +289,18 @@ def test_scores_of_words_in_all_rows(spark):
 
 def test_all_events_are_logged(spark):
     assert qs.k5_log_lines(spark, SF).count() == tb.read(spark, SF, "events").count()
+
+
+def test_what_was_seen_is_kept_over_runs_and_failures(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "seen")
+    put = lambda *x: spark.createDataFrame([(k,) for k in x], "url string").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: sorted(r.url for r in st.unseen_kept(spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(source), path).collect())
+    put("a", "b", "a")
+    put("b", "c", None)
+    assert run() == ["a", "b", "c"]
+    # The last batch's commit is lost: it is done again beside its own traces, and loses nothing.
+    last = max((tmp_path / "seen/state/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink()
+    put("c", "d")
+    assert run() == ["a", "b", "c", "d"]
