@@ -1,9 +1,13 @@
 """Chat formatting in budgeted, turn-aligned windows (DataFrame functions only).
 
 Prefix sums of the turns' tokens, taken in two levels so that a very long
-conversation is not summed in one task, choose the span of each turn: spans are
-cells of ``stride`` tokens, and a turn that crosses a cell's edge is a span of
-its own, so a window is over budget only where one turn alone is. Each window
+conversation is not summed in one task, choose spans of whole turns: each begins
+where the one before ends and goes up to the furthest turn whose prefix sum is
+still within ``room`` tokens of the span's beginning, so a window is over budget
+only where one turn alone is. The choice goes from turn to turn through chapters
+of CHAPTER turns, which are independent, so a conversation of any length is in
+many tasks; a chapter begins a new span, which makes a span more than needed in
+a chapter at most, and none in a conversation of one chapter. Each window
 opens with the conversation's system turn and up to ``history_turns`` turns
 before the span, if they fit ``history``; all of these are context and are
 masked, so each assistant text is a target exactly once.
@@ -19,8 +23,8 @@ from . import _common as c
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 KEY = ["none", "conv"]
-#: Turn numbers in one part of the two-level prefix sums.
-PART = 256
+#: Turn numbers in one part of the two-level prefix sums, and turns that spans are chosen in at once.
+PART, CHAPTER = 256, 256
 
 
 def turn_tokens(text: Column) -> Column:
@@ -37,6 +41,19 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def with_spans(turns: DataFrame) -> DataFrame:
+    """turns (seq, start, tokens, room, is_system) with span, rising; the system turn is in the first one."""
+    chapter = W.partitionBy(*KEY, F.floor(F.col("seq") / CHAPTER))
+    own = F.when(~F.col("is_system"), F.struct("seq", "start", (F.col("start") + F.col("tokens")).alias("end")))
+    turns = turns.withColumn("ends", F.array_sort(F.collect_list(own).over(chapter)))
+    first = F.get("ends", 0)
+    begin = F.struct(first["start"].alias("from"), F.array(first["seq"]).alias("cuts"))
+    step = lambda acc, t: F.when(t["end"] - acc["from"] > F.col("room"), F.struct(t["start"].alias("from"), F.concat(acc["cuts"], F.array(t["seq"])).alias("cuts"))).otherwise(acc)
+    cuts = F.aggregate(F.slice("ends", 2, CHAPTER), begin, step, lambda acc: acc["cuts"])
+    span = F.floor(F.col("seq") / CHAPTER) * (2 * CHAPTER) + F.size(F.filter(cuts, lambda x: x <= F.col("seq"))) - 1
+    return turns.withColumn("span", F.when(F.col("is_system"), F.lit(0)).otherwise(span).cast("long")).drop("ends")
+
+
 def placed_turns(conversations: DataFrame, budget: int, history: int) -> DataFrame:
     """Each turn with its number in the conversation, its span and the tokens before it."""
     turns = conversations.select(
@@ -61,7 +78,7 @@ def placed_turns(conversations: DataFrame, budget: int, history: int) -> DataFra
         F.first("first").over(W.partitionBy(*KEY).orderBy("part")).alias("first"),
     )
     parts = parts.withColumn("system", F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(none)).drop("first")
-    stride = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(max(1, budget // 4)))
+    room = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(max(1, budget // 4))).cast("long")
     turns = (
         turns.withColumn("seq", F.coalesce(F.count("*").over(inside), none))
         .withColumn("start", F.coalesce(F.sum("tokens").over(inside), none))
@@ -69,12 +86,9 @@ def placed_turns(conversations: DataFrame, budget: int, history: int) -> DataFra
         .withColumn("seq", F.col("seq") + F.col("n_before"))
         .withColumn("is_system", (F.col("seq") == 0) & (F.col("system") > 0))
         .withColumn("start", F.when(F.col("is_system"), none).otherwise(F.col("start") + F.col("sum_before") - F.col("system")))
-        .withColumn("stride", stride)
+        .withColumn("room", room)
     )
-    cell = F.floor(F.col("start") / F.col("stride"))
-    crosses = (F.floor((F.col("start") + F.col("tokens") - 1) / F.col("stride")) != cell) & (F.col("start") % F.col("stride") != 0)
-    span = F.when(F.col("is_system"), none).otherwise(2 * cell + crosses.cast("long"))
-    return turns.select(*KEY, span.cast("long").alias("span"), "seq", "start", "is_system", "role", "text")
+    return with_spans(turns).select(*KEY, "span", "seq", "start", "is_system", "role", "text")
 
 
 def format_windows(conversations: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 2) -> DataFrame:
@@ -195,13 +209,18 @@ led AS (
          max(CASE WHEN seq = 0 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS system_chars
   FROM numbered),
 summed AS (
-  SELECT *, greatest(1024 - 256 - system, 256) AS stride,
+  SELECT *, greatest(1024 - 256 - system, 256) AS room, seq // 256 AS chapter,
          CASE WHEN is_system THEN 0 ELSE sum(tokens) OVER (PARTITION BY conv_id ORDER BY seq) - tokens - system END AS start
   FROM led),
+chapters AS (
+  SELECT conv_id, chapter, any_value(room) AS room, list({'w': start, 'e': start + tokens, 'cuts': [seq]} ORDER BY seq) AS turns FROM summed WHERE NOT is_system GROUP BY conv_id, chapter),
+cuts AS (
+  SELECT conv_id, chapter, list_reduce(turns, lambda a, b:
+    CASE WHEN b.e - a.w > room THEN {'w': b.w, 'e': b.e, 'cuts': list_concat(a.cuts, b.cuts)} ELSE {'w': a.w, 'e': b.e, 'cuts': a.cuts} END).cuts AS cuts
+  FROM chapters),
 spans AS (
-  SELECT *, CASE WHEN is_system THEN 0 ELSE 2 * floor(start / stride)
-         + CASE WHEN floor((start + tokens - 1) / stride) <> floor(start / stride) AND start % stride <> 0 THEN 1 ELSE 0 END END AS span
-  FROM summed),
+  SELECT s.*, CASE WHEN is_system THEN 0 ELSE s.chapter * 512 + len(list_filter(cuts, lambda x: x <= seq)) - 1 END AS span
+  FROM summed s LEFT JOIN cuts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.chapter = s.chapter),
 starts AS (SELECT conv_id, span, min(seq) AS at, arg_min(start, seq) AS "from", max(system_chars) AS system_chars FROM spans GROUP BY ALL),
 again AS (
   SELECT t.conv_id, t.chars FROM spans t JOIN starts s ON s.conv_id IS NOT DISTINCT FROM t.conv_id
