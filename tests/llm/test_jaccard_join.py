@@ -126,3 +126,13 @@ def test_a_star_of_very_many_members(spark, monkeypatch):
 
 def test_the_sketch_grows_with_the_corpus():
     assert [j.cell_bits(x) for x in (0, 10**8, 10**9, 10**11, 10**13, 10**14, 10**18)] == [20, 20, 20, 22, 24, 24, 24]
+
+
+def test_very_long_texts(docs, prose):
+    """Texts of 120,000 words: a near copy links, one that shares half does not."""
+    words = prose(120_000, 1).split()
+    near, half = words.copy(), words.copy()
+    near[::300] = ["changed"] * len(near[::300])
+    half[: len(half) // 2] = prose(len(half) // 2, 2).split()
+    rows = [(1, " ".join(words)), (2, "\n".join(near)), (3, " ".join(half)), (4, "short"), (5, prose(50, 3))]
+    assert found(j.jaccard_components(docs(rows).repartition(2))) == brute(rows)

@@ -104,3 +104,13 @@ def test_names_that_clash(spark, prose):
     got = ld.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "n_lines", "n_removed", "_n_lines", "_n_removed"]
     assert sorted((r.doc_id, r.n_lines, r._n_removed) for r in got.collect()) == [(1, 5, 0), (2, 5, 1)]
+
+
+def test_a_very_long_text(docs, prose):
+    """45,000 words in lines, again with a line more, and as one line."""
+    lines = [prose(9, k) for k in range(5000)]
+    own = "a line of its own"
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:2000], own, *lines[2000:]])), (3, " ".join(lines)), (4, prose(12, 9999))]
+    got = {r.doc_id: r for r in ld.dedup_lines(docs(rows)).collect()}
+    assert {k: got[k].text for k in (1, 3, 4)} == {k: t for k, t in rows if k != 2}
+    assert (got[2].text, got[2].n_lines, got[2].n_removed) == (own, 5001, 5000)

@@ -88,3 +88,15 @@ def test_rows_that_repeat_lie_in_many_blocks(spark, monkeypatch):
     told = {r.source: (r["sum(taken)"], r["max(target)"], r["count(1)"]) for r in got}
     assert {s: x[2] for s, x in told.items()} == {"a": 59_000, "b": 30_000}
     assert all(taken == pytest.approx(target, abs=30) for taken, target, _ in told.values())
+
+
+def test_a_text_that_is_most_of_its_source(docs, prose):
+    rows = [(0, "a", prose(250_000, 1)), *((k, "ab"[k % 2], prose(20 + k % 30, k)) for k in range(1, 300))]
+    got = mixing.mix(docs(rows, "doc_id long, source string, text string")).collect()
+    sizes = {s: sum(len(r[2].split()) for r in rows if r[1] == s) for s in "ab"}
+    target = filled(sizes)
+    for s in "ab":
+        taken = sum(r.taken for r in got if r.source == s)
+        assert abs(taken - target[s]) <= max(250_000 if s == "a" else 0, 0.02 * target[s] + 60)
+    assert all(r.taken <= 2 * r.size for r in got)
+    assert max(r.size for r in got) == 250_000
