@@ -297,7 +297,7 @@ def test_rate_of_false_positives(spark, tmp_path):
 
 
 def initialised(seeds, slots):
-    """The reference's loop: {host: [task, then its queue as pulled]}, overflow in order, empty queues."""
+    """A plain loop: {host: [task, then its queue as pulled]}, overflow in order, empty queues."""
     left, queues, rest, empty = sorted(seeds, key=lambda s: s[1]), {}, [], 0
 
     def add(host, seq):
