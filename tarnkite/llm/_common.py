@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -119,30 +120,61 @@ def join_one(rows: DataFrame, other: DataFrame, keys: list[str], spread: Column)
     return rows.join(copies, [*keys, "salt"]).drop("salt")
 
 
-def filter_bits(n: int, least: int = 16, most: int = 27) -> int:
-    """Bits of a filter's hashes for n values: sixteen bits a value, up to 16 MB."""
+#: Bits, as a power of two, that a filter may have at most: 16 MB, and 128 MB where what it saves is a shuffle of whole texts.
+MOST_BITS, TEXT_BITS = 27, 30
+
+
+class HashFilter(NamedTuple):
+    """A Bloom filter in blocks of one 64-bit word: a hash's first bits name its word, `probes` groups of six its bits there."""
+
+    words: np.ndarray
+    probes: int
+
+
+def filter_bits(n: int, least: int = 16, most: int = MOST_BITS) -> int:
+    """Bits of a filter's hashes for n values: sixteen bits a value, up to 2 ** most bits in all."""
     return min(most, max(least, n.bit_length() + 4))
 
 
-def hash_filter(values: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit map of 2 ** bits bits, by the first bits of a 64-bit hash: false only for hashes that the column lacks."""
-    cell = f"shiftrightunsigned({column}, {64 - bits})"
-    words = values.groupBy(F.expr(f"shiftright({cell}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({cell} & 63 AS INT))")).alias("bits")).toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return table.view(np.uint64)
+def probes_for(bits: int, n: int) -> int:
+    """How many bits a value sets, so that about half of the filter is set: five at most, one where it is overfull."""
+    return min(5, max(1, round(0.69 * (1 << bits) / max(1, n))))
 
 
-def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which of the hashes the filter lets through."""
-    at = hashes >> np.uint64(64 - (len(table) * 64).bit_length() + 1)
-    return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+def hash_filter(values: DataFrame, column: str, bits: int, n: int | None = None) -> HashFilter:
+    """A filter of 2 ** bits bits for a column of well-mixed 64-bit hashes; n: how many there are, from which the probes follow (three if not given)."""
+    probes = 3 if n is None else probes_for(bits, n)
+    mixed = f"({column} ^ shiftrightunsigned({column}, 31))"
+    mask = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned({mixed}, {6 * k}) & 63 AS INT))" for k in range(probes))
+    word = f"shiftrightunsigned(shiftrightunsigned({column}, {64 - bits}), 6)"
+    words = values.groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(mask)).alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return HashFilter(table.view(np.uint64), probes)
+
+
+def passes(table: HashFilter, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes the filter lets through: all that it was made of, and few others. Later probes look only at what is left."""
+    shift = 64 - (len(table.words).bit_length() - 1)
+    some = np.zeros(len(hashes), np.intp)
+    words = table.words[(hashes >> np.uint64(shift)).astype(np.int64)] if shift < 64 else table.words[some]
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    found = ((words >> (mixed & np.uint64(63))) & np.uint64(1)).astype(bool)
+    if table.probes > 1:
+        some = np.flatnonzero(found)
+        words, mixed = words[some], mixed[some]
+        more = np.ones(len(some), bool)
+        for k in range(1, table.probes):
+            more &= ((words >> ((mixed >> np.uint64(6 * k)) & np.uint64(63))) & np.uint64(1)).astype(bool)
+        found[some] = more
+    return found
 
 
 def sieved(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs (doc, text) without most of those whose doc is not in ids, by a filter of bounded size."""
     marks = ids.select(F.xxhash64("doc").alias("mark"))
-    shared = ids.sparkSession.sparkContext.broadcast(hash_filter(marks, "mark", filter_bits(ids.count())))
+    many = ids.count()
+    shared = ids.sparkSession.sparkContext.broadcast(hash_filter(marks, "mark", filter_bits(many, most=TEXT_BITS), many))
 
     def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -224,7 +224,8 @@ def joined_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = c.staged(rows.mapInArrow(tokenised, "item long, item_id long, tokens array<long>"), "items")
     own = c.staged(items.select("item", "tokens").mapInArrow(seed_rows, SEEDS), "item-seeds")
     marks = own.select("seed").union(own.select("again"))
-    shared = spark.sparkContext.broadcast(c.hash_filter(marks, "seed", c.filter_bits(marks.count())))
+    many = marks.count()
+    shared = spark.sparkContext.broadcast(c.hash_filter(marks, "seed", c.filter_bits(many), many))
     lengths = [r[0] for r in items.select(F.least(F.size("tokens"), F.lit(SHORT))).distinct().collect()]
     masks = sorted({m for n in lengths for m in masks_for(n)})
     keyed = docs.select(c.doc_key().alias("doc"), "text")

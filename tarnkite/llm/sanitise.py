@@ -232,7 +232,8 @@ def disclosed_pairs(base: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
     alone = alone.join(terms, "doc").select("kind", "pairs", F.explode("terms").alias("term")).groupBy("kind", "term").agg(F.sum("pairs").alias("pairs"))
     alone = c.staged(alone, "lone-terms")
     own_terms = c.staged(pairs.select("term").union(alone.select("term")).distinct(), "entity-words")
-    shared = spark.sparkContext.broadcast(c.hash_filter(own_terms, "term", c.filter_bits(own_terms.count(), most=24)))
+    distinct = own_terms.count()
+    shared = spark.sparkContext.broadcast(c.hash_filter(own_terms, "term", c.filter_bits(distinct, most=24), distinct))
     counts = docs.select("text").mapInArrow(document_counts(shared), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
     counts = c.staged(counts.join(own_terms, "term"), "term-documents")
     # A term's documents that lack the entity count whole; a term cannot be in fewer documents than they are together.
@@ -283,7 +284,8 @@ def all_spans(docs: DataFrame, reveals: float = REVEALS, rest: float = REST) ->
     if terms.isEmpty():
         found = base.sparkSession.createDataFrame([], "doc binary, terms array<struct<kind:int,start:int,end:int,kinds:int>>")
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(c.hash_filter(terms, "term", c.filter_bits(terms.count())))
+        many = terms.count()
+        shared = docs.sparkSession.sparkContext.broadcast(c.hash_filter(terms, "term", c.filter_bits(many), many))
         places = keyed.select("doc", "text").mapInArrow(term_places(shared), "doc binary, term long, start int, end int")
         places = c.join_one(places, terms, ["term"], F.col("doc"))
         found = places.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct(F.lit(TERM).alias("kind"), "start", "end", "kinds"))).alias("terms"))

@@ -148,7 +148,7 @@ def repeats(docs: DataFrame, gram: int, run: int, most: int = MOST_GROUP) -> Dat
     counts = docs.select("text").mapInArrow(prefixes(gram, run), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
     twice = c.staged(counts.where("n > 1"), "prefixes")
     total, distinct = twice.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shared = context.broadcast(c.hash_filter(twice, "prefix", c.filter_bits(distinct)))
+    shared = context.broadcast(c.hash_filter(twice, "prefix", c.filter_bits(distinct), distinct))
     # So few prefixes have more anchors than this that they can be broadcast: four for each partition, or one for each million anchors.
     limit = min(most, max(LEAST_GROUP, total // (4 * c.shuffle_width(spark))))
     large = context.broadcast(twice.where(F.col("n") > limit).toArrow().column("prefix").to_numpy().view(np.uint64))

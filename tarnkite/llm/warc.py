@@ -188,7 +188,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     led = c.with_first(narrow.where(F.col("size") >= least), ["sha"], place, F.col("row")).where(F.col("many") > 1)
     again = c.staged(led.select("page_id", "url", "sha", "sha1", "size", "mark", (F.col("row") != F.col("first.row")).alias("revisit"), F.col("first.id.id").alias("refers_to")), "repeated-pages")
     marks = again.where("not revisit").select("mark")
-    shared = spark.sparkContext.broadcast(c.hash_filter(marks, "mark", c.filter_bits(marks.count())))
+    many = marks.count()
+    shared = spark.sparkContext.broadcast(c.hash_filter(marks, "mark", c.filter_bits(many, most=c.TEXT_BITS), many))
     text = {"page_id": "long", "url": "string", "html": "string", "sha1": "string", "size": "long", "revisit": "boolean", "refers_to": "long"}
     none = lambda x: F.lit(None).cast(text[x]).alias(x)
 

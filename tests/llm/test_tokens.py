@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tarnkite.llm import _common as c
 from tarnkite.llm import _tokens as t
@@ -54,6 +55,18 @@ def test_filters_let_all_own_values_through(spark):
     assert c.passes(table, others).mean() < 0.02
 
 
+@pytest.mark.parametrize(("n", "bits", "rate"), [(0, 16, 0), (1 << 12, 16, 0.008), (1 << 14, 16, 0.17), (1 << 16, 16, 0.65), (300, 6, 1)])
+def test_rate_of_a_filter_follows_its_load(spark, n, bits, rate):
+    """Sixteen bits a value let below 0.8 % through, four 17 %; an overfull filter has one probe, and still lets no own value go."""
+    rng = np.random.default_rng(n)
+    values, others = rng.integers(-(1 << 63), 1 << 63, n), rng.integers(0, 1 << 64, 1 << 17, dtype=np.uint64)
+    rows = spark.createDataFrame([(int(x),) for x in values], "v long")
+    table = c.hash_filter(rows, "v", bits, n)
+    assert table.probes == c.probes_for(bits, n)
+    assert c.passes(table, values.view(np.uint64)).all()
+    assert rate * 0.5 <= c.passes(table, others).mean() <= rate
+
+
 def test_join_one_and_with_first(spark):
     rows = spark.createDataFrame([("hot", k) for k in range(500)] + [("b", 1), ("none", 2)], "key string, n long")
     other = spark.createDataFrame([("hot", 7), ("b", 8)], "key string, value long")
