@@ -195,37 +195,63 @@ def heartbeats(beats: DataFrame) -> DataFrame:
     return mo.latest(beats)
 
 
-def watched(beats: DataFrame, nodes: int, own: int, tag: str = "beats") -> DataFrame:
+def watched(beats: DataFrame, nodes: int, own: int, tag: str = "beats", state: str | None = None) -> DataFrame:
     """One row: the totals over the latest heartbeat of each worker, and their verdict, when that ends the run or no beats are left.
 
     beats: a stream of id, seq and monitor.COUNTERS, each null where a beat does
     not give it. Each batch updates the workers' table and looks at its totals;
     the stream stops at the first verdict. own: this worker's id.
+
+    state: the folder of the checkpoint and of the workers' table. A watch that
+    failed is taken up by a call with the same folder, and one that came to its
+    verdict gives that again. The table holds a row for each counter that a
+    worker has given, with the seq of that beat, so a late beat changes what it
+    is the last to tell and nothing else; it is written to two folders in turn,
+    each batch reading the one before, so a batch that runs again finds what it
+    had found.
     """
     spark = beats.sparkSession
-    kept: dict[str, DataFrame] = {}
+    root = state or new_path(spark, tag)
+    schema = "id long, counter string, seq long, value long, batch long"
+    over: list[int] = []  # the batch that came to a verdict; later ones are left alone
+
+    def workers(slot: int) -> DataFrame:
+        path = f"{root}/workers-{slot}"
+        whole = exists(spark, f"{path}/_SUCCESS")  # not where a writer was lost half-way
+        return spark.read.schema(schema).parquet(path) if whole else spark.createDataFrame([], schema)
+
+    def outcome(table: DataFrame) -> DataFrame:
+        given = [F.max(F.when(F.col("counter") == k, F.col("value"))).alias(k) for k in mo.COUNTERS]
+        return mo.completion(table.groupBy("id").agg(*given), nodes, own)
+
+    def ended(table: DataFrame) -> bool:
+        return outcome(table).first()["verdict"] is not None
+
+    def newest() -> DataFrame:
+        return max((workers(k) for k in (0, 1)), key=lambda table: table.agg(F.coalesce(F.max("batch"), F.lit(-1))).first()[0])
 
     def look(batch: DataFrame, number: int) -> None:
-        if "verdict" in kept:
+        if over:
             return
-        log = batch.unionByName(kept["table"]) if "table" in kept else batch
-        latest = mo.upserted(log, "id", "seq").join(log.groupBy("id").agg(F.max("seq").alias("seq")), "id")
-        path = new_path(spark, f"{tag}-{number}")
-        latest.write.parquet(path)
-        kept["table"] = spark.read.schema(latest.schema).parquet(path).select(*batch.columns)
-        found = mo.completion(kept["table"], nodes, own)
-        if found.first()["verdict"] is not None:
-            kept["verdict"] = found
-
-    run = beats.writeStream.foreachBatch(look).option("checkpointLocation", new_path(spark, f"{tag}-state")).trigger(availableNow=True).start()
-    while run.isActive and "verdict" not in kept:
+        held = workers((number + 1) % 2).where(F.col("batch") < number)
+        told = batch.select(F.col("id").cast("long"), F.col("seq").cast("long"), *(F.col(k).cast("long") for k in mo.COUNTERS))
+        told = told.unpivot(["id", "seq"], list(mo.COUNTERS), "counter", "value").where("value is not null")
+        every = told.unionByName(held.select("id", "seq", "counter", "value"))
+        last = every.groupBy("id", "counter").agg(F.max(F.struct("seq", "value")).alias("last"))
+        found = last.select("id", "counter", "last.seq", "last.value", F.lit(number).cast("long").alias("batch"))
+        found.write.mode("overwrite").parquet(f"{root}/workers-{number % 2}")
+        if ended(workers(number % 2)):
+            over.append(number)
+
+    if ended(newest()):
+        return outcome(newest())
+    run = beats.writeStream.foreachBatch(look).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    while run.isActive and not over:
         run.awaitTermination(1)
     run.stop()
     if run.exception() is not None:
         raise run.exception()
-    if "verdict" in kept:
-        return kept["verdict"]
-    return mo.completion(kept.get("table", spark.createDataFrame([], beats.schema)), nodes, own)
+    return outcome(newest())
 
 
 def capped_writer(stream: DataFrame, path: str, most: int, state: str | None = None) -> DataFrame:

@@ -515,6 +515,39 @@ def test_the_run_ends_at_the_first_verdict(spark, tmp_path):
     assert st.watched(spark.readStream.schema(schema).parquet(none), 3, 1).first().verdict is None
 
 
+def test_a_watch_that_failed_is_taken_up(spark, tmp_path):
+    """A beat that cannot be read kills the watch; the next call goes on from the workers' table, and a verdict stays."""
+    source, state = str(tmp_path / "beats"), str(tmp_path / "state")
+    schema = "id long, seq long, " + ", ".join(f"{x} long" for x in mo.COUNTERS)
+    beats = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    fault = {"on": True}
+
+    def watch():
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        broken = F.when((F.col("seq") == 4) & F.lit(fault["on"]), F.raise_error(F.lit("no beat"))).cast("long")
+        return st.watched(rows.withColumn("rcount", F.coalesce(broken, F.col("rcount"))), 2, 0, state=state).first()
+
+    start = dict(init=1, active_count=2, rcount=3, scount=3, failure=0, stop_order=0)
+    beats([beat(k, 1, **start) for k in range(2)])
+    got = watch()
+    assert (got.init, got.active_count, got.rcount, got.verdict) == (2, 4, 6, None)
+    beats([beat(0, 4, active_count=0, scount=4)])
+    with pytest.raises(Exception, match="no beat"):
+        watch()
+    fault["on"] = False
+    got = watch()
+    assert (got.init, got.active_count, got.rcount, got.scount, got.verdict) == (2, 2, 6, 7, None)
+    # A late beat: worker 0 told its rcount last with seq 1, its scount with seq 4.
+    beats([beat(0, 3, rcount=4, scount=9)])
+    got = watch()
+    assert (got.rcount, got.scount, got.verdict) == (7, 7, None)
+    beats([beat(1, 2, active_count=0)])
+    assert watch().verdict == 0
+    beats([beat(1, 9, active_count=5, failure=1)])
+    got = watch()
+    assert (got.active_count, got.failure, got.verdict) == (0, 0, 0)
+
+
 def test_heartbeats_of_a_stream_and_of_a_table(spark, tmp_path):
     rows = spark.createDataFrame([(1, 5, "view"), (1, 9, "error"), (2, 1, "click")], "id long, event_id long, event_type string")
     path = str(tmp_path / "in")
