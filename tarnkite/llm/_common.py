@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._tokens import mixed
+
 #: White space of the contracts, as a character class for Java and RE2 patterns.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -141,13 +143,29 @@ def probes_for(bits: int, n: int) -> int:
     return min(5, max(1, round(0.69 * (1 << bits) / max(1, n))))
 
 
+def marked_words(bits: int, probes: int):
+    """For mapInArrow over hashes: the word of a filter of 2 ** bits bits that each names, and its bits there."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            masks = np.zeros(len(own), np.uint64)
+            for k in range(probes):
+                masks |= np.uint64(1) << ((own >> np.uint64(6 * k)) & np.uint64(63))
+            words = (own >> np.uint64(64 - bits)) >> np.uint64(6)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(masks.view(np.int64))], ["word", "mask"])
+
+    return mark
+
+
 def hash_filter(values: DataFrame, column: str, bits: int, n: int | None = None) -> HashFilter:
-    """A filter of 2 ** bits bits for a column of well-mixed 64-bit hashes; n: how many there are, from which the probes follow (three if not given)."""
+    """A filter of 2 ** bits bits for a column of 64-bit hashes; n: how many there are, from which the probes follow (three if not given).
+
+    The hashes are mixed again, as those that were chosen for being small, such as anchors, are not spread evenly.
+    """
     probes = 3 if n is None else probes_for(bits, n)
-    mixed = f"({column} ^ shiftrightunsigned({column}, 31))"
-    mask = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned({mixed}, {6 * k}) & 63 AS INT))" for k in range(probes))
-    word = f"shiftrightunsigned(shiftrightunsigned({column}, {64 - bits}), 6)"
-    words = values.groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(mask)).alias("bits")).toArrow()
+    marks = values.select(column).where(F.col(column).isNotNull()).mapInArrow(marked_words(bits, probes), "word long, mask long")
+    words = marks.groupBy("word").agg(F.bit_or("mask").alias("bits")).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return HashFilter(table.view(np.uint64), probes)
@@ -155,17 +173,16 @@ def hash_filter(values: DataFrame, column: str, bits: int, n: int | None = None)
 
 def passes(table: HashFilter, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes the filter lets through: all that it was made of, and few others. Later probes look only at what is left."""
-    shift = 64 - (len(table.words).bit_length() - 1)
-    some = np.zeros(len(hashes), np.intp)
-    words = table.words[(hashes >> np.uint64(shift)).astype(np.int64)] if shift < 64 else table.words[some]
-    mixed = hashes ^ (hashes >> np.uint64(31))
-    found = ((words >> (mixed & np.uint64(63))) & np.uint64(1)).astype(bool)
+    own = mixed(hashes)
+    bits = (len(table.words) * 64).bit_length() - 1
+    words = table.words[((own >> np.uint64(64 - bits)) >> np.uint64(6)).astype(np.int64)]
+    found = ((words >> (own & np.uint64(63))) & np.uint64(1)).astype(bool)
     if table.probes > 1:
         some = np.flatnonzero(found)
-        words, mixed = words[some], mixed[some]
+        words, own = words[some], own[some]
         more = np.ones(len(some), bool)
         for k in range(1, table.probes):
-            more &= ((words >> ((mixed >> np.uint64(6 * k)) & np.uint64(63))) & np.uint64(1)).astype(bool)
+            more &= ((words >> ((own >> np.uint64(6 * k)) & np.uint64(63))) & np.uint64(1)).astype(bool)
         found[some] = more
     return found
 

@@ -67,6 +67,15 @@ def test_rate_of_a_filter_follows_its_load(spark, n, bits, rate):
     assert rate * 0.5 <= c.passes(table, others).mean() <= rate
 
 
+def test_rate_of_a_filter_of_small_hashes(spark):
+    """Hashes that were chosen for being small share their first bits; a filter is as good for them as for others."""
+    rng = np.random.default_rng(5)
+    values, others = (rng.integers(0, 1 << 64, (n, 24), dtype=np.uint64).min(axis=1) for n in (1 << 12, 1 << 16))
+    table = c.hash_filter(spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "v long"), "v", 16, len(values))
+    assert c.passes(table, values).all()
+    assert c.passes(table, others).mean() <= 0.008
+
+
 def test_join_one_and_with_first(spark):
     rows = spark.createDataFrame([("hot", k) for k in range(500)] + [("b", 1), ("none", 2)], "key string, n long")
     other = spark.createDataFrame([("hot", 7), ("b", 8)], "key string, value long")
