@@ -340,5 +340,7 @@ def replaced(texts: pa.Array, spans: pa.Array) -> pa.Array:
 def op8_sanitise(spark, sf_dir: str) -> DataFrame:
     """all_spans() of all documents; sanitise() says what holds for nulls, ties and repeated rows."""
     found = all_spans(c.table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # Kinds are picked out first: a second parameter of filter()'s function would be an element's index.
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]  # noqa: B023
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))

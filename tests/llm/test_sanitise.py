@@ -189,3 +189,11 @@ def test_overlapping_spans_and_terms_of_several_kinds(docs, prose):
     both = [s.KINDS.index(x) for x in ("email", "ip")]
     cut = s.replaced.func(pa.array(["ab vexilla c"]), pa.array([[{"start": 3, "kind": s.TERM, "end": 10, "kinds": sum(1 << k for k in both)}]]))
     assert cut.to_pylist() == ["ab  c"]
+
+
+def test_query_counts_each_kind_wherever_it_stands(spark, tmp_path):
+    texts = ["a@b.co c@d.co", "1.2.3.4 then a@b.co", "4111 1111 1111 1111", "call +1 415 555 0100", "none", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in s.op8_sanitise(spark, str(tmp_path)).collect()}
+    assert got == {k: tuple(sum(kind == x for _, kind, _ in s.base_spans(text or "")) for x in range(4)) for k, text in enumerate(texts)}
+    assert got[0] == (2, 0, 0, 0) and got[3] == (0, 0, 0, 1)
