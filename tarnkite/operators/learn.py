@@ -15,8 +15,11 @@ from .frontier import queue_order, running
 from .skew import dealt_join
 
 CAP, GATE = 1.0, 0.5
-#: Rows of a block, parts that its keys are dealt out to (each sends a block's dot products to the driver), keys that one product takes, changes of weights that are merged at once.
-BLOCK, PARTS, KEYS_AT_ONCE, DELTAS = 1024, 8, 512, 8
+#: Entries of a block (some 200 MB in its task), keys whose changes its task writes at once, changes of weights that are merged at once.
+BLOCK, KEYS_AT_ONCE, DELTAS = 1 << 21, 1 << 16, 8
+BLOCK_OUT = "t long, score double, loss double, updated boolean, step double, key string, moved double"
+_NAMES = [x.split()[0] for x in BLOCK_OUT.split(", ")]
+_OUT = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.string(), pa.float64()]
 
 
 def learn(weights: dict[str, float], keys: list[str], values: list[float], tc: int | None, cap: float, gate: float) -> tuple[float, float | None, bool]:
@@ -41,42 +44,55 @@ def vectors_of(column: pa.MapArray) -> Iterator[tuple[list[str], list[float]]]:
         yield keys[low:high], [v or 0.0 for v in items[low:high]]
 
 
-def products(size: int):
-    """For mapInArrow over (spot, key, value, weight), all rows of a key together: a row with the sums of value * weight by spot, and the dot products of all pairs of spots, as far as these keys go."""
+def folded(cap: float, gate: float):
+    """For mapInArrow over a block's (t, tc, key, value, weight), key null for an empty vector: rows of BLOCK_OUT, one for each t (key null), one for each key of rows that learned (with the change of its weight)."""
 
-    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)  # a part of a block's entries
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # one block, or none
         if not sum(b.num_rows for b in held):
             return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        spot, value, weight = (rows.column(k).to_numpy() for k in (0, 2, 3))
-        code = rows.column(1).combine_chunks().dictionary_encode().indices.to_numpy()
-        scores, dots = np.bincount(spot, value * weight, size), np.zeros((size, size))
-        often = np.bincount(code)
-        alone = often[code] == 1
-        dots[np.diag_indices(size)] = np.bincount(spot[alone], value[alone] ** 2, size)
-        # Keys of several rows, some hundreds at once, as a matrix of keys by rows.
-        place = np.cumsum(often > 1) - 1
-        for low in range(0, int((often > 1).sum()), KEYS_AT_ONCE):
-            now = ~alone & (place[code] >= low) & (place[code] < low + KEYS_AT_ONCE)
-            part = np.zeros((KEYS_AT_ONCE, size))
-            part[place[code[now]] - low, spot[now]] = value[now]
-            dots += part.T @ part
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (scores, dots)], ["scores", "dots"])
-
-    return sum_up
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        t, tc, value, weight = (rows.column(k).to_numpy() for k in (0, 1, 3, 4))
+        words = rows.column(2).dictionary_encode().combine_chunks()
+        words = words if isinstance(words, pa.Array) else words.chunk(0)
+        code, names = words.indices.fill_null(-1).to_numpy(), words.dictionary
+        order = np.lexsort((code, t))
+        t, tc, code, value, weight = (x[order] for x in (t, tc, code, value, weight))
+        begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+        end = np.append(begin[1:], len(t))
+        before, touched = np.zeros(len(names)), np.zeros(len(names), bool)
+        before[code[code >= 0]] = weight[code >= 0]
+        weights, out = before.copy(), []
+        for low, high in zip(begin.tolist(), end.tolist(), strict=True):
+            at, x = (code[low:high], value[low:high]) if code[low] >= 0 else (code[:0], value[:0])
+            score, label = float(weights[at] @ x), None if np.isnan(tc[low]) else int(tc[low])
+            loss, size = None if label is None else max(0.0, 1.0 - label * score), float(x @ x)
+            learns = label is not None and abs(score) <= gate and size > 0
+            step = min(cap, loss / size) * label if learns else 0.0
+            if learns:
+                weights[at] += step * x
+                touched[at] = True
+            out.append((int(t[low]), score, loss, learns, step, None, None))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), _OUT, strict=True)], _NAMES)
+        moved = np.flatnonzero(touched)
+        for low in range(0, len(moved), KEYS_AT_ONCE):
+            some = moved[low : low + KEYS_AT_ONCE]
+            none = [pa.nulls(len(some), kind) for kind in _OUT[:5]]
+            yield pa.RecordBatch.from_arrays([*none, names.take(pa.array(some)), pa.array((weights - before)[some])], _NAMES)
+
+    return fold
 
 
 class Replay:
     """A replay of rows (id, x map<string,double>, tc) in id order (by label and a hash of the vector where ids repeat), block by block.
 
-    Weights are a table. For each block its entries are joined with the weights
-    so far, and scores and dot products are summed up by key in parallel; what
-    is sequential is the recursion over the block's numbers alone: a row's score
-    is its sum plus, for each earlier row of the block that learned, that row's
-    step times their dot product. Then the block's steps times its entries are
-    added to the weights. The driver holds one block's labels, scores and dot
-    products. Results:
+    Weights are a table. A block is a run of rows with about `block` entries (at
+    least one row), so that it fits into one task whatever the table's size. Its
+    entries are joined with the weights so far in parallel; what is sequential,
+    each row's score and step after those before it, is a fold over the block,
+    which writes the rows' steps and the changes of the block's weights. Nothing
+    of this goes through the driver but where the blocks begin. Results:
 
     labels: t (from 1, the order), id, tc; entries: t, key, value; steps: t,
     score, loss, updated, step; weights: key, weight, of all keys of rows that learned.
@@ -86,29 +102,30 @@ class Replay:
         spark = rows.sparkSession
         rows = rows.select(F.col("id").cast("long").alias("id"), "x", F.col("tc").cast("int").alias("tc"), F.xxhash64(F.map_entries("x")).alias("mark"))
         placed = queue_order(rows, "id", "tc", "mark").withColumnRenamed("rank", "t")
-        self.labels = stored(placed.select("t", "id", "tc"), "labels")
-        # In order of t by files, so that a block is read from few of them.
-        self.entries = stored(placed.select("t", F.explode("x").alias("key", "value")).withColumn("value", F.coalesce("value", F.lit(0.0))), "entries")
-        self.steps = spark.createDataFrame([], "t long, score double, loss double, updated boolean, step double")
+        size = F.greatest(F.lit(1), F.coalesce(F.size("x"), F.lit(0))).cast("long")
+        labels = stored(placed.select("t", "id", "tc", size.alias("n")), "labels")
+        self.labels = labels.drop("n")
+        # In order of t by files, so that a block is read from few of them; an empty vector is a row without key.
+        whole = stored(placed.select("t", "tc", F.explode_outer("x").alias("key", "value")).withColumn("value", F.coalesce("value", F.lit(0.0))), "entries")
+        self.entries = whole.where("key is not null").select("t", "key", "value")
+        sized = running(labels.select(F.lit(0).alias("host"), F.col("t").alias("seq"), "n"), F.col("n"))
+        blocks = sized.groupBy(F.floor(F.col("before") / block)).agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
         deltas: list[DataFrame] = []
-        path, n = new_path(spark, "steps"), self.labels.count()
-        for low in range(1, n + 1, block):
-            inside = F.col("t").between(low, low + block - 1)
-            labels = dict(self.labels.where(inside).select("t", "tc").collect())
-            entries, known = self.entries.where(inside), summed(deltas)
-            met = entries.withColumn("weight", F.lit(0.0)) if known is None else entries.join(known, "key", "left")
-            met = met.select((F.col("t") - low).cast("int").alias("spot"), "key", "value", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-            parts = met.repartition(PARTS, "key").mapInArrow(products(len(labels)), "scores binary, dots binary").collect()
-            scores = sum((np.frombuffer(r["scores"]) for r in parts), np.zeros(len(labels)))
-            dots = sum((np.frombuffer(r["dots"]).reshape(len(labels), -1) for r in parts), np.zeros((len(labels), len(labels))))
-            found = recursion(low, scores, dots, [labels[low + k] for k in range(len(labels))], cap, gate)
-            spark.createDataFrame(found, self.steps.schema).coalesce(1).write.mode("append").parquet(path)
-            moved = spark.createDataFrame([(r[0], r[4]) for r in found if r[3]], "t long, step double")
-            deltas.append(stored(entries.join(F.broadcast(moved), "t").groupBy("key").agg(F.sum(F.col("step") * F.col("value")).alias("weight")), "delta"))
+        steps: list[str] = []
+        for low, high in sorted((r["low"], r["high"]) for r in blocks.collect()):
+            entries, known = whole.where(F.col("t").between(low, high)), summed(deltas)
+            met = entries.withColumn("weight", F.lit(0.0)) if known is None else entries.join(known.hint("merge"), "key", "left")  # no broadcast: the table would come through the driver for each block
+            met = met.select("t", F.col("tc").cast("double").alias("tc"), "key", "value", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+            path = new_path(spark, "block")
+            met.repartition(1).mapInArrow(folded(cap, gate), BLOCK_OUT).write.parquet(path)
+            done = spark.read.schema(BLOCK_OUT).parquet(path)
+            steps.append(path)
+            deltas.append(done.where("key is not null").select("key", F.col("moved").alias("weight")))
             if len(deltas) > DELTAS:
                 deltas = [stored(summed(deltas), "weights")]
-        if n:
-            self.steps = spark.read.schema(self.steps.schema).parquet(path)
+        empty = spark.createDataFrame([], BLOCK_OUT)
+        found = spark.read.schema(BLOCK_OUT).parquet(*steps) if steps else empty
+        self.steps = found.where("t is not null").select("t", "score", "loss", "updated", "step")
         found = summed(deltas)
         self.weights = spark.createDataFrame([], "key string, weight double") if found is None else found
 
@@ -134,18 +151,6 @@ def summed(deltas: list[DataFrame]) -> DataFrame | None:
     return reduce(DataFrame.unionByName, deltas).groupBy("key").agg(F.sum("weight").alias("weight"))
 
 
-def recursion(low: int, scores: np.ndarray, dots: np.ndarray, labels: list[int | None], cap: float, gate: float) -> list[tuple]:
-    """t, score, loss, updated, step of a block's rows, one after the other."""
-    steps, out = np.zeros(len(scores)), []
-    for k, tc in enumerate(labels):
-        score, size = float(scores[k] + steps[:k] @ dots[k, :k]), float(dots[k, k])
-        loss = None if tc is None else max(0.0, 1.0 - tc * score)
-        learns = tc is not None and abs(score) <= gate and size > 0
-        steps[k] = min(cap, loss / size) * tc if learns else 0.0
-        out.append((low + k, score, loss, learns, float(steps[k])))
-    return out
-
-
 def replay(rows: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """id, score, tc, loss, updated for rows (id, x map<string,double>, tc) taken in id order: a Replay's.
 

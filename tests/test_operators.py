@@ -5,6 +5,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tarnkite.functions import text as tx
 from tarnkite.functions import urls as u
@@ -58,6 +59,16 @@ def test_a_replay_in_blocks_is_the_fold(spark, block, monkeypatch):
     assert told == {k: pytest.approx(v, abs=1e-9) for k, v in then.items()}
 
 
+def test_a_replay_sends_the_driver_next_to_nothing(spark, monkeypatch):
+    """Rows that all share words, in several blocks: what the driver collects does not grow with their products."""
+    collect, got = DataFrame.collect, []
+    monkeypatch.setattr(DataFrame, "collect", lambda df: got.extend(found := collect(df)) or found)
+    rows = spark.range(2500).select("id", F.create_map(F.lit("all"), F.lit(0.6), F.concat(F.lit("w"), F.col("id") % 50), F.lit(0.8)).alias("x"), F.when(F.col("id") % 3 == 0, -1).otherwise(1).alias("tc"))
+    done = ln.Replay(rows, block=2000)
+    assert sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for r in got for v in r) < 10_000
+    assert done.steps.count() == 2500
+
+
 def test_weights_gate_and_skips_of_all_labelled_documents(spark):
     weights, skipped, gated = {}, {}, {}
     for r in sorted(qs.labelled(spark, SF).collect(), key=lambda r: r.id):
