@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import skew as sk
 from ..sources.tables import stored
@@ -106,3 +108,9 @@ def sparse_vector(numbers: list[Column], tokens: list[Column]) -> Column:
 def dot(x: Column, w: Column) -> Column:
     """Sum of products over the keys of x; keys that w lacks count 0."""
     return F.aggregate(F.map_entries(x), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(w, e["key"]), F.lit(0.0)))
+
+
+@F.arrow_udf(T.StringType())
+def shown(scores: pa.Array) -> pa.Array:
+    """Hundredfold scores with two decimals, as C prints them: of the number itself, half to even. (Java rounds the digits that it would print, half up: 1.005 is a little less, and gives 1.01 there.)"""
+    return pa.array([None if x is None else f"{100 * x:.2f}" for x in scores.to_pylist()], pa.string())

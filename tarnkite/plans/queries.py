@@ -737,7 +737,7 @@ def t18_delay(spark, sf_dir):
 
 @query(f"WITH {WEIGHTED}, s AS (SELECT id, sum(value * weight) AS score FROM x JOIN w USING (key) GROUP BY id) SELECT id, printf('%.2f', 100 * round(score, 9)) AS shown FROM s")
 def t19_shown_score(spark, sf_dir):
-    return j5_vector_weights(spark, sf_dir).select("id", F.format_string("%.2f", 100 * F.col("score")).alias("shown"))
+    return j5_vector_weights(spark, sf_dir).select("id", ft.shown("score").alias("shown"))
 
 
 @query("SELECT event_id, epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(ts))::BIGINT AS age, epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(ts))::BIGINT > 21600 AS stale FROM events")
@@ -1013,7 +1013,7 @@ def m8_analysis(spark, sf_dir):
     steps = ln.replay(rows)
     body = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.md5(tx.body("html").cast("binary")).alias("body"))
     shown = rows.select("id", "url", F.size("x").alias("n_features")).join(steps, "id").join(body, "id")
-    return shown.select("id", "url", "n_features", "body", F.format_string("%.2f", 100 * F.round("score", 9)).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
+    return shown.select("id", "url", "n_features", "body", ft.shown(F.round("score", 9)).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
 
 
 @query(f"""{JUDGED}, moved AS (
@@ -1022,7 +1022,7 @@ SELECT id, key, round(value, 9) AS x, round(weight, 9) AS w, printf('%.2f', 100
 def k9_analysis(spark, sf_dir):
     """What the result page of each judged page shows, line by line: each of its features with its value and the weight that it had then, and the page's score."""
     done = ln.Replay(judged_pages(spark, sf_dir))
-    shown = done.scored().select("id", F.format_string("%.2f", 100 * F.round("score", 9)).alias("shown"))
+    shown = done.scored().select("id", ft.shown(F.round("score", 9)).alias("shown"))
     return done.explained().join(shown, "id").select("id", "key", F.round("x", 9).alias("x"), F.round("weight", 9).alias("w"), "shown")
 
 

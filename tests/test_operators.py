@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from tarnkite.functions import features as ft
 from tarnkite.functions import text as tx
 from tarnkite.functions import urls as u
 from tarnkite.operators import frontier as fr
@@ -587,3 +588,11 @@ def test_word_counts_in_a_row_are_those_of_a_table(spark):
     got = df.select("k", tx.counted(F.filter(tx.word_tokens("t"), tx.topical)).alias("c")).collect()
     assert {r.k: [(x.n, x.w) for x in r.c] for r in got} == {k: sorted(want.get(k, [])) for k in range(len(texts))}
     assert {r.k: r.words for r in tx.frequent_words(df, "k", "t", 2).collect()} == {k: [w for _, w in sorted(want.get(k, []))][:2] for k in range(len(texts))}
+
+
+def test_a_shown_score_is_rounded_as_c_does(spark):
+    """The number itself is rounded, half to even: 100 * 0.00125 is a tie, 100 * 0.01005 is less than 1.005 looks."""
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([0.00125, 0.00375, 0.01005, -0.00125, -0.00001, 0.0, None])], "id int, score double")
+    got = [r.shown for r in rows.select("id", ft.shown("score").alias("shown")).orderBy("id").collect()]
+    assert got == ["0.12", "0.38", *(f"{100 * x:.2f}" for x in (0.01005, -0.00125, -0.00001, 0.0)), None]
+    assert got[3] == "-0.12"
