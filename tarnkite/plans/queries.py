@@ -82,9 +82,14 @@ def s3_unbroken(spark, sf_dir):
 SEEDS = ("http://h.com/a/b/c.html", "https://news.example.org/", "http://h.com/a/b/c.html")
 
 
-def fetchable(spark, sf_dir) -> DataFrame:
-    """Pages as a fetch finds them (web.FETCHED); status and redirects are ours: three of ten lead on to the page after them, and one of ten is not found."""
-    rows = tb.read(spark, sf_dir, "pages").select("page_id", "url", "html")
+def captures(spark, sf_dir) -> DataFrame:
+    """page_id, url, html of pages, the page's number as a fragment of its URL: several pages may have one URL, and each is a capture of its own."""
+    return tb.read(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit("#"), "page_id").alias("url"), "html")
+
+
+def fetchable(rows: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html) as a fetch finds them (web.FETCHED); status and redirects are ours: three of ten lead on to the page after them, and one of ten is not found."""
+    rows = rows.select("page_id", "url", "html")
     tenth, on = F.col("page_id") % 10, rows.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next"))
     rows = rows.join(on, "page_id", "left")
     moved = tenth.between(4, 6) | (F.col("page_id") % 100).between(40, 48)
@@ -105,11 +110,12 @@ SELECT q.url, coalesce(p.url, 'http://nowhere.example/') AS final, redirects, CA
        CASE WHEN p.url IS NOT NULL AND NOT {MOVED.format(x='spot')} AND spot % 10 <> 8 THEN md5(p.html) END AS body
 FROM last JOIN pages q ON q.page_id = req LEFT JOIN pages p ON p.page_id = spot""")
 def s4_fetch(spark, sf_dir):
-    """Every page's URL is fetched from an archive of all pages, over up to five redirects."""
-    path = tb.new_path(spark, "archive")
-    wb.write_archive(fetchable(spark, sf_dir), path)
-    found = wb.fetched(tb.read(spark, sf_dir, "pages").select("url"), wb.archive(spark, path))
-    return found.select("url", "final", "redirects", "status", "ok", F.md5(F.col("html").cast("binary")).alias("body"))
+    """Every page is fetched by its URL and number from an archive of all pages, over up to five redirects."""
+    path, rows = tb.new_path(spark, "archive"), captures(spark, sf_dir)
+    wb.write_archive(fetchable(rows), path)
+    found = wb.fetched(rows.select("url"), wb.archive(spark, path))
+    plain = lambda x: F.regexp_replace(x, r"#-?[0-9]+\z", "").alias(x)
+    return found.select(plain("url"), plain("final"), "redirects", "status", "ok", F.md5(F.col("html").cast("binary")).alias("body"))
 
 
 @query(f"""
@@ -119,7 +125,7 @@ WHERE CASE WHEN {MOVED.format(x='page_id')} THEN 301 WHEN page_id % 10 = 8 THEN
 def f7_archived_status(spark, sf_dir):
     """The answers below 400 of the host with the most pages, from an archive that is read for that host only."""
     path = tb.new_path(spark, "archive")
-    wb.write_archive(fetchable(spark, sf_dir), path)
+    wb.write_archive(fetchable(tb.read(spark, sf_dir, "pages")), path)
     top = tb.read(spark, sf_dir, "pages").groupBy(u.host("url").alias("host")).count().orderBy(F.desc("count"), "host").first()
     rows = wb.archive(spark, path).where(F.col("host") == (top["host"] if top else ""))
     return rows.where(F.col("status") < wb.FAILED).select("url", "status")

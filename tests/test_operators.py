@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
@@ -596,3 +597,15 @@ def test_a_shown_score_is_rounded_as_c_does(spark):
     got = [r.shown for r in rows.select("id", ft.shown("score").alias("shown")).orderBy("id").collect()]
     assert got == ["0.12", "0.38", *(f"{100 * x:.2f}" for x in (0.01005, -0.00125, -0.00001, 0.0)), None]
     assert got[3] == "-0.12"
+
+
+def test_pages_of_one_url_are_fetched_each_by_itself(spark, tmp_path):
+    urls = ["http://a.com/x", "http://b.com/y#12", "http://a.com/x", "http://a.com/x", "http://c.com/"]
+    pages = [(k, urls[k % 5], f"<p>{k}</p>") for k in range(1, 60)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = qs.s4_fetch(spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({qs.ORACLE_SQL['s4_fetch']})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+    assert len(want) == 59
