@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import new_path, stored
@@ -17,6 +18,8 @@ from .skew import dealt_join
 CAP, GATE = 1.0, 0.5
 #: Entries of a block (some 200 MB in its task), keys whose changes its task writes at once, changes of weights that are merged at once.
 BLOCK, KEYS_AT_ONCE, DELTAS = 1 << 21, 1 << 16, 8
+#: Cells of a wide table that one set of first weights serves.
+CELLS = 1 << 21
 BLOCK_OUT = "t long, score double, loss double, updated boolean, step double, key string, moved double"
 _NAMES = [x.split()[0] for x in BLOCK_OUT.split(", ")]
 _OUT = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.string(), pa.float64()]
@@ -36,14 +39,6 @@ def learn(weights: dict[str, float], keys: list[str], values: list[float], tc: i
     return score, loss, learns
 
 
-def vectors_of(column: pa.MapArray) -> Iterator[tuple[list[str], list[float]]]:
-    """Keys and values of each row of a map column; null is an empty vector."""
-    ends, keys, items = column.offsets.to_pylist(), column.keys.to_pylist(), column.items.to_pylist()
-    for k in range(len(column)):
-        low, high = (ends[k], ends[k + 1]) if column[k].is_valid else (0, 0)
-        yield keys[low:high], [v or 0.0 for v in items[low:high]]
-
-
 def folded(cap: float, gate: float):
     """For mapInArrow over a block's (t, tc, key, value, weight), key null for an empty vector: rows of BLOCK_OUT, one for each t (key null), one for each key of rows that learned (with the change of its weight)."""
 
@@ -94,16 +89,16 @@ class Replay:
     which writes the rows' steps and the changes of the block's weights. Nothing
     of this goes through the driver but where the blocks begin. Results:
 
-    labels: t (from 1, the order), id, tc; entries: t, key, value; steps: t,
+    labels: t (from 1, the order), id, tc and the columns `kept`; entries: t, key, value; steps: t,
     score, loss, updated, step; weights: key, weight, of all keys of rows that learned.
     """
 
-    def __init__(self, rows: DataFrame, cap: float = CAP, gate: float = GATE, block: int = BLOCK):
+    def __init__(self, rows: DataFrame, cap: float = CAP, gate: float = GATE, block: int = BLOCK, kept: tuple[str, ...] = ()):
         spark = rows.sparkSession
-        rows = rows.select(F.col("id").cast("long").alias("id"), "x", F.col("tc").cast("int").alias("tc"), F.xxhash64(F.map_entries("x")).alias("mark"))
+        rows = rows.select(F.col("id").cast("long").alias("id"), "x", F.col("tc").cast("int").alias("tc"), *kept, F.xxhash64(F.map_entries("x")).alias("mark"))
         placed = queue_order(rows, "id", "tc", "mark").withColumnRenamed("rank", "t")
         size = F.greatest(F.lit(1), F.coalesce(F.size("x"), F.lit(0))).cast("long")
-        labels = stored(placed.select("t", "id", "tc", size.alias("n")), "labels")
+        labels = stored(placed.select("t", "id", "tc", *kept, size.alias("n")), "labels")
         self.labels = labels.drop("n")
         # In order of t by files, so that a block is read from few of them; an empty vector is a row without key.
         whole = stored(placed.select("t", "tc", F.explode_outer("x").alias("key", "value")).withColumn("value", F.coalesce("value", F.lit(0.0))), "entries")
@@ -190,23 +185,42 @@ def slot_index(rows: DataFrame) -> DataFrame:
 
 def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """id, line: for each row (id, url, x, tc) a CSV line of id, url, score, tc, loss and all weights after it, in the order of
-    index (key, col); weights of tokens that no row had yet are 0. One task, as replay(); it holds one line and the weights."""
-    names = [r["key"] for r in index.orderBy("col").toLocalIterator()]
-    keys = rows.sparkSession.sparkContext.broadcast(names)
+    index (key, col); weights of tokens that no row had yet are 0. Partitions, and lines in them, are in order of id.
+
+    After a Replay the lines are written in parallel: rows are cut into chunks of
+    about CELLS cells, each begins with the sums of all moves before it, and a
+    task holds one line and one chunk's weights at a time.
+    """
+    spark, many = rows.sparkSession, index.count()
+    done = Replay(rows, cap, gate, kept=("url",))
+    size = max(1, CELLS // max(1, many))
+    chunk = F.floor((F.col("t") - 1) / size).cast("long").alias("chunk")
+    moves = done.entries.join(done.steps.where("updated").select("t", "step"), "t").select("t", "key", (F.col("step") * F.col("value")).alias("x"))
+    moves = stored(dealt_join(moves, index, ["key"], F.col("t")).select(chunk, "t", "col", "x"), "moves")
+    # A key's sum after a chunk is where all chunks begin up to the next one that moves it.
+    by, last = W.partitionBy("col").orderBy("chunk"), F.lit((done.labels.count() - 1) // size)
+    sums = moves.groupBy("chunk", "col").agg(F.sum("x").alias("x"))
+    sums = sums.select("col", F.sum("x").over(by).alias("x"), (F.col("chunk") + 1).alias("low"), F.coalesce(F.lead("chunk").over(by), last).alias("high")).where("low <= high")
+    begins = sums.select(F.explode(F.sequence("low", "high")).alias("chunk"), F.lit(0).cast("long").alias("t"), "col", "x")
+    heads = done.labels.join(done.steps, "t").select(chunk, "t", F.lit(many).alias("col"), "id", "url", "score", "tc", "loss")
+    whole = stored(begins.unionByName(moves).unionByName(heads, allowMissingColumns=True), "chunks")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights: dict[str, float] = {}
+        now, weights, cells = None, [], []
         for batch in batches:
-            ids, urls, labels = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for k, (x, tc) in enumerate(zip(vectors_of(batch.column(2)), labels, strict=True)):
-                score, loss, _ = learn(weights, *x, tc, cap, gate)
-                quoted = '"' + (urls[k] or "").replace('"', '""') + '"'
-                head = [str(ids[k]), quoted, repr(score), "" if tc is None else str(tc), "" if loss is None else repr(loss)]
-                line = ",".join([*head, *(repr(weights.get(name, 0.0)) for name in keys.value)])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[k]], pa.int64()), pa.array([line], pa.string())], ["id", "line"])
-
-    wanted = rows.select("id", "url", "x", F.col("tc").cast("int").alias("tc")).repartition(1).sortWithinPartitions("id", "url")
-    return wanted.mapInArrow(fold, "id long, line string")
+            for at, _, col, x, number, url, score, tc, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != now:
+                    now, weights, cells = at, [0.0] * many, ["0.0"] * many
+                if col < many:
+                    weights[col] += x
+                    cells[col] = repr(weights[col])
+                    continue
+                quoted = '"' + (url or "").replace('"', '""') + '"'
+                line = ",".join([str(number), quoted, repr(score), "" if tc is None else str(tc), "" if loss is None else repr(loss), *cells])
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([line], pa.string())], ["id", "line"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return whole.repartitionByRange(parts, "chunk").sortWithinPartitions("chunk", "t", "col").mapInArrow(fold, "id long, line string")
 
 
 def scores(rows: DataFrame, weights: DataFrame) -> DataFrame:

@@ -144,6 +144,27 @@ def test_wide_csv_of_a_replay(spark, tmp_path):
         tb.write_wide_csv(ln.trajectory_lines(rows, index), [], str(tmp_path / "batch.txt"))
 
 
+def test_a_wide_csv_in_chunks(spark, tmp_path, monkeypatch):
+    """Lines come from several tasks, each with the weights of all rows before its own, and the files are in order."""
+    monkeypatch.setattr(ln, "CELLS", 12)
+    draw = random.Random(3)
+    rows = [(3 * k, f"u{k}", {"all": 0.5, **{f"w{draw.randrange(5)}": draw.gauss(0, 1) for _ in range(2)}}, draw.choice((1, -1, None))) for k in range(40)]
+    names = ["all", *(f"w{k}" for k in range(5))]
+    index = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "key string, col int")
+    lines = ln.trajectory_lines(spark.createDataFrame(rows, "id long, url string, x map<string,double>, tc int").repartition(3), index)
+    path = str(tmp_path / "batch.csv")
+    tb.write_wide_csv(lines, ["db_id", "url", "score", "tc", "LOSS", *names], path)
+    files = sorted((tmp_path / "batch.csv" / "part=1").glob("part-*"))
+    got = list(csv.reader(x for f in files for x in f.read_text().splitlines()))
+    assert len([f for f in files if f.stat().st_size]) > 1
+    weights = {}
+    for (k, url, x, tc), cells in zip(rows, got, strict=True):
+        score, loss, _ = ln.learn(weights, list(x), list(x.values()), tc, 1.0, 0.5)
+        assert cells[:2] == [str(k), url] and cells[3] == ("" if tc is None else str(tc))
+        assert float(cells[2]) == pytest.approx(score, abs=1e-9)
+        assert [float(c) for c in cells[5:]] == pytest.approx([weights.get(n, 0.0) for n in names], abs=1e-9)
+
+
 def test_judged_pages_step_by_step(spark):
     """The analysis of all judged pages, and the wide CSV of the same, against one plain fold."""
     rows = sorted(qs.judged_pages(spark, SF).collect(), key=lambda r: r.id)
