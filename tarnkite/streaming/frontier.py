@@ -4,9 +4,11 @@ taking from a queue, capped writing, heartbeats until all is done, failures on r
 from __future__ import annotations
 
 import contextlib
+import heapq
 import math
 import time
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,8 @@ from ..sources.tables import bag_union, exists, new_path
 
 #: Rows that a host's answer comes in at once.
 ROWS = 10_000
+#: Tasks of a block of a host's queue, blocks that are in memory at once, tasks that are sorted into blocks at once.
+BLOCK, HELD, TAKEN = 1024, 256, 1 << 16
 #: What a message carries.
 MESSAGE = "node long, url string, parent_url string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,12 +90,85 @@ def pull_times(tasks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     return tasks.groupBy("host").applyInPandasWithState(serve, "host string, seq long, start double", "free double", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class Newest:
+    """A host's tasks, newest first, in blocks of up to BLOCK tasks by seq; of a map state's blocks no more than HELD are in memory.
+
+    index: the blocks' numbers, last seqs and sizes. A block that the state has
+    dropped, as its time was over, has no tasks.
+    """
+
+    def __init__(self, state, index: list[tuple[int, int, int]]):
+        self.state, self.held = state, {}
+        self.sizes = {k: size for k, _, size in index}
+        self.tops = [(-top, k) for k, top, _ in index]
+        heapq.heapify(self.tops)
+
+    def __len__(self) -> int:
+        return sum(self.sizes.values())
+
+    def block(self, k: int) -> tuple[list[int], list[float]]:
+        found = self.held.pop(k, None)
+        if found is None:
+            if len(self.held) >= HELD:
+                self.store(next(iter(self.held)))
+            value = self.state.getValue((k,))
+            found = (list(value[0]), list(value[1])) if value is not None else ([], [])
+        self.held[k] = found  # the last one used is the last one here
+        return found
+
+    def store(self, k: int) -> None:
+        self.state.updateValue((k,), self.held.pop(k))
+
+    def drop(self, k: int) -> None:
+        del self.sizes[k]
+        self.held.pop(k, None)
+        if self.state.containsKey((k,)):
+            self.state.removeKey((k,))
+
+    def push(self, tasks: list[tuple[int, float]]) -> None:
+        """Adds tasks, with those of the last block if that is not full, in new blocks."""
+        k = max(self.sizes, default=-1) + 1
+        if k and self.sizes[k - 1] < BLOCK:
+            tasks = [*tasks, *zip(*self.block(k - 1), strict=True)]
+            self.drop(k - 1)
+            self.tops = [x for x in self.tops if x[1] != k - 1]
+            heapq.heapify(self.tops)
+        tasks.sort(key=lambda x: x[0])
+        for low in range(0, len(tasks), BLOCK):
+            seqs, delays = zip(*tasks[low : low + BLOCK], strict=True)
+            self.state.updateValue((k,), (list(seqs), list(delays)))
+            self.sizes[k] = len(seqs)
+            heapq.heappush(self.tops, (-seqs[-1], k))
+            k += 1
+
+    def pull(self) -> tuple[int, float] | None:
+        while self.tops:
+            k = self.tops[0][1]
+            seqs, delays = self.block(k)
+            task = (seqs.pop(), delays.pop()) if seqs else None
+            if seqs:
+                heapq.heapreplace(self.tops, (-seqs[-1], k))
+                self.sizes[k] = len(seqs)
+            else:
+                heapq.heappop(self.tops)
+                self.drop(k)
+            if task:
+                return task
+        return None
+
+    def close(self) -> list[tuple[int, int, int]]:
+        """The index, after all that changed is in the state."""
+        for k in list(self.held):
+            self.store(k)
+        return [(k, -top, self.sizes[k]) for top, k in self.tops]
+
+
 class HostQueues(StatefulProcessor):
     """A host's queue: newest task first, one pull at a time, the next one when the delay of the last is over.
 
-    Tasks are a heap by seq in a map state, so that a push or a pull touches a
-    few of them, in whatever order a batch brings them, and neither a batch nor a
-    queue is ever held whole (a list state can only be read whole). A timer
+    Tasks are in blocks by seq in a map state (see Newest), so that a push or a
+    pull costs a small part of a call to the state, in whatever order a batch
+    brings them, and neither a batch nor a queue is ever held whole. A timer
     stands at the next pull time, while there are tasks, or else at the end of
     the last delay, when the host goes. With ttl_ms, which needs the clock of the
     machine, a queue that nothing has touched for so long goes too.
@@ -102,64 +179,46 @@ class HostQueues(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.heap = handle.getMapState("heap", "place long", "seq long, delay double", self.ttl_ms)
-        self.queue = handle.getValueState("queue", "size long, turn long, free double, waits boolean", self.ttl_ms)
+        self.blocks = handle.getMapState("blocks", "block long", "seqs array<long>, delays array<double>", self.ttl_ms)
+        self.queue = handle.getValueState("queue", "turn long, free double, waits boolean, blocks array<long>, tops array<long>, sizes array<long>", self.ttl_ms)
 
     def now(self, timerValues: TimerValues) -> int:
         return timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
 
-    def push(self, at: int, task: tuple) -> None:
-        while at:
-            above = self.heap.getValue(((at - 1) // 2,))
-            if above[0] >= task[0]:
-                break
-            self.heap.updateValue((at,), tuple(above))
-            at = (at - 1) // 2
-        self.heap.updateValue((at,), task)
-
-    def pull(self, size: int) -> tuple:
-        top, last = self.heap.getValue((0,)), self.heap.getValue((size - 1,))
-        self.heap.removeKey((size - 1,))
-        at, size = 0, size - 1
-        while size:
-            below = [(self.heap.getValue((k,)), k) for k in (2 * at + 1, 2 * at + 2) if k < size]
-            if not below or (most := max(below, key=lambda x: x[0][0]))[0][0] <= last[0]:
-                self.heap.updateValue((at,), tuple(last))
-                break
-            self.heap.updateValue((at,), tuple(most[0]))
-            at = most[1]
-        return tuple(top)
+    def keep(self, turn: int, free: float, tasks: Newest) -> None:
+        index = tasks.close()
+        self.queue.update((turn, free, True, *([x[k] for x in index] for k in range(3))))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        size, turn, free, waits = self.queue.get() or (0, 0, 0.0, False)
-        idle, first = not size, None
-        for row in rows:
-            self.push(size, (row.seq, row.delay or 0.0))
-            size += 1
-            first = row.at_ms if first is None else min(first, row.at_ms)
+        turn, free, waits, *index = self.queue.get() or (0, 0.0, False, [], [], [])
+        tasks, first = Newest(self.blocks, list(zip(*index, strict=True))), None
+        idle = not len(tasks)
+        while some := [(row.seq, row.delay or 0.0, row.at_ms) for row in islice(rows, TAKEN)]:
+            tasks.push([x[:2] for x in some])
+            came = min(x[2] for x in some)
+            first = came if first is None else min(first, came)
         if idle and first is not None:
             free = max(free, float(first))
         if not waits:
             self.handle.registerTimer(max(int(free), self.now(timerValues) + 1))
-        self.queue.update((size, turn, free, True))
+        self.keep(turn, free, tasks)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         state = self.queue.get()
         if state is None:
             return
-        size, turn, free, _ = state
-        now = self.now(timerValues)
-        while size and free <= now:
-            seq, delay = self.pull(size)
-            size, turn = size - 1, turn + 1
-            yield Row(host=key[0], seq=seq, turn=turn, pulled_ms=free)
-            free += 1000.0 * delay
-        if not size and free <= now:
+        turn, free, _, *index = state
+        tasks, now = Newest(self.blocks, list(zip(*index, strict=True))), self.now(timerValues)
+        while free <= now and (task := tasks.pull()):
+            turn += 1
+            yield Row(host=key[0], seq=task[0], turn=turn, pulled_ms=free)
+            free += 1000.0 * task[1]
+        if not tasks.tops and free <= now:
             self.queue.clear()
             return
         self.handle.registerTimer(max(math.ceil(free), now + 1))
-        self.queue.update((size, turn, free, True))
+        self.keep(turn, free, tasks)
 
 
 def host_queues(tasks: DataFrame, event_time: bool = True, ttl_ms: int | None = None) -> DataFrame:

@@ -630,3 +630,45 @@ def test_pages_of_one_url_are_fetched_each_by_itself(spark, tmp_path):
     want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({qs.ORACLE_SQL['s4_fetch']})").fetchall()
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
     assert len(want) == 59
+
+
+def test_a_queue_asks_its_state_little():
+    """Tasks in any order and in several pushes come out newest first, with far fewer calls to the state than tasks, and with few blocks in memory."""
+
+    class State(dict):
+        calls = 0
+
+        def getValue(self, k):
+            self.calls += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            self.calls += 1
+            self[k] = (list(v[0]), list(v[1]))
+
+        def containsKey(self, k):
+            return k in self
+
+        def removeKey(self, k):
+            self.calls += 1
+            del self[k]
+
+    state, draw, index, want, got = State(), random.Random(1), [], [], []
+    numbers = list(range(20_000))
+    draw.shuffle(numbers)
+    for low in range(0, 20_000, 5000):
+        tasks = st.Newest(state, index)
+        tasks.push([(k, k / 2) for k in numbers[low : low + 5000]])
+        want.extend(numbers[low : low + 5000])
+        for _ in range(100):
+            got.append(tasks.pull())
+            assert got[-1] == (max(want), max(want) / 2)
+            want.remove(got[-1][0])
+        index = tasks.close()
+    tasks = st.Newest(state, index)
+    assert len(tasks) == len(want)
+    while task := tasks.pull():
+        got.append(task)
+        assert len(tasks.held) <= st.HELD
+    assert [k for k, _ in got[400:]] == sorted(want, reverse=True) and not state and not tasks.close()
+    assert state.calls < 1000
