@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as u
 from ..functions.text import Text, as_column
-from ..sources.tables import new_path, stored
+from ..sources.tables import stored
 from . import skew as sk
 from .seen import SeenFilter
 
@@ -231,47 +231,53 @@ def page_key(url: Text) -> Column:
 
 
 def edge_table(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What a crawl needs of the web: key, page_id of what a URL finds (the least page_id of a key), and page_id, pos, to of all links. html is read once."""
+    """What a crawl needs of the web: key, page_id of what a URL finds (the least page_id of a key), and key, page_id, links (pos, url) of those of these pages that have any. html is read once."""
     keys = stored(pages.select(page_key("url").alias("key"), "page_id").groupBy("key").agg(F.min("page_id").alias("page_id")), "keys")
     links = u.page_links(pages.select("page_id", page_key("url").alias("url"), "html"))
-    return keys, stored(links.select("page_id", "pos", F.col("url").alias("to")), "edges")
+    links = links.groupBy("page_id").agg(F.collect_list(F.struct("pos", "url")).alias("links"))
+    return keys, stored(links.join(keys, "page_id").select("key", "page_id", "links"), "edges")
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, most: int = 0, blocked: str = u.BLOCKED, sieve: SeenFilter | None = None) -> DataFrame:
     """The whole loop: fetch, extract, filter, dedup, enqueue, until nothing is in flight.
 
     pages: page_id, url, html, which stand for the web (a URL without a page is
-    a failed fetch); seeds: url. Each hop looks the frontier's URLs up, takes
-    the links of the pages found, and admits them by admitted(), with the links
+    a failed fetch); seeds: url. Each hop takes the links of the pages that the
+    frontier's URLs find, and admits them by admitted(), with the links
     of the pages fetched first, and of one page the first ones, first. Seeds are
     never tested for having been seen, but for being blocked or unsafe. Returns
     a row for each URL that was queued: url, hop, distance, parent_url, page_id
     (null: not fetched). Documents by type are queued, not read for links. Links
-    are extracted once, and hops join narrow rows only; each hop's URLs are
-    stored, and added to the sieve (one of this crawl, if none is given) that
-    spares the next hop from looking all candidates up.
+    are extracted once, and a page's are filed under the key by which it is
+    found, so a hop shuffles its own links and what was seen before; a frontier
+    that fits a broadcast leaves the links where they are. All page_ids are
+    looked up once, at the end. Each hop's URLs are stored, and added to the
+    sieve, if one is given; it then spares the hops from comparing all
+    candidates with all that was seen, which pays where hops are many and small.
     """
     keys, edges = edge_table(pages)
-    sieve = sieve or SeenFilter(pages.sparkSession, new_path(pages.sparkSession, "seen"), max(1000, edges.count()))
 
     def queued(rows: DataFrame, *by: str) -> DataFrame:
         # Sorted in ranges; a row's number is that of its range, shifted, plus its place there.
-        found = rows.withColumn("key", page_key("url")).join(keys, "key", "left").drop("key")
-        return stored(found.orderBy(*by).withColumn("seq", F.monotonically_increasing_id()), "frontier")
+        return stored(rows.orderBy(*by).withColumn("seq", F.monotonically_increasing_id()), "frontier")
 
     first = seeds.select(u.normal_url("url").alias("url"), F.monotonically_increasing_id().alias("seq"))
     seen = stored(first.groupBy("url").agg(F.min("seq").alias("seq")), "seeds")
-    sieve.add(seen)
+    if sieve:
+        sieve.add(seen)
     begin = seen.where(~u.is_blocked("url", blocked) & u.is_safe("url"))
     front = queued(begin.select("url", "seq", F.lit(None).cast("string").alias("parent_url"), F.lit(0).alias("distance")), "seq", "url")
     done, hop = [], 0
     while hop == 0 or not front.isEmpty():
-        done.append(front.select("url", F.lit(hop).alias("hop"), "distance", "parent_url", "page_id"))
-        read = front.where(F.col("page_id").isNotNull() & ~u.is_document("url")).select("page_id", F.col("url").alias("parent_url"), "seq", "distance")
-        links = read.join(edges, "page_id").select(F.col("to").alias("url"), F.struct("seq", "page_id", "pos").alias("seq"), "parent_url", "distance")
-        found = stored(admitted(links, seen, most, blocked, sieve), "found")
-        sieve.add(found)
+        done.append(front.select("url", F.lit(hop).alias("hop"), "distance", "parent_url"))
+        read = front.where(~u.is_document("url")).select(page_key("url").alias("key"), F.col("url").alias("parent_url"), "seq", "distance")
+        links = read.join(edges, "key").select("page_id", "parent_url", "seq", "distance", F.explode("links").alias("link"))
+        links = links.select(F.col("link.url").alias("url"), F.struct("seq", "page_id", "link.pos").alias("seq"), "parent_url", "distance")
+        found = queued(admitted(links, seen, most, blocked, sieve).select("url", "seq", "parent_url", "distance", "admitted"), "seq")
+        if sieve:
+            sieve.add(found)
         seen = seen.select("url").unionByName(found.select("url"))
-        front = queued(found.where("admitted").select("url", "seq", "parent_url", "distance"), "seq", "url")
+        front = found.where("admitted").drop("admitted")
         hop += 1
-    return reduce(DataFrame.unionByName, done)
+    rows = reduce(DataFrame.unionByName, done).withColumn("key", page_key("url"))
+    return rows.join(keys, "key", "left").drop("key")

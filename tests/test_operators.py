@@ -299,6 +299,30 @@ def test_crawl_reads_one_page_for_each_url(spark):
     assert got == [("http://a.org/three", 1, None), ("http://a.org/x", 0, 3)]
 
 
+def test_a_hop_shuffles_its_own_links(spark, monkeypatch):
+    """Of a web of which a crawl finds little, its hops shuffle little: neither all keys nor all links, hop for hop."""
+    n, hops = 20_000, 6
+    web = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/p"), "id").alias("url"), F.concat(F.lit('<a href="/p'), F.col("id") + F.when(F.col("id") < hops, 1).otherwise(0), F.lit('">it goes</a>')).alias("html"))
+    table = fr.edge_table(web)
+    monkeypatch.setattr(fr, "edge_table", lambda pages: table)
+
+    def shuffled():
+        tracker = spark.sparkContext._jsc.sc().statusStore()
+        stages = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")
+    try:
+        before = shuffled()
+        got = fr.crawl(web, spark.createDataFrame([("http://a.org/p0",)], "url string")).collect()
+        records = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((r.hop, r.page_id) for r in got) == [(k, k) for k in range(hops + 1)]
+    assert records < 2 * n
+
+
 def test_a_crawl_goes_on_with_the_filter_of_another(spark, tmp_path):
     """What a first run saw is in its filter; a lookup in the exact table decides, so nothing new is lost."""
     web = qs.linked_pages(spark, SF)
