@@ -98,8 +98,10 @@ def page_links(pages: DataFrame) -> DataFrame:
     pos is the anchor's number on the page; fragments are dropped; words of tags
     inside the anchor count as its words.
     """
+    # The base in a step of its own, so that html is searched for it once a page and does not go on to each of its links.
+    read = pages.select("page_id", F.col("url").alias("parent_url"), "html", base_href("html").alias("base"))
     anchors = F.regexp_extract_all("html", F.lit(ANCHOR), 0)
-    rows = pages.select("page_id", F.col("url").alias("parent_url"), base_href("html").alias("base"), F.posexplode(anchors).alias("pos", "anchor"))
+    rows = read.select("page_id", "parent_url", "base", F.posexplode(anchors).alias("pos", "anchor"))
     rows = rows.withColumn("link", F.regexp_extract("anchor", TARGET, 1)).where("link <> ''")
     found = resolve("link", "parent_url", "base")
     rows = rows.select("page_id", "pos", "parent_url", F.regexp_replace(found, "(?d)#.*$", "").alias("url"), ranked_words(F.regexp_extract("anchor", TARGET, 2)).alias("link_tokens"))

@@ -77,6 +77,15 @@ def test_resolve(spark, link, ref, base, url):
     assert df.select(u.resolve("link", "ref", "base")).first()[0] == url
 
 
+def test_a_page_is_searched_for_its_base_once(spark):
+    """And not for each of its links: the search is below the step that makes a row of each link, which leaves html behind."""
+    web = spark.range(3).select(F.col("id").alias("page_id"), F.lit(R1).alias("url"), F.concat(F.lit('<base href="http://b.org/"><a href="/x">it goes</a>'), "id").alias("html"))
+    steps = u.page_links(web)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    (made,) = [k for k, step in enumerate(steps) if "Generate" in step]
+    assert {k > made for k, step in enumerate(steps) if "<base" in step} == {True}
+    assert [r.url for r in u.page_links(web).collect()] == ["http://b.org/x"] * 3
+
+
 def test_links_take_the_last_href_and_words_of_inner_tags(spark):
     html = '<a data-href="/no.html" href="/yes.html#part"><b>Bold</b> words</a> <a href=\'/single\'>x</a> <a href="about">y</a>'
     rows = u.page_links(spark.createDataFrame([(1, R1, html), (2, R1, None)], "page_id long, url string, html string")).collect()
