@@ -18,8 +18,8 @@ from .skew import dealt_join
 CAP, GATE = 1.0, 0.5
 #: Entries of a block (some 200 MB in its task), keys whose changes its task writes at once, changes of weights that are merged at once.
 BLOCK, KEYS_AT_ONCE, DELTAS = 1 << 21, 1 << 16, 8
-#: Cells of a wide table that one set of first weights serves.
-CELLS = 1 << 21
+#: Cells of a wide table that one set of first weights serves at least, and such sets for each partition at most.
+CELLS, CHUNKS = 1 << 21, 4
 BLOCK_OUT = "t long, score double, loss double, updated boolean, step double, key string, moved double"
 _NAMES = [x.split()[0] for x in BLOCK_OUT.split(", ")]
 _OUT = [pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.string(), pa.float64()]
@@ -188,17 +188,20 @@ def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate:
     index (key, col); weights of tokens that no row had yet are 0. Partitions, and lines in them, are in order of id.
 
     After a Replay the lines are written in parallel: rows are cut into chunks of
-    about CELLS cells, each begins with the sums of all moves before it, and a
-    task holds one line and one chunk's weights at a time.
+    CELLS cells or more, each begins with the sums of all moves before it, and a
+    task holds one line and one chunk's weights at a time. As each chunk begins
+    with all keys that were moved, their number goes by the partitions, not by
+    the rows.
     """
     spark, many = rows.sparkSession, index.count()
     done = Replay(rows, cap, gate, kept=("url",))
-    size = max(1, CELLS // max(1, many))
+    parts, total = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), done.labels.count()
+    size = max(1, CELLS // max(1, many), -(-total // (CHUNKS * parts)))
     chunk = F.floor((F.col("t") - 1) / size).cast("long").alias("chunk")
     moves = done.entries.join(done.steps.where("updated").select("t", "step"), "t").select("t", "key", (F.col("step") * F.col("value")).alias("x"))
     moves = stored(dealt_join(moves, index, ["key"], F.col("t")).select(chunk, "t", "col", "x"), "moves")
     # A key's sum after a chunk is where all chunks begin up to the next one that moves it.
-    by, last = W.partitionBy("col").orderBy("chunk"), F.lit((done.labels.count() - 1) // size)
+    by, last = W.partitionBy("col").orderBy("chunk"), F.lit((total - 1) // size)
     sums = moves.groupBy("chunk", "col").agg(F.sum("x").alias("x"))
     sums = sums.select("col", F.sum("x").over(by).alias("x"), (F.col("chunk") + 1).alias("low"), F.coalesce(F.lead("chunk").over(by), last).alias("high")).where("low <= high")
     begins = sums.select(F.explode(F.sequence("low", "high")).alias("chunk"), F.lit(0).cast("long").alias("t"), "col", "x")
@@ -206,20 +209,20 @@ def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate:
     whole = stored(begins.unionByName(moves).unionByName(heads, allowMissingColumns=True), "chunks")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, weights, cells = None, [], []
+        now, weights, cells, tail = None, [], [], None  # a row that moves nothing has the tail of the row before
         for batch in batches:
             for at, _, col, x, number, url, score, tc, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != now:
-                    now, weights, cells = at, [0.0] * many, ["0.0"] * many
+                    now, weights, cells, tail = at, [0.0] * many, ["0.0"] * many, None
                 if col < many:
                     weights[col] += x
-                    cells[col] = repr(weights[col])
+                    cells[col], tail = repr(weights[col]), None
                     continue
+                tail = "".join(f",{c}" for c in cells) if tail is None else tail
                 quoted = '"' + (url or "").replace('"', '""') + '"'
-                line = ",".join([str(number), quoted, repr(score), "" if tc is None else str(tc), "" if loss is None else repr(loss), *cells])
+                line = ",".join([str(number), quoted, repr(score), "" if tc is None else str(tc), "" if loss is None else repr(loss)]) + tail
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([line], pa.string())], ["id", "line"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return whole.repartitionByRange(parts, "chunk").sortWithinPartitions("chunk", "t", "col").mapInArrow(fold, "id long, line string")
 
 

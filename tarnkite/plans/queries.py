@@ -990,16 +990,14 @@ def judged_pages(spark, sf_dir) -> DataFrame:
 @query(f"""{JUDGED} SELECT s.id AS db_id, round(score, 9) AS score, tc, round(loss, 9) AS loss, (SELECT count(DISTINCT key) FROM entries)::INT AS n_weights,
   round(sum(step * total) OVER (ORDER BY s.t), 9) AS weight_sum FROM steps s JOIN (SELECT t, sum(value) AS total FROM entries GROUP BY 1) e ON e.t = s.t""")
 def k6_batch_csv(spark, sf_dir):
-    """The replay of all judged pages as a wide CSV: id, url, score, tc, loss and each weight after the row. Read back, with the number and the sum of its weights."""
+    """The replay of all judged pages as a wide CSV: id, url, score, tc, loss and each weight after the row. The text is rows times keys, so it is compressed. Read back, with the number and the sum of its weights."""
     rows = tb.stored(judged_pages(spark, sf_dir), "judged")
     path = tb.new_path(spark, "batch") + "/batch.csv"
     index = tb.stored(ln.slot_index(rows), "index")
-    tb.write_wide_csv(ln.trajectory_lines(rows, index), ["db_id", "url", "score", "tc", "LOSS", *(r["key"] for r in index.orderBy("col").toLocalIterator())], path)
-    cells = F.split(F.regexp_replace("value", r'^([^,]*),"(?:[^"]|"")*",', "$1,"), ",")
-    read = spark.read.text(path).where(~F.col("value").startswith("db_id,")).select(cells.alias("c"))
-    weights = F.transform(F.slice("c", 5, F.size("c")), lambda w: w.cast("double"))
-    number = lambda k: F.round(F.col("c")[k].cast("double"), 9)
-    return read.select(F.col("c")[0].cast("long").alias("db_id"), number(1).alias("score"), F.col("c")[2].cast("int").alias("tc"), number(3).alias("loss"), F.size(weights).alias("n_weights"), F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 9).alias("weight_sum"))
+    tb.write_wide_csv(ln.trajectory_lines(rows, index), ["db_id", "url", "score", "tc", "LOSS", *(r["key"] for r in index.orderBy("col").toLocalIterator())], path, tb.ZSTD)
+    read = tb.wide_sums(spark.read.text(path).where(~F.col("value").startswith("db_id,")), 5)
+    cell = lambda k, kind: F.col("named")[k].cast(kind)
+    return read.select(cell(0, "long").alias("db_id"), F.round(cell(2, "double"), 9).alias("score"), cell(3, "int").alias("tc"), F.round(cell(4, "double"), 9).alias("loss"), F.col("n").alias("n_weights"), F.round("total", 9).alias("weight_sum"))
 
 
 @query(f"{JUDGED} SELECT id, e.key, round(value, 9) AS x, round(coalesce(weight, 0), 9) AS weight FROM entries e JOIN turns USING (t) LEFT JOIN weights w ON w.key = e.key")

@@ -1,4 +1,5 @@
 import csv
+import pathlib
 import random
 import re
 import time
@@ -165,6 +166,40 @@ def test_a_wide_csv_in_chunks(spark, tmp_path, monkeypatch):
         assert [float(c) for c in cells[5:]] == pytest.approx([weights.get(n, 0.0) for n in names], abs=1e-9)
 
 
+def test_a_wide_csv_is_small_on_disk(spark, monkeypatch):
+    """All cells of all rows are written, in far fewer bytes than their text; and first weights go by partitions, not by rows."""
+    paths, made = [], tb.new_path
+    monkeypatch.setattr(tb, "new_path", lambda spark, tag: paths.append(made(spark, tag)) or paths[-1])
+    monkeypatch.setattr(ln, "CELLS", 1)
+    draw = random.Random(5)
+    word = lambda: f"3:w{draw.randrange(400)}"
+    rows = [(k, f"http://h.org/{k}", draw.choice((1, -1)), {"0": 0.5, **{word(): 0.2 for _ in range(6)}}) for k in range(300)]
+    rows = [(*r, [["0"], [x for x in r[3] if x != "0"]]) for r in rows]
+    judged = spark.createDataFrame(rows, "id long, url string, tc int, x map<string,double>, slots array<array<string>>")
+    monkeypatch.setattr(qs, "judged_pages", lambda spark, sf_dir: judged)
+    got = {r.db_id: r for r in qs.k6_batch_csv(spark, SF).collect()}
+    path = next(p for p in paths if "/batch-" in p) + "/batch.csv"
+    text = [r.value for r in spark.read.text(path).where("part = 1").collect()]
+    keys = {k for r in rows for k in r[3]}
+    assert [len(x) for x in csv.reader(text)] == [5 + len(keys)] * len(rows)
+    assert {r.n_weights for r in got.values()} == {len(keys)}
+    weights = {}
+    for k, _, tc, x, _ in rows:
+        score, loss, _ = ln.learn(weights, list(x), list(x.values()), tc, 1.0, 0.5)
+        assert (got[k].tc, got[k].score, got[k].loss, got[k].weight_sum) == (tc, *(pytest.approx(v, abs=1e-8) for v in (score, loss, sum(weights.values()))))
+    on_disk = sum(f.stat().st_size for f in pathlib.Path(path.removeprefix("file:")).rglob("part-*"))
+    assert on_disk < sum(map(len, text)) / 4
+    first = spark.read.parquet(next(p for p in paths if "/chunks-" in p)).where("t = 0")
+    assert first.select("chunk").distinct().count() <= ln.CHUNKS * 4
+
+
+def test_sums_of_a_wide_csv(spark):
+    """Quotes and commas in a cell, an empty one, no numbers, and numbers after those of another line."""
+    lines = ['1,"a"",b",0.5,1,1.0,0.25,-0.5', '2,"a",,-1,"",0.25,-0.5', "3,x,0.5,1,1.0", "4,é,0.5,1,1.0,1e-3"]
+    got = tb.wide_sums(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), 5).collect()
+    assert [(r.named, r.n, r.total) for r in got] == [(["1", 'a",b', "0.5", "1", "1.0"], 2, -0.25), (["2", "a", None, "-1", None], 2, -0.25), (["3", "x", "0.5", "1", "1.0"], 0, 0.0), (["4", "é", "0.5", "1", "1.0"], 1, 0.001)]
+
+
 def test_judged_pages_step_by_step(spark):
     """The analysis of all judged pages, and the wide CSV of the same, against one plain fold."""
     rows = sorted(qs.judged_pages(spark, SF).collect(), key=lambda r: r.id)
