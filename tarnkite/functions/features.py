@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +112,19 @@ def dot(x: Column, w: Column) -> Column:
     return F.aggregate(F.map_entries(x), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(w, e["key"]), F.lit(0.0)))
 
 
+def _rounded(x: float) -> float:
+    """x to nine decimals as C's round() has it: half away from zero, and a little less than 0 is -0.0. (Java's digits have no sign at 0.)"""
+    far = abs(x) * 1e9
+    return x if not math.isfinite(far) else math.copysign(math.floor(far) + (far - math.floor(far) >= 0.5), x) / 1e9
+
+
 @F.arrow_udf(T.StringType())
 def shown(scores: pa.Array) -> pa.Array:
-    """Hundredfold scores with two decimals, as C prints them: of the number itself, half to even. (Java rounds the digits that it would print, half up: 1.005 is a little less, and gives 1.01 there.)"""
-    return pa.array([None if x is None else f"{100 * x:.2f}" for x in scores.to_pylist()], pa.string())
+    """Scores to nine decimals, hundredfold, with two decimals, as C prints them: of the number itself, half to even. (Java rounds the digits that it would print, half up: 1.005 is a little less, and gives 1.01 there.)"""
+    return pa.array([None if x is None else f"{100 * _rounded(x):.2f}" for x in scores.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.DoubleType())
+def exact_sum(terms: pa.Array) -> pa.Array:
+    """Sums of arrays of doubles, rounded once, so that neither they nor their signs go by the order of the terms."""
+    return pa.array([None if x is None else math.fsum(x) for x in (x.as_py() for x in terms)], pa.float64())

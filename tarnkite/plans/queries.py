@@ -427,11 +427,16 @@ def count_vectors(spark, sf_dir) -> DataFrame:
     return tb.stored(rows.select("id", F.col("e.w").alias("key"), (-F.col("e.n") / F.col("size")).alias("value")), "vectors")
 
 
-@query(f"WITH {WEIGHTED} SELECT id, round(sum(value * weight), 9) AS score FROM x JOIN w USING (key) GROUP BY id")
-def j5_vector_weights(spark, sf_dir):
+def weighted_terms(spark, sf_dir) -> DataFrame:
+    """id, term: what each word of a document adds to its score."""
     x = count_vectors(spark, sf_dir)
     w = x.select("key").distinct().withColumn("weight", (F.floor(fr.fixed_draw(F.col("key")) * float(1 << 32)).cast("long") % 1000) / 500.0 - 1)
-    return x.join(w, "key").groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("weight")), 9).alias("score"))
+    return x.join(w, "key").select("id", (F.col("value") * F.col("weight")).alias("term"))
+
+
+@query(f"WITH {WEIGHTED} SELECT id, round(sum(value * weight), 9) AS score FROM x JOIN w USING (key) GROUP BY id")
+def j5_vector_weights(spark, sf_dir):
+    return weighted_terms(spark, sf_dir).groupBy("id").agg(F.round(F.sum("term"), 9).alias("score"))
 
 
 @query(f"WITH {q.LINKS} SELECT page_id, list(url ORDER BY pos)[1] AS first_url, count(*) AS n, list(url ORDER BY pos)[-1] AS last_url FROM links GROUP BY page_id")
@@ -743,7 +748,9 @@ def t18_delay(spark, sf_dir):
 
 @query(f"WITH {WEIGHTED}, s AS (SELECT id, sum(value * weight) AS score FROM x JOIN w USING (key) GROUP BY id) SELECT id, printf('%.2f', 100 * round(score, 9)) AS shown FROM s")
 def t19_shown_score(spark, sf_dir):
-    return j5_vector_weights(spark, sf_dir).select("id", ft.shown("score").alias("shown"))
+    """Words that cancel out leave ±1e-17 or so, and that sign is shown."""
+    scored = weighted_terms(spark, sf_dir).groupBy("id").agg(F.collect_list("term").alias("terms"))
+    return scored.select("id", ft.shown(ft.exact_sum("terms")).alias("shown"))
 
 
 @query("SELECT event_id, epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(ts))::BIGINT AS age, epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(ts))::BIGINT > 21600 AS stale FROM events")
@@ -1017,7 +1024,7 @@ def m8_analysis(spark, sf_dir):
     steps = ln.replay(rows)
     body = tb.read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.md5(tx.body("html").cast("binary")).alias("body"))
     shown = rows.select("id", "url", F.size("x").alias("n_features")).join(steps, "id").join(body, "id")
-    return shown.select("id", "url", "n_features", "body", ft.shown(F.round("score", 9)).alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
+    return shown.select("id", "url", "n_features", "body", ft.shown("score").alias("shown"), "tc", F.round("loss", 9).alias("loss"), F.when(F.col("tc") == 1, "positive").otherwise("negative").alias("route"))
 
 
 @query(f"""{JUDGED}, moved AS (
@@ -1026,7 +1033,7 @@ SELECT id, key, round(value, 9) AS x, round(weight, 9) AS w, printf('%.2f', 100
 def k9_analysis(spark, sf_dir):
     """What the result page of each judged page shows, line by line: each of its features with its value and the weight that it had then, and the page's score."""
     done = ln.Replay(judged_pages(spark, sf_dir))
-    shown = done.scored().select("id", ft.shown(F.round("score", 9)).alias("shown"))
+    shown = done.scored().select("id", ft.shown("score").alias("shown"))
     return done.explained().join(shown, "id").select("id", "key", F.round("x", 9).alias("x"), F.round("weight", 9).alias("w"), "shown")
 
 

@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import pathlib
 import random
 import re
@@ -679,6 +680,26 @@ def test_a_shown_score_is_rounded_as_c_does(spark):
     assert got[3] == "-0.12"
 
 
+def test_a_shown_score_keeps_its_sign_at_0(spark, tmp_path):
+    """What is left of words that cancel out, and scores that round to 0 from below, are shown as the SQL shows them."""
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate([-3e-17, 3e-17, -4e-10, -6e-10, 0.0, -0.0, float("inf")])], "id int, score double")
+    got = [r.shown for r in rows.select("id", ft.shown("score").alias("shown")).orderBy("id").collect()]
+    assert got == [duckdb.sql(f"SELECT printf('%.2f', 100 * round({x!r}::DOUBLE, 9))").fetchall()[0][0] for x in (-3e-17, 3e-17, -4e-10, -6e-10, 0.0, -0.0)] + ["inf"]
+    assert got[0] == got[2] == "-0.00" and got[1] == "0.00"
+    weight = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1000
+    words = {}
+    for k in range(4000):
+        words.setdefault(weight(w := "word" + "".join(chr(97 + k // 26**i % 26) for i in range(3))), w)
+    # Two words have one sum in any order: for the SQL, these are never by chance.
+    pairs = [f"{words[d]} {words[1000 - d]}" for d in sorted(words) if 1000 - d in words and d < 500][:60]
+    spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.sql(qs.ORACLE_SQL["t19_shown_score"]).fetchall())
+    assert set(want.values()) == {"0.00", "-0.00"}
+    assert {r.id: r.shown for r in qs.t19_shown_score(spark, str(tmp_path)).collect()} == want
+
+
 def test_pages_of_one_url_are_fetched_each_by_itself(spark, tmp_path):
     urls = ["http://a.com/x", "http://b.com/y#12", "http://a.com/x", "http://a.com/x", "http://c.com/"]
     pages = [(k, urls[k % 5], f"<p>{k}</p>") for k in range(1, 60)]
