@@ -185,7 +185,8 @@ def slot_index(rows: DataFrame) -> DataFrame:
 
 def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate: float = GATE) -> DataFrame:
     """id, line: for each row (id, url, x, tc) a CSV line of id, url, score, tc, loss and all weights after it, in the order of
-    index (key, col); weights of tokens that no row had yet are 0. Partitions, and lines in them, are in order of id.
+    index (key, col); weights of tokens that no row had yet are 0. Partitions, and lines in them, are in order of id; the
+    metadata of line say how many bytes a line has, about.
 
     After a Replay the lines are written in parallel: rows are cut into chunks of
     CELLS cells or more, each begins with the sums of all moves before it, and a
@@ -200,6 +201,7 @@ def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate:
     chunk = F.floor((F.col("t") - 1) / size).cast("long").alias("chunk")
     moves = done.entries.join(done.steps.where("updated").select("t", "step"), "t").select("t", "key", (F.col("step") * F.col("value")).alias("x"))
     moves = stored(dealt_join(moves, index, ["key"], F.col("t")).select(chunk, "t", "col", "x"), "moves")
+    wide = 4 * many + 24 * moves.select("col").distinct().count()
     # A key's sum after a chunk is where all chunks begin up to the next one that moves it.
     by, last = W.partitionBy("col").orderBy("chunk"), F.lit((total - 1) // size)
     sums = moves.groupBy("chunk", "col").agg(F.sum("x").alias("x"))
@@ -223,7 +225,7 @@ def trajectory_lines(rows: DataFrame, index: DataFrame, cap: float = CAP, gate:
                 line = ",".join([str(number), quoted, repr(score), "" if tc is None else str(tc), "" if loss is None else repr(loss)]) + tail
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([line], pa.string())], ["id", "line"])
 
-    return whole.repartitionByRange(parts, "chunk").sortWithinPartitions("chunk", "t", "col").mapInArrow(fold, "id long, line string")
+    return whole.repartitionByRange(parts, "chunk").sortWithinPartitions("chunk", "t", "col").mapInArrow(fold, "id long, line string").select("id", F.col("line").alias("line", metadata={"bytes": wide}))
 
 
 def scores(rows: DataFrame, weights: DataFrame) -> DataFrame:

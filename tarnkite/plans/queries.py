@@ -1001,7 +1001,7 @@ def k6_batch_csv(spark, sf_dir):
     rows = tb.stored(judged_pages(spark, sf_dir), "judged")
     path = tb.new_path(spark, "batch") + "/batch.csv"
     index = tb.stored(ln.slot_index(rows), "index")
-    tb.write_wide_csv(ln.trajectory_lines(rows, index), ["db_id", "url", "score", "tc", "LOSS", *(r["key"] for r in index.orderBy("col").toLocalIterator())], path, tb.ZSTD)
+    tb.write_wide_csv(ln.trajectory_lines(rows, index), ["db_id", "url", "score", "tc", "LOSS", *(r["key"] for r in index.orderBy("col").toLocalIterator())], path, packed=True)
     read = tb.wide_sums(spark.read.text(path).where(~F.col("value").startswith("db_id,")), 5)
     cell = lambda k, kind: F.col("named")[k].cast(kind)
     return read.select(cell(0, "long").alias("db_id"), F.round(cell(2, "double"), 9).alias("score"), cell(3, "int").alias("tc"), F.round(cell(4, "double"), 9).alias("loss"), F.col("n").alias("n_weights"), F.round("total", 9).alias("weight_sum"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 # Fixed value: what a CSV file's path must have.
 CSV_PATH = r"(/|^)[A-Za-z0-9_]+\.csv"
-#: Zstandard, with which Spark's readers of text come but its writers don't: by Parquet's codec, whose window of 2 MB reaches back over lines of 1 MB.
+#: Zstandard by Parquet's codec, for Spark's readers of text know it but its writers don't; and how far back (bits) it looks at which level.
 ZSTD = "org.apache.parquet.hadoop.codec.ZstandardCodec"
+LEVELS = ((22, 9), (23, 17), (25, 20), (27, 22))
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,15 +134,18 @@ def check_csv(path: str) -> None:
         raise ValueError(f"not a csv path: {path}")
 
 
-def write_wide_csv(lines: DataFrame, header: list[str], path: str, compression: str | None = None) -> None:
+def write_wide_csv(lines: DataFrame, header: list[str], path: str, packed: bool = False) -> None:
     """Lines (id, line), whose partitions are in order of id, as text under path in as many files, after one line with the header's names.
 
-    With ZSTD, lines that are nearly those before them take next to nothing; their text is the same.
+    Packed by ZSTD, lines that are nearly those before them take next to nothing, if it looks back over a whole line;
+    the text is the same.
     """
     check_csv(path)
-    spark = lines.sparkSession
-    spark.createDataFrame([(",".join(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/part=0", compression)
-    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/part=1", compression)
+    spark, wide = lines.sparkSession, lines.schema["line"].metadata.get("bytes", 0)
+    level = next((n for bits, n in LEVELS if 1 << bits > wide * 1.1), LEVELS[-1][1])
+    options = {"compression": ZSTD, "parquet.compression.codec.zstd.level": str(level)} if packed else {}
+    spark.createDataFrame([(",".join(header),)], "value string").coalesce(1).write.mode("overwrite").options(**options).text(f"{path}/part=0")
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").options(**options).text(f"{path}/part=1")
 
 
 def wide_sums(lines: DataFrame, named: int) -> DataFrame:

@@ -194,6 +194,15 @@ def test_a_wide_csv_is_small_on_disk(spark, monkeypatch):
     assert first.select("chunk").distinct().count() <= ln.CHUNKS * 4
 
 
+def test_a_packed_csv_looks_back_over_a_line(spark, tmp_path):
+    """Lines of 3 MB, alike but for their numbers, take little more than one of them."""
+    tail = "," + ",".join(repr(random.Random(k).random()) for k in range(150_000))
+    lines = spark.range(12).coalesce(1).select("id", F.concat(F.col("id").cast("string"), F.lit(tail)).alias("line", metadata={"bytes": len(tail)}))
+    tb.write_wide_csv(lines, ["id"], str(tmp_path / "far.csv"), packed=True)
+    assert sum(f.stat().st_size for f in (tmp_path / "far.csv").rglob("part-*")) < len(tail)
+    assert [r.value for r in spark.read.text(str(tmp_path / "far.csv")).where("part = 1").collect()] == [f"{k}{tail}" for k in range(12)]
+
+
 def test_sums_of_a_wide_csv(spark):
     """Quotes and commas in a cell, an empty one, no numbers, and numbers after those of another line."""
     lines = ['1,"a"",b",0.5,1,1.0,0.25,-0.5', '2,"a",,-1,"",0.25,-0.5', "3,x,0.5,1,1.0", "4,é,0.5,1,1.0,1e-3"]
