@@ -124,7 +124,8 @@ def shown(scores: pa.Array) -> pa.Array:
     return pa.array([None if x is None else f"{100 * _rounded(x):.2f}" for x in scores.to_pylist()], pa.string())
 
 
-@F.arrow_udf(T.DoubleType())
-def exact_sum(terms: pa.Array) -> pa.Array:
-    """Sums of arrays of doubles, rounded once, so that neither they nor their signs go by the order of the terms."""
-    return pa.array([None if x is None else math.fsum(x) for x in (x.as_py() for x in terms)], pa.float64())
+def exact_sum(terms: Column) -> Column:
+    """The sum (an aggregate) of a unit vector's terms, added up in whole numbers of 2^-44 and of 2^-86, so that neither it nor its sign goes by their order."""
+    far = terms * float(1 << 44)
+    rest = F.rint((far - F.rint(far)) * float(1 << 42))
+    return (F.sum(F.rint(far).cast("long")).cast("double") + F.sum(rest.cast("long")) / float(1 << 42)) / float(1 << 44)

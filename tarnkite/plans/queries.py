@@ -749,8 +749,8 @@ def t18_delay(spark, sf_dir):
 @query(f"WITH {WEIGHTED}, s AS (SELECT id, sum(value * weight) AS score FROM x JOIN w USING (key) GROUP BY id) SELECT id, printf('%.2f', 100 * round(score, 9)) AS shown FROM s")
 def t19_shown_score(spark, sf_dir):
     """Words that cancel out leave ±1e-17 or so, and that sign is shown."""
-    scored = weighted_terms(spark, sf_dir).groupBy("id").agg(F.collect_list("term").alias("terms"))
-    return scored.select("id", ft.shown(ft.exact_sum("terms")).alias("shown"))
+    scored = weighted_terms(spark, sf_dir).groupBy("id").agg(ft.exact_sum(F.col("term")).alias("score"))
+    return scored.select("id", ft.shown("score").alias("shown"))
 
 
 @query("SELECT event_id, epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(ts))::BIGINT AS age, epoch(TIMESTAMP '2024-06-01 00:00:00') - floor(epoch(ts))::BIGINT > 21600 AS stale FROM events")

@@ -1,5 +1,6 @@
 import csv
 import hashlib
+import math
 import pathlib
 import random
 import re
@@ -709,6 +710,19 @@ def test_a_shown_score_keeps_its_sign_at_0(spark, tmp_path):
     assert {r.id: r.shown for r in qs.t19_shown_score(spark, str(tmp_path)).collect()} == want
 
 
+def test_an_exact_sum_is_rounded_once(spark):
+    draw = random.Random(9)
+    rows = []
+    for k in range(40):
+        terms = [draw.gauss(0, 0.1) / 10 ** draw.randrange(5) for _ in range(60)]
+        terms.append(-math.fsum(terms))
+        rows += [(k, x) for x in draw.sample(terms, 61)]
+    got = {r.k: r.s for r in spark.createDataFrame(rows, "k int, x double").repartition(7).groupBy("k").agg(ft.exact_sum(F.col("x")).alias("s")).collect()}
+    want = {k: math.fsum(x for i, x in rows if i == k) for k in range(40)}
+    assert any(want.values()) and {k: math.copysign(1, v) for k, v in got.items()} == {k: math.copysign(1, v) for k, v in want.items()}
+    assert got == pytest.approx(want, rel=1e-6, abs=1e-24)
+
+
 def test_pages_of_one_url_are_fetched_each_by_itself(spark, tmp_path):
     urls = ["http://a.com/x", "http://b.com/y#12", "http://a.com/x", "http://a.com/x", "http://c.com/"]
     pages = [(k, urls[k % 5], f"<p>{k}</p>") for k in range(1, 60)]
